@@ -1,5 +1,92 @@
+"""The corpus pipeline: toxicity, exact dedup, near-dedup, mixing, encoding, one stage after the other.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. All but the last return the
+columns of documents. run() writes each stage's rows as Parquet in the shared folder and reads them for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helixframe.llm import exact_dedup, mixing, sentencepiece_bpe, simhash_dedup, toxicity
+from helixframe.llm.common import shared_path, table
+from helixframe.llm.queries import PIECE_MODEL
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document is rejected from this score on.
+TOXIC = 0.7
+
+#: SQL can't express the trained machine, the fingerprints' hash and the merges.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _rows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs of (doc_id, text_key) in wanted, with wanted's other columns; of repeated rows with one id and text, one."""
+    keyed = docs.select(*COLUMNS).withColumn("text_key", F.xxhash64("text"))
+    keys = keyed.select("doc_id", "text_key")
+    if keys.count() > keys.distinct().count():
+        keyed = keyed.dropDuplicates(["doc_id", "text_key"])
+    other = wanted.withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
+    return keyed.join(other, keyed["doc_id"].eqNullSafe(other["__id"]) & (keyed["text_key"] == other["__key"])).drop("__id", "__key", "text_key")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the machine, trained on a bounded sample of the labelled ones, scores as toxic."""
+    machine = toxicity.train_machine(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, machine, COLUMNS).where(F.col("score") < TOXIC).select(*COLUMNS)
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of texts that are equal without white space."""
+    members, _ = exact_dedup.dedup(docs)
+    return _rows_of(docs, members.where("kept").select("doc_id", "text_key").distinct()).select(*COLUMNS)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each component of linked fingerprints: that with the smallest id."""
+    found = simhash_dedup.near_dedup(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    return _rows_of(docs, found.groupBy("root").agg(first).select("first.doc_id", "first.text_key")).select(*COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: rows repeat up to three times, and those it doesn't take go."""
+    keyed = docs.select(*COLUMNS).withColumn("text_key", F.xxhash64("text"))
+    taken = mixing.mix(keyed, keep=("doc_id", "source", "text_key")).withColumn("copies", mixing.copies(F.col("taken"), F.col("size")))
+    times = taken.groupBy("doc_id", "text_key").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    return _rows_of(docs, times).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document with an end id, and digests of these and of the text decoded from them."""
+    coded = sentencepiece_bpe.encode_documents(docs, PIECE_MODEL, ["doc_id", "source"], decode=True)
+    return coded.select(
+        "doc_id",
+        "source",
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("exact dedup", exact_dedup_stage),
+    ("SimHash near-dedup", near_dedup_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("SentencePiece encoding and decoding", encoding_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the documents of sf_dir."""
+    docs = table(spark, sf_dir, "documents")
+    for at, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if at + 1 < len(STAGES):
+            path = shared_path(spark, f"pipeline-{at}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import chat_format, license_scan, secret_scan, sentencepiece_bpe
-from helixframe.llm.common import table
+from helixframe.llm import chat_format, exact_dedup, license_scan, mixing, ppm_score, secret_scan, sentencepiece_bpe, simhash_dedup, toxicity, vector_search
+from helixframe.llm.common import crc_mod, table
 
 PIECE_MODEL = os.environ.get("HELIXFRAME_PIECE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
 BYTE_RANKS = os.environ.get("HELIXFRAME_BYTE_RANKS") or public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -33,6 +33,16 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one of its equals that stays."""
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"))[0].select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text decoded from them."""
     coded = sentencepiece_bpe.encode_documents(table(spark, sf_dir, "documents"), PIECE_MODEL, ["doc_id"], decode=True)
@@ -53,6 +63,26 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(formatted, BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt without the held-out third of the labels."""
+    docs = table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long"))
+    machine = toxicity.train_machine(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 3) != 1)
+    scored = toxicity.score_documents(docs, machine, ["doc_id"])
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and PPM log probabilities of every document, learnt without the held-out fifth."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scored = ppm_score.score_documents(docs, crc_mod(F.col("doc_id"), 5) != 1, ["doc_id"])
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash_dedup.near_dedup(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets of every document: the patterns', and those the random field adds."""
     docs = table(spark, sf_dir, "documents")
@@ -63,16 +93,38 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
+def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest other vectors of every vector whose id is divisible by 20."""
+    index = vector_search.build_index(table(spark, sf_dir, "embeddings"))
+    return vector_search.search(index, index.where(F.col("vec_id") % 20 == 0))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_mix_sources": op2_mix_sources,
+    "op3_exact_dedup": op3_exact_dedup,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_chat_format": op5_chat_format,
+    "op6_toxicity": op6_toxicity,
+    "op7_ppm_score": op7_ppm_score,
+    "op8_simhash_dedup": op8_simhash_dedup,
     "op9_secret_scan": op9_secret_scan,
+    "op10_vector_search": op10_vector_search,
 }
 
 _ESCAPED = r"replace(replace(replace(replace(replace({}, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')"
 
 ORACLE_SQL = {
+    "op10_vector_search": """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.e, x.e) AS score FROM ok q JOIN ok x ON q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op3_exact_dedup": r"""
+WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents),
+k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY body ORDER BY points DESC, doc_id NULLS LAST) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size FROM n)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM k""",
     "op5_chat_format": f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
