@@ -12,9 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators import metrics
+
 CAP = 50_000
 
 
@@ -51,9 +53,10 @@ def ratio_interval(df: DataFrame, ident: str, numerator: Column, denominator: Co
     """
     by = by or []
     group = F.to_json(F.struct(*by)) if by else F.lit("{}")
-    rows = df.select(*by, group.alias("g"), F.xxhash64(ident).alias("h"), numerator.cast("double").alias("a"), denominator.cast("double").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    points = rows.groupBy(*by, "g").agg((F.sum("a") / F.nullif(F.sum("b"), F.lit(0.0))).alias("estimate"), F.count("*").alias("n"))
-    sized = rows.join(F.broadcast(points.select("g", "n")) if not by else points.select("g", "n"), "g") if cap else rows.withColumn("n", F.lit(1))
+    used = df.select(*by, group.alias("__g"), F.xxhash64(ident).alias("__h"), numerator.cast("double").alias("__a"), denominator.cast("double").alias("__b")).where("__a IS NOT NULL AND __b IS NOT NULL")
+    points = used.groupBy(*by, "__g").agg((F.sum("__a") / F.nullif(F.sum("__b"), F.lit(0.0))).alias("estimate"), F.count("*").alias("n"))
+    rows = used.select(F.col("__g").alias("g"), F.col("__h").alias("h"), F.col("__a").alias("a"), F.col("__b").alias("b"))
+    sized = rows.join(points.select(F.col("__g").alias("g"), "n"), "g") if cap else rows.withColumn("n", F.lit(1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -72,8 +75,8 @@ def ratio_interval(df: DataFrame, ident: str, numerator: Column, denominator: Co
             yield pa.RecordBatch.from_arrays([pa.array([name] * replicates), pa.array(np.arange(replicates)), pa.array(s[0]), pa.array(s[1])], ["g", "b", "x", "y"])
 
     partial = sized.select("g", "h", "a", "b", "n").mapInArrow(run, "g string, b long, x double, y double")
-    values = partial.groupBy("g", "b").agg((F.sum("x") / F.nullif(F.sum("y"), F.lit(0.0))).alias("value"))
-    return interval(values, points, ["g"], alpha, 0.5, replicates).drop("g")
+    values = partial.groupBy(F.col("g").alias("__g"), "b").agg((F.sum("x") / F.nullif(F.sum("y"), F.lit(0.0))).alias("value"))
+    return interval(values, points, ["__g"], alpha, 0.5, replicates).drop("__g")
 
 
 def auroc_interval(df: DataFrame, ident: str, label: str, score: str, by: list[str] | None = None, replicates: int = 500, alpha: float = 0.05, seed: int = 42, cap: int | None = CAP, grid: int = 4096) -> DataFrame:
@@ -81,8 +84,6 @@ def auroc_interval(df: DataFrame, ident: str, label: str, score: str, by: list[s
 
     A task hands on weighted counts by grid step for blocks of replicates; no task holds a group's rows.
     """
-    from helixframe.operators import metrics
-
     by = by or []
     points = metrics.auroc(df, label, score, by)
     usable = df.where(F.col(label).isin(0, 1) & F.col(score).isNotNull() & ~F.isnan(score))
@@ -91,7 +92,7 @@ def auroc_interval(df: DataFrame, ident: str, label: str, score: str, by: list[s
         return points.withColumns({"ci_lower": F.col("estimate"), "ci_upper": F.col("estimate")})
     step = F.floor((F.col(score) - F.lit(float(low))) / F.lit(max(float(high - low), 1e-300)) * (grid - 1)).cast("long")
     group = F.to_json(F.struct(*by)) if by else F.lit("{}")
-    rows = usable.select(*by, group.alias("g"), F.xxhash64(ident).alias("h"), step.alias("s"), F.col(label).cast("long").alias("y"))
+    rows = usable.select(group.alias("g"), F.xxhash64(ident).alias("h"), step.alias("s"), F.col(label).cast("long").alias("y"))
     sizes = rows.groupBy("g").agg(F.count("*").alias("n"))
     sized = rows.join(sizes, "g")
 
@@ -111,10 +112,7 @@ def auroc_interval(df: DataFrame, ident: str, label: str, score: str, by: list[s
 
     counted = sized.select("g", "h", "s", "y", "n").mapInArrow(run, "g string, s long, y long, w array<long>")
     long = counted.select("g", "s", "y", F.posexplode("w").alias("b", "k")).groupBy("g", "b", "s").agg(F.sum(F.when(F.col("y") == 1, F.col("k")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("k")).otherwise(0)).alias("neg"))
-    from pyspark.sql import Window
-
     below = F.coalesce(F.sum("neg").over(Window.partitionBy("g", "b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     d = lambda c: F.col(c).cast("double")
     area = long.withColumn("below", below).groupBy("g", "b").agg((F.sum(d("pos") * (d("below") + F.lit(0.5) * d("neg"))) / F.nullif(F.sum(d("pos")) * F.sum(d("neg")), F.lit(0.0))).alias("value"))
-    keyed = points.withColumn("g", group) if by else points.withColumn("g", F.lit("{}"))
-    return interval(area, keyed, ["g"], alpha, 0.5, replicates).drop("g")
+    return interval(area.withColumnRenamed("g", "__g"), points.withColumn("__g", group), ["__g"], alpha, 0.5, replicates).drop("__g")

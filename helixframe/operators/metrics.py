@@ -50,8 +50,14 @@ def _d(name: str) -> Column:
     return F.col(name).cast("double")
 
 
-TP, FP = _d("pos_all") - _d("pos_below"), _d("neg_all") - _d("neg_below")  # called positive at this score or above
-TN, FN = _d("neg_below") + _d("neg"), _d("pos_below") + _d("pos")  # called negative at this score or below
+def _called() -> tuple[Column, Column]:
+    """True and false positives if this score or above is called positive."""
+    return _d("pos_all") - _d("pos_below"), _d("neg_all") - _d("neg_below")
+
+
+def _left() -> tuple[Column, Column]:
+    """True and false negatives if this score or below is called negative."""
+    return _d("neg_below") + _d("neg"), _d("pos_below") + _d("pos")
 
 
 def auroc(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
@@ -62,29 +68,34 @@ def auroc(df: DataFrame, label: str, score: str, by: list[str] | None = None) ->
 
 def auprc(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
     """Average precision over descending distinct thresholds."""
+    tp, fp = _called()
     counts = score_counts(df, label, score, by).where("pos_all > 0")
-    return counts.groupBy(*(by or [])).agg(F.sum(_d("pos") / _d("pos_all") * TP / (TP + FP)).alias("estimate"), F.sum(F.col("pos") + F.col("neg")).alias("n"))
+    return counts.groupBy(*(by or [])).agg(F.sum(_d("pos") / _d("pos_all") * tp / (tp + fp)).alias("estimate"), F.sum(F.col("pos") + F.col("neg")).alias("n"))
 
 
 def ppv_at_sensitivity(df: DataFrame, label: str, score: str, target: float = 0.9, by: list[str] | None = None) -> DataFrame:
     """Precision at the highest threshold that reaches the sensitivity; 0 if none does."""
-    c = score_counts(df, label, score, by)
-    return c.groupBy(*(by or [])).agg(F.coalesce(F.max_by(F.when(TP >= target * _d("pos_all"), TP / (TP + FP)), F.when((TP >= target * _d("pos_all")) & (F.col("pos_all") > 0), F.col("score"))), F.lit(0.0)).alias("estimate"))
+    tp, fp = _called()
+    reached = F.when((tp >= target * _d("pos_all")) & (F.col("pos_all") > 0), F.col("score"))
+    return score_counts(df, label, score, by).groupBy(*(by or [])).agg(F.coalesce(F.max_by(tp / (tp + fp), reached), F.lit(0.0)).alias("estimate"))
 
 
 def npv_at_specificity(df: DataFrame, label: str, score: str, target: float = 0.99, by: list[str] | None = None) -> DataFrame:
     """Share of true negatives at the smallest threshold that reaches the specificity; 0 without negatives."""
-    c = score_counts(df, label, score, by)
-    return c.groupBy(*(by or [])).agg(F.coalesce(F.min_by(TN / (TN + FN), F.when((TN >= target * _d("neg_all")) & (F.col("neg_all") > 0), F.col("score"))), F.lit(0.0)).alias("estimate"))
+    tn, fn = _left()
+    reached = F.when((tn >= target * _d("neg_all")) & (F.col("neg_all") > 0), F.col("score"))
+    return score_counts(df, label, score, by).groupBy(*(by or [])).agg(F.coalesce(F.min_by(tn / (tn + fn), reached), F.lit(0.0)).alias("estimate"))
 
 
 def roc_curve(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
-    return score_counts(df, label, score, by).select(*(by or []), "score", (FP / _d("neg_all")).alias("fpr"), (TP / _d("pos_all")).alias("tpr"))
+    tp, fp = _called()
+    return score_counts(df, label, score, by).select(*(by or []), "score", (fp / _d("neg_all")).alias("fpr"), (tp / _d("pos_all")).alias("tpr"))
 
 
 def pr_curve(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
+    tp, fp = _called()
     prevalence = _d("pos_all") / (_d("pos_all") + _d("neg_all"))
-    return score_counts(df, label, score, by).select(*(by or []), "score", (TP / _d("pos_all")).alias("recall"), (TP / (TP + FP)).alias("precision"), prevalence.alias("prevalence"))
+    return score_counts(df, label, score, by).select(*(by or []), "score", (tp / _d("pos_all")).alias("recall"), (tp / (tp + fp)).alias("precision"), prevalence.alias("prevalence"))
 
 
 def balanced_accuracy(df: DataFrame, label: str, predicted: str, by: list[str] | None = None) -> DataFrame:

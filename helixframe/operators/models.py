@@ -45,19 +45,27 @@ def long_scores(df: DataFrame, keep: list[str], scores: dict[str, Column]) -> Da
     return df.select(*keep, F.explode(entries).alias("e")).select(*keep, "e.model", "e.score")
 
 
+def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
+    return VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip").transform(df)
+
+
 def ridge(df: DataFrame, label: str, features: list[str], alpha: float = 1.0):
-    """Ridge regression; Spark's penalty is a mean over rows, so alpha is divided by their number."""
-    rows = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip").transform(df)
-    return LinearRegression(featuresCol="__x", labelCol=label, predictionCol="prediction", regParam=alpha / max(1, rows.count()), standardization=False, solver="normal").fit(rows)
+    """Least squares with alpha times the squared weights. Spark's penalty is per row and divided by the label's deviation."""
+    rows = _assembled(df, features)
+    n, deviation = rows.agg(F.count(label), F.stddev_pop(label)).first()
+    return LinearRegression(featuresCol="__x", labelCol=label, predictionCol="prediction", regParam=alpha / max(1, n) * (deviation or 1.0), standardization=False, solver="normal").fit(rows)
 
 
 def elastic_net(df: DataFrame, label: str, features: list[str], alpha: float = 0.1, l1_ratio: float = 0.5, rounds: int = 5000):
-    rows = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip").transform(df)
-    return LinearRegression(featuresCol="__x", labelCol=label, predictionCol="prediction", regParam=alpha, elasticNetParam=l1_ratio, standardization=False, maxIter=rounds).fit(rows)
+    """Half the mean squared error plus alpha times l1_ratio |w| + (1 - l1_ratio) / 2 w^2; Spark divides the second part by the label's deviation."""
+    rows = _assembled(df, features)
+    deviation = rows.agg(F.stddev_samp(label)).first()[0] or 1.0
+    one, two = alpha * l1_ratio / deviation, alpha * (1 - l1_ratio)
+    return LinearRegression(featuresCol="__x", labelCol=label, predictionCol="prediction", regParam=(one + two) * deviation, elasticNetParam=one / (one + two) if alpha else 0.0, standardization=False, maxIter=rounds).fit(rows)
 
 
 def predict(model, df: DataFrame, features: list[str]) -> DataFrame:
-    return model.transform(VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip").transform(df)).drop("__x")
+    return model.transform(_assembled(df, features)).drop("__x")
 
 
 def incremental_r2(df: DataFrame, label: str, score: str, covariates: list[str]) -> float:
