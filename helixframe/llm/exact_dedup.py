@@ -32,8 +32,8 @@ def prefix(key: Column, bits: Column | int) -> Column:
 
 
 def build_directory(keys: DataFrame, capacity: int, first_depth: int = 2, most_depth: int = 40) -> DataFrame:
-    """Buckets (low, high, depth, n_keys) over the distinct values of `key`: key ranges, inclusive, as signed numbers of
-    the flipped key, so that they sort in key order. Buckets deeper than most_depth hold more than capacity.
+    """Buckets (p, depth, n_keys) over the distinct values of `key`: all keys whose first `depth` bits are p. Only buckets
+    of most_depth may hold more than capacity.
 
     Each round splits all overfull buckets at once; 64-bit hashes spread evenly, so that the rounds end soon after
     log2(keys / capacity). Only the count of overfull buckets comes to the driver.
@@ -41,18 +41,17 @@ def build_directory(keys: DataFrame, capacity: int, first_depth: int = 2, most_d
     cells = keys.select("key").distinct()
     total = cells.count()
     depth = max(first_depth, (max(1, total // capacity)).bit_length())
-    level = cells.groupBy(prefix(F.col("key"), depth).alias("p")).agg(F.count("*").alias("n_keys")).withColumn("depth", F.lit(depth))
-    done = None
+    inside, done = cells, None
     while True:
+        level = cut(inside.groupBy(prefix(F.col("key"), depth).alias("p")).agg(F.count("*").alias("n_keys")).withColumn("depth", F.lit(depth)))
         full = level.where(F.col("n_keys") > capacity)
-        kept = level.where(F.col("n_keys") <= capacity) if depth < most_depth else level
+        last = depth >= most_depth or full.isEmpty()
+        kept = level if last else level.where(F.col("n_keys") <= capacity)
         done = kept if done is None else done.unionByName(kept)
-        if depth >= most_depth or full.isEmpty():
-            break
-        deeper = cells.withColumn("q", prefix(F.col("key"), depth)).join(full.select(F.col("p").alias("q")), "q", "left_semi")
+        if last:
+            return done.select("p", "depth", "n_keys")
+        inside = cells.withColumn("q", prefix(F.col("key"), depth)).join(full.select(F.col("p").alias("q")), "q", "left_semi").drop("q")
         depth += 1
-        level = deeper.groupBy(prefix(F.col("key"), depth).alias("p")).agg(F.count("*").alias("n_keys")).withColumn("depth", F.lit(depth))
-    return done.select("p", "depth", "n_keys")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 1 << 16) -> tuple[DataFrame, DataFrame]:

@@ -17,13 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import text_slices
 from helixframe.llm.license_scan import words_of
 
 BUCKETS = 1 << 18
 HALF = 16
 #: Words whose terms a worker keeps.
-KEEP = 300_000
+KEEP = 100_000
 
 
 def terms(word: bytes) -> tuple[int, int, int]:
@@ -31,6 +30,12 @@ def terms(word: bytes) -> tuple[int, int, int]:
     return tuple(zlib.crc32(x.encode()) % BUCKETS for x in (f"w{letters}", f"4{letters[:4]}", f"5{letters[:5]}"))
 
 
+def distinct_in_halves(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each run of HALF words, each once, and where the runs begin: a word said over and over counts once."""
+    keys = np.unique((np.arange(len(ids), dtype=np.int64) // HALF) << 32 | ids)
+    return keys & 0xFFFFFFFF, np.searchsorted(keys >> 32, np.arange(-(-len(ids) // HALF)))
+
+
 @dataclass
 class Machine:
     bias: float
@@ -64,7 +69,8 @@ class Scorer:
             self.number.clear()
         get = self.number.get
         ids = np.fromiter((i if (i := get(w)) is not None else self._add(w) for w in words), np.int64, len(words))
-        halves = np.add.reduceat(self.rows[ids], np.arange(0, len(ids), HALF), axis=0).astype(np.float64)
+        ids, starts = distinct_in_halves(ids)
+        halves = np.add.reduceat(self.rows[ids], starts, axis=0).astype(np.float64)
         sums = halves[:-1] + halves[1:] if len(halves) > 1 else halves
         return self.machine.bias + sums[:, 0] + 0.5 * ((sums[:, 1:-1] ** 2).sum(1) - sums[:, -1])
 
@@ -72,33 +78,33 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(self.windows(words_of(text)).max(), -40, 40))))
 
 
-def train(texts: list[bytes], labels: list[int], factors: int = 8, epochs: int = 4, rate: float = 0.05, seed: int = 3) -> Machine:
-    """Adaptive gradient steps on the logistic loss of each text's worst window."""
+def train(texts: list[bytes], labels: list[int], factors: int = 8, epochs: int = 6, rate: float = 0.15, seed: int = 3, threshold: float = 0.7) -> Machine:
+    """Adaptive gradient steps on the logistic loss of each text's worst window; scores of threshold and more mean toxic."""
     random = np.random.default_rng(seed)
-    docs = [words_of(t) for t in texts]
-    known: dict[bytes, tuple[int, int, int]] = {}
-    seen = np.ones((2, BUCKETS))
+    number: dict[bytes, int] = {}
+    docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
+    known = np.array([terms(w) for w in number], np.int32).reshape(-1, 3)
+    seen = np.full((2, BUCKETS), 10.0)  # a term seen in a few texts says little
     for words, y in zip(docs, labels):
-        distinct = {t for w in set(words) for t in known.setdefault(w, terms(w))}
-        seen[y, np.fromiter(distinct, np.int64, len(distinct))] += 1
+        seen[y, np.unique(known[np.unique(words)])] += 1
     n = np.array([max(1, labels.count(0)), max(1, labels.count(1))])
-    odds = np.log(seen[1] / (n[1] + 2)) - np.log(seen[0] / (n[0] + 2))
-    common = seen.sum(0) >= 7
-    machine = Machine(-3.0, np.where(common, np.clip(odds, -0.1, 2.0), 0.0) / 2, random.normal(0, 0.01, (BUCKETS, factors)))
+    odds = np.log(seen[1] / (n[1] + 20)) - np.log(seen[0] / (n[0] + 20))
+    machine = Machine(-3.0, np.clip(odds, -0.1, 3.0) / 2, random.normal(0, 0.01, (BUCKETS, factors)).astype(np.float32))
     machine.weights[np.abs(machine.weights) < 0.4] = 0.0
-    gw, gv, gb = np.full(BUCKETS, 0.1), np.full((BUCKETS, factors), 0.1), 0.1
+    gw, gv, gb = np.full(BUCKETS, 0.1, np.float32), np.full((BUCKETS, factors), 0.1, np.float32), 0.1
     for _ in range(epochs):
         for at in random.permutation(len(docs)).tolist():
             words, y = docs[at], labels[at]
-            if words:
-                ids = np.array([known[w] for w in words])
+            if len(words):
+                kept, starts = distinct_in_halves(words)
+                ids = known[kept]
                 v = machine.factors[ids]
                 parts = np.concatenate([machine.weights[ids].sum(1)[:, None], v.sum(1), (v * v).sum((1, 2))[:, None]], axis=1)
-                halves = np.add.reduceat(parts, np.arange(0, len(ids), HALF), axis=0)
+                halves = np.add.reduceat(parts, starts, axis=0)
                 sums = halves[:-1] + halves[1:] if len(halves) > 1 else halves
                 scores = machine.bias + sums[:, 0] + 0.5 * ((sums[:, 1:-1] ** 2).sum(1) - sums[:, -1])
                 worst = int(scores.argmax())
-                own, total, score = ids[worst * HALF : (worst + 2) * HALF].ravel(), sums[worst, 1:-1], scores[worst]
+                own, total, score = ids[starts[worst] : starts[worst + 2] if worst + 2 < len(starts) else None].ravel(), sums[worst, 1:-1], scores[worst]
             else:
                 own, total, score = np.zeros(0, np.int64), np.zeros(factors), machine.bias
             error = 1 / (1 + np.exp(-np.clip(score, -40, 40))) - y
@@ -112,11 +118,17 @@ def train(texts: list[bytes], labels: list[int], factors: int = 8, epochs: int =
             machine.weights[own] -= rate * step / np.sqrt(gw[own])
             move = error * count[:, None] * (total[None, :] - machine.factors[own]) + 1e-3 * machine.factors[own]
             gv[own] += move * move
-            machine.factors[own] -= 0.3 * rate * move / np.sqrt(gv[own])
-    return Machine(machine.bias, machine.weights.astype(np.float32), machine.factors.astype(np.float32))
+            machine.factors[own] -= 0.1 * rate * move / np.sqrt(gv[own])
+    machine = Machine(machine.bias, machine.weights.astype(np.float32), machine.factors.astype(np.float32))
+    # The decision at `threshold` is put between the highest scores of clean texts and the lowest of toxic ones.
+    scorer = Scorer(machine)
+    scores = np.array([scorer.windows(words_of(t)).max() for t in texts])
+    clean, toxic = np.quantile(scores[np.array(labels) == 0], 0.999), np.quantile(scores[np.array(labels) == 1], 0.005)
+    machine.bias += np.log(threshold / (1 - threshold)) - (clean + 0.4 * max(0.0, toxic - clean))
+    return machine
 
 
-def train_machine(docs: DataFrame, labels: DataFrame, usable=None, sample_docs: int = 3000, sample_bytes: int = 40_000) -> Machine:
+def train_machine(docs: DataFrame, labels: DataFrame, usable=None, sample_docs: int = 2000, sample_bytes: int = 40_000) -> Machine:
     """Trains on at most sample_docs labelled texts of each label of up to sample_bytes, drawn by a hash of the id.
 
     docs: doc_id, text; labels: doc_id, toxic (null labels are left out; of several for a document the largest counts).
@@ -141,15 +153,15 @@ def score_documents(docs: DataFrame, machine: Machine, keep: list[str], text: st
 
     Rows are independent: repeated rows and null ids are kept. The machine's size is fixed (BUCKETS terms).
     """
-    source = docs.select(*keep, F.col(text).alias("__text"))
-    names = source.columns[:-1]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "score double"])
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Scorer(shared.value)
-        for batch in batches:
-            for part, texts in text_slices(batch, "__text"):
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array([own.score(x) for x in texts], pa.float64())], [*names, "score"])
+        for texts in batches:
+            found = []
+            for at in range(0, len(texts), 512):
+                found += [own.score(x or b"") for x in texts.slice(at, 512).cast(pa.binary()).to_pylist()]
+            yield pa.array(found, pa.float64())
 
-    return source.mapInArrow(run, schema)
+    return docs.select(*keep, score(F.col(text)).alias("score"))
