@@ -84,11 +84,12 @@ def train(texts: list[bytes], labels: list[int], factors: int = 8, epochs: int =
     number: dict[bytes, int] = {}
     docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
     known = np.array([terms(w) for w in number], np.int32).reshape(-1, 3)
-    seen = np.full((2, BUCKETS), 10.0)  # a term seen in a few texts says little
+    seen = np.zeros((2, BUCKETS))
     for words, y in zip(docs, labels):
         seen[y, np.unique(known[np.unique(words)])] += 1
     n = np.array([max(1, labels.count(0)), max(1, labels.count(1))])
-    odds = np.log(seen[1] / (n[1] + 20)) - np.log(seen[0] / (n[0] + 20))
+    expected = seen.sum(0) * (n / n.sum())[:, None]  # if a term told nothing
+    odds = np.log((seen[1] + 5) / (expected[1] + 5)) - np.log((seen[0] + 5) / (expected[0] + 5))
     machine = Machine(-3.0, np.clip(odds, -0.1, 3.0) / 2, random.normal(0, 0.01, (BUCKETS, factors)).astype(np.float32))
     machine.weights[np.abs(machine.weights) < 0.4] = 0.0
     gw, gv, gb = np.full(BUCKETS, 0.1, np.float32), np.full((BUCKETS, factors), 0.1, np.float32), 0.1
