@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions import reports
 from helixframe.functions import variants as V
 from helixframe.operators import bootstrap, cohort, joins, metrics, models, results, splits
 from helixframe.plans.views import ctes, view
@@ -516,3 +517,65 @@ def clock_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["clock_scores"] = clock_scores
 ORACLE_SQL["clock_scores"] = "WITH m AS (SELECT vec_id AS sample_id, i AS cpg, round(CAST(embedding[i] AS DOUBLE), 6) AS beta FROM embeddings, range(1, 5) t(i)), c AS (SELECT i AS cpg, 'first' AS clock, (i * 3) / 7.0::DOUBLE AS k FROM range(1, 5) t(i) UNION ALL SELECT i, 'second', (i * 3 + 1) / 7.0::DOUBLE FROM range(1, 6) t(i)) SELECT sample_id, clock, round(sum(beta * k), 4) AS predicted, count(beta) AS n_probes, max(CASE clock WHEN 'first' THEN 4 ELSE 5 END) - count(beta) AS n_missing FROM m JOIN c USING (cpg) GROUP BY sample_id, clock"
+
+
+# Reports and specified metrics
+
+
+@query("variants", sql=f"v AS (SELECT chrom, ref, alt, {CONTEXT[0]} AS l, {CONTEXT[1]} AS r FROM variants WHERE ref <> alt), f AS (SELECT chrom, CASE WHEN ref IN ('A', 'G') THEN concat(translate(r, 'ACGT', 'TGCA'), '[', translate(ref, 'ACGT', 'TGCA'), '>', translate(alt, 'ACGT', 'TGCA'), ']', translate(l, 'ACGT', 'TGCA')) ELSE concat(l, '[', ref, '>', alt, ']', r) END AS channel FROM v), n AS (SELECT chrom, channel, count(*) AS n FROM f GROUP BY ALL), k AS (SELECT *, CAST(sum(n) OVER (PARTITION BY chrom) AS BIGINT) AS total, count(*) OVER (PARTITION BY chrom) AS n_present, row_number() OVER (PARTITION BY chrom ORDER BY n DESC, channel) AS rank FROM n) SELECT chrom, channel, n, total, n_present, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5")
+def spectrum_top5(variants: DataFrame) -> DataFrame:
+    context = F.concat(F.expr(CONTEXT[0]), F.col("ref"), F.expr(CONTEXT[1]))
+    return cohort.top_share(cohort.mutation_spectrum(variants.withColumn("context", context), "chrom"), "chrom", "channel", "n")
+
+
+@query("svs", "bed", sql="c AS (SELECT sv_id, chrom, 'A' || CAST(sv_id % 3 AS STRING) AS locus FROM svs), t AS (SELECT sv_id, locus, 'HLA-A*0' || CAST(sv_id % 4 AS STRING) || ':01:' || CAST(sv_id % 2 AS STRING) AS a1, 'A*02:0' || CAST(sv_id % 3 AS STRING) AS a2, 'A*02:0' || CAST(sv_id % 3 AS STRING) || ':09' AS b1, CASE WHEN sv_id % 5 = 0 THEN 'A*09:01' ELSE 'A*0' || CAST(sv_id % 4 AS STRING) || ':01' END AS b2 FROM c), f AS (SELECT locus, list_sort(['A*0' || CAST(sv_id % 4 AS STRING) || ':01', a2]) = list_sort(['A*02:0' || CAST(sv_id % 3 AS STRING), b2]) AS same FROM t) SELECT locus, round(avg(CAST(same AS DOUBLE)), 6) AS concordance, count(*) AS n FROM f GROUP BY 1")
+def hla_concordance(svs: DataFrame, bed: DataFrame) -> DataFrame:
+    """Two-field agreement of typed loci, from alleles derived of the rows' ids."""
+    ident = lambda n: (F.col("sv_id") % n).cast("string")
+    rows = svs.withColumn("locus", F.concat(F.lit("A"), ident(3)))
+    truth = rows.withColumns({"allele_1": F.concat(F.lit("HLA-A*0"), ident(4), F.lit(":01:"), ident(2)), "allele_2": F.concat(F.lit("A*02:0"), ident(3))})
+    calls = rows.withColumns({"allele_1": F.concat(F.lit("A*02:0"), ident(3), F.lit(":09")), "allele_2": F.when(F.col("sv_id") % 5 == 0, "A*09:01").otherwise(F.concat(F.lit("A*0"), ident(4), F.lit(":01")))})
+    return reports.hla_concordance(truth, calls, ["sv_id", "locus"], ["locus"]).select("locus", r6("concordance"), "n")
+
+
+@query("samples", sql="SELECT sample_id, CASE WHEN sample_id % 7 = 0 THEN NULL ELSE round(phenotype / 10000, 6) END AS tumour_fraction, CASE WHEN sample_id % 3 = 0 THEN NULL ELSE 2.0::DOUBLE + sample_id % 3 END AS ploidy, sample_id % 7 = 0 AS warning FROM samples")
+def tumour_fractions(samples: DataFrame) -> DataFrame:
+    """Key-value lines, parsed back."""
+    fraction = F.when(F.col("sample_id") % 7 == 0, "NA").otherwise(F.round(F.col("phenotype") / 10000, 6).cast("string"))
+    ploidy = F.when(F.col("sample_id") % 3 == 0, "?").otherwise((F.lit(2.0) + F.col("sample_id") % 3).cast("string"))
+    lines = samples.select("sample_id", F.explode(F.array(F.concat(F.lit("Tumor Fraction: "), fraction), F.concat(F.lit("Ploidy:"), ploidy), F.lit("no pair"))).alias("value"))
+    return reports.tumour_fractions(lines, "sample_id")
+
+
+@query("catalog", sql="e AS (SELECT split_part(trait, ' ', 1) AS gene, CASE WHEN CAST(substr(rsid, 3) AS BIGINT) % 4 = 0 THEN NULL ELSE 'LEVEL_' || CAST(CAST(substr(rsid, 3) AS BIGINT) % 4 AS STRING) END AS level, CASE WHEN CAST(substr(rsid, 3) AS BIGINT) % 8 = 0 THEN 'PREDICTIVE' ELSE 'PROGNOSTIC' END AS evidence_type, CAST(substr(rsid, 3) AS BIGINT) % 3 = 0 AS oncogenic FROM catalog) SELECT gene, min(level) AS best_level, bool_or(level IS NOT NULL OR evidence_type = 'PREDICTIVE') AS therapeutic, count(*) FILTER (WHERE oncogenic) AS n_oncogenic, count(*) FILTER (WHERE level IS NOT NULL OR evidence_type = 'PREDICTIVE') AS n_therapeutic FROM e GROUP BY 1")
+def actionability(catalog: DataFrame) -> DataFrame:
+    ident = F.substring("rsid", 3, 20).cast("bigint")
+    evidence = catalog.select(
+        F.split("trait", " ")[0].alias("gene"),
+        F.when(ident % 4 != 0, F.concat(F.lit("LEVEL_"), (ident % 4).cast("string"))).alias("level"),
+        F.when(ident % 8 == 0, "PREDICTIVE").otherwise("PROGNOSTIC").alias("evidence_type"),
+        (ident % 3 == 0).alias("oncogenic"),
+    )
+    return cohort.actionability(evidence, ["gene"])
+
+
+@query("samples", sql=f"{GROUPED} SELECT 'auroc' AS metric, {', '.join(f'round(max(estimate) FILTER (WHERE ancestry = {chr(39)}{g}{chr(39)}), 6) AS {g.lower()}' for g in ('EUR', 'AFR', 'SAS', 'EAS', 'AMR', 'ALL'))} FROM a")
+def ancestry_report(samples: DataFrame) -> DataFrame:
+    groups = ["EUR", "AFR", "SAS", "EAS", "AMR", "ALL"]
+    found = metrics.by_group_and_whole(labelled_samples(samples), metrics.auroc, "ancestry", "label", "score").withColumn("metric", F.lit("auroc"))
+    return results.pivot_by_group(found, groups).select("metric", *(r6(g.lower(), F.col(g)) for g in groups))
+
+
+@query("samples", sql="e AS (SELECT sample_id, phenotype, CAST(r AS INTEGER) AS repeat FROM samples, range(5) t(r)), k AS (SELECT *, row_number() OVER (PARTITION BY repeat ORDER BY md5(concat_ws(':', CAST(sample_id AS STRING), CAST(repeat AS STRING), '42')), sample_id) AS rn FROM e), m AS (SELECT repeat, avg(phenotype) AS v FROM k WHERE rn <= 50 GROUP BY 1) SELECT round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS sd, count(*) AS folds FROM m")
+def cross_validated_mean(samples: DataFrame) -> DataFrame:
+    """Mean and deviation over repeats of held-out samples."""
+    folds = splits.leave_n_out(samples, "sample_id", 50, 5).join(samples, "sample_id")
+    per = folds.groupBy("repeat").agg(F.avg("phenotype").alias("v"))
+    return per.agg(F.round(F.avg("v"), 4).alias("mean"), F.round(F.stddev_samp("v"), 4).alias("sd"), F.count("*").alias("folds"))
+
+
+@query("variants", "scores", sql=f"l AS (SELECT CASE WHEN concat(ref, alt) IN ('AG', 'GA', 'CT', 'TC') THEN 'transition' ELSE 'transversion' END AS class, CAST(l_partkey % 2 AS INT) AS y, score FROM variants JOIN scores USING (chrom, pos, ref, alt)), {counted('SELECT * FROM l', 'class', 'y')} SELECT class, round({AUC}, 6) AS auroc, CAST(sum(pos + neg) AS BIGINT) AS n FROM c GROUP BY 1")
+def auroc_by_variant_class(variants: DataFrame, scores: DataFrame) -> DataFrame:
+    change = F.concat("ref", "alt").isin("AG", "GA", "CT", "TC")
+    rows = joins.lookup(variants, scores).select(F.when(change, "transition").otherwise("transversion").alias("class"), (F.col("l_partkey") % 2).cast("int").alias("y"), "score")
+    return metrics.auroc(rows, "y", "score", ["class"]).select("class", r6("auroc", F.col("estimate")), "n")

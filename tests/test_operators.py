@@ -236,3 +236,17 @@ def test_stream_scores_arriving_files(spark, tmp_path):
     q.awaitTermination(120)
     got = {r["pos"]: r["class"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {10: "likely_pathogenic", 11: "not_found"}
+
+
+def test_reports(spark):
+    from helixframe.functions import reports
+
+    pgx = spark.createDataFrame([(1, '{"phenotyper": {"genes": [{"geneSymbol": "CYP2D6", "diplotypes": [{"label": "*1/*4", "phenotype": "IM"}, {"label": "x"}]}, {"gene": "G"}]}}'), (2, "no json")], "id int, report string")
+    assert sorted(map(tuple, reports.pharmacogenes(pgx).collect())) == [(1, "CYP2D6", "*1/*4", "IM"), (1, "G", None, None)]
+    star = spark.createDataFrame([(1, '{"s1": {"Genotype": "*1/*2", "Filter": null}, "s2": {}}'), (2, "{}")], "id int, report string")
+    assert [tuple(r) for r in reports.star_alleles(star).collect()] == [(1, "s1", "*1/*2", "PASS")]
+    typed = spark.createDataFrame([("x", 1, "A", "1", "2"), ("x", 2, "A", "3", "4"), ("x", 3, "B", "5", "6")], "id string, n int, locus string, allele_1 string, allele_2 string")
+    assert one(reports.hla_types(typed, "id", "n")) == {"id": "x", "types": {"A": ["3", "4"], "B": ["5", "6"]}, "n_loci": 2}
+    item = '{"variants": [{"molecular_profiles": [{"evidence_items": [{"status": "ACCEPTED", "level": "B"}, {"status": "accepted", "level": "A"}, {"status": "submitted", "level": "0"}]}]}, {}]}'
+    found = spark.createDataFrame([(1, item), (2, '{"variants": [{}]}'), (3, '{"variants": []}'), (4, "")], "id int, report string")
+    assert sorted(tuple(r) for r in reports.accepted_evidence(found).collect()) == [(1, "found", 2, "A"), (2, "no_accepted_evidence", 0, None), (3, "not_found", 0, None), (4, "not_found", 0, None)]
