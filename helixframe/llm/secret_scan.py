@@ -192,8 +192,14 @@ def train_field(docs: DataFrame, text: str = "text", sample_docs: int = 1500, sa
     mark = F.lit(False)
     for word in ("akia", "passw", "secret", "token", "api"):
         mark |= low.contains(word)
-    rows = [usable.where(wanted).orderBy("h", "text").limit(sample_docs).select("text").collect() for wanted in (mark, F.lit(True))]
-    texts = sorted({r["text"].encode() for part in rows for r in part})
+    texts = set()
+    for wanted in (mark, F.lit(True)):
+        drawn = usable.where(wanted)
+        # The hashes come first, so that a task hands on numbers, not texts that are not drawn.
+        last = drawn.select("h").distinct().orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+        if last is not None:
+            texts |= {r["text"].encode() for r in drawn.where(F.col("h") <= last).groupBy("h").agg(F.min("text").alias("text")).collect()}
+    texts = sorted(texts)
     return train(*tagged_lines(texts, sample_lines))
 
 
