@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from helixframe.llm.license_scan import words_of
 BUCKETS = 1 << 18
 HALF = 16
 #: Words whose terms a worker keeps.
-KEEP = 100_000
+KEEP = 200_000
 
 
 def terms(word: bytes) -> tuple[int, int, int]:
@@ -51,15 +52,15 @@ class Scorer:
         self.number: dict[bytes, int] = {}
         self.rows = np.zeros((4096, machine.factors.shape[1] + 2), np.float32)
 
-    def _add(self, word: bytes) -> int:
+    def _add(self, words: list[bytes]) -> None:
+        new = list(dict.fromkeys(words))
         at = len(self.number)
-        self.number[word] = at
-        if at >= len(self.rows):
+        self.number.update(zip(new, range(at, at + len(new))))
+        while at + len(new) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        ids = list(terms(word))
+        ids = np.array([terms(w) for w in new])
         v = self.machine.factors[ids]
-        self.rows[at] = [self.machine.weights[ids].sum(), *v.sum(0), (v * v).sum()]
-        return at
+        self.rows[at : at + len(new)] = np.concatenate([self.machine.weights[ids].sum(1)[:, None], v.sum(1), (v * v).sum((1, 2))[:, None]], axis=1)
 
     def windows(self, words: list[bytes]) -> np.ndarray:
         """Scores of the windows of a text's words: halves i and i + 1 make window i."""
@@ -67,8 +68,10 @@ class Scorer:
             return np.array([self.machine.bias])
         if len(self.number) > KEEP:
             self.number.clear()
-        get = self.number.get
-        ids = np.fromiter((i if (i := get(w)) is not None else self._add(w) for w in words), np.int64, len(words))
+        ids = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        if (ids < 0).any():
+            self._add([w for w, i in zip(words, ids.tolist()) if i < 0])
+            ids = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         ids, starts = distinct_in_halves(ids)
         halves = np.add.reduceat(self.rows[ids], starts, axis=0).astype(np.float64)
         sums = halves[:-1] + halves[1:] if len(halves) > 1 else halves
