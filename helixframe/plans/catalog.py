@@ -8,9 +8,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions import reports
+from helixframe.functions import markdown, reports
 from helixframe.functions import variants as V
-from helixframe.operators import bootstrap, cohort, joins, metrics, models, results, splits
+from helixframe.operators import bootstrap, cohort, joins, metrics, models, panels, results, splits, studies
 from helixframe.plans.views import ctes, view
 from helixframe.sources import tables
 
@@ -579,3 +579,98 @@ def auroc_by_variant_class(variants: DataFrame, scores: DataFrame) -> DataFrame:
     change = F.concat("ref", "alt").isin("AG", "GA", "CT", "TC")
     rows = joins.lookup(variants, scores).select(F.when(change, "transition").otherwise("transversion").alias("class"), (F.col("l_partkey") % 2).cast("int").alias("y"), "score")
     return metrics.auroc(rows, "y", "score", ["class"]).select("class", r6("auroc", F.col("estimate")), "n")
+
+
+# Studies, panels and reports
+
+
+@query("samples", sql="s AS (SELECT *, sample_id % 4 AS a, sample_id % 3 AS b, (sample_id + CASE WHEN sample_id % 5 = 0 THEN 1 ELSE 0 END) % 4 AS d FROM samples) SELECT ancestry, round(avg(CASE WHEN least(a, b) = least(b, d) AND greatest(a, b) = greatest(b, d) THEN 1.0 ELSE 0.0 END), 6) AS exact, round(avg(CASE WHEN a + b = b + d THEN 1.0 ELSE 0.0 END), 6) AS phenotype_match, count(*) AS n FROM s GROUP BY 1")
+def diplotype_accuracy(samples: DataFrame) -> DataFrame:
+    """Calls that name the haplotypes the other way round, a fifth of them wrong."""
+    a, b = F.col("sample_id") % 4, F.col("sample_id") % 3
+    d = (F.col("sample_id") + F.when(F.col("sample_id") % 5 == 0, 1).otherwise(0)) % 4
+    named = lambda x, y: [F.concat(F.lit("*"), x.cast("string"), F.lit("/*"), y.cast("string")).alias("diplotype"), (x + y).alias("phenotype")]
+    found = studies.diplotype_accuracy(samples.select("sample_id", "ancestry", *named(a, b)), samples.select("sample_id", *named(b, d)), ["sample_id"], ["ancestry"])
+    return found.select("ancestry", r6("exact"), r6("phenotype_match"), "n")
+
+
+@query("assays", sql="r AS (SELECT assay_id, row_id % 3 AS tissue, CASE WHEN count(*) < 3 THEN 0 ELSE corr(dms_score, score) END AS r FROM assays GROUP BY 1, 2) SELECT tissue, round(avg(r), 6) AS mean_r, round(avg(CASE WHEN r > 0.1 THEN 1.0 ELSE 0.0 END), 6) AS share_above, count(*) AS genes FROM r GROUP BY 1")
+def tissue_correlations(assays: DataFrame) -> DataFrame:
+    found = studies.tissue_correlations(assays.withColumn("tissue", F.col("row_id") % 3), "dms_score", "score", "assay_id")
+    return found.select("tissue", r6("mean_r"), r6("share_above"), "genes")
+
+
+@query("assays", sql="t AS (SELECT CAST(t AS DOUBLE) AS threshold FROM (VALUES (0.9), (0.5)) v(t)) SELECT threshold, round(avg(CASE WHEN sign(dms_score - 200000.5) = sign(row_id % 7 - 3.5) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM assays JOIN t ON score > threshold GROUP BY 1")
+def direction_by_confidence(assays: DataFrame) -> DataFrame:
+    rows = assays.select((F.col("dms_score") - 200000.5).alias("true"), (F.col("row_id") % 7 - 3.5).alias("predicted"), "score")
+    return studies.direction_by_confidence(rows, "true", "predicted", "score").select("threshold", r6("accuracy", F.col("estimate")))
+
+
+@query("assays", sql="r AS (SELECT assay_id, corr(dms_score, score) AS r FROM assays GROUP BY 1), q AS (SELECT quantile_cont(r, 0.25) AS lo, quantile_cont(r, 0.75) AS hi FROM r) SELECT round(avg(r) FILTER (WHERE r <= lo), 6) AS bottom, round(avg(r) FILTER (WHERE r >= hi), 6) AS top FROM r, q")
+def quartile_performance(assays: DataFrame) -> DataFrame:
+    return studies.quartile_performance(metrics.pearson(assays, "dms_score", "score", ["assay_id"])).select(r6("bottom"), r6("top"))
+
+
+@query("samples", sql="SELECT ancestry, round(avg(CAST(phenotype AS DOUBLE) + CASE WHEN sample_id % 4 = 0 THEN 15 ELSE 0 END), 4) AS adjusted, round(avg(CAST(phenotype AS DOUBLE)) FILTER (WHERE sample_id % 4 <> 0), 4) AS untreated FROM samples GROUP BY 1")
+def medication_adjusted(samples: DataFrame) -> DataFrame:
+    treated = F.col("sample_id") % 4 == 0
+    rows = studies.medication_adjusted(samples.withColumn("untreated", F.when(~treated, F.col("phenotype").cast("double"))), "phenotype", treated, 15)
+    return rows.groupBy("ancestry").agg(F.round(F.avg(F.col("phenotype").cast("double")), 4).alias("adjusted"), F.round(F.avg("untreated"), 4).alias("untreated"))
+
+
+@query("samples", sql=f"{GROUPED}, shown AS (SELECT ancestry, CASE WHEN n >= 30 OR ancestry = 'ALL' THEN estimate END AS e FROM a) SELECT ancestry, round((SELECT max(e) FROM shown WHERE ancestry = 'EUR') - e, 6) AS drop FROM shown")
+def ancestry_drop(samples: DataFrame) -> DataFrame:
+    found = metrics.by_group_and_whole(labelled_samples(samples), metrics.auroc, "ancestry", "label", "score")
+    return studies.drop_from(found).select("ancestry", r6("drop"))
+
+
+@query("genotypes", "catalog", sql="w AS (SELECT CAST(substr(rsid, 3) AS BIGINT) AS variant_id, chrom FROM catalog), j AS (SELECT sample_id, chrom, CAST(dosage * (variant_id % 13 - 6) AS DOUBLE) AS part FROM genotypes JOIN w USING (variant_id)) SELECT sample_id, round(sum(part), 4) AS score, round(coalesce(sum(part) FILTER (WHERE chrom <> 'chr6'), 0), 4) AS score_without FROM j GROUP BY 1")
+def scores_without_locus(genotypes: DataFrame, catalog: DataFrame) -> DataFrame:
+    ident = F.substring("rsid", 3, 20).cast("bigint")
+    weights = catalog.select(ident.alias("variant_id"), (ident % 13 - 6).cast("double").alias("weight"), "chrom")
+    found = studies.scores_without(genotypes, weights, F.col("chrom") == "chr6")
+    return found.select("sample_id", F.round("score", 4).alias("score"), F.round("score_without", 4).alias("score_without"))
+
+
+@query("variants", "catalog", sql="""g AS (SELECT chrom, pos, CASE WHEN l_partkey % 3 = 0 THEN concat('rs', CAST(l_partkey AS STRING)) END AS rsid, concat(alt, ref) AS genotype FROM variants),
+k AS (SELECT rsid, chrom, pos, CASE WHEN pos % 2 = 0 THEN trait END AS effect, row_number() OVER (PARTITION BY chrom, pos ORDER BY rsid) AS rn FROM catalog),
+m AS (SELECT g.*, CASE WHEN k.rsid IS NOT NULL THEN k.effect ELSE p.effect END AS effect FROM g LEFT JOIN k ON k.rsid = g.rsid LEFT JOIN k p ON p.rn = 1 AND p.chrom = g.chrom AND p.pos = g.pos WHERE k.rsid IS NOT NULL OR p.rsid IS NOT NULL)
+SELECT CASE WHEN genotype IN ('AG', 'GA') THEN 'carrier' WHEN genotype IN ('CT', 'TC') THEN 'typical' WHEN effect IS NOT NULL THEN effect ELSE concat('Genotype: ', genotype) END AS interpretation, count(*) AS n FROM m GROUP BY 1""")
+def genotype_interpretations(variants: DataFrame, catalog: DataFrame) -> DataFrame:
+    rsid = F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("rs"), F.col("l_partkey").cast("string")))
+    called = variants.select("chrom", "pos", rsid.alias("rsid"), F.concat("alt", "ref").alias("genotype"))
+    texts = F.create_map(F.lit("GA"), F.lit("carrier"), F.lit("CT"), F.lit("typical"))
+    curated = catalog.select("rsid", "chrom", "pos", F.when(F.col("pos") % 2 == 0, F.col("trait")).alias("effect"), texts.alias("texts"))
+    return panels.interpret_genotypes(called, curated).groupBy("interpretation").agg(F.count("*").alias("n"))
+
+
+@query("variants", "catalog", sql="v AS (SELECT DISTINCT chrom, pos FROM variants), p AS (SELECT DISTINCT chrom, pos FROM catalog), s AS (SELECT count(*) AS n_shared FROM v JOIN p USING (chrom, pos)) SELECT (SELECT count(*) FROM v) AS n_variants, (SELECT count(*) FROM p) AS n_panel, n_shared, n_shared >= 100 AS enough FROM s")
+def panel_overlap(variants: DataFrame, catalog: DataFrame) -> DataFrame:
+    return panels.panel_overlap(variants, catalog)
+
+
+@query("assertions", sql="f AS (SELECT * FROM assertions WHERE variation_id % 4 = 3 AND CAST(greatest(variation_id % 1000, variation_id % 777) AS DOUBLE) / 50000 <= 0.01) SELECT gene_symbol, round(max(score), 6) AS best, count(*) AS n FROM f GROUP BY 1 ORDER BY max(score) DESC, gene_symbol LIMIT 10")
+def prioritised_genes(assertions: DataFrame) -> DataFrame:
+    """The ten genes with the best scores among rare variants that may change a product."""
+    effect = F.element_at(F.array(*(F.lit(x) for x in (*panels.DISTANT, "MISSENSE"))), (F.col("variation_id") % 4 + 1).cast("int"))
+    rows = assertions.select("gene_symbol", "score", effect.alias("effect"), *((F.col("variation_id") % m / F.lit(50000.0)).alias(f"af{m}") for m in (1000, 777)))
+    best = panels.prioritise(rows, "effect", ["af1000", "af777"]).groupBy("gene_symbol").agg(F.max("score").alias("top"), F.count("*").alias("n"))
+    return best.orderBy(F.col("top").desc(), "gene_symbol").limit(10).select("gene_symbol", r6("best", F.col("top")), "n")
+
+
+@query("variants", "scores", sql="j AS (SELECT v.chrom, count(*) AS n, count(*) FILTER (WHERE s.score > 0.564) AS k FROM variants v JOIN scores s USING (chrom, pos, ref, alt) GROUP BY 1) SELECT chrom, concat('| ', chrom, ' | ', CAST(n AS STRING), ' | ', printf('%.3f', CAST(k AS DOUBLE) / n), ' |') AS line, printf('%d of %d variants (%.1f %%)', k, n, k * 100.0::DOUBLE / n) AS sentence FROM j")
+def report_lines(variants: DataFrame, scores: DataFrame) -> DataFrame:
+    """Lines of a Markdown table of likely pathogenic variants by chromosome, and the same in words."""
+    found = joins.lookup(variants, scores).where("score IS NOT NULL").groupBy("chrom").agg(F.count("*").alias("n"), F.count_if(F.col("score") > 0.564).alias("k"))
+    line = markdown.table_row(F.col("chrom"), F.col("n"), markdown.number(F.col("k") / F.col("n"), 3))
+    return found.select("chrom", line.alias("line"), markdown.percent_of(F.col("k"), F.col("n"), "variants").alias("sentence"))
+
+
+@query("variants")
+def signature_fit(variants: DataFrame) -> DataFrame:
+    """Spectra by chromosome as sums of the spectra by filter."""
+    change = F.concat_ws(">", "ref", "alt").alias("context")
+    counts = variants.select("chrom", F.coalesce("filter", F.lit("none")).alias("signature"), change).groupBy("chrom", "signature", "context").agg(F.count("*").alias("n"))
+    total = counts.groupBy("signature").agg(F.sum("n").alias("total"))
+    catalogue = counts.groupBy("signature", "context").agg(F.sum("n").alias("m")).join(total, "signature").select("signature", "context", (F.col("m") / F.col("total")).alias("share"))
+    return panels.fit_signatures(counts, catalogue, "chrom").select("chrom", "signature", F.round("count", 3).alias("count"))

@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from helixframe.functions import markdown
 from helixframe.functions import variants as V
-from helixframe.operators import bootstrap, cohort, joins, metrics, models, results, splits
+from helixframe.operators import bootstrap, cohort, joins, metrics, models, panels, results, splits, studies
 from helixframe.sources import tables
 from helixframe.streaming import scores as streaming
 
@@ -250,3 +251,31 @@ def test_reports(spark):
     item = '{"variants": [{"molecular_profiles": [{"evidence_items": [{"status": "ACCEPTED", "level": "B"}, {"status": "accepted", "level": "A"}, {"status": "submitted", "level": "0"}]}]}, {}]}'
     found = spark.createDataFrame([(1, item), (2, '{"variants": [{}]}'), (3, '{"variants": []}'), (4, "")], "id int, report string")
     assert sorted(tuple(r) for r in reports.accepted_evidence(found).collect()) == [(1, "found", 2, "A"), (2, "no_accepted_evidence", 0, None), (3, "not_found", 0, None), (4, "not_found", 0, None)]
+
+
+def test_signatures_are_recovered(spark):
+    catalogue = spark.createDataFrame([("a", "x", 0.7), ("a", "y", 0.3), ("b", "y", 0.2), ("b", "z", 0.8)], "signature string, context string, share double")
+    spectra = spark.createDataFrame([("s", "x", 70.0), ("s", "y", 30.0), ("s", "y", 10.0), ("s", "z", 40.0), ("s", "other", 9.0), ("t", "z", 8.0), ("t", "y", 2.0)], "sample string, context string, n double")
+    got = {(r["sample"], r["signature"]): r["count"] for r in panels.fit_signatures(spectra, catalogue).collect()}
+    for key, want in {("s", "a"): 100, ("s", "b"): 50, ("t", "a"): 0, ("t", "b"): 10}.items():
+        assert got[key] == pytest.approx(want, abs=1e-3)
+
+
+def test_curated_genotypes_by_id_then_place(spark):
+    curated = spark.createDataFrame([("rs1", "chr1", 5, "effect", {"GA": "text"}), ("rs2", "chr2", 6, None, {})], "rsid string, chrom string, pos long, effect string, texts map<string,string>")
+    rows = [("rs1", "chr9", 1, "AG"), (None, "chr1", 5, "AA"), (None, "chr2", 6, "CT"), ("rs9", "chr3", 7, "CC"), (None, None, None, None)]
+    called = spark.createDataFrame(rows, "rsid string, chrom string, pos long, genotype string")
+    assert sorted((r["genotype"], r["interpretation"]) for r in panels.interpret_genotypes(called, curated).collect()) == [("AA", "effect"), ("AG", "text"), ("CT", "Genotype: CT")]
+
+
+def test_markdown_and_studies(spark):
+    one = spark.createDataFrame([(1, None), (2, 0.5)], "n int, x double")
+    lines = [r[0] for r in one.orderBy("n").select(markdown.table_row(F.col("n"), markdown.number(F.col("x"), 2))).collect()]
+    assert lines == ["| 1 | — |", "| 2 | 0.50 |"]
+    assert markdown.header("a", "b") == "| a | b |\n|---|---|"
+    truth = spark.createDataFrame([(1, "g", "*1/*2", "im"), (2, "g", "*1/*1", "nm")], "s int, gene string, diplotype string, phenotype string")
+    calls = spark.createDataFrame([(1, "*2/*1", "im")], "s int, diplotype string, phenotype string")
+    got = studies.diplotype_accuracy(truth, calls, ["s"], ["gene"]).first()
+    assert (got["exact"], got["phenotype_match"], got["n"]) == (0.5, 0.5, 2)
+    treated = studies.medication_adjusted(one, "x", F.col("n") == 2, 15)
+    assert sorted((r["n"], r["x"]) for r in treated.collect()) == [(1, None), (2, 15.5)]
