@@ -3,12 +3,13 @@
 The model is a trie of byte contexts up to `ORDER` bytes, counted over all training texts. A byte is predicted from the
 longest context that the trie holds; where the context has not seen it, an escape hands over to the context one byte
 shorter, whose symbols that the longer one had already offered are excluded. Escapes are estimated from the number of
-distinct symbols (and from what was seen in symbols too rare to keep). The code length of a text is the sum over its
+distinct symbols. The code length of a text is the sum over its
 bytes and an end symbol; scoring does not change the model, so a byte's cost depends on the bytes before it alone.
 
-The trie keeps contexts and symbols with at least 1 / `keep` of all training bytes, so no order holds more than `keep`
-of either, whatever the corpus: a proven bound for what is broadcast. The words of the unigram base are counted in
-full; the most frequent (again at most a fixed number, by the same rule) are broadcast, all others are joined.
+Nothing that was counted is left out. The grams of the full order and what they cost are a table in the shared folder;
+the most frequent, at most a fixed number, are broadcast. What a text holds of other grams is counted in its task and
+joined to that table, and the distinct grams that training never saw go down the orders by joins. The words of the
+unigram base are counted in full; the most frequent (again at most a fixed number) are broadcast, all others are joined.
 """
 
 from __future__ import annotations
@@ -99,7 +100,7 @@ def count(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Trie:
-    """The kept contexts and symbols of each order, as sorted arrays."""
+    """The contexts and symbols of each order, as sorted arrays: in memory, what score_documents does by joins."""
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
         """levels: for each order, from 0, the kept grams, their counts, the contexts and all that was seen in these."""
@@ -157,21 +158,70 @@ class Trie:
         return np.add.reduceat(self.log10(distinct)[where], starts)
 
 
-def build_trie(counts: DataFrame, keep: int = 1 << 21) -> Trie:
-    """The trie from (gram, n) rows. Each order comes from the one above; at most keep grams and contexts of each are collected."""
-    level = cut(counts.groupBy("gram").agg(F.sum("n").alias("n")))
-    total = level.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-total // keep))
-    levels = []
+def _priced(texts: list[bytes], known: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The summed costs of each text's known grams; its other grams and how often it holds them, from offsets on."""
+    codes, starts = grams(texts)
+    distinct, where = np.unique(codes, return_inverse=True)
+    at, found = Trie._find(known, distinct)
+    costs = np.zeros(len(distinct))
+    costs[found] = cost[at[found]]
+    scores = np.add.reduceat(costs[where], starts)
+    other = np.flatnonzero(~found[where])
+    of = np.searchsorted(starts, other, side="right") - 1
+    pairs, times = np.unique(of * len(distinct) + where[other], return_counts=True)
+    offsets = np.searchsorted(pairs, np.arange(len(texts) + 1) * len(distinct))
+    return scores, offsets.astype(np.int32), distinct[pairs % len(distinct)], times.astype(np.int32)
+
+
+def learnt(grams: DataFrame) -> DataFrame:
+    """(gram, n, cost) of all grams of the full order: log10 of a gram's share of what its context has seen and its escape."""
+    own = grams.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("seen"), F.collect_list(F.struct("gram", "n")).alias("own"))  # at most SYMBOLS
+    return own.select(F.explode("own").alias("own"), (F.col("seen") + F.size("own")).alias("whole")).select("own.gram", "own.n", F.log10(F.col("own.n") / F.col("whole")).alias("cost"))
+
+
+def fallen(wanted: DataFrame, grams: DataFrame) -> DataFrame:
+    """(gram, cost) of the distinct grams in wanted, none of which is in grams: down the orders, as Trie.log10."""
+    mask = lambda bytes_: F.lit((1 << 8 * bytes_) - 1).cast("long")
+    left = wanted.select("gram", F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("gone"), F.lit(0).cast("long").alias("shut"))
+    level, done = grams.select("gram", "n"), []
     for order in range(ORDER, -1, -1):
+        left = left.withColumn("own", F.col("gram").bitwiseAND(mask(order + 1))).withColumn("context", F.shiftright("own", 8))
+        below = cut(level.groupBy(F.col("gram").bitwiseAND(mask(order)).alias("shorter")).agg(F.sum("n").alias("m"))) if order else None
+        symbols = level.withColumn("context", F.shiftright("gram", 8)).join(left.select("context").distinct(), "context", "left_semi")
+        if order:
+            symbols = symbols.withColumn("shorter", F.col("gram").bitwiseAND(mask(order))).join(below, "shorter")
+        else:
+            symbols = symbols.withColumn("m", F.lit(0).cast("long"))
+        about = symbols.groupBy("context").agg(F.sum("n").alias("seen"), F.count("*").alias("distinct"), F.sum("m").alias("excluded"))
+        left = left.join(F.broadcast(about) if order <= 2 else about, "context", "left")  # 2^16 contexts at most
         if order < ORDER:
-            level = cut(level.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n")))
-        frequent = level.where(F.col("n") >= least).toArrow()
-        context = F.shiftright("gram", 8).alias("context")
-        contexts = level.groupBy(context).agg(F.sum("n").alias("seen"), F.max("n").alias("most")).where(F.col("most") >= least).toArrow()
-        plain = lambda t, c: t.column(c).to_numpy()
-        levels.append((plain(frequent, "gram"), plain(frequent, "n"), plain(contexts, "context"), plain(contexts, "seen")))
-    return Trie(levels[::-1])
+            hits = level.select(F.col("gram").alias("own"), "n")
+            left = left.join(F.broadcast(hits) if order <= 1 else hits, "own", "left")
+        else:
+            left = left.withColumn("n", F.lit(None).cast("long"))
+        known, whole = F.col("seen").isNotNull(), F.col("seen") - F.col("gone") + F.col("distinct")
+        step = F.when(known, F.log10(F.coalesce("n", "distinct") / whole)).otherwise(0.0)
+        left = cut(left.select("gram", (F.col("cost") + step).alias("cost"), F.coalesce("excluded", "gone").alias("gone"), F.coalesce("distinct", "shut").alias("shut"), F.col("n").isNotNull().alias("hit")))
+        done.append(left.where("hit").select("gram", "cost"))
+        left = left.where("NOT hit").drop("hit")
+        if order:
+            level = below.select(F.col("shorter").alias("gram"), F.col("m").alias("n"))
+    out = left.select("gram", (F.col("cost") - F.log10(F.greatest(F.lit(1), F.lit(SYMBOLS) - F.col("shut")))).alias("cost"))
+    for part in done:
+        out = out.unionByName(part)
+    return out
+
+
+def _frequent(costs: DataFrame, most: int) -> Column:
+    """Whether a gram is broadcast: those above the least count, in steps of a 16th of a power of two, that leaves at most `most`."""
+    step = F.floor(F.log2("n") * 16)
+    least, held = 1 << 20, 0
+    for at, n in sorted(((r["at"], r["k"]) for r in costs.groupBy(step.alias("at")).agg(F.count("*").alias("k")).collect()), reverse=True):  # at most 1,024
+        held += n
+        if held > most:
+            break
+        least = at
+    return step >= least
 
 
 def score_documents(docs: DataFrame, training: Column, keep: list[str], text: str = "text", frequent_words: int = 1 << 20, trie_keep: int = 1 << 21) -> DataFrame:
@@ -179,7 +229,8 @@ def score_documents(docs: DataFrame, training: Column, keep: list[str], text: st
 
     base_score: sum over the words and the end of log10((c + 0.5) / (N + 0.5 (V + 1))); score: the log10 probability by
     the trie. Null and empty texts are the end alone. Without training rows all counts are 0. Repeated rows each have
-    their score and each count in training. Only `keep`, the text and the columns of training are read.
+    their score and each count in training. Only `keep`, the text and the columns of training are read. At most
+    frequent_words words and trie_keep grams are broadcast; neither changes a score.
     """
     spark = docs.sparkSession
     shown = docs.select(F.col(text).alias("text"), F.coalesce(training, F.lit(False)).alias("__train")).where("__train").select("text")
@@ -190,19 +241,27 @@ def score_documents(docs: DataFrame, training: Column, keep: list[str], text: st
     summed = spark.read.parquet(path)
     words = summed.where(F.col("word").isNotNull()).select("word", F.col("n").alias("c"))
     tokens, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    trie = build_trie(summed.where(F.col("gram").isNotNull()).select("gram", "n"), trie_keep)
+    grams_of = summed.where(F.col("gram").isNotNull()).select("gram", "n")
+    path = shared_path(spark, "ppm-costs")
+    learnt(grams_of).write.parquet(path)
+    costs = spark.read.parquet(path)
+    frequent = _frequent(costs, trie_keep)
+    broad = costs.where(frequent).select("gram", "cost").toArrow()  # at most trie_keep
+    codes = broad.column("gram").to_numpy()
+    by = np.argsort(codes)
+    broad = codes[by], broad.column("cost").to_numpy()[by]
     often = words.where(F.col("c") * frequent_words >= tokens).toArrow()  # at most frequent_words
     whole = tokens + 0.5 * (distinct + 1)
     hot = {w.encode(): float(np.log10((c + 0.5) / whole)) for w, c in zip(often.column("word").to_pylist(), often.column("c").to_pylist())}
-    shared = spark.sparkContext.broadcast((trie, hot))
+    shared = spark.sparkContext.broadcast((broad, hot))
 
     source = docs.select(*keep, F.col(text).alias("__text"))
     names = source.columns[:-1]
-    made = ["n_tokens", "n_hot", "hot_score", "score", "rare"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "n_tokens long, n_hot long, hot_score double, score double, rare array<string>"])
+    made = ["n_tokens", "n_hot", "hot_score", "broad_score", "rare", "grams", "times"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "n_tokens long, n_hot long, hot_score double, broad_score double, rare array<string>, grams array<long>, times array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, hot = shared.value
+        broad, hot = shared.value
         get, end = hot.get, END_WORD.encode()
         for batch in batches:
             for part, texts in _parts(batch, "__text"):
@@ -220,8 +279,9 @@ def score_documents(docs: DataFrame, training: Column, keep: list[str], text: st
                     n_hot.append(len(costs))
                     sums.append(sum(costs))
                     rare.append(other)
+                scores, offsets, other, times = _priced(texts, *broad)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in range(len(names))), pa.array(n_tokens, pa.int64()), pa.array(n_hot, pa.int64()), pa.array(sums, pa.float64()), pa.array(trie.score(texts)), pa.array(rare, pa.list_(pa.string()))],
+                    [*(part.column(i) for i in range(len(names))), pa.array(n_tokens, pa.int64()), pa.array(n_hot, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores), pa.array(rare, pa.list_(pa.string())), pa.ListArray.from_arrays(offsets, other), pa.ListArray.from_arrays(offsets, times)],
                     [*names, *made],
                 )
 
@@ -232,11 +292,17 @@ def score_documents(docs: DataFrame, training: Column, keep: list[str], text: st
     priced = others.join(words, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     price = F.log10((F.col("c") + 0.5) / F.lit(float(whole)))
     rest = priced.groupBy("row").agg(F.sum(F.col("count") * price).alias("rest"), F.sum(F.when(F.col("c") > 0, F.col("count")).otherwise(0)).alias("more"))
-    return scored.drop("rare").join(rest, "row", "left").select(
+    # Grams that weren't broadcast: from the table, or down the orders where training has not seen them.
+    spots = scored.select("row", F.explode(F.arrays_zip("grams", "times")).alias("spot")).select("row", F.col("spot.grams").alias("gram"), F.col("spot.times").alias("times"))
+    seldom = costs.where(~frequent).select("gram", "cost")
+    unseen = cut(spots.select("gram").distinct().join(seldom, "gram", "left_anti"))
+    prices = seldom.unionByName(fallen(unseen, grams_of))
+    deep = spots.join(prices, "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("cost")).alias("deep"))
+    return scored.drop("rare", "grams", "times").join(rest, "row", "left").join(deep, "row", "left").select(
         *keep,
         "n_tokens",
         (F.col("n_hot") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("hot_score") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("broad_score") + F.coalesce("deep", F.lit(0.0))).alias("score"),
     )

@@ -302,6 +302,27 @@ def test_ppm_sums_to_one_and_prefers_what_it_learnt():
     assert good > bad
 
 
+def test_ppm_score_keeps_every_gram(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(120).collect()] + [(7_000_001, None), (7_000_002, "qzqz Ünseen \u4e2d zqzq")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    shown = [t.encode() for d, t in docs if t and zlib.crc32(str(d).encode()) % 5 != 1]
+    shown += [b"" for d, t in docs if not t and zlib.crc32(str(d).encode()) % 5 != 1]
+    codes, n = np.unique(ppm_score.grams(shown)[0], return_counts=True)
+    levels = []
+    for order in range(ppm_score.ORDER + 1):
+        kept, at = np.unique(codes & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
+        k = np.bincount(at, n).astype(np.int64)
+        contexts, of = np.unique(kept >> 8, return_inverse=True)
+        levels.append((kept, k, contexts, np.bincount(of, k).astype(np.int64)))
+    trie = ppm_score.Trie(levels)
+    wanted = dict(zip([d for d, _ in docs], trie.score([(t or "").encode() for _, t in docs]).tolist()))
+    for keep in (0, 500, 1 << 21):
+        got = ppm_score.score_documents(df, Q.crc_mod(F.col("doc_id"), 5) != 1, ["doc_id"], trie_keep=keep).collect()
+        assert len(got) == len(docs)
+        for r in got:
+            assert math.isclose(r["score"], wanted[r["doc_id"]], rel_tol=1e-9)
+
+
 def test_ppm_base_score(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()] + [(7_000_001, None), (7_000_001, None), (7_000_002, "Unseen UNSEEN wörd")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
