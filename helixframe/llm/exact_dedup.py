@@ -2,10 +2,10 @@
 
 A row's key is the 64-bit hash of its normalised text. The directory starts with the buckets of a few leading key bits;
 every bucket with more distinct keys than its capacity is split by one more bit, which doubles the directory where the
-bucket was as deep as it, until no bucket is overfull. Owner tasks then process the directory's key ranges: a group
-is made of rows in one bucket whose keys and whose normalised bytes are equal, so texts with colliding keys chain as
-separate groups. Copies collapse before they are moved (each task sends a text once), however many there are. The
-index, one row for each group in key order, is a table in the shared folder.
+bucket was as deep as it, until no bucket is overfull. The directory orders and tags the written index only: groups are made
+by a plain aggregate over (key, normalised bytes), so texts with colliding keys are separate groups, and a document is
+led to its group by key and SHA-256. Copies collapse before they are moved (each task sends a text once), however many
+there are. The index, one row for each group in key order, is a table in the shared folder.
 """
 
 from __future__ import annotations
