@@ -2,7 +2,7 @@
 
 A row's weight in replicate b is drawn from a Poisson distribution by a hash of the row's id and b, so a resample needs
 no shuffle of rows: a metric that is a ratio of sums becomes one aggregate over weighted sums, all replicates at once.
-Rank metrics collapse each replicate to weighted counts by score first.
+Rank metrics count the pairs of scores in rank order, slot by slot, for all replicates at once.
 """
 
 from __future__ import annotations
@@ -79,40 +79,67 @@ def ratio_interval(df: DataFrame, ident: str, numerator: Column, denominator: Co
     return interval(values, points, ["__g"], alpha, 0.5, replicates).drop("__g")
 
 
-def auroc_interval(df: DataFrame, ident: str, label: str, score: str, by: list[str] | None = None, replicates: int = 500, alpha: float = 0.05, seed: int = 42, cap: int | None = CAP, grid: int = 4096) -> DataFrame:
-    """AUROC with its interval: the point is exact, replicates count scores on a grid of `grid` equal steps of their range.
+def auroc_interval(df: DataFrame, ident: str, label: str, score: str, by: list[str] | None = None, replicates: int = 500, alpha: float = 0.05, seed: int = 42, cap: int | None = CAP, slot_rows: int = 2048) -> DataFrame:
+    """AUROC with its interval: the point and every replicate rank the exact scores.
 
-    A task hands on weighted counts by grid step for blocks of replicates; no task holds a group's rows.
+    Each group's distinct scores are dealt in rank order to slots of about slot_rows rows; a task counts a slot's pairs
+    for all replicates and hands on three sums for each. A score with more rows than that is a slot of its own, whose
+    rows only need counting and may lie in several tasks. No task holds a group's rows.
     """
     by = by or []
+    group = F.to_json(F.struct(*by)) if by else F.lit("{}")
     points = metrics.auroc(df, label, score, by)
-    usable = df.where(F.col(label).isin(0, 1) & F.col(score).isNotNull() & ~F.isnan(score))
-    low, high, count = usable.agg(F.min(score), F.max(score), F.count("*")).first()
-    if not count:
+    rows = df.where(F.col(label).isin(0, 1) & F.col(score).isNotNull() & ~F.isnan(score)).select(group.alias("g"), F.xxhash64(ident).alias("h"), F.col(score).alias("s"), F.col(label).cast("long").alias("y"))
+    if rows.isEmpty():
         return points.withColumns({"ci_lower": F.col("estimate"), "ci_upper": F.col("estimate")})
-    step = F.floor((F.col(score) - F.lit(float(low))) / F.lit(max(float(high - low), 1e-300)) * (grid - 1)).cast("long")
-    group = F.to_json(F.struct(*by)) if by else F.lit("{}")
-    rows = usable.select(group.alias("g"), F.xxhash64(ident).alias("h"), step.alias("s"), F.col(label).cast("long").alias("y"))
-    sizes = rows.groupBy("g").agg(F.count("*").alias("n"))
-    sized = rows.join(sizes, "g")
+    ranks = metrics.score_counts(rows, "y", "s", ["g"])
+    own = F.col("pos") + F.col("neg")
+    tied = own > slot_rows
+    slot = F.floor((F.col("pos_below") + F.col("neg_below")) / slot_rows).cast("long") * 2 + tied.cast("long")
+    ranks = ranks.select("g", F.col("score").alias("s"), slot.alias("slot"), F.when(tied, F.ceil(own / slot_rows)).otherwise(1).cast("long").alias("parts"), (F.col("pos_all") + F.col("neg_all")).alias("n"))
+    dealt = rows.join(ranks, ["g", "s"]).withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")))
+    dealt = dealt.select("g", "slot", "part", F.col("s").cast("double").alias("s"), "h", "y", "n").repartition("g", "slot", "part").sortWithinPartitions("g", "slot", "part", "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            g = np.array(batch.column("g").to_pylist(), object)
-            h, s, y, n = (batch.column(c).to_numpy() for c in ("h", "s", "y", "n"))
-            for name in dict.fromkeys(g.tolist()):
-                own = np.flatnonzero(g == name)
-                rate = min(1.0, cap / n[own[0]]) if cap else 1.0
-                cells, where = np.unique(s[own] * 2 + y[own], return_inverse=True)
-                sums = np.zeros((len(cells), replicates), np.int64)
-                for at in range(0, len(own), 2048):
-                    part = own[at : at + 2048]
-                    np.add.at(sums, where[at : at + 2048], weights(h[part], replicates, rate, seed))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(cells)), pa.array(cells >> 1), pa.array(cells & 1), pa.array(list(sums), pa.list_(pa.int64()))], ["g", "s", "y", "w"])
-
-    counted = sized.select("g", "h", "s", "y", "n").mapInArrow(run, "g string, s long, y long, w array<long>")
-    long = counted.select("g", "s", "y", F.posexplode("w").alias("b", "k")).groupBy("g", "b", "s").agg(F.sum(F.when(F.col("y") == 1, F.col("k")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("k")).otherwise(0)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy("g", "b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    d = lambda c: F.col(c).cast("double")
-    area = long.withColumn("below", below).groupBy("g", "b").agg((F.sum(d("pos") * (d("below") + F.lit(0.5) * d("neg"))) / F.nullif(F.sum(d("pos")) * F.sum(d("neg")), F.lit(0.0))).alias("value"))
+        def counted(g: str, slot: int, s: np.ndarray, h: np.ndarray, y: np.ndarray, n: int) -> pa.RecordBatch:
+            rate = min(1.0, cap / n) if cap else 1.0
+            sums = np.zeros((3, replicates))  # positives, negatives, pairs in order
+            if slot & 1:
+                for at in range(0, len(h), 2048):
+                    w, hit = weights(h[at : at + 2048], replicates, rate, seed), y[at : at + 2048] == 1
+                    sums[:2] += w[hit].sum(0), w[~hit].sum(0)
+            else:
+                w = weights(h, replicates, rate, seed)
+                heads = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+                pos, neg = (np.add.reduceat(w * (y == k)[:, None], heads) for k in (1, 0))
+                sums[:] = pos.sum(0), neg.sum(0), (pos * (np.cumsum(neg, 0) - 0.5 * neg)).sum(0)
+            return pa.RecordBatch.from_arrays([pa.array([g]), pa.array([slot], pa.int64()), *(pa.array([x], pa.list_(pa.float64())) for x in sums)], ["g", "slot", "pos", "neg", "pairs"])
+
+        rest: pa.Table | None = None
+        for batch in _then_none(batches):
+            held = [t for t in (rest, pa.Table.from_batches([batch]) if batch is not None else None) if t is not None]
+            if not held:
+                continue
+            table = pa.concat_tables(held).combine_chunks()
+            names = np.array(table.column("g").to_pylist(), object)
+            slots, parts, s, h, y, n = (table.column(c).to_numpy() for c in ("slot", "part", "s", "h", "y", "n"))
+            heads = np.flatnonzero(np.concatenate([[True], (names[1:] != names[:-1]) | (slots[1:] != slots[:-1]) | (parts[1:] != parts[:-1])]))
+            stops = np.concatenate([heads[1:], [len(names)]])
+            if batch is not None:
+                rest = table.slice(heads[-1])
+                heads, stops = heads[:-1], stops[:-1]
+            for a, b in zip(heads.tolist(), stops.tolist()):
+                yield counted(names[a], int(slots[a]), s[a:b], h[a:b], y[a:b], int(n[a]))
+
+    sums = dealt.mapInArrow(run, "g string, slot long, pos array<double>, neg array<double>, pairs array<double>")
+    each = sums.select("g", "slot", F.posexplode(F.arrays_zip("pos", "neg", "pairs")).alias("b", "x"))
+    long = each.groupBy("g", "b", "slot").agg(*(F.sum(f"x.{c}").alias(c) for c in ("pos", "neg", "pairs")))
+    pairs = F.when(F.col("slot") % 2 == 1, F.lit(0.5) * F.col("pos") * F.col("neg")).otherwise(F.col("pairs"))
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy("g", "b").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    area = long.withColumn("below", below).groupBy("g", "b").agg((F.sum(F.col("pos") * F.col("below") + pairs) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("value"))
     return interval(area.withColumnRenamed("g", "__g"), points.withColumn("__g", group), ["__g"], alpha, 0.5, replicates).drop("__g")
+
+
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None

@@ -495,7 +495,7 @@ def baseline_models(assertions: DataFrame) -> DataFrame:
 
 @query("assertions")
 def auroc_bootstrap(assertions: DataFrame) -> DataFrame:
-    return bootstrap.auroc_interval(assertions, "variation_id", "clinsig_simple", "score", replicates=200)
+    return bootstrap.auroc_interval(assertions, "variation_id", "clinsig_simple", "score", replicates=500)
 
 
 @query("samples")

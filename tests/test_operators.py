@@ -94,6 +94,23 @@ def test_bootstrap_covers_and_agrees_with_resampling(spark):
         assert math.isclose(p["estimate"], np.mean(own)) and abs((p["ci_upper"] - p["ci_lower"]) / 2 - half) < 0.35 * half
 
 
+def test_bootstrap_ranks_exact_scores(spark):
+    rows, df = scored(spark, 400, levels=40)
+    plain = bootstrap.auroc_interval(df, "id", "y", "s", ["g"], replicates=60, cap=None)
+    order = lambda got: sorted((r["g"], r["estimate"], r["ci_lower"], r["ci_upper"]) for r in got.collect())
+    want = order(plain)
+    for g, _, lo, hi in want:
+        own = [(i, y, s) for i, k, y, s in rows if k == g and s is not None]
+        ids = spark.createDataFrame([(x[0],) for x in own], df.select("id").schema).select(F.xxhash64("id")).collect()
+        w = bootstrap.weights(np.array([r[0] for r in ids]), 60, 1.0, 42)
+        values = [brute_auroc([(y, s) for (_, y, s), k in zip(own, w[:, b]) for _ in range(k)]) for b in range(60)]
+        assert np.allclose([lo, hi], np.percentile(values, [2.5, 97.5]))
+    # Ranks alone count: heavy tails, infinite scores and slots change nothing.
+    tail = df.withColumn("s", F.when(F.col("s") == df.agg(F.max("s")).first()[0], F.lit(float("inf"))).otherwise(F.exp(F.col("s") * 100)))
+    for got in (bootstrap.auroc_interval(tail, "id", "y", "s", ["g"], replicates=60, cap=None), bootstrap.auroc_interval(df, "id", "y", "s", ["g"], replicates=60, cap=None, slot_rows=3)):
+        assert np.allclose([x[1:] for x in order(got)], [x[1:] for x in want])
+
+
 def test_poisson_weights_have_their_mean_and_variance():
     w = bootstrap.weights(np.arange(2000), 50, 0.7, 3)
     assert abs(w.mean() - 0.7) < 0.02 and abs(w.var() - 0.7) < 0.03
