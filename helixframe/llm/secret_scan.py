@@ -9,7 +9,9 @@ no feature, so that it also finds secrets that no pattern names.
 
 from __future__ import annotations
 
+import heapq
 import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -18,6 +20,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,26 +160,37 @@ def train(lines: list[tuple[list[list[int]], list[int]]], words: dict[bytes, int
 
 
 def tagged_lines(texts: list[bytes], most: int, window: int = 24) -> tuple[list[tuple[list[list[int]], list[int]]], dict[bytes, int]]:
-    """Windows of words tagged by the patterns, at most `most` with a secret and as many without; the words they hold."""
-    held: list[tuple[int, list[bytes], list[int]]] = []
-    others: list[tuple[int, list[bytes], list[int]]] = []
-    for text in texts:
+    """Windows of words tagged by the patterns, at most `most` with a secret and as many without; the words they hold.
+
+    Of all windows of all texts, those with the smallest hashes of (text, number of the window), whatever their content.
+    """
+    held: list[tuple[int, int, int]] = []  # heaps of (negative hash, text, first word)
+    others: list[tuple[int, int, int]] = []
+    for i, text in enumerate(texts):
         secrets = [(s, end) for _, _, end, s in base_spans(text)]
-        about = file_feature(len(text), text.count(b"\n") + 1)
-        tokens = [(m.start(), m.group()) for m in TOKEN.finditer(text)]
+        own = xxhash.xxh64_intdigest(text)
+        tokens = [m.span() for m in TOKEN.finditer(text)]
         for at in range(0, len(tokens), window):
-            part = tokens[at : at + window]
-            lo, hi = part[0][0], part[-1][0] + len(part[-1][1])
-            inside = [s for s in secrets if s[0] < hi and s[1] > lo]
-            kept = held if inside else others
-            if len(kept) >= most or not inside and zlib.crc32(b" ".join(t for _, t in part)) % 8:
-                continue
-            tags, before = [], None
-            for start, token in part:
-                own = next((s for s in inside if start < s[1] and start + len(token) > s[0]), None)
-                tags.append(O_TAG if own is None else I_TAG if own == before else B_TAG)
-                before = own
-            kept.append((about, [t for _, t in part], tags))
+            lo, hi = tokens[at][0], tokens[min(at + window, len(tokens)) - 1][1]
+            kept = held if any(s[0] < hi and s[1] > lo for s in secrets) else others
+            drawn = -xxhash.xxh64_intdigest(struct.pack("<QQ", own, at // window)), i, at
+            if len(kept) < most:
+                heapq.heappush(kept, drawn)
+            else:
+                heapq.heappushpop(kept, drawn)
+
+    def tagged(i: int, at: int) -> tuple[int, list[bytes], list[int]]:
+        text = texts[i]
+        secrets = [(s, end) for _, _, end, s in base_spans(text)]
+        part = [(m.start(), m.group()) for m in TOKEN.finditer(text)][at : at + window]
+        tags, before = [], None
+        for start, token in part:
+            own = next((s for s in secrets if start < s[1] and start + len(token) > s[0]), None)
+            tags.append(O_TAG if own is None else I_TAG if own == before else B_TAG)
+            before = own
+        return file_feature(len(text), text.count(b"\n") + 1), [t for _, t in part], tags
+
+    held, others = ([tagged(i, at) for _, i, at in sorted(kept, reverse=True)] for kept in (held, others))
     counts = Counter(t for _, part, _ in held + others for t in part if len(t) <= 12 and not any(48 <= b <= 57 for b in t))
     words = {t: i for i, t in enumerate(sorted(t for t, n in counts.items() if n >= 4 and t != b"\n"))}
     return [(line_features(part, about, words), tags) for about, part, tags in held + others], words
@@ -184,7 +198,7 @@ def tagged_lines(texts: list[bytes], most: int, window: int = 24) -> tuple[list[
 
 def train_field(docs: DataFrame, text: str = "text", sample_docs: int = 1500, sample_bytes: int = 20_000, sample_lines: int = 1500) -> Field:
     """Trains on a bounded sample: sample_docs texts of up to sample_bytes with a mark of a secret, as many of any sort,
-    and sample_lines windows with and without secrets. Texts are drawn by a hash, so that reruns agree.
+    and sample_lines windows with and without secrets. Texts and windows are drawn by a hash, so that reruns agree.
     """
     column = F.col(text)
     usable = docs.where(column.isNotNull() & (F.octet_length(column) <= sample_bytes)).select(column.alias("text"), F.xxhash64(column).alias("h"))

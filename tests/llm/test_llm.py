@@ -440,6 +440,16 @@ def test_secret_query(spark, sf_edges):
             assert set(filter(None, written.split(","))) <= set(filter(None, r["spans"].split(",")))
 
 
+def test_field_draws_windows_from_all_texts():
+    texts = sorted([b"aaa opening %d " % i + b"plain words " * 400 for i in range(30)] + ["яблоко %d ".encode() % i + "слово ".encode() * 800 + b"\npassword = hunter2%d" % i for i in range(30)])
+    lines, words = secret_scan.tagged_lines(texts, 60)
+    assert {b"plain", "слово".encode()} <= set(words)
+    secret = [any(t != secret_scan.O_TAG for t in tags) for _, tags in lines]
+    assert len(lines) == 90 and sum(secret) == 30
+    alone, _ = secret_scan.tagged_lines(texts[::-1], 60)
+    assert sorted(map(str, alone)) == sorted(map(str, lines))  # the order of the texts doesn't matter
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     for n in (1, 2, 5):
