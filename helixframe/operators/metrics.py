@@ -111,6 +111,14 @@ def nri(df: DataFrame, label: str, old: str, new: str, threshold: float = 0.5, b
     return df.groupBy(*(by or [])).agg((side(1, 1) + side(0, -1)).alias("estimate"), F.count("*").alias("n"))
 
 
+def incremental_r2(df: DataFrame, y: str, full: str, base: str, by: list[str] | None = None) -> DataFrame:
+    """R2 of the full prediction minus R2 of the base prediction; 0 where y doesn't vary."""
+    usable = df.where(F.col(y).isNotNull() & F.col(full).isNotNull() & F.col(base).isNotNull())
+    error = lambda p: F.sum((_d(y) - _d(p)) * (_d(y) - _d(p)))
+    total = F.var_pop(_d(y)) * F.count("*")
+    return usable.groupBy(*(by or [])).agg(F.when(total == 0, 0.0).otherwise((error(base) - error(full)) / F.nullif(total, F.lit(0.0))).alias("estimate"), F.count("*").alias("n"))
+
+
 def brier(df: DataFrame, label: str, prob: str, by: list[str] | None = None) -> DataFrame:
     return df.groupBy(*(by or [])).agg(F.avg((F.col(prob) - F.col(label)) * (F.col(prob) - F.col(label))).alias("estimate"), F.count(F.col(prob) + F.col(label)).alias("n"))
 

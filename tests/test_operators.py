@@ -111,6 +111,15 @@ def test_bootstrap_ranks_exact_scores(spark):
         assert np.allclose([x[1:] for x in order(got)], [x[1:] for x in want])
 
 
+def test_incremental_r2_from_two_predictions(spark):
+    r = np.random.default_rng(4)
+    y, full, base = (r.normal(size=50) for _ in range(3))
+    rows = [("a", *map(float, x)) for x in zip(y, full, base)] + [("a", None, 1.0, 1.0), ("b", 2.0, 1.0, 3.0), ("b", 2.0, 0.0, 2.0)]
+    got = {x["g"]: x for x in metrics.incremental_r2(spark.createDataFrame(rows, "g string, y double, f double, b double"), "y", "f", "b", ["g"]).collect()}
+    want = (((y - base) ** 2).sum() - ((y - full) ** 2).sum()) / ((y - y.mean()) ** 2).sum()
+    assert math.isclose(got["a"]["estimate"], want) and got["a"]["n"] == 50 and got["b"]["estimate"] == 0.0
+
+
 def test_poisson_weights_have_their_mean_and_variance():
     w = bootstrap.weights(np.arange(2000), 50, 0.7, 3)
     assert abs(w.mean() - 0.7) < 0.02 and abs(w.var() - 0.7) < 0.03
