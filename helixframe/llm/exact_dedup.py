@@ -1,16 +1,19 @@
 """Exact dedup with an extendible-hash index, in DataFrame operations only.
 
-A row's key is the 64-bit hash of its normalised text. The directory starts with the buckets of a few leading key bits;
+A row's key is a 64-bit hash of its normalised text. The directory starts with the buckets of a few leading key bits;
 every bucket with more distinct keys than its capacity is split by one more bit, which doubles the directory where the
-bucket was as deep as it, until no bucket is overfull. The directory orders and tags the written index only: groups are made
-by a plain aggregate over (key, normalised bytes), so texts with colliding keys are separate groups, and a document is
-led to its group by key and SHA-256. Copies collapse before they are moved (each task sends a text once), however many
-there are. The index, one row for each group in key order, is a table in the shared folder.
+bucket was as deep as it, until no bucket is overfull. Every row is given its bucket by the directory before anything is
+grouped, and a row without one is in no group.
+
+Texts are compared by their bytes, inside their bucket and key. Copies collapse in the task that reads them, before they
+are moved, so a text that a third of all rows hold costs a row for each task. What is left of a bucket, one row for each
+text, goes to the owner task of the bucket, which chains the texts whose keys collide and writes its range of the index.
+Documents are led to their text by bucket, key and chain.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import cut, shared_path
@@ -54,36 +57,53 @@ def build_directory(keys: DataFrame, capacity: int, first_depth: int = 2, most_d
         depth += 1
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
+#: Buckets up to this number are broadcast to the rows (some 60 MB); beyond it, rows join them by shuffle.
+BROADCAST_BUCKETS = 1_000_000
+
+
+def owned(df: DataFrame, directory: DataFrame, depths: list[int], few: bool) -> DataFrame:
+    """df with depth and p of the bucket that holds its key; rows without a bucket are left out."""
+    hits = df
+    for depth in depths:
+        level = directory.where(F.col("depth") == depth).select(F.col("p").alias(f"__p{depth}"), F.lit(True).alias(f"__in{depth}"))
+        hits = hits.join(F.broadcast(level) if few else level, prefix(F.col("key"), depth) == F.col(f"__p{depth}"), "left")
+    if not depths:
+        return df.withColumns({"depth": F.lit(0), "p": F.lit(0).cast("long")}).where(F.lit(False))
+    found = [F.when(F.col(f"__in{d}"), F.struct(F.lit(d).alias("depth"), F.col(f"__p{d}").alias("p"))) for d in depths]
+    bucket = F.coalesce(*found)
+    return hits.withColumn("__b", bucket).where("__b IS NOT NULL").select(*df.columns, "__b.depth", "__b.p")
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 1 << 16, key_bits: int = 64, directory: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(one row per document: doc_id, keep_id, group_size, kept, text_sha256, text_key (hash of the text as it is);
-    the index: key, sha, keep_id, keep_key, group_size, and the bucket of the key).
+    the index: depth, p (its bucket), key, chain (number of the text among those of its key), sha, keep_id, keep_key,
+    group_size).
 
     Texts are equal if identical without white space; null counts as empty. The row with the most code points, then
-    the smallest doc_id (null last), stays. Rows that share a doc_id are members of their groups like any other;
-    rows that repeat the kept one, id and text, count as kept too. Only the two named columns are read.
+    the smallest doc_id (null last), stays: one row of each group, also where rows repeat its id and text. Only the two
+    named columns are read. key_bits: leading bits of the hash that make the key (fewer make keys collide). directory: that of an
+    earlier call over the same or more texts; texts in none of its buckets are left out.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.length(F.coalesce(text, F.lit(""))).alias("points"), F.xxhash64(text).alias("text_key"), normalised(F.col(text)).alias("body"))
-    rows = rows.withColumn("key", F.xxhash64("body"))
-    entries = cut(rows.select("doc_id", "text_key", "key", F.sha2("body", 256).alias("sha")))
-    directory = build_directory(entries, capacity)
-    depths = [r["depth"] for r in directory.select("depth").distinct().collect()]  # at most 64 numbers
-
-    def owned(df: DataFrame) -> DataFrame:
-        """df with the bucket of its key: depth and leading bits."""
-        if len(depths) <= 1:
-            depth = depths[0] if depths else 0
-            return df.withColumns({"depth": F.lit(depth), "p": prefix(F.col("key"), depth)})
-        spots = df.withColumn("spot", F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), prefix(F.col("key"), d).alias("p")) for d in sorted(depths)))))
-        return spots.select(*df.columns, F.col("spot.depth").alias("depth"), F.col("spot.p").alias("p")).join(directory.select("depth", "p"), ["depth", "p"], "left_semi")
+    key = F.xxhash64("body") if key_bits == 64 else F.shiftleft(F.shiftrightunsigned(F.xxhash64("body"), 64 - key_bits), 64 - key_bits)
+    rows = rows.withColumn("key", key)
+    # Rows that repeat an id and a text are one entry with their number, so that one of them can stay.
+    entries = cut(rows.select("doc_id", "text_key", "key", F.sha2("body", 256).alias("sha")).groupBy("doc_id", "text_key", "key", "sha").agg(F.count("*").alias("times")))
+    directory = build_directory(entries, capacity) if directory is None else directory
+    shape = directory.groupBy("depth").agg(F.count("*").alias("n")).collect()  # at most 64 numbers
+    depths, few = sorted(r["depth"] for r in shape), sum(r["n"] for r in shape) <= BROADCAST_BUCKETS
 
     first = F.min(F.struct((-F.col("points")).alias("points"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_key").alias("text_key")))
-    # The bytes themselves are a grouping key: equal keys with other bytes become groups of their own.
-    groups = rows.groupBy("key", "body").agg(first.alias("first"), F.count("*").alias("group_size"))
-    groups = owned(groups.select("key", F.sha2("body", 256).alias("sha"), F.col("first.doc_id").alias("keep_id"), F.col("first.text_key").alias("keep_key"), "group_size"))
+    # The bytes themselves are a grouping key: equal keys with other bytes become texts of their own.
+    texts = owned(rows, directory, depths, few).groupBy("depth", "p", "key", "body").agg(first.alias("first"), F.count("*").alias("group_size"))
+    texts = texts.select("depth", "p", "key", F.sha2("body", 256).alias("sha"), F.col("first.doc_id").alias("keep_id"), F.col("first.text_key").alias("keep_key"), "group_size")
+    # An owner task holds whole buckets, in key order; a bucket is at most `capacity` keys.
+    chain = F.row_number().over(Window.partitionBy("depth", "p", "key").orderBy("sha"))
     path = shared_path(spark, "dedup-index")
-    groups.repartitionByRange("p", "key").sortWithinPartitions("p", "key").write.parquet(path)
+    texts.repartition("depth", "p").withColumn("chain", chain).sortWithinPartitions("depth", "p", "key", "chain").write.parquet(path)
     index = spark.read.parquet(path)
-    members = entries.join(index, ["key", "sha"])
+    members = owned(entries, directory, depths, few).join(index, ["depth", "p", "key", "sha"])
     same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_key") == F.col("keep_key"))
-    return members.select("doc_id", "keep_id", "group_size", same.alias("kept"), F.col("sha").alias("text_sha256"), "text_key"), index
+    each = members.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return each.select("doc_id", "keep_id", "group_size", (same & (F.col("copy") == 1)).alias("kept"), F.col("sha").alias("text_sha256"), "text_key"), index

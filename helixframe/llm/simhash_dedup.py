@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import cut, text_slices
+from helixframe.llm.common import cut, join_one, text_slices
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 #: Widths of the segments, from the top bit; 5 segments and 4 bits give chains that start equal.
@@ -65,72 +65,68 @@ def _shifts() -> list[int]:
     return [64 - sum(SEGMENTS[: i + 1]) for i in range(len(SEGMENTS))]
 
 
-def keys_of(fp, at: int, half: int) -> tuple:
-    """Expressions or arrays alike: segment `at`, and one half of the segment after it."""
-    after = (at + 1) % len(SEGMENTS)
-    shifts = _shifts()
-    low = SEGMENTS[after] // 2
-    first = (fp, shifts[at], (1 << SEGMENTS[at]) - 1)
-    second = (fp, shifts[after] + (low if half else 0), (1 << (SEGMENTS[after] - low if half else low)) - 1)
-    return first, second
+def key_masks(at: int, parts: int) -> list[int]:
+    """Masks of the bits that fingerprints with a chain from segment `at` share, one for each piece of the next segment
+    that may hold the differing bit: the whole segment, and the next one without that piece."""
+    after, shifts = (at + 1) % len(SEGMENTS), _shifts()
+    whole, width = ((1 << SEGMENTS[at]) - 1) << shifts[at], SEGMENTS[after]
+    cuts = [width * i // parts for i in range(parts + 1)]
+    rest = lambda i: ((1 << width) - 1) ^ (((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i])
+    return [whole | rest(i) << shifts[after] for i in range(parts)]
 
 
-def chained(x: np.ndarray, at: int, max_bits: int) -> np.ndarray:
-    """Whether differences x pass the chain from segment `at`, each length within its share, and the full distance."""
-    m, shifts = len(SEGMENTS), _shifts()
-    total = np.zeros(x.shape, np.uint8)
-    ok = np.ones(x.shape, bool)
+def parts_for(n: int, members: int = 512) -> int:
+    """Into how many pieces the second segment is cut: the fewest for which n evenly spread fingerprints leave no more
+    than `members` under a key. More pieces make longer keys (13 to 25 bits) and more of them; the links are the same."""
+    for parts in (2, 4, 6):
+        if n <= members << (13 + 12 * (parts - 1) // parts):
+            return parts
+    return 12
+
+
+def chained(x: np.ndarray, at: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether differences x (one word each) pass the chain from segment `at`, each length within its share, up to the
+    full distance, which is returned too."""
+    m, shifts = len(SEGMENTS), np.array(_shifts(), np.uint64)
+    masks = np.array([(1 << w) - 1 for w in SEGMENTS], np.uint64)
+    total, ok = np.zeros(len(x), np.int64), np.ones(len(x), bool)
     for n in range(m):
         s = (at + n) % m
-        total += np.bitwise_count((x >> np.uint64(shifts[s])) & np.uint64((1 << SEGMENTS[s]) - 1))
+        total += np.bitwise_count((x[:, 0] >> shifts[s]) & masks[s])
         ok &= total <= (n + 1) * max_bits // m
-    return ok
-
-
-def _spanning(a: np.ndarray, b: np.ndarray | None, at: int, max_bits: int) -> list[tuple[int, int]]:
-    """Links that connect what the pairs of a (and b, if these are other blocks) that pass the check connect."""
-    nodes = a if b is None else np.concatenate([a, b])
-    if len(nodes) == 2 and b is None:
-        return [(int(nodes[0]), int(nodes[1]))] if chained(nodes[:1] ^ nodes[1:], at, max_bits)[0] else []
-    first = len(a) if b is not None else None
-    parent = list(range(len(nodes)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    links = []
-    for i in range(len(a)):
-        others = nodes[i + 1 :] if first is None else b
-        offset = i + 1 if first is None else first
-        for j in np.flatnonzero(chained(others ^ nodes[i], at, max_bits)).tolist():
-            x, y = root(i), root(j + offset)
-            if x != y:
-                parent[y] = x
-                links.append((int(nodes[i]), int(nodes[j + offset])))
-    return links
+    return ok, total
 
 
-def links(prints: DataFrame, max_bits: int = 4, block: int = 2048) -> DataFrame:
-    """Links (a, b) between the distinct values of prints.fp whose connected components are those of all pairs within
-    max_bits (at most 4, which the segments are made for).
+class Forest:
+    """Links that connect what pairs connect, nearest pairs first; labels of members are kept in one array."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.links: list[tuple[int, int]] = []
+
+    def add(self, i: int, others: np.ndarray, distance: np.ndarray) -> None:
+        """Links i with the nearest of `others` in each tree that isn't i's own."""
+        labels = self.label[others]
+        order = np.lexsort((others, distance, labels))
+        first = order[np.flatnonzero(np.diff(labels[order], prepend=-1))]
+        for j in first[labels[first] != self.label[i]].tolist():
+            self.links.append((i, int(others[j])))
+            self.label[self.label == labels[j]] = self.label[i]
+
+
+#: Groups up to this size are compared in common, shifted against themselves.
+SMALL = 48
+
+
+def meet(met: DataFrame, check, words: int, block: int) -> DataFrame:
+    """Links (a, b) between the values of met.fp (long, or binary of `words` 8-byte words) that meet under a met.key and
+    pass check(differences, keys) -> (passes, distance). Of the pairs under a key, a spanning set of links is handed on,
+    nearest first, never all pairs. Keys with more than `block` members are dealt to blocks; every pair of blocks is a
+    task's work of its own.
     """
-    if not 0 <= max_bits < len(SEGMENTS):
-        raise ValueError(f"max_bits must be from 0 to {len(SEGMENTS) - 1}")
-    part = lambda of: F.shiftrightunsigned(of[0], of[1]).bitwiseAND(F.lit(of[2]).cast("long"))
-    spots = []
-    for at in range(len(SEGMENTS)):
-        for half in (0, 1):
-            first, second = keys_of(F.col("fp"), at, half)
-            spots.append(F.shiftleft(part(first), 16) + F.shiftleft(part(second), 4) + F.lit(2 * at + half))
-    met = prints.select("fp").distinct().select("fp", F.explode(F.array(*spots)).alias("key"))
-    big = met.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).alias("blocks"))
-    big = cut(big)
-    few = big.count() <= 10_000
-    # A crowded key's members are dealt to blocks; every pair of blocks is a task's work of its own.
-    met = met.join(F.broadcast(big) if few else big, "key", "left")
+    binary = words > 1
+    big = cut(met.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).alias("blocks")))
+    met = met.join(F.broadcast(big) if big.count() <= 10_000 else big, "key", "left")
     own = F.pmod(F.xxhash64("fp", "key"), F.col("blocks"))
     met = met.withColumn("own", F.when(F.col("blocks").isNotNull(), own).otherwise(F.lit(0)))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("x"), F.greatest(i, F.col("own")).alias("y")))
@@ -139,67 +135,136 @@ def links(prints: DataFrame, max_bits: int = 4, block: int = 2048) -> DataFrame:
     dealt = met.select("key", F.col("pair.x").alias("x"), F.col("pair.y").alias("y"), (F.col("own") == F.col("pair.y")).alias("second"), "fp")
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "second", "fp")
 
+    def large(key: int, fps: np.ndarray, n: int) -> list[tuple[int, int]]:
+        """Links of a group; n: members of its first block, or 0 if both blocks are the same."""
+        forest, keys = Forest(len(fps)), np.full(len(fps), key)
+        for i in range(n or len(fps) - 1):
+            start = n or i + 1
+            ok, distance = check(fps[start:] ^ fps[i], keys[start:])
+            hits = np.flatnonzero(ok)
+            if len(hits):
+                forest.add(i, hits + start, distance[hits])
+        return forest.links
+
+    def small(key: np.ndarray, fps: np.ndarray, group: np.ndarray) -> list[tuple[int, int]]:
+        """Links of many groups of up to SMALL members that follow each other."""
+        rows, d = np.arange(len(key)), 1
+        pairs = []
+        while True:
+            rows = rows[rows + d < len(key)]
+            rows = rows[group[rows] == group[rows + d]]
+            if not len(rows):
+                break
+            for at in range(0, len(rows), 1 << 16):
+                part = rows[at : at + (1 << 16)]
+                ok, distance = check(fps[part] ^ fps[part + d], key[part])
+                hits = part[ok]
+                pairs.append((distance[ok], hits, hits + d))
+            d += 1
+        if not pairs:
+            return []
+        distance, a, b = (np.concatenate(c) for c in zip(*pairs))
+        order = np.lexsort((b, a, distance))
+        parent: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            while (up := parent.get(i, i)) != i:
+                parent[i] = i = parent.get(up, up)
+            return i
+
+        links = []
+        for i, j in zip(a[order].tolist(), b[order].tolist()):
+            x, y = root(i), root(j)
+            if x != y:
+                parent[y] = x
+                links.append((i, j))
+        return links
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-
-        def group(key: int, x: int, y: int, second: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
-            at = (key & 15) >> 1
-            if x == y:
-                return _spanning(fps, None, at, max_bits)
-            n = int(np.argmax(second)) if second.any() else len(fps)
-            return _spanning(fps[:n], fps[n:], at, max_bits) if 0 < n < len(fps) else []
-
-        def groups(columns: list[np.ndarray], last: bool) -> tuple[list[tuple[int, int]], list[np.ndarray] | None]:
-            key, x, y, second, fps = columns
-            if not len(key):
-                return [], None
+        rest: pa.Table | None = None
+        for batch in _and_end(batches):
+            held = [t for t in (rest, None if batch is None else pa.Table.from_batches([batch])) if t is not None]
+            if not held:
+                continue
+            table = pa.concat_tables(held).combine_chunks()
+            key, x, y, second = (table.column(c).to_numpy() for c in ("key", "x", "y", "second"))
             heads = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
             stops = np.concatenate([heads[1:], [len(key)]])
-            if not last:
-                keep = [c[heads[-1] :] for c in columns]
+            rest = None
+            if batch is not None:  # the last group may go on in the next batch
+                rest = table.slice(heads[-1])
                 heads, stops = heads[:-1], stops[:-1]
-            out = []
-            for i in np.flatnonzero(stops - heads > 1).tolist():
-                a, b = int(heads[i]), int(stops[i])
-                out += group(int(key[a]), int(x[a]), int(y[a]), second[a:b], fps[a:b])
-            return out, None if last else keep
-
-        def made(out: list[tuple[int, int]]) -> pa.RecordBatch:
-            pairs = np.array(out, np.uint64).view(np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-        for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            new[4] = new[4].view(np.uint64)
-            out, rest = groups([np.concatenate([r, c]) for r, c in zip(rest, new)] if rest else new, False)
-            if out:
-                yield made(out)
-        if rest:
-            out, _ = groups(rest, True)
-            if out:
-                yield made(out)
-
-    return dealt.mapInArrow(run, "a long, b long")
+            if not len(heads):
+                continue
+            column = table.column("fp").chunk(0)
+            fps = np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, words) if binary else column.to_numpy().view(np.uint64).reshape(-1, 1)
+            sizes = stops - heads
+            links = []
+            for g in np.flatnonzero((sizes > SMALL) | ((x[heads] != y[heads]) & (sizes > 1))).tolist():
+                a, b = int(heads[g]), int(stops[g])
+                n = 0
+                if x[a] != y[a]:
+                    n = int(np.argmax(second[a:b])) if second[a:b].any() else b - a
+                    if not 0 < n < b - a:
+                        continue
+                links += [(i + a, j + a) for i, j in large(int(key[a]), fps[a:b], n)]
+            few = np.flatnonzero((sizes > 1) & (sizes <= SMALL) & (x[heads] == y[heads]))
+            if len(few):
+                rows = np.concatenate([np.arange(a, b) for a, b in zip(heads[few].tolist(), stops[few].tolist())])
+                group = np.repeat(few, sizes[few])
+                links += [(int(rows[i]), int(rows[j])) for i, j in small(key[rows], fps[rows], group)]
+            if links:
+                a, b = (pa.array(c, pa.int64()) for c in zip(*links))
+                yield pa.RecordBatch.from_arrays([column.take(a), column.take(b)], ["a", "b"])
+
+    kind = "binary" if binary else "long"
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def links(prints: DataFrame, max_bits: int = 4, block: int = 2048, parts: int | None = None) -> DataFrame:
+    """Links (a, b) between the distinct values of prints.fp whose connected components are those of all pairs within
+    max_bits (at most 4, which the segments are made for). parts: see parts_for.
+    """
+    if not 0 <= max_bits < len(SEGMENTS):
+        raise ValueError(f"max_bits must be from 0 to {len(SEGMENTS) - 1}")
+    distinct = prints.select("fp").distinct()
+    parts = parts or parts_for(distinct.count())
+    spots = []
+    for at in range(len(SEGMENTS)):
+        # The two segments as one number, the ring's end joined to its start, and the tag of the key.
+        for piece, mask in enumerate(key_masks(at, parts)):
+            signed = mask - (1 << 64) if mask >> 63 else mask
+            kept = F.col("fp").bitwiseAND(F.lit(signed).cast("long"))
+            low = min(_shifts()[at], _shifts()[(at + 1) % len(SEGMENTS)])
+            near = F.shiftrightunsigned(kept, low) if at + 1 < len(SEGMENTS) else F.shiftleft(kept, SEGMENTS[0]).bitwiseOR(F.shiftrightunsigned(kept, 64 - SEGMENTS[0]))
+            spots.append(F.shiftleft(near, 7).bitwiseOR(F.lit(at * 16 + piece).cast("long")))
+    met = distinct.select("fp", F.explode(F.array(*spots)).alias("key"))
+    return meet(met, lambda x, key: chained(x, (key & 127) >> 4, max_bits), 1, block)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of an edge: the smallest node of its component.
 
     Rounds of: each node points at the smallest node that it or a neighbour points at, then at what that points at.
-    Minima are pre-aggregated, so a node with very many links is no burden; the result of a round is kept in the shared
-    folder, and only the number of changes comes to the driver.
+    Minima are pre-aggregated, and nodes and roots that very many point at are joined by broadcast (see join_one), so
+    neither a hub nor a large component is gathered in a task. The result of a round is kept in the shared folder, and
+    only whether anything changed comes to the driver.
     """
     both = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct())
-    label = both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root"))
-    label = cut(label.select(F.col("x").alias("node"), "root"))
+    label = cut(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")).withColumnRenamed("x", "node"))
     while True:
-        near = both.join(label.withColumnsRenamed({"node": "y", "root": "r"}), "y").groupBy("x").agg(F.min("r").alias("r"))
+        near = join_one(both, label.withColumnsRenamed({"node": "y", "root": "r"}), "y").groupBy("x").agg(F.min("r").alias("r"))
         least = label.join(near, label["node"] == near["x"]).select("node", F.col("root").alias("old"), F.least("root", "r").alias("root"))
         # What a root's own members found is told to the root, so that trees merge, not only their edges.
         told = least.groupBy(F.col("old").alias("node")).agg(F.min("root").alias("told"))
-        least = least.join(told, "node", "left").select("node", "old", F.least("root", F.coalesce("told", "root")).alias("root"))
+        least = cut(least.join(told, "node", "left").select("node", "old", F.least("root", F.coalesce("told", "root")).alias("root")))
         jump = least.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new = cut(least.join(jump, "root", "left").select("node", "old", F.coalesce("next", "root").alias("root")))
+        new = cut(join_one(least, jump, "root").select("node", "old", F.col("next").alias("root")))
         label = new.select("node", "root")
         if new.where(F.col("old") != F.col("root")).isEmpty():
             return label
@@ -214,9 +279,128 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     columns are read.
     """
     rows = cut(fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text")), ["doc_id", "text_key"], "text", shingle_words))
-    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = cut(links(prints, max_bits))
-    roots = components(found)
-    rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id", "root", "text_key")
+    prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(cut(links(prints, max_bits)))
+    rooted = cut(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = cut(join_one(rooted, names, "root").select("fp", "root", "component_id"))
+    return join_one(rows, named, "fp").select("doc_id", "fp", "component_id", "root", "text_key")
+
+
+# Near copies by five-word shingles: wider fingerprints, and the similarity itself.
+
+#: 64-bit words of a wide fingerprint: four segments each, in lanes of 16 bits of which LANE are used.
+WIDE, LANE = 9, 14
+#: Bits by which wide fingerprints of near copies may differ, and what chains of segments share out between them.
+WIDE_BITS, WIDE_CHAIN = 96, 128
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_STEPS = _MULTIPLIER * np.arange(1, WIDE + 1, dtype=np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers, each well mixed."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Shingler:
+    """Sets of hashed word shingles; hashes of words are kept, up to a number of them."""
+
+    def __init__(self, shingle_words: int, keep: int = 200_000):
+        self.size, self.keep, self.words = shingle_words, keep, {}
+
+    def shingles(self, text: bytes) -> np.ndarray:
+        """The distinct shingles of a text, sorted; a text with fewer words is one shingle, and none has none."""
+        spoken = text.translate(LOWER).split()
+        if not spoken:
+            return np.zeros(0, np.uint64)
+        if len(self.words) > self.keep:
+            self.words.clear()
+        known = self.words
+        for w in spoken:
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w, 42)
+        h = np.fromiter(map(known.__getitem__, spoken), np.uint64, len(spoken))
+        n = max(1, len(h) - self.size + 1)
+        total = np.full(n, min(len(h), self.size), np.uint64)
+        for j in range(min(self.size, len(h))):
+            total = _mixed(total * _MULTIPLIER ^ h[j : j + n])
+        return np.unique(total)
+
+    def wide(self, text: bytes) -> bytes:
+        """WIDE words of bits, each set if set in over half of the shingles, mixed anew for every word."""
+        h = self.shingles(text)
+        if not len(h):
+            return bytes(8 * WIDE)
+        counts = np.zeros((WIDE, 64), np.int64)
+        for k in range(WIDE):
+            mixed = _mixed(h + _STEPS[k]).astype(">u8").view(np.uint8).reshape(-1, 8)
+            for at in range(0, len(h), 1 << 16):
+                counts[k] += np.unpackbits(mixed[at : at + (1 << 16)], axis=1).sum(0, dtype=np.int64)
+        return (np.packbits(counts * 2 > len(h), axis=1).view(">u2") & ((1 << LANE) - 1)).astype(">u2").tobytes()
+
+
+def wide_chained(x: np.ndarray, at: np.ndarray, max_bits: int, chain_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether differences x (WIDE words each) pass the chain from segment `at` round the ring, and differ in at most
+    max_bits, which are returned too. A chain of n segments may differ in n / (4 WIDE) of chain_bits."""
+    bits = np.bitwise_count(np.ascontiguousarray(x).astype(">u8").view(">u2")).astype(np.int64)
+    total, m = bits.sum(1), 4 * WIDE
+    found = np.flatnonzero(total <= max_bits)
+    turned = bits[found[:, None], (at[found, None] + np.arange(m)[None, :]) % m]
+    ok = np.zeros(len(x), bool)
+    ok[found] = (turned.cumsum(1) <= chain_bits * np.arange(1, m + 1)[None, :] / m).all(1)
+    return ok, total
+
+
+def near_copies(docs: DataFrame, shingle_words: int = 5, least: float = 0.8, block: int = 2048) -> DataFrame:
+    """One row per document: doc_id, text_key, root; documents of one root are near copies, directly or by way of others.
+
+    docs: doc_id, text_key (hash of the text), text. Two documents are linked if the Jaccard similarity of their sets of
+    shingles is at least `least`. Candidates have wide fingerprints that agree in one of the 14-bit segments, go on in a
+    chain of proportional budgets and differ in at most WIDE_BITS of the 504 bits; their similarity is then computed from
+    the whole texts. Unlike the links of 64-bit fingerprints this is a search with a recall below 1 (see README).
+    Texts without words are copies of each other. root is that of the smallest doc_id (null last), text_key.
+    """
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text_key", "text")
+
+    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Shingler(shingle_words)
+        for batch in batches:
+            for part, texts in text_slices(batch):
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([own.wide(x) for x in texts], pa.binary())], ["doc_id", "text_key", "fp"])
+
+    rows = cut(source.mapInArrow(prints_of, "doc_id long, text_key long, fp binary"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    prints = cut(rows.groupBy("fp").agg(first.alias("rep")))
+
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 13):
+                column = batch.column("fp").slice(at, 1 << 13)
+                segments = np.frombuffer(b"".join(column.to_pylist()), ">u2").astype(np.int64).reshape(-1, 4 * WIDE)
+                keys = segments << 8 | np.arange(4 * WIDE)[None, :]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), column.take(pa.array(np.repeat(np.arange(len(keys)), 4 * WIDE)))], ["key", "fp"])
+
+    met = prints.select("fp").mapInArrow(spots, "key long, fp binary")
+    found = cut(meet(met, lambda x, key: wide_chained(x, key & 255, WIDE_BITS, WIDE_CHAIN), WIDE, block).distinct())
+    # Candidates are checked by their own texts: of each fingerprint, that of its first document.
+    linked = found.select(F.col("a").alias("fp")).unionByName(found.select(F.col("b").alias("fp"))).distinct().join(prints, "fp").select("fp", F.col("rep.none").alias("none"), F.coalesce("rep.doc_id", F.lit(0).cast("long")).alias("id"), F.col("rep.text_key").alias("text_key"))
+    texts = source.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "text_key", "text").join(linked, ["none", "id", "text_key"]).select("fp", "text")
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Shingler(shingle_words)
+        for batch in batches:
+            for part, parts in text_slices(batch):
+                sets = [own.shingles(x).view(np.int64) for x in parts]
+                offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["fp", "shingles"])
+
+    sets = cut(texts.mapInArrow(sets_of, "fp binary, shingles array<long>").dropDuplicates(["fp"]))
+    sides = join_one(join_one(found, sets.withColumnsRenamed({"fp": "a", "shingles": "sa"}), "a"), sets.withColumnsRenamed({"fp": "b", "shingles": "sb"}), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    near = cut(sides.where(both >= F.lit(least) * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
+    roots = components(near)
+    rooted = cut(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("group")))
+    named = cut(join_one(rooted, rooted.groupBy("group").agg(F.min("rep").alias("root")), "group").select("fp", "root"))
+    return join_one(rows, named, "fp").select("doc_id", "text_key", "root")

@@ -194,6 +194,42 @@ def test_exact_dedup(spark):
     assert index.count() == len(groups)
 
 
+def test_exact_dedup_keeps_one_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "ab"), (None, "x"), (None, "x"), (2, None), (2, ""), (2, None)], "doc_id long, text string")
+    rows = exact_dedup.dedup(docs)[0].collect()
+    assert len(rows) == 8 and Counter((r["keep_id"], r["group_size"]) for r in rows if r["kept"]) == {(1, 3): 1, (None, 2): 1, (2, 3): 1}
+
+
+def test_exact_dedup_chains_colliding_texts(spark):
+    texts = [f"text {i % 50}" for i in range(120)] + ["te xt 7", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out, index = exact_dedup.dedup(docs, key_bits=3)  # eight keys for 51 texts
+    groups = {}
+    for i, t in enumerate(texts):
+        groups.setdefault((t or "").replace(" ", ""), []).append(i)
+    assert {r["doc_id"]: r["group_size"] for r in out.collect()} == {i: len(g) for g in groups.values() for i in g}
+    chains = {}
+    for r in index.collect():
+        chains.setdefault((r["depth"], r["p"], r["key"]), []).append(r["chain"])
+    assert len(chains) <= 8 and all(sorted(c) == list(range(1, len(c) + 1)) for c in chains.values()) and sum(map(len, chains.values())) == len(groups)
+
+
+def test_exact_dedup_finds_texts_through_their_buckets(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(300)], "doc_id long, text string")
+    keys = docs.select("doc_id", F.xxhash64("text").alias("key"))
+    whole = exact_dedup.build_directory(keys, 16)
+    lost = whole.orderBy("depth", "p").first()
+    part = whole.where(~((F.col("depth") == lost["depth"]) & (F.col("p") == lost["p"])))
+    inside = {r["doc_id"] for r in keys.where(exact_dedup.prefix(F.col("key"), lost["depth"]) == lost["p"]).collect()}
+    assert inside and {r["doc_id"] for r in exact_dedup.dedup(docs, directory=part)[0].collect()} == set(range(300)) - inside
+    out, index = exact_dedup.dedup(docs, capacity=16)
+    assert out.count() == 300 and all(r["p"] == exact_dedup_prefix(r["key"], r["depth"]) for r in index.collect())
+
+
+def exact_dedup_prefix(key, depth):
+    return (key & (1 << 64) - 1) >> (64 - depth) if depth else 0
+
+
 def test_directory_splits_overfull_buckets(spark):
     keys = spark.range(3000).select(F.xxhash64("id").alias("key"))
     skewed = keys.unionByName(spark.range(500).select((F.lit(5 << 58) + F.shiftleft("id", 46)).alias("key")))
