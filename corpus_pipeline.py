@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import exact_dedup, mixing, sentencepiece_bpe, simhash_dedup, toxicity
-from helixframe.llm.common import shared_path, table
+from helixframe.llm.common import remove, shared_path, table
 from helixframe.llm.queries import PIECE_MODEL
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,13 +22,13 @@ ORACLE_SQL = None
 
 
 def _rows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """docs of (doc_id, text_key) in wanted, with wanted's other columns; of repeated rows with one id and text, one."""
-    keyed = docs.select(*COLUMNS).withColumn("text_key", F.xxhash64("text"))
-    keys = keyed.select("doc_id", "text_key")
-    if keys.count() > keys.distinct().count():
-        keyed = keyed.dropDuplicates(["doc_id", "text_key"])
-    other = wanted.withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
-    return keyed.join(other, keyed["doc_id"].eqNullSafe(other["__id"]) & (keyed["text_key"] == other["__key"])).drop("__id", "__key", "text_key")
+    """docs of (doc_id, text_key) in wanted, with wanted's other columns; of repeated rows with one id and text, one.
+
+    The join and the removal of repeats share one partitioning, so a text moves once."""
+    keyed = docs.select(*COLUMNS).withColumns({"text_key": F.xxhash64("text"), "__null": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0))})
+    other = wanted.select(F.col("doc_id").isNull().alias("__null"), F.coalesce("doc_id", F.lit(0)).alias("__id"), *(c for c in wanted.columns if c != "doc_id"))
+    joined = keyed.join(other, ["__null", "__id", "text_key"])
+    return joined.dropDuplicates(["__null", "__id", "text_key"]).drop("__null", "__id", "text_key")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +44,10 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of linked fingerprints: that with the smallest id."""
-    found = simhash_dedup.near_dedup(docs)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
-    return _rows_of(docs, found.groupBy("root").agg(first).select("first.doc_id", "first.text_key")).select(*COLUMNS)
+    """Keeps one document of each group of near copies (five words, similarity 0.8): that with the smallest id."""
+    found = simhash_dedup.near_copies(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"))
+    kept = found.select("root.doc_id", "root.text_key").distinct()
+    return _rows_of(docs, kept).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,11 +82,14 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents of sf_dir."""
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), None
     for at, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if at + 1 < len(STAGES):
             path = shared_path(spark, f"pipeline-{at}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if read is not None:
+                remove(spark, read)  # what this stage read is not needed again
+            read = path
     return docs
