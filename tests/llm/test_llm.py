@@ -518,7 +518,7 @@ def test_vector_search(spark):
     rng = np.random.default_rng(0)
     x = np.round(rng.normal(size=(700, 64)), 3)
     x[100:200] = x[100]
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(700, None), (720, [0.0] * 64), (740, [float("nan")] * 64), (760, [None] + [1.0] * 63), (780, [1.0, 2.0])]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(700, None), (720, [0.0] * 64), (740, [float("nan")] * 64), (760, [None] + [1.0] * 63), (780, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("row", F.lit("x"))
     index = vector_search.build_index(df)
     got = {}
@@ -540,3 +540,36 @@ def test_vector_search_with_few_candidates(spark):
     index = vector_search.build_index(df)
     rows = vector_search.search(index, index.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()
     assert [tuple(r) for r in rows] == [(0, 1, 3, 1.0), (0, 2, 20, 0.5), (20, 1, 3, 1.0), (20, 2, 0, 0.5)]
+
+
+def test_vector_search_takes_each_length_apart(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(v) for v in rng.normal(size=dims)]) for i, dims in enumerate([3] * 40 + [100] * 60 + [1] * 5)] + [(20, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"row": F.lit(1), "dims": F.lit("x"), "norm": F.lit(0), "score": F.lit("s")})
+    index = vector_search.build_index(df)
+    got = {}
+    for r in vector_search.search(index, index.where("vec_id % 20 = 0"), k=4, vector_block=16, query_block=2).collect():
+        got.setdefault((r["query_id"], len(rows[r["vec_id"]][1]) if r["vec_id"] != 20 else 3), []).append((r["rank"], r["vec_id"], r["score"]))
+    want = {}
+    for i, (q, x) in enumerate(rows):
+        if q % 20 == 0:
+            score = sorted((-sum(a * b for a, b in zip(x, y)), v) for j, (v, y) in enumerate(rows) if j != i and len(y) == len(x))[:4]
+            want.setdefault((q, len(x)), []).extend((n + 1, v, -s) for n, (s, v) in enumerate(score))
+    assert set(got) == set(want)
+    for key, found in got.items():
+        assert sorted(r[:2] for r in found) == sorted(r[:2] for r in want[key])
+        assert np.allclose(sorted(r[2] for r in found), sorted(r[2] for r in want[key]))
+
+
+def test_code_estimates_stay_within_their_bound():
+    rng = np.random.default_rng(2)
+    q, x = rng.normal(size=(20, 48)), rng.normal(size=(500, 48)) * rng.lognormal(size=(500, 1))
+    bits = vector_search.code_bits(48, 4)
+    packed, norms, own = vector_search.encode(x, bits, 5)
+    codes = vector_search.Codes(packed, norms, own, 4.0)
+    length = np.linalg.norm(q, axis=1)
+    planes, low, step, total = vector_search.rounded((q / length[:, None]) @ vector_search.rotation(48, bits, 5).T, 5)
+    guess = np.empty(500, np.float32)
+    for i in range(20):
+        codes.estimates(planes[i], low[i], step[i], total[i], guess)
+        assert (np.abs(guess - x @ q[i] / length[i]) <= codes.radius).all()
