@@ -478,12 +478,63 @@ def test_secret_query(spark, sf_edges):
 
 def test_field_draws_windows_from_all_texts():
     texts = sorted([b"aaa opening %d " % i + b"plain words " * 400 for i in range(30)] + ["яблоко %d ".encode() % i + "слово ".encode() * 800 + b"\npassword = hunter2%d" % i for i in range(30)])
-    lines, words = secret_scan.tagged_lines(texts, 60)
-    assert {b"plain", "слово".encode()} <= set(words)
-    secret = [any(t != secret_scan.O_TAG for t in tags) for _, tags in lines]
-    assert len(lines) == 90 and sum(secret) == 30
-    alone, _ = secret_scan.tagged_lines(texts[::-1], 60)
-    assert sorted(map(str, alone)) == sorted(map(str, lines))  # the order of the texts doesn't matter
+    held, clean = secret_scan.tagged_windows(texts, 60)
+    said = {t for _, part, _ in clean for t in part}
+    assert {b"plain", "слово".encode()} <= said
+    assert len(held) == 30 and len(clean) == 60 and all(any(t != secret_scan.O_TAG for t in tags) for _, _, tags in held)
+    again = secret_scan.tagged_windows(texts[::-1], 60)
+    assert sorted(map(str, again[0])) == sorted(map(str, held)) and sorted(map(str, again[1])) == sorted(map(str, clean))  # the order of the texts doesn't matter
+    assert secret_scan.tagged_windows(texts, 60, kinds=(1, 2))[0] == []
+
+
+def test_spans_apart_from_those_taken():
+    rng = random.Random(3)
+    for _ in range(300):
+        span = lambda: (lambda a: (a, a + rng.randint(1, 6)))(rng.randint(0, 40))
+        taken, new = sorted((a, 0, b) for a, b in (span() for _ in range(rng.randint(0, 5)))), sorted(span() for _ in range(6))
+        assert secret_scan.apart(new, taken) == [(s, e) for s, e in new if not any(s < b and e > a for a, _, b in taken)]
+
+
+def _with_secrets(texts, make, seed):
+    """Texts with a secret put between two words, and where it lies."""
+    draw = np.random.default_rng(seed)
+    for text in texts:
+        words = text.split(b" ")
+        at, secret = int(draw.integers(len(words))), make(draw).encode()
+        before = b" ".join(words[:at] + [b""])
+        yield before + secret + b" " + b" ".join(words[at:]), len(before), len(before) + len(secret)
+
+
+@pytest.fixture(scope="module")
+def secret_texts(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL AND length(text) BETWEEN 300 AND 20000").orderBy(F.xxhash64("text")).collect()
+    texts = [r["text"].encode() for r in rows]
+    return texts[:500], texts[500:]
+
+
+@pytest.mark.parametrize("kind, least", [("groups", 0.85), ("prefixed", 0.9), ("parts", 0.9), ("base64", 0.9)])
+def test_field_finds_kinds_of_secrets_it_never_saw(secret_texts, kind, least):
+    shown, held = secret_texts
+    field = secret_scan.train_on(shown, 600, made=tuple(k for k in secret_scan.MADE_SECRETS if k != kind))
+    tagger = secret_scan.Tagger(field)
+    hits = false = 0
+    for text, a, b in _with_secrets(held, secret_scan.MADE_SECRETS[kind], 11):
+        spans = secret_scan.apart(tagger.spans(text), [(s, k, e) for s, k, e, _ in secret_scan.base_spans(text)])
+        hits += any(s <= a + 2 and e >= b - 2 for s, e in spans)
+        false += sum(e <= a or s >= b for s, e in spans)
+    assert hits >= least * len(held) and false <= 0.01 * len(held)
+
+
+def test_scan_adds_spans_that_no_pattern_names(spark, secret_texts):
+    shown, held = secret_texts
+    made = list(_with_secrets(held[:60], secret_scan.MADE_SECRETS["prefixed"], 5)) + [("é ".encode() + t, a + 3, b + 3) for t, a, b in _with_secrets(held[60:90], secret_scan.MADE_SECRETS["groups"], 6)]
+    df = spark.createDataFrame([(i, t.decode()) for i, (t, _, _) in enumerate(made)], "doc_id long, text string")
+    rows = {r["doc_id"]: r["spans"] for r in secret_scan.scan_secrets(df, secret_scan.train_on(shown, 600)).collect()}
+    found = 0
+    for i, (t, a, b) in enumerate(made):
+        start, end = len(t[:a].decode()), len(t[:b].decode())
+        found += any(x["kind"] == "crf" and x["start"] <= start + 2 and x["end"] >= end - 2 for x in rows[i])
+    assert found >= 0.9 * len(made)
 
 
 def test_viterbi_is_the_best_path():
@@ -497,7 +548,7 @@ def test_viterbi_is_the_best_path():
 
 def test_field_finds_what_the_patterns_define(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    field = secret_scan.train_field(docs, sample_docs=400, sample_lines=400)
+    field = secret_scan.train_field(docs, sample_docs=400, sample_lines=400)  # and documents it was not shown
     tagger = secret_scan.Tagger(field)
     held, clean, false = 0, 0, 0
     for r in docs.collect():
