@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import text_slices
@@ -166,9 +166,27 @@ class TokenAutomaton:
         return out
 
 
-@lru_cache(maxsize=1)
-def automaton() -> TokenAutomaton:
-    return TokenAutomaton()
+@lru_cache(maxsize=2)
+def automaton(templates: tuple = TEMPLATES, phrases: tuple = PHRASES) -> TokenAutomaton:
+    return TokenAutomaton(templates, phrases)
+
+
+def read_templates(spark: SparkSession, path: str, most_words: int = 2_000_000) -> tuple[tuple[str, str], ...]:
+    """Whole licence texts as templates (label, text): files named by their label, as in mit.txt, in a folder or glob.
+
+    All templates together go to every task, so they may have most_words words at most; more are an error.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.+?)(\.[^.]*)?$", 1).alias("label"), F.col("value").alias("text"))
+    return templates_of(files, most_words)
+
+
+def templates_of(table: DataFrame, most_words: int = 2_000_000) -> tuple[tuple[str, str], ...]:
+    """Templates of a table (label, text), in the order of both; rows with a null and texts without words are left out."""
+    usable = table.select("label", "text").where(F.col("label").isNotNull() & F.col("text").isNotNull()).distinct()
+    words = usable.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
+    if words > most_words:
+        raise ValueError(f"{words} words of templates; at most {most_words}")
+    return tuple((r["label"], r["text"]) for r in usable.orderBy("label", "text").collect() if words_of(r["text"].encode()))
 
 
 def scan_document(own: TokenAutomaton, text: bytes, min_match: int, max_gap: int, min_cover: float) -> tuple[int, list[tuple[int, int]], list[tuple[int, int, str, float]]]:
@@ -195,18 +213,22 @@ def scan_document(own: TokenAutomaton, text: bytes, min_match: int, max_gap: int
     return len(words), sorted(bases), sorted(spans)
 
 
-def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_match: int = 3, max_gap: int = 6, min_cover: float = 0.75) -> DataFrame:
+def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_match: int = 3, max_gap: int = 6, min_cover: float = 0.75, templates: tuple = TEMPLATES, phrases: tuple = PHRASES) -> DataFrame:
     """One row per document: doc_id, n_words, phrases array<struct<start, label>>, spans array<struct<first_word, end_word, label, cover>>.
 
     Null and empty texts have no words and empty arrays; rows are independent, so repeated rows and null ids are kept.
-    Only the two named columns are read. min_match may not exceed the length of the shortest phrase.
+    Only the two named columns are read. min_match may not exceed the length of the shortest phrase. templates: (label,
+    text), notices or whole licences (see read_templates); they go to every task.
     """
+    if phrases and min_match > min(len(words_of(p.encode())) for p, _ in phrases):
+        raise ValueError("min_match exceeds the shortest phrase")
+    shared = docs.sparkSession.sparkContext.broadcast((templates, phrases))  # bounded by the templates
     schema = "doc_id long, n_words long, phrases array<struct<start:long,label:string>>, spans array<struct<first_word:long,end_word:long,label:string,cover:double>>"
     phrase = pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string())]))
     span = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("label", pa.string()), ("cover", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = automaton()
+        own = automaton(*shared.value)
         for batch in batches:
             for part, texts in text_slices(batch):
                 n, bases, spans = zip(*(scan_document(own, x, min_match, max_gap, min_cover) for x in texts))
