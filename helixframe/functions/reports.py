@@ -13,23 +13,62 @@ def first_path(json: Column, *paths: str) -> Column:
     return F.coalesce(*(F.get_json_object(json, p) for p in paths))
 
 
-def pharmacogenes(reports: DataFrame, json: str = "report") -> DataFrame:
-    """(own columns, gene, diplotype, phenotype): the first diplotype of each gene; genes stand in one of three places."""
-    schema = "array<struct<gene:string,geneSymbol:string,diplotypes:array<struct<name:string,label:string,phenotype:string>>>>"
+# Where reports keep their calls and their drugs, first place that holds something first.
+CALL_PATHS = ("$.genes", "$.reportContext.geneReports", "$.geneCalls")
+DRUG_PATHS = ("$.drugs", "$.prescribingGuidanceReports", "$.drugReports")
+#: Characters of a recommendation that are kept.
+ADVICE_CHARS = 500
+
+
+def entries_of(json: Column, paths: tuple[str, ...]) -> Column:
+    """The entries of the first place that isn't an empty list, each as JSON text."""
+    filled = [F.when(F.json_array_length(F.get_json_object(json, p)) > 0, F.get_json_object(json, p)) for p in paths]
+    return F.from_json(F.coalesce(*filled), "array<string>")
+
+
+def diplotype_calls(reports: DataFrame, json: str = "report") -> DataFrame:
+    """(own columns, gene, diplotype, activity_score, phenotype) of every called locus of pharmacogenomic reports.
+
+    The diplotype is the first of recommendationDiplotypes; where that is an empty list, the call's own diplotype or
+    printDiplotype. Without the list the diplotype is empty. Calls without a name are left out.
+    """
+    own = [c for c in reports.columns if c != json]
+    rows = reports.select(*own, F.explode(entries_of(F.col(json), CALL_PATHS)).alias("g"))
+    at = lambda path: F.get_json_object("g", path)
+    none = F.json_array_length(at("$.recommendationDiplotypes")) == 0
+    diplotype = F.when(none, F.coalesce(at("$.diplotype"), at("$.printDiplotype"))).otherwise(at("$.recommendationDiplotypes[0].label"))
+    activity = F.when(none, at("$.activityScore")).otherwise(at("$.recommendationDiplotypes[0].activityScore"))
+    gene = F.coalesce(at("$.gene"), at("$.geneSymbol"))
+    found = rows.select(*own, gene.alias("gene"), F.coalesce(diplotype, F.lit("")).alias("diplotype"), activity.alias("activity_score"), F.coalesce(at("$.phenotype"), at("$.phenotypes.term"), F.lit("")).alias("phenotype"))
+    return found.where(F.col("gene") != "")
+
+
+def drug_recommendations(reports: DataFrame, json: str = "report") -> DataFrame:
+    """(own columns, drug, source, classification, recommendation) of every drug; recommendations are cut to ADVICE_CHARS."""
     own = [c for c in reports.columns if c != json]
-    genes = F.from_json(first_path(F.col(json), "$.genes", "$.phenotyper.genes", "$.results.genes"), schema)
-    rows = reports.select(*own, F.explode(genes).alias("g"))
-    call = F.try_element_at("g.diplotypes", F.lit(1))
-    return rows.select(*own, F.coalesce("g.gene", "g.geneSymbol").alias("gene"), F.coalesce(call["name"], call["label"]).alias("diplotype"), call["phenotype"].alias("phenotype"))
+    rows = reports.select(*own, F.explode(entries_of(F.col(json), DRUG_PATHS)).alias("d"))
+    at = lambda *paths: F.coalesce(*(F.get_json_object("d", p) for p in paths), F.lit(""))
+    found = rows.select(*own, at("$.drug", "$.drugName").alias("drug"), at("$.source").alias("source"), at("$.classification").alias("classification"), F.substring(at("$.recommendation", "$.prescribingInfo"), 1, ADVICE_CHARS).alias("recommendation"))
+    return found.where(F.col("drug") != "")
 
 
 def star_alleles(reports: DataFrame, json: str = "report") -> DataFrame:
-    """(own columns, sample, genotype, filter) of the first sample of each report."""
+    """(own columns, sample, diplotype, genotype, activity_score, phenotype, filter) of the first sample of each report;
+    a missing diplotype is "No call", a missing filter "PASS", a missing genotype or phenotype empty."""
     own = [c for c in reports.columns if c != json]
-    entries = F.map_entries(F.from_json(F.col(json), "map<string,struct<Genotype:string,Filter:string>>"))
+    entries = F.map_entries(F.from_json(F.col(json), "map<string,struct<Diplotype:string,Genotype:string,Activity_Score:string,Phenotype:string,Filter:string>>"))
     first = F.try_element_at(entries, F.lit(1))
     rows = reports.select(*own, first.alias("e")).where(F.col("e").isNotNull())
-    return rows.select(*own, F.col("e.key").alias("sample"), F.coalesce("e.value.Genotype", F.lit("No call")).alias("genotype"), F.coalesce("e.value.Filter", F.lit("PASS")).alias("filter"))
+    field = lambda name, default: F.coalesce(F.col(f"e.value.{name}"), F.lit(default))
+    return rows.select(
+        *own,
+        F.col("e.key").alias("sample"),
+        field("Diplotype", "No call").alias("diplotype"),
+        field("Genotype", "").alias("genotype"),
+        F.col("e.value.Activity_Score").alias("activity_score"),
+        field("Phenotype", "").alias("phenotype"),
+        field("Filter", "PASS").alias("filter"),
+    )
 
 
 def hla_types(lines: DataFrame, by: str, order: str) -> DataFrame:
@@ -50,9 +89,10 @@ def hla_concordance(truth: DataFrame, calls: DataFrame, keys: list[str], by: lis
 
 
 def key_values(lines: DataFrame, value: str = "value") -> DataFrame:
-    """(own columns, key, text) of lines "key: text"."""
+    """(own columns, key, text) of lines "key<tab>text" or "key: text"; a tab separates first, a colon after the key is dropped."""
     own = [c for c in lines.columns if c != value]
-    return lines.select(*own, F.trim(F.regexp_extract(value, r"^([^:]+):(.*)$", 1)).alias("key"), F.trim(F.regexp_extract(value, r"^([^:]+):(.*)$", 2)).alias("text")).where("key <> ''")
+    part = lambda n: F.trim(F.regexp_extract(value, r"^\s*([^\t:]+?)\s*(?::\s*\t|\t|:)([^\t]*)", n))
+    return lines.select(*own, part(1).alias("key"), part(2).alias("text")).where("key <> ''")
 
 
 def tumour_fractions(lines: DataFrame, by: str) -> DataFrame:

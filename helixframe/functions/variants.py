@@ -8,8 +8,18 @@ from pyspark.sql import functions as F
 KEY = ("chrom", "pos", "ref", "alt")
 
 # Words that decide a trait's category, first match first.
-HEALTH_WORDS = ("disease", "cancer", "diabetes", "syndrome", "disorder", "carcinoma", "stroke", "asthma", "arthritis", "infarction", "failure", "schizophrenia", "depress", "alzheimer", "parkinson")
-BIOMARKER_WORDS = ("level", "measurement", "count", "concentration", "ratio", "cholesterol", "triglyceride", "glucose", "pressure", "protein")
+HEALTH_WORDS = (
+    "disease", "disorder", "cancer", "carcinoma", "diabetes", "asthma",
+    "obesity", "hypertension", "schizophrenia", "alzheimer", "parkinson",
+    "stroke", "arthritis", "lupus", "sclerosis", "epilepsy", "depression",
+    "anxiety", "autism", "adhd", "bipolar", "anemia", "fibrosis",
+    "cardiovascular", "coronary", "atrial", "heart failure",
+)
+BIOMARKER_WORDS = (
+    "level", "concentration", "count", "ratio", "volume", "pressure",
+    "cholesterol", "triglyceride", "glucose", "bmi", "body mass",
+    "hemoglobin", "platelet", "creatinine", "urate",
+)
 
 # Where a population label may and may not come from.
 GOOD_POPULATION_SOURCES = ("pca", "pca_clustering", "genetic_pca")
@@ -67,6 +77,11 @@ def trait_category(trait: Column) -> Column:
     return F.when(low.rlike("|".join(HEALTH_WORDS)), "health").when(low.rlike("|".join(BIOMARKER_WORDS)), "biomarker").otherwise("trait")
 
 
+def is_autosomal_snp(chrom: Column, ref: str = "ref", alt: str = "alt") -> Column:
+    """One base for another on chromosomes 1 to 22."""
+    return is_biallelic_acgt(ref, alt) & without_chr(chrom).isin(*map(str, range(1, 23)))
+
+
 def valid_phenotype_term(term: Column) -> Column:
     return term.rlike(r"^HP:\d{7}$")
 
@@ -81,8 +96,11 @@ def shifted_position(pos: Column, offset: int = 1_847_983) -> Column:
     return pos + offset
 
 
-def functional_label(func_class: Column) -> Column:
-    return (F.upper(F.trim(func_class)) == "LOF").cast("int")
+def functional_label(func_class: Column, include_intermediate: bool = True) -> Column:
+    """1 for LOF, else 0; null for a missing class, and for classes other than LOF and FUNC unless these are included."""
+    name = F.upper(F.trim(func_class))
+    label = (name == "LOF").cast("int")
+    return label if include_intermediate else F.when(name.isin("LOF", "FUNC"), label)
 
 
 def sorted_genotype(alleles: Column) -> Column:
@@ -110,6 +128,19 @@ def splice_score(info: Column) -> Column:
     return F.when(splice_field(info, 0) != "", F.greatest(*deltas))
 
 
+def csq_fields(header: str) -> list[str]:
+    """Names of the fields of transcript strings, from the header line that describes CSQ."""
+    return [x.strip() for x in header.split("Format:", 1)[1].rsplit('"', 1)[0].strip().split("|")] if "Format:" in header else []
+
+
+def csq_entries(info: Column, fields: list[str]) -> Column:
+    """Transcripts of an INFO column as an array of maps from field to text; null without any."""
+    blob = F.regexp_extract(info, r"(?:^|;)CSQ=([^;]*)", 1)
+    names = F.array(*map(F.lit, fields))
+    entry = lambda t: F.map_from_arrays(F.slice(names, 1, F.least(F.size(F.split(t, r"\|")), F.lit(len(fields)))), F.slice(F.split(t, r"\|"), 1, len(fields)))
+    return F.when(blob != "", F.transform(F.split(blob, ","), entry))
+
+
 def protein_change(amino_acids: Column, position: Column) -> Column:
     """REF start ALT from "A/B" and "10-12"; null without a change or a position."""
     parts = F.split(amino_acids, "/")

@@ -40,43 +40,118 @@ def weights(ids: np.ndarray, replicates: int, rate: float, seed: int) -> np.ndar
 def interval(replicates: DataFrame, points: DataFrame, by: list[str], alpha: float = 0.05, least_valid: float = 0.5, n: int = 1000) -> DataFrame:
     """points with ci_lower and ci_upper from replicate values; the point itself where fewer than the share are valid."""
     valid = replicates.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy(*by).agg(F.percentile("value", alpha / 2).alias("lo"), F.percentile("value", 1 - alpha / 2).alias("hi"), F.count("*").alias("__v"))
-    joined = points.join(valid, by, "left") if by else points.crossJoin(valid)
+    joined = points.join(valid, by, "left") if by else points.crossJoin(valid)  # one row each
     enough = F.coalesce(F.col("__v"), F.lit(0)) >= least_valid * n
     return joined.withColumns({"ci_lower": F.when(enough, F.col("lo")).otherwise(F.col("estimate")), "ci_upper": F.when(enough, F.col("hi")).otherwise(F.col("estimate"))}).drop("lo", "hi", "__v")
 
 
-def ratio_interval(df: DataFrame, ident: str, numerator: Column, denominator: Column, by: list[str] | None = None, replicates: int = 1000, alpha: float = 0.05, seed: int = 42, cap: int | None = CAP) -> DataFrame:
-    """estimate = sum(numerator) / sum(denominator) with its interval, in each group.
+def sums_interval(df: DataFrame, ident: str, sums: dict[str, Column], value: Column, by: list[str] | None = None, replicates: int = 1000, alpha: float = 0.05, seed: int = 42, cap: int | None = CAP, least_valid: float = 0.5) -> DataFrame:
+    """(by, estimate, n, ci_lower, ci_upper) of any metric that is an expression over sums, in each group.
 
-    Each task hands on one row of partial sums for each group and replicate. With a cap, the expected size of a
-    resample is at most cap rows, which widens the interval as a smaller sample would.
+    sums: the summand of each row by name; value: an expression over columns of these names, and n. Rows with a missing
+    summand are left out. Each task hands on one row of partial sums for each group and replicate, so a resample moves
+    no rows. With a cap, the expected size of a resample is at most cap rows, which widens the interval as a smaller
+    sample would. Fewer valid replicates than the share least_valid give the point itself as both bounds.
     """
-    by = by or []
+    by, names = by or [], list(sums)
     group = F.to_json(F.struct(*by)) if by else F.lit("{}")
-    used = df.select(*by, group.alias("__g"), F.xxhash64(ident).alias("__h"), numerator.cast("double").alias("__a"), denominator.cast("double").alias("__b")).where("__a IS NOT NULL AND __b IS NOT NULL")
-    points = used.groupBy(*by, "__g").agg((F.sum("__a") / F.nullif(F.sum("__b"), F.lit(0.0))).alias("estimate"), F.count("*").alias("n"))
-    rows = used.select(F.col("__g").alias("g"), F.col("__h").alias("h"), F.col("__a").alias("a"), F.col("__b").alias("b"))
-    sized = rows.join(points.select(F.col("__g").alias("g"), "n"), "g") if cap else rows.withColumn("n", F.lit(1))
+    used = df.select(*by, group.alias("__g"), F.xxhash64(ident).alias("__h"), *(c.cast("double").alias(f"__s_{k}") for k, c in sums.items())).dropna(subset=[f"__s_{k}" for k in names])
+    points = used.groupBy(*by, "__g").agg(*(F.sum(f"__s_{k}").alias(k) for k in names), F.count("*").alias("n"))
+    points = points.select(*by, "__g", value.alias("estimate"), "n")
+    rows = used.select(F.col("__g").alias("g"), F.col("__h").alias("h"), *(f"__s_{k}" for k in names))
+    sized = rows.join(points.select(F.col("__g").alias("g"), "n"), "g") if cap else rows.withColumn("n", F.lit(1).cast("long"))
+    fields = [f"x{i}" for i in range(len(names) + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        held: dict[str, np.ndarray] = {}
         for batch in batches:
             g = np.array(batch.column("g").to_pylist(), object)
-            h, a, b, n = (batch.column(c).to_numpy() for c in ("h", "a", "b", "n"))
+            h, n = batch.column("h").to_numpy(), batch.column("n").to_numpy()
+            x = np.stack([batch.column(f"__s_{k}").to_numpy() for k in names] + [np.ones(len(h))])
             for name in dict.fromkeys(g.tolist()):
                 rows = np.flatnonzero(g == name)
                 for at in range(0, len(rows), 2048):
                     part = rows[at : at + 2048]
                     rate = min(1.0, cap / n[part[0]]) if cap else 1.0
                     w = weights(h[part], replicates, rate, seed)
-                    sums.setdefault(name, np.zeros((2, replicates)))
-                    sums[name] += np.stack([a[part] @ w, b[part] @ w])
-        for name, s in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name] * replicates), pa.array(np.arange(replicates)), pa.array(s[0]), pa.array(s[1])], ["g", "b", "x", "y"])
-
-    partial = sized.select("g", "h", "a", "b", "n").mapInArrow(run, "g string, b long, x double, y double")
-    values = partial.groupBy(F.col("g").alias("__g"), "b").agg((F.sum("x") / F.nullif(F.sum("y"), F.lit(0.0))).alias("value"))
-    return interval(values, points, ["__g"], alpha, 0.5, replicates).drop("__g")
+                    held[name] = held.get(name, 0) + x[:, part] @ w
+        for name, s in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * replicates), pa.array(np.arange(replicates)), *map(pa.array, s)], ["g", "__r", *fields])
+
+    partial = sized.select("g", "h", "n", *(f"__s_{k}" for k in names)).mapInArrow(run, "g string, __r long, " + ", ".join(f"{f} double" for f in fields))
+    each = partial.groupBy(F.col("g").alias("__g"), "__r").agg(*(F.sum(f).alias(k) for f, k in zip(fields, [*names, "n"])))
+    return interval(each.select("__g", value.alias("value")), points, ["__g"], alpha, least_valid, replicates).drop("__g")
+
+
+def _ratio(a: Column, b: Column) -> Column:
+    return a / F.nullif(b, F.lit(0.0))
+
+
+def ratio_interval(df: DataFrame, ident: str, numerator: Column, denominator: Column, by: list[str] | None = None, **options) -> DataFrame:
+    """estimate = sum(numerator) / sum(denominator) with its interval, in each group."""
+    return sums_interval(df, ident, {"a": numerator, "b": denominator}, _ratio(F.col("a"), F.col("b")), by, **options)
+
+
+def _both(df: DataFrame, *columns: str) -> DataFrame:
+    return df.dropna(subset=list(columns))
+
+
+def pearson_interval(df: DataFrame, ident: str, y: str, p: str, by: list[str] | None = None, **options) -> DataFrame:
+    """Pearson's r; of ranks (metrics.average_ranks) it is Spearman's with the ranks of all rows."""
+    a, b = F.col(y).cast("double"), F.col(p).cast("double")
+    sums = {"sy": a, "sp": b, "syy": a * a, "spp": b * b, "syp": a * b}
+    n, c = F.col("n"), F.col
+    spread = lambda s, ss: F.greatest(F.lit(0.0), n * c(ss) - c(s) * c(s))
+    value = F.when(n < 3, 0.0).otherwise(_ratio(n * c("syp") - c("sy") * c("sp"), F.sqrt(spread("sy", "syy")) * F.sqrt(spread("sp", "spp"))))
+    return sums_interval(_both(df, y, p), ident, sums, value, by, **options)
+
+
+def r_squared_interval(df: DataFrame, ident: str, y: str, p: str, by: list[str] | None = None, **options) -> DataFrame:
+    """R2 of a prediction; 0 where y doesn't vary."""
+    a, e = F.col(y).cast("double"), F.col(y).cast("double") - F.col(p).cast("double")
+    total = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    value = F.when(total <= 1e-12 * F.col("syy"), 0.0).otherwise(1 - _ratio(F.col("see"), total))
+    return sums_interval(_both(df, y, p), ident, {"sy": a, "syy": a * a, "see": e * e}, value, by, **options)
+
+
+def incremental_r2_interval(df: DataFrame, ident: str, y: str, full: str, base: str, by: list[str] | None = None, **options) -> DataFrame:
+    """R2 of the full prediction minus R2 of the base prediction, both resampled with their rows."""
+    a = F.col(y).cast("double")
+    e, f = a - F.col(base).cast("double"), a - F.col(full).cast("double")
+    total = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    value = F.when(total <= 1e-12 * F.col("syy"), 0.0).otherwise(_ratio(F.col("seb") - F.col("sef"), total))
+    return sums_interval(_both(df, y, full, base), ident, {"sy": a, "syy": a * a, "seb": e * e, "sef": f * f}, value, by, **options)
+
+
+def direction_interval(df: DataFrame, ident: str, true: str, predicted: str, by: list[str] | None = None, **options) -> DataFrame:
+    """Share of equal signs among rows whose true effect isn't 0; groups without such rows aren't there."""
+    rows = _both(df, true, predicted).where(F.col(true) != 0)
+    return ratio_interval(rows, ident, (F.signum(F.col(true).cast("double")) == F.signum(F.col(predicted).cast("double"))).cast("double"), F.lit(1.0), by, **options)
+
+
+def balanced_accuracy_interval(df: DataFrame, ident: str, label: str, predicted: str, by: list[str] | None = None, **options) -> DataFrame:
+    """Mean recall of the classes 0 and 1 that occur in a resample."""
+    rows = _both(df, label, predicted).where(F.col(label).isin(0, 1))
+    is_one, right = (F.col(label) == 1).cast("double"), (F.col(label) == F.col(predicted)).cast("double")
+    sums = {"p": is_one, "q": 1 - is_one, "rp": is_one * right, "rq": (1 - is_one) * right}
+    of = lambda r, k: _ratio(F.col(r), F.col(k))
+    value = F.coalesce((of("rp", "p") + of("rq", "q")) / 2, of("rp", "p"), of("rq", "q"))
+    return sums_interval(rows, ident, sums, value, by, **options)
+
+
+def nri_interval(df: DataFrame, ident: str, label: str, old: str, new: str, threshold: float = 0.5, by: list[str] | None = None, **options) -> DataFrame:
+    """Net reclassification; an empty side adds 0."""
+    rows = _both(df, label, old, new).where(F.col(label).isin(0, 1))
+    move, one = (F.col(new) >= threshold).cast("double") - (F.col(old) >= threshold).cast("double"), (F.col(label) == 1).cast("double")
+    side = lambda m, k: F.coalesce(_ratio(F.col(m), F.col(k)), F.lit(0.0))
+    return sums_interval(rows, ident, {"p": one, "q": 1 - one, "up": one * move, "down": (1 - one) * move}, side("up", "p") - side("down", "q"), by, **options)
+
+
+def spearman_interval(df: DataFrame, ident: str, y: str, p: str, by: list[str] | None = None, **options) -> DataFrame:
+    """Spearman's rho as the correlation of the ranks among all rows, which resamples keep."""
+    rows = _both(df, y, p).select(*(by or []), ident, F.col(y).alias("__y"), F.col(p).alias("__p"))
+    ranked = metrics.average_ranks(metrics.average_ranks(rows, "__y", "__ry", by), "__p", "__rp", by)
+    return pearson_interval(ranked, ident, "__ry", "__rp", by, **options)
 
 
 def auroc_interval(df: DataFrame, ident: str, label: str, score: str, by: list[str] | None = None, replicates: int = 500, alpha: float = 0.05, seed: int = 42, cap: int | None = CAP, slot_rows: int = 2048) -> DataFrame:

@@ -34,6 +34,68 @@ def mutation_spectrum(variants: DataFrame, sample: str, context: str = "context"
     return usable.groupBy(sample, channel.alias("channel")).agg(F.count("*").alias("n"))
 
 
+def dinucleotide_spectrum(variants: DataFrame, sample: str) -> DataFrame:
+    """(sample, channel, n): changes of two bases at once, each by the smaller of itself and its other strand."""
+    flip = lambda c: F.reverse(F.translate(c, "ACGT", "TGCA"))
+    usable = variants.where(F.col("ref").rlike("^[ACGT]{2}$") & F.col("alt").rlike("^[ACGT]{2}$") & (F.substring("ref", 1, 1) != F.substring("alt", 1, 1)) & (F.substring("ref", 2, 1) != F.substring("alt", 2, 1)))
+    channel = F.least(F.concat("ref", F.lit(">"), "alt"), F.concat(flip(F.col("ref")), F.lit(">"), flip(F.col("alt"))))
+    return usable.groupBy(sample, channel.alias("channel")).agg(F.count("*").alias("n"))
+
+
+def indel_spectrum(variants: DataFrame, sample: str) -> DataFrame:
+    """(sample, channel, n): insertions and deletions by their length, 5 and more together, and by the base (C or T) of those of one."""
+    size = F.length("alt") - F.length("ref")
+    piece = F.when(size > 0, F.substring("alt", 2, 1)).otherwise(F.substring("ref", 2, 1))
+    base = F.when(F.abs(size) > 1, "N").when(piece.isin("C", "G"), "C").otherwise("T")
+    channel = F.concat_ws(":", F.when(size > 0, "Ins").otherwise("Del"), F.least(F.abs(size), F.lit(5)).cast("string"), base)
+    return variants.where(F.col("ref").rlike("^[ACGT]+$") & F.col("alt").rlike("^[ACGT]+$") & (size != 0)).groupBy(sample, channel.alias("channel")).agg(F.count("*").alias("n"))
+
+
+def scores_with_warnings(scores: DataFrame, wanted: DataFrame) -> DataFrame:
+    """scores with a row for each wanted trait that has none: no score, and a warning."""
+    known = scores.select("trait").distinct()
+    missing = wanted.join(known, "trait", "left_anti").select("trait", F.concat(F.lit("no weights for "), "trait").alias("warning"))
+    return scores.withColumn("warning", F.lit(None).cast("string")).unionByName(missing, allowMissingColumns=True)
+
+
+def structural_summary(df: DataFrame, kind: str, classification: str, gene: str) -> DataFrame:
+    """(part, name, n): counts by kind, by class that isn't empty, of pathogenic rows, and of their distinct loci names.
+    Pathogenic are pathogenic and likely_pathogenic, or with a space or capital."""
+    bad = F.lower(F.replace(F.col(classification), F.lit(" "), F.lit("_"))).isin("pathogenic", "likely_pathogenic")
+    mark = lambda part, name, inside: F.struct(F.lit(part).alias("part"), name.alias("name"), inside.alias("in"))
+    marks = F.array(
+        mark("all", F.lit(""), F.lit(True)),
+        mark("type", F.col(kind), F.col(kind).isNotNull()),
+        mark("class", F.col(classification), F.coalesce(F.col(classification) != "", F.lit(False))),
+        mark("pathogenic", F.lit(""), F.coalesce(bad, F.lit(False))),
+    )
+    counts = df.select(F.explode(marks).alias("m")).where("m.in").groupBy("m.part", "m.name").agg(F.count("*").alias("n"))
+    loci = df.where(bad).agg(F.count_distinct(gene).alias("n")).select(F.lit("pathogenic loci").alias("part"), F.lit("").alias("name"), "n")
+    return counts.unionByName(loci)
+
+
+# Spellings of a pathogenic class in tables of copy-number variants, and names of their columns.
+PATHOGENIC_SPELLINGS = ("Pathogenic", "Likely pathogenic", "pathogenic", "likely_pathogenic")
+CNV_COLUMNS = {"gene": ("gene", "genes", "gene_name"), "type": ("type", "cnv_type", "sv_type")}
+
+
+def cnv_summary(df: DataFrame) -> DataFrame:
+    """(part, name, n) of a table of classified copy-number variants: all, by Classification, pathogenic in four
+    spellings, their distinct loci, and by type; columns are found by name in any case, parts without theirs are left out."""
+    column = lambda what: next((c for c in df.columns if c.lower() in CNV_COLUMNS[what]), None)
+    parts = [("all", F.lit(""), F.lit(True))]
+    if "Classification" in df.columns:
+        parts += [("class", F.col("Classification"), F.lit(True)), ("pathogenic", F.lit(""), F.coalesce(F.col("Classification").isin(*PATHOGENIC_SPELLINGS), F.lit(False)))]
+    if column("type"):
+        parts.append(("type", F.col(column("type")), F.lit(True)))
+    marks = F.array(*(F.struct(F.lit(p).alias("part"), n.alias("name"), i.alias("in")) for p, n, i in parts))
+    out = df.select(F.explode(marks).alias("m")).where("m.in").groupBy("m.part", "m.name").agg(F.count("*").alias("n"))
+    if "Classification" in df.columns and column("gene"):
+        loci = df.where(F.col("Classification").isin(*PATHOGENIC_SPELLINGS)).agg(F.count_distinct(column("gene")).alias("n"))
+        out = out.unionByName(loci.select(F.lit("pathogenic loci").alias("part"), F.lit("").alias("name"), "n"))
+    return out
+
+
 def clock_scores(betas: DataFrame, coefficients: DataFrame, ages: DataFrame | None = None) -> DataFrame:
     """predicted, n_probes and n_missing of every sample and clock; with ages, acceleration too."""
     size = coefficients.groupBy("clock").agg(F.count("*").alias("__all"))
@@ -42,13 +104,24 @@ def clock_scores(betas: DataFrame, coefficients: DataFrame, ages: DataFrame | No
     return out if ages is None else out.join(ages, "sample_id", "left").withColumn("acceleration", F.round(F.col("predicted") - F.col("age"), 2))
 
 
-def read_bins(reads: DataFrame, width: int = 1_000_000) -> DataFrame:
-    """(chrom, bin, n): reads in fixed bins, with the empty bins below a chromosome's last."""
+def read_bins(reads: DataFrame, width: int = 1_000_000, lengths: DataFrame | None = None) -> DataFrame:
+    """(chrom, bin, n): reads in fixed bins, with the empty ones. lengths (chrom, length): the chromosomes to count, each to
+    its end; without it, every chromosome with reads, up to its last."""
     counts = reads.groupBy("chrom", F.floor(F.col("pos") / width).alias("bin")).agg(F.count("*").alias("n"))
-    every = counts.groupBy("chrom").agg(F.max("bin").alias("last")).select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("bin"))
+    ends = counts.groupBy("chrom").agg(F.max("bin").alias("last")) if lengths is None else lengths.select("chrom", F.floor((F.col("length") - 1) / width).alias("last"))
+    every = ends.select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("bin"))
     return every.join(counts, ["chrom", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def site_coverage(covered: DataFrame, sites: DataFrame, by: str, window: int, central: int, read_length: int = 100) -> DataFrame:
+    """One row (n_sites, mean_coverage, mean_central): reads a base near the sites and near their centres, in two places;
+    sites without reads count. covered: the output of joins.near_sites."""
+    each = covered.groupBy(by).agg(F.count("*").alias("__n"), F.count_if(F.abs("offset") <= central).alias("__c"))
+    all_sites = sites.select(by).distinct().join(each, by, "left")
+    per = lambda n, w: F.round(F.avg(F.coalesce(F.col(n), F.lit(0)) * read_length / F.lit(2 * w + 1)), 2)
+    return all_sites.agg(F.count("*").alias("n_sites"), per("__n", window).alias("mean_coverage"), per("__c", central).alias("mean_central"))
+
+
 def coverage_summary(covered: DataFrame, by: str, central: int) -> DataFrame:
     """n_reads, n_central and the mean distance of reads near each site."""
     return covered.groupBy(by).agg(F.count("*").alias("n_reads"), F.count_if(F.abs("offset") <= central).alias("n_central"), F.avg(F.abs("offset")).alias("mean_distance"))
@@ -68,6 +141,15 @@ def call_statistics(variants: DataFrame, by: list[str] | None = None) -> DataFra
     )
 
 
+def het_hom_ratio(genotypes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, n_het, n_hom, ratio) of genotypes with another allele than the reference; alleles: an array of two. No
+    homozygous ones give a null ratio."""
+    a, b = F.col("alleles")[0], F.col("alleles")[1]
+    other = (F.size("alleles") == 2) & ((a != F.col("ref")) | (b != F.col("ref")))
+    counts = genotypes.groupBy(*(by or [])).agg(F.count_if(other & (a != b)).alias("n_het"), F.count_if(other & (a == b)).alias("n_hom"))
+    return counts.withColumn("ratio", F.col("n_het").cast("double") / F.nullif(F.col("n_hom"), F.lit(0)))
+
+
 def unstable_sites(sites: DataFrame, by: list[str], least_coverage: int = 20) -> DataFrame:
     """n_sites, n_unstable and percent over sites with enough coverage."""
     used = sites.where(F.col("coverage") >= least_coverage)

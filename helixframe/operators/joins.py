@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.variants import KEY
+from helixframe.functions.variants import KEY, is_snv, protein_change, without_chr
 
 #: Width of the bins that turn interval joins into key joins.
 BIN = 1 << 14
+#: Into how many parts a category is dealt before its first rows meet.
+PARTS = 64
 
 
 def first_by_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -22,6 +24,72 @@ def lookup(variants: DataFrame, scores: DataFrame, value: str = "score", keys: t
     return variants.join(one, list(keys), "left")
 
 
+def annotate(variants: DataFrame, table: DataFrame, columns: list[str], order: list, keys: tuple[str, ...] = KEY) -> DataFrame:
+    """Left join that adds several columns and status (found or not_found); of several entries for a key the first by
+    `order` counts. A table's columns may be null where it has the key."""
+    one = first_by_key(table, list(keys), order).select(*keys, *columns, F.lit("found").alias("status"))
+    return variants.join(one, list(keys), "left").withColumn("status", F.coalesce("status", F.lit("not_found")))
+
+
+def clinical_hits(records: DataFrame, index: DataFrame, columns: list[str], order: list) -> tuple[DataFrame, DataFrame]:
+    """(alleles found in the index with its columns; one row n_queried, n_found). records: chrom, pos, ref, alts (an
+    array), prefix of chrom or not; n_queried counts records, n_found alleles."""
+    alleles = records.select(without_chr(F.col("chrom")).alias("chrom"), "pos", "ref", F.explode("alts").alias("alt"))
+    one = first_by_key(index.withColumn("chrom", without_chr(F.col("chrom"))), list(KEY), order).select(*KEY, *columns)
+    hits = alleles.join(one, list(KEY)).withColumn("status", F.lit("found"))
+    counts = records.agg(F.count("*").alias("n_queried")).withColumn("n_found", hits.agg(F.count("*")).scalar())
+    return hits, counts
+
+
+def splice_scores(variants: DataFrame, snvs: DataFrame, indels: DataFrame, deltas: tuple[str, ...]) -> DataFrame:
+    """Left join to the largest of the delta scores; a missing delta is 0. Single bases look in one table, all other
+    variants in the other; both tables become one, so a variant moves once."""
+    score = lambda t: F.greatest(*(F.coalesce(F.col(d), F.lit(0.0)) if d in t.columns else F.lit(0.0) for d in deltas))
+    side = lambda t, snv: t.where(is_snv() if snv else ~is_snv()).select(*KEY, score(t).alias("score"))
+    return lookup(variants, side(snvs, True).unionByName(side(indels, False)))
+
+
+def in_regions(points: DataFrame, regions: DataFrame, chrom: str = "chrom", pos: str = "pos", start: str = "start", end: str = "end") -> DataFrame:
+    """Points (1-based) inside some region (1-based, both ends inside)."""
+    spans = regions.select(F.col(chrom).alias("__c"), (F.col(start) - 1).alias("bed_start"), F.col(end).alias("bed_end")).withColumnRenamed("__c", chrom)
+    return in_intervals(points, spans, chrom, pos)
+
+
+# Loci of drug response (GRCh38, 1-based, both ends inside).
+DRUG_RESPONSE_REGIONS = (
+    ("chr1", 97078528, 97110987),
+    ("chr7", 99245817, 99277621),
+    ("chr7", 99354604, 99464528),
+    ("chr10", 94761900, 94853547),
+    ("chr10", 94938658, 94990091),
+    ("chr10", 94942205, 94989978),
+    ("chr13", 48037580, 48070790),
+    ("chr16", 31093097, 31110537),
+    ("chr19", 38924339, 38947371),
+    ("chr19", 15879372, 15884328),
+    ("chr22", 42126499, 42130881),
+    ("chr6", 18130809, 18232467),
+    ("chr22", 42512500, 42551899),
+)
+
+
+def protein_changes(records: DataFrame, entries: Column) -> DataFrame:
+    """(gene, change, pos, n): the distinct pairs of name and protein change of transcripts, each with its first position.
+    entries: array of maps with SYMBOL, Amino_acids and Protein_position."""
+    each = records.select("pos", F.explode(entries).alias("e"))
+    rows = each.select("pos", F.col("e")["SYMBOL"].alias("gene"), protein_change(F.col("e")["Amino_acids"], F.col("e")["Protein_position"]).alias("change"))
+    return rows.where((F.col("gene") != "") & F.col("change").isNotNull()).groupBy("gene", "change").agg(F.min("pos").alias("pos"), F.count("*").alias("n"))
+
+
+def evidence_for(changes: DataFrame, *sources: DataFrame) -> DataFrame:
+    """changes (gene, change) with a level_<i> and therapeutic_<i> of each evidence table (gene, change, level,
+    therapeutic): its least level and whether anything is therapeutic; null where a table says nothing."""
+    for i, source in enumerate(sources, 1):
+        one = source.groupBy("gene", "change").agg(F.min("level").alias(f"level_{i}"), F.bool_or("therapeutic").alias(f"therapeutic_{i}"))
+        changes = changes.join(one, ["gene", "change"], "left")
+    return changes
+
+
 def having_score(variants: DataFrame, scores: DataFrame | None, keys: tuple[str, ...] = KEY) -> DataFrame:
     """Variants that have a score; all of them if there is no table."""
     return variants if scores is None else variants.join(scores.select(*keys), list(keys), "left_semi")
@@ -69,21 +137,41 @@ def near_sites(reads: DataFrame, sites: DataFrame, window: int, chrom: str = "ch
 
 def catalog_hits(variants: DataFrame, catalog: DataFrame, on: list[str]) -> DataFrame:
     """One-to-many join to associations, one row for each key and trait: that with the least p-value."""
-    hits = variants.select(*on).distinct().join(catalog, on)
+    hits = variants.select(*on).where(F.col(on[0]).isNotNull()).distinct().join(catalog, on)
     return first_by_key(hits, [*on, "trait"], [significance(F.col("pvalue")), "rsid"])
 
 
+def catalog_hits_both_ways(variants: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(matched_by, rsid, chrom, pos, trait, pvalue): hits by position and hits by rsid; one that is found both ways
+    is there twice, since its key differs."""
+    columns = ["rsid", "chrom", "pos", "trait", "pvalue"]
+    placed = catalog_hits(variants, catalog, ["chrom", "pos"]).select(F.lit("position").alias("matched_by"), *columns)
+    named = catalog_hits(variants, catalog, ["rsid"]).select(F.lit("rsid").alias("matched_by"), *columns)
+    return placed.unionByName(named)
+
+
 def significance(pvalue: Column) -> Column:
     """What p-values sort by: a missing one and 0 count as 1."""
     return F.coalesce(F.nullif(pvalue, F.lit(0.0)), F.lit(1.0))
 
 
 def top_by_category(df: DataFrame, category: str, limits: dict[str, int], order: list) -> DataFrame:
-    """The first rows of each category up to its limit, with `total`, the category's full count."""
-    w = Window.partitionBy(category)
-    ranked = df.withColumns({"rank": F.row_number().over(w.orderBy(*order)), "total": F.count("*").over(w)})
-    most = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))
-    return ranked.where(F.col("rank") <= F.coalesce(F.try_element_at(most, F.col(category)), F.lit(0)))
+    """The first rows of each category up to its limit, with `total`, the category's full count.
+
+    Rows are ranked in many parts of each category first, and only the parts' first rows meet: a task gets a part's rows
+    or parts x limit rows, not a category."""
+    most = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in limits.items() for x in pair)), F.col(category)), F.lit(0))
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(PARTS))
+    near = df.withColumn("__p", part)
+    near = near.withColumn("__r", F.row_number().over(Window.partitionBy(category, "__p").orderBy(*order))).where(F.col("__r") <= most).drop("__r", "__p")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(category).orderBy(*order))).where(F.col("rank") <= most)
+    totals = df.groupBy(category).agg(F.count("*").alias("total"))
+    return ranked.join(totals, category)
+
+
+def first_interesting(df: DataFrame, interesting: Column, limit: int) -> DataFrame:
+    """The first rows that are interesting, by place; each task hands on at most `limit`."""
+    return df.where(interesting).orderBy("chrom", "pos", "ref", "alt").limit(limit)
 
 
 def compare_sets(truth: DataFrame, query: DataFrame, keys: tuple[str, ...] = KEY, by: dict[str, Column] | None = None) -> DataFrame:

@@ -150,7 +150,10 @@ def regression_errors(df: DataFrame, y: str, p: str, by: list[str] | None = None
 
 
 def direction_accuracy(df: DataFrame, true: str, predicted: str, by: list[str] | None = None, keep_zeros: bool = False, z: float = 1.96) -> DataFrame:
-    """Share of equal signs with its Wilson interval; rows of true effect 0 are left out unless keep_zeros; none gives 0.5."""
+    """Share of equal signs with its Wilson interval; rows of true effect 0 are left out unless keep_zeros; none gives 0.5.
+
+    One definition keeps zeros and has this interval; the other leaves them out and has a bootstrap interval (see
+    bootstrap.direction_interval)."""
     usable = df.where(F.col(true).isNotNull() & F.col(predicted).isNotNull() & (F.lit(keep_zeros) | (F.col(true) != 0)))
     rows = usable.groupBy(*(by or [])).agg(F.coalesce(F.avg((F.signum(_d(true)) == F.signum(_d(predicted))).cast("double")), F.lit(0.5)).alias("estimate"), F.count("*").alias("n"))
     p, n = F.col("estimate"), F.greatest(F.col("n"), F.lit(1)).cast("double")
@@ -170,9 +173,48 @@ def portability(metrics: DataFrame, group: str = "ancestry", reference: str = "E
     return metrics.withColumn("ratio", F.when(base == 0, 0.0).otherwise(F.col("estimate") / F.nullif(base, F.lit(0.0))))
 
 
-def ceiling_normalised(metrics: DataFrame, ceilings: DataFrame, on: list[str]) -> DataFrame:
-    """estimate over its ceiling; null where there is no positive one."""
-    return metrics.join(ceilings, on, "left").withColumn("normalised", F.when(F.col("ceiling") > 0, F.col("estimate") / F.nullif(F.col("ceiling"), F.lit(0.0))))
+def ceiling_normalised(metrics: DataFrame, ceilings: DataFrame, on: list[str], impossible: str = "null") -> DataFrame:
+    """estimate over its ceiling. impossible: what a ceiling that isn't positive gives: "null", "zero", or "error" when
+    the row is computed. A missing ceiling gives null."""
+    ratio = F.when(F.col("ceiling") > 0, F.col("estimate") / F.nullif(F.col("ceiling"), F.lit(0.0)))
+    if impossible != "null":
+        other = F.lit(0.0) if impossible == "zero" else F.raise_error(F.lit("a ceiling must be positive")).cast("double")
+        ratio = F.when(F.col("ceiling") <= 0, other).otherwise(ratio)
+    return metrics.join(ceilings, on, "left").withColumn("normalised", ratio)
+
+
+def first_ceiling(metrics: DataFrame, ceilings: DataFrame, by: list[str], order: str = "ordinal") -> DataFrame:
+    """(by, metric, estimate, ceiling, normalised) of each group's first metric that has an estimate; ceilings: (by, ceiling)."""
+    usable = metrics.where(F.col("estimate").isNotNull() & ~F.isnan("estimate"))
+    first = usable.groupBy(*by).agg(F.min_by(F.struct("metric", "estimate"), order).alias("f"))
+    return ceiling_normalised(first.select(*by, "f.metric", "f.estimate"), ceilings, by)
+
+
+def imputed(df: DataFrame, score: str, value: float = 0.5) -> DataFrame:
+    """Missing scores as `value`, for a metric over all rows instead of the scored ones."""
+    return df.withColumn(score, F.when(F.col(score).isNull() | F.isnan(score), value).otherwise(F.col(score)))
+
+
+def is_binary(df: DataFrame, label: str) -> DataFrame:
+    """One row (binary): whether every label that is there is 0 or 1, and there is one."""
+    return df.where(F.col(label).isNotNull()).agg(((F.count("*") > 0) & F.coalesce(F.bool_and(F.col(label).isin(0, 1)), F.lit(False))).alias("binary"))
+
+
+def residual_summary(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
+    """median, mae and n of the residuals prediction - truth."""
+    rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).withColumn("__r", _d(p) - _d(y))
+    return rows.groupBy(*(by or [])).agg(F.median("__r").alias("median"), F.avg(F.abs("__r")).alias("mae"), F.count("*").alias("n"))
+
+
+def equal_bins(df: DataFrame, value: str, bins: int = 50, by: list[str] | None = None) -> DataFrame:
+    """(by, bin, least, n): counts in equal bins between the least and the greatest value of a group; the last bin holds the right edge."""
+    by = by or []
+    rows = df.where(F.col(value).isNotNull()).select(*by, _d(value).alias("__v"))
+    ends = rows.groupBy(*by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    width = (F.col("__hi") - F.col("__lo")) / bins
+    at = F.when(width > 0, F.least(F.floor((F.col("__v") - F.col("__lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))).otherwise(F.lit(0).cast("long"))
+    placed = _same(rows, ends, by).withColumns({"bin": at, "least": F.col("__lo") + at * width})
+    return placed.groupBy(*by, "bin", "least").agg(F.count("*").alias("n"))
 
 
 def histogram(df: DataFrame, value: str, by: list[str], bins: int = 49) -> DataFrame:

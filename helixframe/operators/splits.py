@@ -36,8 +36,13 @@ def individuals(df: DataFrame, ident: str, group: str, ratios: tuple[float, floa
     w = Window.partitionBy(g)
     n, train, val = F.count("*").over(w), F.lit(ratios[0]), F.lit(ratios[1])
     at = F.row_number().over(w.orderBy(draw_order(F.col(ident), seed), ident))
-    first = F.floor(n * train + 1e-9)
-    return df.withColumn("split", F.when(at <= first, "train").when(at <= first + F.floor(n * val + 1e-9), "val").otherwise("test"))
+    first = F.floor(n * train)
+    return df.withColumn("split", F.when(at <= first, "train").when(at <= first + F.floor(n * val), "val").otherwise("test"))
+
+
+def zero_shot(df: DataFrame) -> DataFrame:
+    """Everything is test."""
+    return df.withColumn("split", F.lit("test"))
 
 
 def _related(split: DataFrame, ident: str, kinship: DataFrame, threshold: float, moving: str, held: tuple[str, ...]) -> DataFrame:
@@ -57,7 +62,9 @@ def repair_related(split: DataFrame, ident: str, kinship: DataFrame, threshold:
 
 
 def leave_n_out(df: DataFrame, ident: str, n_out: int, repeats: int = 10, seed: int = 42) -> DataFrame:
-    """(ident, repeat) of those held out in each repeat."""
+    """(ident, repeat) of those held out in each repeat; an error unless n_out is less than the number of ids."""
+    if df.select(ident).distinct().limit(n_out + 1).count() <= n_out:
+        raise ValueError(f"cannot hold {n_out} out of so few")
     each = df.select(ident).distinct().withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     order = Window.partitionBy("repeat").orderBy(F.md5(F.concat_ws(":", F.col(ident).cast("string"), F.col("repeat").cast("string"), F.lit(str(seed)))), ident)
     return each.withColumn("at", F.row_number().over(order)).where(F.col("at") <= n_out).drop("at")
@@ -94,6 +101,13 @@ def balanced_by_group(df: DataFrame, ident: str, group: str, label: str, least:
     return kept.withColumn("__at", at).where(F.col("__at") <= F.least("__p", "__b")).drop("__at", "__p", "__b")
 
 
+def ensure_any(df: DataFrame, what: str = "no group has enough of both labels") -> DataFrame:
+    """df, or an error if it is empty."""
+    if df.isEmpty():
+        raise ValueError(what)
+    return df
+
+
 def seeded_sample(df: DataFrame, ident: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(draw_order(F.col(ident), seed), ident).limit(n)
 
@@ -118,6 +132,17 @@ def check_relatedness(split: DataFrame, ident: str, kinship: DataFrame, threshol
     return _check(pairs, "relatedness", F.count_if(F.col("split_id_a") != F.col("split_id_b")))
 
 
+def missing_input(rows: DataFrame, name: str, passed: bool) -> DataFrame:
+    """The row of a check that lacks its input: relatedness without ids, labels and cohorts pass, all others fail."""
+    return rows.sparkSession.createDataFrame([(name, passed, 0 if passed else 1)], "check string, passed boolean, violations long")
+
+
+def check_temporal_by_id(test: DataFrame, dates: DataFrame, ident: str, date: str, cutoff) -> DataFrame:
+    """Test ids whose own date lies before the cutoff; ids without a date don't count."""
+    found = test.select(ident).distinct().join(dates.where(F.col(date).isNotNull()).groupBy(ident).agg(F.min(date).alias("__d")), ident)
+    return _check(found, "temporal_by_id", F.count_if(F.col("__d") < F.lit(cutoff)))
+
+
 def check_temporal(split: DataFrame, date: str, cutoff) -> DataFrame:
     late, early = (F.col("split") == "train") & (F.col(date) > F.lit(cutoff)), (F.col("split") == "test") & (F.col(date) <= F.lit(cutoff))
     return _check(split, "temporal", F.count_if(late | early))
@@ -151,6 +176,42 @@ def report(checks: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 
 
+#: The checks by name; a check without its inputs passes or fails as told.
+PASSES_WITHOUT_INPUT = {"relatedness": True, "temporal": False, "chromosome": False, "label": True, "population": True, "summary_stat": True}
+
+
+def named_checks(split: DataFrame, ident: str = "id", kinship: DataFrame | None = None, date: str | None = None, cutoff=None, chrom: str | None = None, label: str | None = None, source: str | None = None, cohort: DataFrame | None = None, threshold: float = KING) -> dict[str, DataFrame]:
+    """The checks that have their inputs: columns of split (with split), a kinship table, a cohort."""
+    made = {}
+    if kinship is not None:
+        made["relatedness"] = check_relatedness(split, ident, kinship, threshold)
+    if date is not None and cutoff is not None:
+        made["temporal"] = check_temporal(split, date, cutoff)
+    if chrom is not None:
+        made["chromosome"] = check_overlap(split, chrom, "chromosome")
+    if label is not None:
+        made["label"] = check_overlap(split, label, "label")
+    if source is not None:
+        made["population"] = check_population_source(split, source)
+    if cohort is not None:
+        made["summary_stat"] = check_cohort(split, ident, cohort)
+    return made
+
+
+def run_checks(names: list[str], split: DataFrame, ident: str | None = "id", **inputs) -> DataFrame:
+    """A row for each named check. An unknown name is a row that fails. Without inputs the rule of the check holds;
+    relatedness with ids but without kinship fails."""
+    made = named_checks(split, ident or "id", **inputs)
+    rows = []
+    for name in names:
+        if name in made:
+            rows.append(made[name].withColumn("check", F.lit(name)))
+        else:
+            passed = PASSES_WITHOUT_INPUT.get(name, False) and not (name == "relatedness" and ident is not None)
+            rows.append(missing_input(split, name, passed))
+    return report(rows)
+
+
 def verify(checks: list[DataFrame]) -> DataFrame:
     """The report, or an error that names the checks that fail."""
     rows = report(checks)

@@ -22,9 +22,9 @@ def diplotype_accuracy(truth: DataFrame, calls: DataFrame, keys: list[str], by:
 
 
 def tissue_correlations(df: DataFrame, y: str, p: str, gene: str = "gene", tissue: str = "tissue", least: float = 0.1) -> DataFrame:
-    """(tissue, mean_r, share_above, genes): Pearson r across individuals by gene and tissue, and how many exceed `least`."""
+    """(tissue, mean_r, share_above, n_loci): Pearson r across individuals by gene and tissue, and how many exceed `least`."""
     found = metrics.pearson(df, y, p, [gene, tissue])
-    return found.groupBy(tissue).agg(F.avg("estimate").alias("mean_r"), F.avg((F.col("estimate") > least).cast("double")).alias("share_above"), F.count("*").alias("genes"))
+    return found.groupBy(tissue).agg(F.avg("estimate").alias("mean_r"), F.avg((F.col("estimate") > least).cast("double")).alias("share_above"), F.count("*").alias("n_loci"))
 
 
 def direction_by_confidence(df: DataFrame, true: str, predicted: str, confidence: str, thresholds: tuple[float, ...] = (0.9, 0.5)) -> DataFrame:
@@ -52,6 +52,12 @@ def drop_from(estimates: DataFrame, group: str = "ancestry", reference: str = "E
     return estimates.withColumn("drop", base - F.col("estimate"))
 
 
+def improvement(drops: DataFrame, other: DataFrame, group: str = "ancestry") -> DataFrame:
+    """(group, ratio): how much smaller another method's drop is, (drop - other's drop) / drop; null where there is no drop."""
+    both = drops.select(group, "drop").join(other.select(group, F.col("drop").alias("__d")), group)
+    return both.select(group, ((F.col("drop") - F.col("__d")) / F.nullif(F.col("drop"), F.lit(0.0))).alias("ratio"))
+
+
 def scores_without(genotypes: DataFrame, weights: DataFrame, dominant: Column, sample: str = "sample_id", variant: str = "variant_id") -> DataFrame:
     """(sample, score, score_without): sums of dosage times weight over all variants and over those not in a dominant locus."""
     part = F.col("dosage") * F.col("weight")

@@ -193,7 +193,7 @@ def score_histogram(assertions: DataFrame) -> DataFrame:
 
 @query("assertions", sql=f"g AS (SELECT gene_symbol FROM assertions WHERE clinsig_simple IN (0, 1) GROUP BY 1 HAVING count(*) >= 10), {counted('SELECT * FROM assertions SEMI JOIN g USING (gene_symbol)', 'gene_symbol')}, a AS (SELECT gene_symbol, {AUC} AS a FROM c GROUP BY 1 HAVING max(p) > 0 AND max(n) > 0) SELECT round(avg(a), 6) AS mean, round(median(a), 6) AS median, round(min(a), 6) AS least, round(quantile_cont(a, 0.25), 6) AS p25, round(quantile_cont(a, 0.75), 6) AS p75, round(max(a), 6) AS most, count(*) AS n FROM a")
 def auroc_by_gene(assertions: DataFrame) -> DataFrame:
-    """Summary of the genes' own AUROCs, of those with ten scored rows and both classes."""
+    """Summary of AUROCs by gene, of those with ten scored rows and both classes."""
     per = metrics.auroc(assertions, "clinsig_simple", "score", ["gene_symbol"]).where((F.col("n") >= 10) & F.col("estimate").isNotNull())
     return metrics.summary(per, "estimate").select(*(r6(c) for c in ("mean", "median", "least", "p25", "p75", "most")), "n")
 
@@ -259,13 +259,17 @@ def labelled_samples(samples: DataFrame) -> DataFrame:
 GROUPED = f"l AS ({LABELLED}), b AS (SELECT ancestry, label, score FROM l UNION ALL SELECT 'ALL', label, score FROM l), {counted('SELECT * FROM b', 'ancestry', 'label')}, a AS (SELECT ancestry, {AUC} AS estimate, CAST(sum(pos + neg) AS BIGINT) AS n FROM c GROUP BY 1)"
 
 
+#: Groups of fewer than 30 rows have no estimate.
+SHOWN = ", shown AS (SELECT ancestry, n, CASE WHEN n >= 30 OR ancestry = 'ALL' THEN estimate END AS estimate FROM a)"
+
+
 @query("samples", sql=f"{GROUPED} SELECT ancestry, round(CASE WHEN n >= 30 OR ancestry = 'ALL' THEN estimate END, 6) AS auroc, n FROM a")
 def metric_by_ancestry(samples: DataFrame) -> DataFrame:
     found = metrics.by_group_and_whole(labelled_samples(samples), metrics.auroc, "ancestry", "label", "score")
     return found.select("ancestry", r6("auroc", F.col("estimate")), "n")
 
 
-@query("samples", sql=f"{GROUPED} SELECT ancestry, round(estimate / (SELECT estimate FROM a WHERE ancestry = 'EUR'), 6) AS ratio, round(estimate - (SELECT estimate FROM a WHERE ancestry = 'EUR'), 6) AS drop FROM a")
+@query("samples", sql=f"{GROUPED}{SHOWN} SELECT ancestry, round(estimate / (SELECT estimate FROM shown WHERE ancestry = 'EUR'), 6) AS ratio, round(estimate - (SELECT estimate FROM shown WHERE ancestry = 'EUR'), 6) AS drop FROM shown")
 def portability(samples: DataFrame) -> DataFrame:
     found = metrics.portability(metrics.by_group_and_whole(labelled_samples(samples), metrics.auroc, "ancestry", "label", "score"))
     base = F.max(F.when(F.col("ancestry") == "EUR", F.col("estimate"))).over(Window.partitionBy(F.lit(0)))
@@ -285,7 +289,7 @@ def chrom_split(variants: DataFrame) -> DataFrame:
     return splits.by_chromosome(variants).groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("chrom").alias("chroms"))
 
 
-SPLIT = "o AS (SELECT *, row_number() OVER (PARTITION BY ancestry ORDER BY md5(concat(CAST(sample_id AS STRING), ':42')), sample_id) AS rn, count(*) OVER (PARTITION BY ancestry) AS c FROM samples), sp AS (SELECT sample_id, ancestry, phenotype, CASE WHEN rn <= floor(c * 0.8::DOUBLE + 1e-9) THEN 'train' WHEN rn <= floor(c * 0.8::DOUBLE + 1e-9) + floor(c * 0.1::DOUBLE + 1e-9) THEN 'val' ELSE 'test' END AS split FROM o)"
+SPLIT = "o AS (SELECT *, row_number() OVER (PARTITION BY ancestry ORDER BY md5(concat(CAST(sample_id AS STRING), ':42')), sample_id) AS rn, count(*) OVER (PARTITION BY ancestry) AS c FROM samples), sp AS (SELECT sample_id, ancestry, phenotype, CASE WHEN rn <= floor(c * 0.8::DOUBLE) THEN 'train' WHEN rn <= floor(c * 0.8::DOUBLE) + floor(c * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM o)"
 
 
 @query("samples", sql=f"{SPLIT} SELECT sample_id, ancestry, split FROM sp")
@@ -505,18 +509,26 @@ def accuracy_bootstrap(samples: DataFrame) -> DataFrame:
     return bootstrap.ratio_interval(rows, "sample_id", right, F.lit(1.0), ["ancestry"], replicates=500)
 
 
-def _betas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("sample_id"), F.posexplode(F.slice("embedding", 1, 4)).alias("at", "value"))
-    return rows.select("sample_id", (F.col("at") + 1).alias("cpg"), F.round(F.col("value").cast("double"), 6).alias("beta"))
+CLOCKS = (("first", 64, 0), ("second", 65, 1))  # name, probes, offset of the coefficients
 
 
 def clock_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coefficients = spark.createDataFrame([(c, k, (c * 3 + i) / 7.0) for i, k in enumerate(("first", "second")) for c in range(1, 5 + i)], "cpg int, clock string, coefficient double")
-    return cohort.clock_scores(_betas(spark, sf_dir), coefficients).select("sample_id", "clock", F.round("predicted", 4).alias("predicted"), "n_probes", "n_missing")
+    """All components of the vectors as probes, in decimals, so that sums don't depend on their order; one clock has a
+    probe that no sample has."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("sample_id"), F.posexplode("embedding").alias("at", "value"))
+    betas = rows.select("sample_id", (F.col("at") + 1).alias("cpg"), F.round(F.col("value").cast("double"), 6).cast("decimal(12,6)").alias("beta"))
+    made = [(c, name, c * 3 + offset) for name, probes, offset in CLOCKS for c in range(1, probes + 1)]
+    coefficients = spark.createDataFrame(made, "cpg int, clock string, coefficient int")
+    ages = betas.select("sample_id").distinct().select("sample_id", (F.col("sample_id") % 80).alias("age"))
+    scored = cohort.clock_scores(betas, coefficients, ages)
+    return scored.select("sample_id", "clock", F.col("predicted").cast("double").alias("predicted"), "n_probes", "n_missing", F.col("acceleration").cast("double").alias("acceleration"))
 
 
 QUERIES["clock_scores"] = clock_scores
-ORACLE_SQL["clock_scores"] = "WITH m AS (SELECT vec_id AS sample_id, i AS cpg, round(CAST(embedding[i] AS DOUBLE), 6) AS beta FROM embeddings, range(1, 5) t(i)), c AS (SELECT i AS cpg, 'first' AS clock, (i * 3) / 7.0::DOUBLE AS k FROM range(1, 5) t(i) UNION ALL SELECT i, 'second', (i * 3 + 1) / 7.0::DOUBLE FROM range(1, 6) t(i)) SELECT sample_id, clock, round(sum(beta * k), 4) AS predicted, count(beta) AS n_probes, max(CASE clock WHEN 'first' THEN 4 ELSE 5 END) - count(beta) AS n_missing FROM m JOIN c USING (cpg) GROUP BY sample_id, clock"
+ORACLE_SQL["clock_scores"] = """WITH m AS (SELECT vec_id AS sample_id, i AS cpg, CAST(round(CAST(embedding[i] AS DOUBLE), 6) AS DECIMAL(12, 6)) AS beta FROM embeddings, range(1, 65) t(i) WHERE i <= len(embedding)),
+c AS (SELECT i AS cpg, 'first' AS clock, i * 3 AS k FROM range(1, 65) t(i) UNION ALL SELECT i, 'second', i * 3 + 1 FROM range(1, 66) t(i)),
+s AS (SELECT sample_id, clock, CAST(sum(beta * k) AS DOUBLE) AS predicted, count(beta) AS n_probes FROM m JOIN c USING (cpg) GROUP BY ALL)
+SELECT sample_id, clock, predicted, n_probes, CASE clock WHEN 'first' THEN 64 ELSE 65 END - n_probes AS n_missing, CAST(round(CAST(predicted AS DECIMAL(18, 6)) - sample_id % 80, 2) AS DOUBLE) AS acceleration FROM s"""
 
 
 # Reports and specified metrics
@@ -559,7 +571,7 @@ def actionability(catalog: DataFrame) -> DataFrame:
     return cohort.actionability(evidence, ["gene"])
 
 
-@query("samples", sql=f"{GROUPED} SELECT 'auroc' AS metric, {', '.join(f'round(max(estimate) FILTER (WHERE ancestry = {chr(39)}{g}{chr(39)}), 6) AS {g.lower()}' for g in ('EUR', 'AFR', 'SAS', 'EAS', 'AMR', 'ALL'))} FROM a")
+@query("samples", sql=f"{GROUPED}{SHOWN} SELECT 'auroc' AS metric, {', '.join(f'round(max(estimate) FILTER (WHERE ancestry = {chr(39)}{g}{chr(39)}), 6) AS {g.lower()}' for g in ('EUR', 'AFR', 'SAS', 'EAS', 'AMR', 'ALL'))} FROM shown")
 def ancestry_report(samples: DataFrame) -> DataFrame:
     groups = ["EUR", "AFR", "SAS", "EAS", "AMR", "ALL"]
     found = metrics.by_group_and_whole(labelled_samples(samples), metrics.auroc, "ancestry", "label", "score").withColumn("metric", F.lit("auroc"))
@@ -594,10 +606,10 @@ def diplotype_accuracy(samples: DataFrame) -> DataFrame:
     return found.select("ancestry", r6("exact"), r6("phenotype_match"), "n")
 
 
-@query("assays", sql="r AS (SELECT assay_id, row_id % 3 AS tissue, CASE WHEN count(*) < 3 THEN 0 ELSE corr(dms_score, score) END AS r FROM assays GROUP BY 1, 2) SELECT tissue, round(avg(r), 6) AS mean_r, round(avg(CASE WHEN r > 0.1 THEN 1.0 ELSE 0.0 END), 6) AS share_above, count(*) AS genes FROM r GROUP BY 1")
+@query("assays", sql="r AS (SELECT assay_id, row_id % 3 AS tissue, CASE WHEN count(*) < 3 THEN 0 ELSE corr(dms_score, score) END AS r FROM assays GROUP BY 1, 2) SELECT tissue, round(avg(r), 6) AS mean_r, round(avg(CASE WHEN r > 0.1 THEN 1.0 ELSE 0.0 END), 6) AS share_above, count(*) AS n_loci FROM r GROUP BY 1")
 def tissue_correlations(assays: DataFrame) -> DataFrame:
     found = studies.tissue_correlations(assays.withColumn("tissue", F.col("row_id") % 3), "dms_score", "score", "assay_id")
-    return found.select("tissue", r6("mean_r"), r6("share_above"), "genes")
+    return found.select("tissue", r6("mean_r"), r6("share_above"), "n_loci")
 
 
 @query("assays", sql="t AS (SELECT CAST(t AS DOUBLE) AS threshold FROM (VALUES (0.9), (0.5)) v(t)) SELECT threshold, round(avg(CASE WHEN sign(dms_score - 200000.5) = sign(row_id % 7 - 3.5) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM assays JOIN t ON score > threshold GROUP BY 1")
@@ -650,8 +662,8 @@ def panel_overlap(variants: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 @query("assertions", sql="f AS (SELECT * FROM assertions WHERE variation_id % 4 = 3 AND CAST(greatest(variation_id % 1000, variation_id % 777) AS DOUBLE) / 50000 <= 0.01) SELECT gene_symbol, round(max(score), 6) AS best, count(*) AS n FROM f GROUP BY 1 ORDER BY max(score) DESC, gene_symbol LIMIT 10")
-def prioritised_genes(assertions: DataFrame) -> DataFrame:
-    """The ten genes with the best scores among rare variants that may change a product."""
+def prioritised_loci(assertions: DataFrame) -> DataFrame:
+    """The ten loci with the best scores among rare variants that may change a product."""
     effect = F.element_at(F.array(*(F.lit(x) for x in (*panels.DISTANT, "MISSENSE"))), (F.col("variation_id") % 4 + 1).cast("int"))
     rows = assertions.select("gene_symbol", "score", effect.alias("effect"), *((F.col("variation_id") % m / F.lit(50000.0)).alias(f"af{m}") for m in (1000, 777)))
     best = panels.prioritise(rows, "effect", ["af1000", "af777"]).groupBy("gene_symbol").agg(F.max("score").alias("top"), F.count("*").alias("n"))

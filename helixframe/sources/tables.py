@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,13 +71,27 @@ def read_strings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_assays(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of assay tables: assay_id (the file's stem), dms_score, mutant; files without DMS_score give no rows."""
+    """A folder of assay tables: assay_id (the file's stem), dms_score, mutant; files without DMS_score give no rows.
+
+    Files differ in their columns and in their order: each is read by its own header. Files of one header are read
+    together, so there are as many scans as headers.
+    """
+    heads = spark.read.text(f"{path}/*.csv").withColumn("file", F.col("_metadata.file_path")).where(F.col("_metadata.file_block_start") == 0)
+    # The first line of each file: that with the smallest number in its first block.
+    first = heads.withColumn("at", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    files: dict[str, list[str]] = {}
+    for r in first.collect():  # a row for each file
+        files.setdefault(r["header"], []).append(r["file"])
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.csv)?$", 1)
-    rows = spark.read.option("header", True).csv(f"{path}/*.csv").withColumn("assay_id", name)
-    if "DMS_score" not in rows.columns:
+    parts = []
+    for _, paths in sorted(files.items()):
+        rows = spark.read.option("header", True).csv(sorted(paths)).withColumn("assay_id", name)
+        if "DMS_score" in rows.columns:
+            mutant = F.col("mutant") if "mutant" in rows.columns else F.lit(None).cast("string")
+            parts.append(rows.select("assay_id", mutant.alias("mutant"), F.col("DMS_score").try_cast("double").alias("dms_score")))
+    if not parts:
         raise ValueError("no table has a DMS_score")
-    mutant = F.col("mutant") if "mutant" in rows.columns else F.lit(None).cast("string")
-    return rows.select("assay_id", mutant.alias("mutant"), F.col("DMS_score").try_cast("double").alias("dms_score")).where(F.col("dms_score").isNotNull())
+    return reduce(DataFrame.unionByName, parts).where(F.col("dms_score").isNotNull())
 
 
 def read_matrix(spark: SparkSession, path: str, ident: str = "cpg", sep: str | None = None) -> DataFrame:
@@ -127,13 +144,61 @@ def save_predictions(predictions: DataFrame, path: str) -> None:
     predictions.write.mode("append").partitionBy("task_id", "model_name").parquet(path)
 
 
+def write_report(rows: DataFrame, path: str) -> None:
+    """The rows of a report table as JSON lines."""
+    rows.write.mode("overwrite").json(path)
+
+
 def write_scores(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
 def fingerprints(spark: SparkSession, path: str, wanted: DataFrame, root: Column | None = None) -> DataFrame:
-    """wanted (file_name) with state, modified, size and the first 16 hex digits of the first 16 KiB's digest."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    digest = F.substring(F.sha2(F.substring("content", 1, 16384), 256), 1, 16)
-    found = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), digest.alias("digest"))
+    """wanted (file_name) with state, modified, size and the first 16 hex digits of the first 16 KiB's digest.
+
+    Only the beginnings of files are read, however large they are, one after the other by the driver: wanted may name
+    at most MOST_FILES files.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "modificationTime", "length")
+    listed = files.withColumn("file_name", F.regexp_extract("path", r"([^/]+)$", 1)).join(wanted.select("file_name").distinct(), "file_name").limit(MOST_FILES + 1).collect()
+    if len(listed) > MOST_FILES:
+        raise ValueError(f"more than {MOST_FILES} files")
+    rows = [(r["file_name"], r["modificationTime"], r["length"], hashlib.sha256(_beginning(spark, r["path"])).hexdigest()[:16]) for r in listed]
+    found = spark.createDataFrame(rows, "file_name string, modified timestamp, size long, digest string")
     return wanted.join(found, "file_name", "left").withColumn("state", F.when(F.col("digest").isNull(), "missing").otherwise("present"))
+
+
+#: Files whose beginnings are read in one call.
+MOST_FILES = 10_000
+
+
+def _beginning(spark: SparkSession, path: str, size: int = 16384) -> bytes:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(spark.sparkContext._jvm.org.apache.commons.io.input.BoundedInputStream(stream, size)))
+    finally:
+        stream.close()
+
+
+def first_that_exists(spark: SparkSession, *paths: str) -> str:
+    """The first path or glob that matches something: a versioned folder before a plain one, an exact name before a pattern."""
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+        if found is not None and len(found):
+            return path
+    raise FileNotFoundError(f"none of {', '.join(paths)}")
+
+
+def availability(spark: SparkSession, folder: str, expected: DataFrame) -> DataFrame:
+    """expected (name, part) with n_files, bytes and available: how many files lie in folder/part, at any depth."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    inside = files.withColumn("part", F.split(F.substring_index("path", f"{folder.rstrip('/')}/", -1), "/")[0])
+    hits = expected.join(inside, "part", "left")
+    return hits.groupBy("name", "part").agg(F.count("path").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), (F.count("path") > 0).alias("available"))
+
+
+def read_partitioned_scores(spark: SparkSession, path: str, schema: str = "pos long, ref string, alt string, score double") -> DataFrame:
+    """Tab-separated score files in folders chrom=...; a chromosome without a folder has no scores, so a left join gives null."""
+    return spark.read.schema(f"{schema}, chrom string").option("sep", "\t").option("header", True).csv(path)

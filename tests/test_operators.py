@@ -268,10 +268,22 @@ def test_stream_scores_arriving_files(spark, tmp_path):
 def test_reports(spark):
     from helixframe.functions import reports
 
-    pgx = spark.createDataFrame([(1, '{"phenotyper": {"genes": [{"geneSymbol": "CYP2D6", "diplotypes": [{"label": "*1/*4", "phenotype": "IM"}, {"label": "x"}]}, {"gene": "G"}]}}'), (2, "no json")], "id int, report string")
-    assert sorted(map(tuple, reports.pharmacogenes(pgx).collect())) == [(1, "CYP2D6", "*1/*4", "IM"), (1, "G", None, None)]
-    star = spark.createDataFrame([(1, '{"s1": {"Genotype": "*1/*2", "Filter": null}, "s2": {}}'), (2, "{}")], "id int, report string")
-    assert [tuple(r) for r in reports.star_alleles(star).collect()] == [(1, "s1", "*1/*2", "PASS")]
+    call = '{"geneSymbol": "CYP2D6", "recommendationDiplotypes": [{"label": "*1/*4", "activityScore": 0.5}, {"label": "x"}], "phenotypes": {"term": "IM"}}'
+    pgx = spark.createDataFrame(
+        [
+            (1, '{"genes": [], "reportContext": {"geneReports": [' + call + ', {"phenotype": "nameless"}]}, "geneCalls": [{"gene": "no"}]}'),  # fixed names of the report format
+            (2, "no json"),
+            (3, '{"geneCalls": [{"gene": "G", "recommendationDiplotypes": [], "diplotype": "*2/*2"}, {"gene": "H"}], "drugReports": [{"drugName": "d", "source": "s", "prescribingInfo": "' + "y" * 600 + '"}, {"source": "nameless"}]}'),
+            (4, '{"drugs": [{"drug": "e", "classification": "strong", "recommendation": "less"}], "drugReports": [{"drug": "no"}]}'),
+        ],
+        "id int, report string",
+    )
+    assert sorted(map(tuple, reports.diplotype_calls(pgx).collect())) == [(1, "CYP2D6", "*1/*4", "0.5", "IM"), (3, "G", "*2/*2", None, ""), (3, "H", "", None, "")]
+    assert sorted(map(tuple, reports.drug_recommendations(pgx).collect())) == [(3, "d", "s", "", "y" * 500), (4, "e", "", "strong", "less")]
+    star = spark.createDataFrame([(1, '{"s1": {"Genotype": "*1/*2", "Filter": null}, "s2": {}}'), (2, "{}"), (3, '{"s": {"Diplotype": "*4/*4", "Activity_Score": 0, "Phenotype": "PM", "Filter": "More"}}')], "id int, report string")
+    assert [tuple(r) for r in reports.star_alleles(star).orderBy("id").collect()] == [(1, "s1", "No call", "*1/*2", None, "", "PASS"), (3, "s", "*4/*4", "", "0", "PM", "More")]
+    lines = spark.createDataFrame([(1, "Tumor Fraction:\t0.25"), (1, "Ploidy\t2.1\textra"), (2, "Tumor Fraction\tnan?"), (2, "Ploidy\t?"), (3, "nothing")], "id int, value string")
+    assert sorted(map(tuple, reports.tumour_fractions(lines, "id").collect())) == [(1, 0.25, 2.1, False), (2, None, None, True)]
     typed = spark.createDataFrame([("x", 1, "A", "1", "2"), ("x", 2, "A", "3", "4"), ("x", 3, "B", "5", "6")], "id string, n int, locus string, allele_1 string, allele_2 string")
     assert one(reports.hla_types(typed, "id", "n")) == {"id": "x", "types": {"A": ["3", "4"], "B": ["5", "6"]}, "n_loci": 2}
     item = '{"variants": [{"molecular_profiles": [{"evidence_items": [{"status": "ACCEPTED", "level": "B"}, {"status": "accepted", "level": "A"}, {"status": "submitted", "level": "0"}]}]}, {}]}'
@@ -279,6 +291,78 @@ def test_reports(spark):
     assert sorted(tuple(r) for r in reports.accepted_evidence(found).collect()) == [(1, "found", 2, "A"), (2, "no_accepted_evidence", 0, None), (3, "not_found", 0, None), (4, "not_found", 0, None)]
 
 
+def test_assays_are_read_by_their_own_headers(spark, tmp_path):
+    for name, text in {"a": "mutant,DMS_score\nA1T,0.5\n", "b": "DMS_score,mutant\n1.5,C2D\n-1,x\n", "c": "mutant,other\nG3H,9.9\n", "d": "mutant,note,DMS_score\nK4L,text,bad\nM5N,DMS_score,2\n"}.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    got = sorted(map(tuple, tables.read_assays(spark, str(tmp_path)).collect()))
+    assert got == [("a", "A1T", 0.5), ("b", "C2D", 1.5), ("b", "x", -1.0), ("d", "M5N", 2.0)]
+    for name in "abd":
+        (tmp_path / f"{name}.csv").unlink()
+    with pytest.raises(ValueError):
+        tables.read_assays(spark, str(tmp_path))
+
+
+def test_files_that_are_there(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "v2").mkdir()
+    big = b"x" * 20_000 + b"end"
+    (tmp_path / "v2" / "scores.tsv").write_bytes(big)
+    assert tables.first_that_exists(spark, f"{tmp_path}/v1/*.tsv", f"{tmp_path}/v2/*.tsv", f"{tmp_path}/*") == f"{tmp_path}/v2/*.tsv"
+    with pytest.raises(FileNotFoundError):
+        tables.first_that_exists(spark, f"{tmp_path}/none*")
+    wanted = spark.createDataFrame([("scores.tsv",), ("gone.tsv",)], "file_name string")
+    rows = {r["file_name"]: r for r in tables.fingerprints(spark, str(tmp_path), wanted).collect()}
+    assert rows["scores.tsv"]["digest"] == hashlib.sha256(big[:16384]).hexdigest()[:16] and rows["scores.tsv"]["size"] == len(big) and rows["gone.tsv"]["state"] == "missing"
+    expected = spark.createDataFrame([("scores", "v2"), ("index", "v3")], "name string, part string")
+    assert sorted((r["name"], r["n_files"], r["bytes"], r["available"]) for r in tables.availability(spark, str(tmp_path), expected).collect()) == [("index", 0, 0, False), ("scores", 1, len(big), True)]
+    (tmp_path / "s" / "chrom=chr1").mkdir(parents=True)
+    (tmp_path / "s" / "chrom=chr1" / "a.tsv").write_text("pos\tref\talt\tscore\n5\tA\tC\t0.7\n")
+    found = joins.lookup(spark.createDataFrame([("chr1", 5, "A", "C"), ("chr2", 5, "A", "C")], "chrom string, pos long, ref string, alt string"), tables.read_partitioned_scores(spark, f"{tmp_path}/s"))
+    assert sorted((r["chrom"], r["score"]) for r in found.collect()) == [("chr1", 0.7), ("chr2", None)]
+    tables.write_report(expected, f"{tmp_path}/report")
+    assert spark.read.json(f"{tmp_path}/report").count() == 2
+
+
+def test_intervals_of_sums_agree_with_resampling(spark):
+    r = np.random.default_rng(4)
+    y = r.normal(size=400)
+    p = y * 0.6 + r.normal(size=400) * 0.8
+    df = spark.createDataFrame([(i, float(a), float(b), int(a > 0), int(b > 0), float(b - 0.3)) for i, (a, b) in enumerate(zip(y, p))], "id long, y double, p double, label int, called int, old double")
+    draws = [r.integers(0, 400, 400) for _ in range(1500)]
+    def spearman(i):
+        rank = lambda x: np.argsort(np.argsort(x))
+        return np.corrcoef(rank(y)[i], rank(p)[i])[0, 1]
+    cases = {
+        bootstrap.pearson_interval(df, "id", "y", "p"): lambda i: np.corrcoef(y[i], p[i])[0, 1],
+        bootstrap.spearman_interval(df, "id", "y", "p"): spearman,
+        bootstrap.r_squared_interval(df, "id", "y", "p"): lambda i: 1 - ((y[i] - p[i]) ** 2).mean() / y[i].var(),
+        bootstrap.direction_interval(df, "id", "y", "p"): lambda i: (np.sign(y[i]) == np.sign(p[i])).mean(),
+        bootstrap.balanced_accuracy_interval(df, "id", "label", "called"): lambda i: np.mean([((p[i] > 0) == k)[(y[i] > 0) == k].mean() for k in (0, 1)]),
+        bootstrap.incremental_r2_interval(df, "id", "y", "p", "old"): lambda i: (((y[i] - p[i] + 0.3) ** 2).mean() - ((y[i] - p[i]) ** 2).mean()) / y[i].var(),
+    }
+    for got, of in cases.items():
+        row = one(got)
+        assert math.isclose(row["estimate"], of(np.arange(400)), abs_tol=1e-9)
+        low, high = np.quantile([of(i) for i in draws], [0.025, 0.975])
+        assert abs(row["ci_lower"] - low) < 0.25 * (high - low) and abs(row["ci_upper"] - high) < 0.25 * (high - low)
+
+
+def test_impossible_ceilings_and_small_folds(spark):
+    found = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "k string, estimate double")
+    ceilings = spark.createDataFrame([("a", 0.0)], "k string, ceiling double")
+    assert {r["k"]: r["normalised"] for r in metrics.ceiling_normalised(found, ceilings, ["k"], "zero").collect()} == {"a": 0.0, "b": None}
+    with pytest.raises(Exception, match="must be positive"):
+        metrics.ceiling_normalised(found, ceilings, ["k"], "error").collect()
+    ids = spark.range(5).withColumnRenamed("id", "s")
+    with pytest.raises(ValueError):
+        splits.leave_n_out(ids, "s", 5)
+    assert splits.leave_n_out(ids, "s", 4, 2).count() == 8
+    with pytest.raises(ValueError):
+        splits.ensure_any(ids.where("s > 9"))
+    assert {r["split"] for r in splits.zero_shot(ids).collect()} == {"test"}
+
+
 def test_signatures_are_recovered(spark):
     catalogue = spark.createDataFrame([("a", "x", 0.7), ("a", "y", 0.3), ("b", "y", 0.2), ("b", "z", 0.8)], "signature string, context string, share double")
     spectra = spark.createDataFrame([("s", "x", 70.0), ("s", "y", 30.0), ("s", "y", 10.0), ("s", "z", 40.0), ("s", "other", 9.0), ("t", "z", 8.0), ("t", "y", 2.0)], "sample string, context string, n double")

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from helixframe.plans import catalog
+from helixframe.plans import catalog, catalog_tables
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
@@ -21,6 +21,10 @@ def duck():
     return con
 
 
+def test_both_modules_register_in_one_place():
+    assert catalog_tables.query is catalog.query and "scorecard" in catalog.QUERIES
+
+
 def plain(v):
     return repr(v) if isinstance(v, float) and not math.isnan(v) else str(v)
 
