@@ -102,7 +102,7 @@ class Forest:
 
     def __init__(self, n: int):
         self.label = np.arange(n)
-        self.links: list[tuple[int, int]] = []
+        self.links: list[tuple[int, int, int]] = []
 
     def add(self, i: int, others: np.ndarray, distance: np.ndarray) -> None:
         """Links i with the nearest of `others` in each tree that isn't i's own."""
@@ -110,7 +110,7 @@ class Forest:
         order = np.lexsort((others, distance, labels))
         first = order[np.flatnonzero(np.diff(labels[order], prepend=-1))]
         for j in first[labels[first] != self.label[i]].tolist():
-            self.links.append((i, int(others[j])))
+            self.links.append((i, int(others[j]), int(distance[j])))
             self.label[self.label == labels[j]] = self.label[i]
 
 
@@ -119,7 +119,7 @@ SMALL = 48
 
 
 def meet(met: DataFrame, check, words: int, block: int) -> DataFrame:
-    """Links (a, b) between the values of met.fp (long, or binary of `words` 8-byte words) that meet under a met.key and
+    """Links (a, b, distance) between the values of met.fp (long, or binary of `words` 8-byte words) that meet under a met.key and
     pass check(differences, keys) -> (passes, distance). Of the pairs under a key, a spanning set of links is handed on,
     nearest first, never all pairs. Keys with more than `block` members are dealt to blocks; every pair of blocks is a
     task's work of its own.
@@ -135,7 +135,7 @@ def meet(met: DataFrame, check, words: int, block: int) -> DataFrame:
     dealt = met.select("key", F.col("pair.x").alias("x"), F.col("pair.y").alias("y"), (F.col("own") == F.col("pair.y")).alias("second"), "fp")
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "second", "fp")
 
-    def large(key: int, fps: np.ndarray, n: int) -> list[tuple[int, int]]:
+    def large(key: int, fps: np.ndarray, n: int) -> list[tuple[int, int, int]]:
         """Links of a group; n: members of its first block, or 0 if both blocks are the same."""
         forest, keys = Forest(len(fps)), np.full(len(fps), key)
         for i in range(n or len(fps) - 1):
@@ -146,7 +146,7 @@ def meet(met: DataFrame, check, words: int, block: int) -> DataFrame:
                 forest.add(i, hits + start, distance[hits])
         return forest.links
 
-    def small(key: np.ndarray, fps: np.ndarray, group: np.ndarray) -> list[tuple[int, int]]:
+    def small(key: np.ndarray, fps: np.ndarray, group: np.ndarray) -> list[tuple[int, int, int]]:
         """Links of many groups of up to SMALL members that follow each other."""
         rows, d = np.arange(len(key)), 1
         pairs = []
@@ -173,11 +173,11 @@ def meet(met: DataFrame, check, words: int, block: int) -> DataFrame:
             return i
 
         links = []
-        for i, j in zip(a[order].tolist(), b[order].tolist()):
+        for i, j, d in zip(a[order].tolist(), b[order].tolist(), distance[order].tolist()):
             x, y = root(i), root(j)
             if x != y:
                 parent[y] = x
-                links.append((i, j))
+                links.append((i, j, d))
         return links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,18 +207,18 @@ def meet(met: DataFrame, check, words: int, block: int) -> DataFrame:
                     n = int(np.argmax(second[a:b])) if second[a:b].any() else b - a
                     if not 0 < n < b - a:
                         continue
-                links += [(i + a, j + a) for i, j in large(int(key[a]), fps[a:b], n)]
+                links += [(i + a, j + a, d) for i, j, d in large(int(key[a]), fps[a:b], n)]
             few = np.flatnonzero((sizes > 1) & (sizes <= SMALL) & (x[heads] == y[heads]))
             if len(few):
                 rows = np.concatenate([np.arange(a, b) for a, b in zip(heads[few].tolist(), stops[few].tolist())])
                 group = np.repeat(few, sizes[few])
-                links += [(int(rows[i]), int(rows[j])) for i, j in small(key[rows], fps[rows], group)]
+                links += [(int(rows[i]), int(rows[j]), d) for i, j, d in small(key[rows], fps[rows], group)]
             if links:
-                a, b = (pa.array(c, pa.int64()) for c in zip(*links))
-                yield pa.RecordBatch.from_arrays([column.take(a), column.take(b)], ["a", "b"])
+                a, b, d = (pa.array(c, pa.int64()) for c in zip(*links))
+                yield pa.RecordBatch.from_arrays([column.take(a), column.take(b), d], ["a", "b", "distance"])
 
     kind = "binary" if binary else "long"
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}, distance long")
 
 
 def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -244,7 +244,7 @@ def links(prints: DataFrame, max_bits: int = 4, block: int = 2048, parts: int |
             near = F.shiftrightunsigned(kept, low) if at + 1 < len(SEGMENTS) else F.shiftleft(kept, SEGMENTS[0]).bitwiseOR(F.shiftrightunsigned(kept, 64 - SEGMENTS[0]))
             spots.append(F.shiftleft(near, 7).bitwiseOR(F.lit(at * 16 + piece).cast("long")))
     met = distinct.select("fp", F.explode(F.array(*spots)).alias("key"))
-    return meet(met, lambda x, key: chained(x, (key & 127) >> 4, max_bits), 1, block)
+    return meet(met, lambda x, key: chained(x, (key & 127) >> 4, max_bits), 1, block).select("a", "b")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -383,7 +383,8 @@ def near_copies(docs: DataFrame, shingle_words: int = 5, least: float = 0.8, blo
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), column.take(pa.array(np.repeat(np.arange(len(keys)), 4 * WIDE)))], ["key", "fp"])
 
     met = prints.select("fp").mapInArrow(spots, "key long, fp binary")
-    found = cut(meet(met, lambda x, key: wide_chained(x, key & 255, WIDE_BITS, WIDE_CHAIN), WIDE, block).distinct())
+    met = meet(met, lambda x, key: wide_chained(x, key & 255, WIDE_BITS, WIDE_CHAIN), WIDE, block)
+    found = cut(met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("distance").alias("distance")))
     # Candidates are checked by their own texts: of each fingerprint, that of its first document.
     linked = found.select(F.col("a").alias("fp")).unionByName(found.select(F.col("b").alias("fp"))).distinct().join(prints, "fp").select("fp", F.col("rep.none").alias("none"), F.coalesce("rep.doc_id", F.lit(0).cast("long")).alias("id"), F.col("rep.text_key").alias("text_key"))
     texts = source.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "text_key", "text").join(linked, ["none", "id", "text_key"]).select("fp", "text")
@@ -397,10 +398,22 @@ def near_copies(docs: DataFrame, shingle_words: int = 5, least: float = 0.8, blo
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["fp", "shingles"])
 
     sets = cut(texts.mapInArrow(sets_of, "fp binary, shingles array<long>").dropDuplicates(["fp"]))
-    sides = join_one(join_one(found, sets.withColumnsRenamed({"fp": "a", "shingles": "sa"}), "a"), sets.withColumnsRenamed({"fp": "b", "shingles": "sb"}), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    near = cut(sides.where(both >= F.lit(least) * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
-    roots = components(near)
+
+    def checked(links: DataFrame) -> DataFrame:
+        """The links between texts that are as similar as they must be."""
+        left, right = sets.withColumnsRenamed({"fp": "a", "shingles": "sa"}), sets.withColumnsRenamed({"fp": "b", "shingles": "sb"})
+        sides = join_one(cut(join_one(links, left, "a", 8 * F.size("sa"))), right, "b", 8 * F.size("sb"))
+        both = F.size(F.array_intersect("sa", "sb"))
+        return sides.where(both >= F.lit(least) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+    # First each fingerprint's nearest on either side, two links at most; then those that join what these leave apart.
+    nearest = lambda own, other: found.groupBy(own).agg(F.min(F.struct("distance", other)).alias("m")).select(own, F.col(f"m.{other}").alias(other))
+    near = cut(checked(cut(nearest("a", "b").unionByName(nearest("b", "a")).distinct())))
+    label = cut(components(near).withColumnRenamed("root", "group"))
+    labelled = lambda df, side: df.join(label.withColumnsRenamed({"node": side, "group": f"of_{side}"}), side, "left")
+    apart = labelled(labelled(found, "a"), "b").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    more = cut(checked(cut(apart)))
+    roots = components(near.unionByName(more))
     rooted = cut(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("group")))
     named = cut(join_one(rooted, rooted.groupBy("group").agg(F.min("rep").alias("root")), "group").select("fp", "root"))
     return join_one(rows, named, "fp").select("doc_id", "text_key", "root")
