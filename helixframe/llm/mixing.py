@@ -2,9 +2,10 @@
 
 The words of a source form a stream: its documents in a seeded random order, up to `passes` times over, cut into blocks
 of `block_words`. Blocks are allotted to sources by the highest quotients target / (2 k + 1), which gives whole numbers
-that add up; a source's blocks are allotted to its shards in the same way by the shards' sizes. Each shard then takes
-its quota of consecutive blocks from a seeded starting block, going round, so that nearly every document is taken a
-whole number of times.
+that add up; a source's blocks are allotted in the same way to bundles of its shards, and a bundle's to its shards, by their
+sizes. So no task ranks more than a source's bundles or a bundle's shards. Each shard then takes its quota of
+consecutive blocks from a seeded starting block, going round, so that nearly every document is taken a whole number of
+times: one seeded run of blocks for each shard is the selection.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ def _joined(left: DataFrame, right: DataFrame, small: bool, *keys: str) -> DataF
     return left.join(F.broadcast(other) if small else other, condition).drop(*(f"__{k}" for k in keys))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), passes: int = 3, block_words: int = 16, shard_words: int = 1 << 20, seed: int = 17, keep: tuple[str, ...] = ("doc_id", "source"), text: str = "text") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), passes: int = 3, block_words: int = 16, shard_words: int = 1 << 20, bundle_shards: int = 1024, seed: int = 17, keep: tuple[str, ...] = ("doc_id", "source"), text: str = "text") -> DataFrame:
     """One row per document: `keep`, size, source_size, target (of its source), taken (its words in the mix, repeats counted).
 
     A null source is a source of its own, weighed last; null and empty texts have size 0 and take nothing. taken is at
@@ -96,8 +97,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), passes: int = 3
     plan = plan.select("source", "source_size", "target", F.col("quota").alias("source_quota"), F.ceil(F.col("source_size") / shard_words).alias("n_shards"))
     h = F.xxhash64(F.lit(seed), "doc_id")
     placed = _joined(rows, plan, few, "source").withColumn("h", h).withColumn("shard", F.when(F.col("n_shards") > 1, F.pmod(F.shiftright("h", 20), F.col("n_shards"))).otherwise(F.lit(0)))
-    cells = placed.groupBy("source", "shard", "source_quota").agg(F.sum("size").alias("cell_words"))
-    quotas = cut(apportion(cells, ["source"], ["shard"], "cell_words", "source_quota").select("source", "shard", "cell_words", "quota"))
+    cells = placed.groupBy("source", "shard", "source_quota").agg(F.sum("size").alias("cell_words")).withColumn("bundle", F.floor(F.col("shard") / bundle_shards))
+    bundles = apportion(cells.groupBy("source", "bundle", "source_quota").agg(F.sum("cell_words").alias("bundle_words")), ["source"], ["bundle"], "bundle_words", "source_quota")
+    bundles = cut(bundles.select("source", "bundle", F.col("quota").alias("bundle_quota")))
+    dealt = _joined(cells, bundles, bundles.count() <= BROADCAST_SOURCES, "source", "bundle")
+    quotas = cut(apportion(dealt, ["source", "bundle"], ["shard"], "cell_words", "bundle_quota").select("source", "shard", "cell_words", "quota"))
     order = Window.partitionBy("source", "shard").orderBy("h", "doc_id", "size")
     stream = placed.withColumn("stop", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     taken = _joined(stream, quotas, quotas.count() <= BROADCAST_SOURCES, "source", "shard")

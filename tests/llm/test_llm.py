@@ -196,11 +196,11 @@ def brute_targets(sizes, weights, passes):
         capped |= more
 
 
-@pytest.mark.parametrize("shard_words", [1 << 20, 400])
-def test_mixing(spark, shard_words):
+@pytest.mark.parametrize("shard_words, bundle", [(1 << 20, 1024), (400, 1024), (400, 3)])
+def test_mixing(spark, shard_words, bundle):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, "src0").when(F.col("doc_id") % 50 != 7, F.col("source")).alias("source"))
-    rows = mixing.mix(docs, shard_words=shard_words).collect()
-    again = mixing.mix(docs.repartition(7, "text"), shard_words=shard_words).collect()
+    rows = mixing.mix(docs, shard_words=shard_words, bundle_shards=bundle).collect()
+    again = mixing.mix(docs.repartition(7, "text"), shard_words=shard_words, bundle_shards=bundle).collect()
     assert Counter(map(tuple, rows)) == Counter(map(tuple, again))
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     sizes = Counter()
