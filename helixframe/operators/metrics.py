@@ -2,6 +2,7 @@
 
 Missing labels and scores are left out. Rank metrics start from counts by distinct score, which keeps ties together;
 running sums are taken inside score bins and offset by the totals of the bins below, so that no window holds all rows.
+A score's bin depends on the score alone, so nothing is sampled or computed while the plan is built.
 """
 
 from __future__ import annotations
@@ -9,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 64
+#: Bins in each octave of scores: 0.5 to 1, 0.25 to 0.5 and so on.
+OCTAVE_BINS = 1 << 16
 
 
 def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -23,19 +25,35 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(other, on).drop(*(f"__{k}" for k in keys))
 
 
-def running(counts: DataFrame, value: str, sums: list[str], by: list[str], bins: int = BINS) -> DataFrame:
+def score_bin(value: Column) -> Column:
+    """A bin that never falls as the value grows: octaves of its size, cut evenly.
+
+    Rounding of the logarithm at the edge of an octave does no harm, since an octave's last bin and the next one's first
+    follow each other by either reckoning.
+    """
+    size = F.abs(value)
+    octave = F.floor(F.log2(size))
+    within = F.floor((size / F.pow(F.lit(2.0), octave) - 1) * OCTAVE_BINS)
+    level = F.when(size == float("inf"), F.lit(1 << 40)).otherwise((octave + 1100) * OCTAVE_BINS + within).cast("long")
+    return F.when(F.isnan(value), F.lit(1 << 41)).when(value == 0, F.lit(0)).when(value > 0, level).otherwise(-level).cast("long")
+
+
+def running(counts: DataFrame, value: str, sums: list[str], by: list[str]) -> DataFrame:
     """counts with x_below (sum over smaller values) and x_all for each x of sums, in each group."""
-    edges = sorted(set(counts.approxQuantile(value, [i / bins for i in range(1, bins)], 0.01)))
-    binned = counts.withColumn("__bin", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(value))) if edges else F.lit(0))
+    binned = counts.withColumn("__bin", score_bin(_d(value)))
     inner = Window.partitionBy(*by, "__bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     binned = binned.withColumns({f"__{x}": F.coalesce(F.sum(x).over(inner), F.lit(0)) for x in sums})
-    # One row for each group and bin.
-    totals = binned.groupBy(*by, "__bin").agg(*(F.sum(x).alias(f"__t_{x}") for x in sums))
+    # One row for each group and bin: at most OCTAVE_BINS for each octave that a group's scores span.
+    totals = counts.withColumn("__bin", score_bin(_d(value))).groupBy(*by, "__bin").agg(*(F.sum(x).alias(f"__t_{x}") for x in sums))
     over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     before = over.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "__bin", *(F.coalesce(F.sum(f"__t_{x}").over(before), F.lit(0)).alias(f"__o_{x}") for x in sums), *(F.sum(f"__t_{x}").over(over).alias(f"{x}_all") for x in sums))
-    placed = _same(binned, totals, [*by, "__bin"])
-    return placed.select(*counts.columns, *((F.col(f"__{x}") + F.col(f"__o_{x}")).alias(f"{x}_below") for x in sums), *(f"{x}_all" for x in sums))
+    totals = totals.select(*by, F.col("__bin").alias("__own"), *(F.coalesce(F.sum(f"__t_{x}").over(before), F.lit(0)).alias(f"__o_{x}") for x in sums), *(F.sum(f"__t_{x}").over(over).alias(f"{x}_all") for x in sums))
+    other = totals.withColumnsRenamed({k: f"__{k}" for k in by})
+    on = binned["__bin"] == other["__own"]
+    for k in by:
+        on &= binned[k].eqNullSafe(other[f"__{k}"])
+    placed = binned.join(other, on)
+    return placed.select(*(binned[c] for c in counts.columns), *((F.col(f"__{x}") + F.col(f"__o_{x}")).alias(f"{x}_below") for x in sums), *(f"{x}_all" for x in sums))
 
 
 def score_counts(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
@@ -129,17 +147,21 @@ def pearson(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataF
     return usable.groupBy(*(by or [])).agg(F.when(F.count("*") < 3, 0.0).otherwise(F.corr(_d(y), _d(p))).alias("estimate"), F.count("*").alias("n"))
 
 
-def average_ranks(df: DataFrame, value: str, name: str, by: list[str] | None = None) -> DataFrame:
-    """df with the rank of value in its group; ties share their mean rank."""
-    by = by or []
+def value_ranks(df: DataFrame, value: str, name: str, by: list[str]) -> DataFrame:
+    """(by, __v, name): the mean rank of each distinct value in its group."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
-    ranked = running(counts, "__v", ["__c"], by).select(*by, "__v", (_d("__c_below") + (_d("__c") + 1) / 2).alias(name))
-    return _same(df.withColumn("__v", F.col(value).cast("double")), ranked, [*by, "__v"]).drop("__v")
+    return running(counts, "__v", ["__c"], by).select(*by, "__v", (_d("__c_below") + (_d("__c") + 1) / 2).alias(name))
+
+
+def average_ranks(df: DataFrame, value: str, name: str, by: list[str] | None = None, of: DataFrame | None = None) -> DataFrame:
+    """df with the rank of value in its group; ties share their mean rank. of: rows that df was made of without loss."""
+    by = by or []
+    return _same(df.withColumn("__v", F.col(value).cast("double")), value_ranks(df if of is None else of, value, name, by), [*by, "__v"]).drop("__v")
 
 
 def spearman(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
     usable = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).select(*(by or []), F.col(y).alias("y"), F.col(p).alias("p"))
-    return pearson(average_ranks(average_ranks(usable, "y", "ry", by), "p", "rp", by), "ry", "rp", by)
+    return pearson(average_ranks(average_ranks(usable, "y", "ry", by), "p", "rp", by, usable), "ry", "rp", by)
 
 
 def regression_errors(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
