@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ("chrom", "pos", "ref", "alt")
@@ -86,6 +86,22 @@ def valid_phenotype_term(term: Column) -> Column:
     return term.rlike(r"^HP:\d{7}$")
 
 
+def require_phenotype_terms(df: DataFrame, term: str) -> DataFrame:
+    """df, or an error that names up to ten invalid terms, or that there are none."""
+    bad = df.where(~F.coalesce(valid_phenotype_term(F.col(term)), F.lit(False))).select(term).limit(10).collect()
+    if bad:
+        raise ValueError(f"invalid terms: {', '.join(str(r[0]) for r in bad)}")
+    if df.isEmpty():
+        raise ValueError("no terms")
+    return df
+
+
+def biallelic_sites(df: DataFrame) -> DataFrame:
+    """Autosomal single-base variants at sites with one alternative allele, with their id."""
+    sites = df.groupBy("chrom", "pos", "ref").agg(F.count_distinct("alt").alias("__n"), F.min("alt").alias("alt")).where("__n = 1").drop("__n")
+    return sites.where(is_autosomal_snp(F.col("chrom"))).withColumn("variant_id", variant_key())
+
+
 def population_source_passes(source: Column) -> Column:
     low = F.lower(source)
     return F.when(source.isNull(), False).when(low.isin(*GOOD_POPULATION_SOURCES), True).when(low.isin(*BAD_POPULATION_SOURCES), False).otherwise(True)

@@ -266,21 +266,34 @@ def least_squares_line(df: DataFrame, y: str, x: str, by: list[str] | None = Non
     return df.groupBy(*(by or [])).agg(F.regr_slope(_d(y), _d(x)).alias("slope"), F.regr_intercept(_d(y), _d(x)).alias("intercept"))
 
 
-def calibration_line(df: DataFrame, label: str, prob: str, rounds: int = 12) -> tuple[float, float]:
-    """(slope, intercept) of an unpenalised logistic regression on the logit, by Newton steps over one-row aggregates."""
+def calibration_line(df: DataFrame, label: str, prob: str, rounds: int = 30) -> tuple[float, float]:
+    """(slope, intercept) of an unpenalised logistic regression on the logit, by Newton steps over one-row aggregates.
+
+    A step that makes the loss worse is halved until it doesn't."""
     from helixframe.functions.variants import logit
 
     rows = df.where(F.col(prob).isNotNull() & F.col(label).isin(0, 1)).select(logit(F.col(prob)).alias("x"), _d(label).alias("y"))
+
+    def at(a: float, b: float) -> tuple[float, ...]:
+        z = F.lit(a) + F.lit(b) * F.col("x")
+        p = 1 / (1 + F.exp(-z))
+        w, e = p * (1 - p), F.col("y") - p
+        loss = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - F.col("y") * z
+        return tuple(v or 0.0 for v in rows.agg(F.sum(loss), F.sum(e), F.sum(e * F.col("x")), F.sum(w), F.sum(w * F.col("x")), F.sum(w * F.col("x") * F.col("x"))).first())
+
     a, b = 0.0, 1.0
+    loss, g0, g1, h0, h1, h2 = at(a, b)
     for _ in range(rounds):
-        p = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("x"))))
-        w, e = p * (1 - p), F.col("y") - p
-        g0, g1, h0, h1, h2 = rows.agg(F.sum(e), F.sum(e * F.col("x")), F.sum(w), F.sum(w * F.col("x")), F.sum(w * F.col("x") * F.col("x"))).first()
-        det = (h0 or 0) * (h2 or 0) - (h1 or 0) ** 2
+        det = h0 * h2 - h1 * h1
         if not det:
             break
         da, db = (h2 * g0 - h1 * g1) / det, (h0 * g1 - h1 * g0) / det
+        found = at(a + da, b + db)
+        while found[0] > loss and abs(da) + abs(db) > 1e-10:
+            da, db = da / 2, db / 2
+            found = at(a + da, b + db)
         a, b = a + da, b + db
-        if abs(da) + abs(db) < 1e-10:
+        loss, g0, g1, h0, h1, h2 = found
+        if abs(da) + abs(db) < 1e-9:
             break
     return b, a

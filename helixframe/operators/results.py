@@ -63,6 +63,17 @@ def against_baselines(results: DataFrame, baselines: DataFrame, metrics: list[st
     return rows.groupBy("place", "label").pivot("metric", metrics).agg(F.first("estimate")).orderBy("place", "label").drop("place")
 
 
+def unpivot_counts(compared: DataFrame, by: str) -> DataFrame:
+    """(by, metric, value): precision, recall and f1 of a call-set comparison as rows."""
+    return compared.unpivot(by, ["precision", "recall", "f1"], "metric", "value")
+
+
+def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value): the distinct values of each column that are there, as text."""
+    each = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns))
+    return df.select(F.explode(each).alias("e")).select("e.*").where(F.col("value").isNotNull()).distinct()
+
+
 def validate(expected: DataFrame, actual: DataFrame, on: list[str], tolerance: float = 0.05) -> DataFrame:
     """Every expected value with its actual one and what there is to warn of."""
     state = F.when(F.col("estimate").isNull(), "missing").when(F.abs(F.col("estimate") - F.col("expected")) > tolerance, "differs").otherwise("ok")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.functions.variants import called_alleles, passes, with_chr, without_chr
+from helixframe.functions.variants import called_alleles, parsed_date, passes, splice_field, splice_score, with_chr, without_chr
 
 VCF_FIELDS = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format", "sample")
 
@@ -65,6 +65,40 @@ def read_table(spark: SparkSession, path: str, schema: str, comment: str | None
     return (reader.option("comment", comment) if comment else reader).csv(path)
 
 
+def delimited(lines: DataFrame, fields: dict[str, tuple[int, str]], least: int, sep: str = "\t") -> DataFrame:
+    """Lines (value) as columns: name to (place from 1, type). Comments and lines with fewer than `least` fields are left
+    out, and those where a needed field (at a place up to `least`) is not of its type; later fields may be missing."""
+    p = F.split("value", sep)
+    rows = lines.where(~F.col("value").startswith("#") & (F.size(p) >= least)).withColumn("__p", p)
+    own = [c for c in lines.columns if c != "value"]
+    out = rows.select(*own, *(F.try_element_at("__p", F.lit(at)).try_cast(kind).alias(name) for name, (at, kind) in fields.items()))
+    return out.dropna(subset=[name for name, (at, kind) in fields.items() if at <= least and kind != "string"])
+
+
+# The fields of score and index tables, by place.
+PATHOGENICITY_FIELDS = {"chrom": (1, "string"), "pos": (2, "bigint"), "ref": (3, "string"), "alt": (4, "string"), "transcript_id": (7, "string"), "score": (8, "double")}
+LLR_FIELDS = {"chrom": (1, "string"), "pos": (2, "bigint"), "ref": (3, "string"), "alt": (4, "string"), "llr": (5, "double")}
+INDEX_FIELDS = {"chrom": (1, "string"), "pos": (2, "bigint"), "ref": (3, "string"), "alt": (4, "string"), "gene": (5, "string"), "consequence": (6, "string"), "score": (7, "string"), "classification": (8, "string"), "explanation": (9, "string")}
+
+
+def variant_summaries(rows: DataFrame, assembly: str = "GRCh38") -> DataFrame:
+    """Rows of one assembly with last_evaluated as a date; dates that no format fits are left out."""
+    return rows.where(F.col("Assembly") == assembly).withColumn("last_evaluated", parsed_date(F.col("LastEvaluated"))).where(F.col("last_evaluated").isNotNull())
+
+
+def read_variant_summary(spark: SparkSession, *paths: str) -> DataFrame:
+    """The first of the paths that exists, all columns as text (chromosomes are names). A gzip file is one task: write
+    it as Parquet once."""
+    return read_strings(spark, first_that_exists(spark, *paths))
+
+
+def splice_scan(snv_lines: DataFrame, indel_lines: DataFrame) -> DataFrame:
+    """(chrom, pos, ref, alt, symbol, score) of both files of splice predictions, from their INFO fields."""
+    rows = vcf_records(snv_lines).unionByName(vcf_records(indel_lines))
+    found = rows.select(with_chr(F.col("chrom")).alias("chrom"), "pos", "ref", splice_field(F.col("info"), 1).alias("alt"), splice_field(F.col("info"), 2).alias("symbol"), splice_score(F.col("info")).alias("score"))
+    return found.where(F.col("score").isNotNull())
+
+
 def read_strings(spark: SparkSession, path: str) -> DataFrame:
     """A tab-separated table with a header, all columns as text: annotated structural and copy-number variants."""
     return spark.read.option("sep", "\t").option("header", True).csv(path)
@@ -140,6 +174,34 @@ def read_runs(spark: SparkSession, path: str, task_prefix: str | None = None, mo
     return rows if model is None else rows.where(F.col("model_name") == model)
 
 
+def read_latest_runs(spark: SparkSession, folder: str, task_prefix: str | None = None, model: str | None = None) -> DataFrame:
+    """Runs of the run_* file whose name is the greatest, which is the latest."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "run_*").load(folder).select("path")
+    last = listed.agg(F.max("path")).first()[0]
+    if last is None:
+        raise FileNotFoundError(f"no run_* in {folder}")
+    return read_runs(spark, last, task_prefix, model)
+
+
+def with_predictions_path(runs: DataFrame, path: str | None) -> DataFrame:
+    """Runs whose metadata say where their predictions are; unchanged without a path."""
+    if path is None:
+        return runs
+    added = F.create_map(F.lit("predictions_path"), F.lit(path))
+    return runs.withColumn("metadata", F.map_concat(F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, _: k != "predictions_path"), added))
+
+
+def stamps(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
+    """wanted (key, part) with state, modified, size and n_files of root/part: a file, or a directory with the time of
+    its latest child; missing where nothing is there, unknown_artifact where part is null. Nothing is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length")
+    rest = F.substring_index("path", f"{root.rstrip('/')}/", -1)
+    found = files.withColumns({"part": F.split(rest, "/")[0], "inside": F.size(F.split(rest, "/")) > 1})
+    found = found.groupBy("part").agg(F.max("modificationTime").alias("modified"), F.sum("length").alias("size"), F.count("*").alias("n_files"), F.bool_or("inside").alias("inside"))
+    state = F.when(F.col("part").isNull(), "unknown_artifact").when(F.col("n_files").isNull(), "missing").when(F.col("inside"), "directory").otherwise("file")
+    return wanted.join(found, "part", "left").select("key", "part", state.alias("state"), "modified", "size", F.coalesce("n_files", F.lit(0)).alias("n_files"))
+
+
 def save_predictions(predictions: DataFrame, path: str) -> None:
     predictions.write.mode("append").partitionBy("task_id", "model_name").parquet(path)
 
