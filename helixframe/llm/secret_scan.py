@@ -21,6 +21,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import accumulate, repeat
 
 import numpy as np
@@ -64,6 +65,7 @@ def base_spans(text: bytes) -> list[tuple[int, int, int, int]]:
     return sorted(found)
 
 
+@lru_cache(maxsize=1 << 14)
 def _hash(text: str) -> int:
     return zlib.crc32(text.encode()) % BUCKETS
 
@@ -362,9 +364,9 @@ class Tagger:
         at = self.shapes[classes] = len(self.shapes)
         if at >= len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        w, words = self.field.weights, self.field.words
-        token = b"\n" if classes == b"\n" else b"\0"  # no word of the sample
-        self.scores[at] = np.concatenate([w[own_features(classes)].sum(0), *(w[side_features(token, classes, side, words)].sum(0) for side in "pn")])
+        w, features = self.field.weights, shape(classes)
+        about = "end" if classes == b"\n" else "|".join(features[:2])
+        self.scores[at] = np.concatenate([w[[_hash(f"w:{x}") for x in features]].sum(0), *(w[_hash(f"{side}:{about}")] for side in "pn")])
         if classes == b"\n":
             self.scores[at, :3] = [-1e3, -1e3, 0]
         return at

@@ -40,6 +40,9 @@ OTHER = 1 << 19
 
 
 class MergeEncoder:
+    """Encoder of a merge model that writes unknown characters as bytes (others are an error). Pieces that a model's
+    users have defined count as any other piece here, while the library takes them whole before it merges."""
+
     def __init__(self, model_path: str):
         self.processor = sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self._rank: dict[str, float] = {}
@@ -51,6 +54,8 @@ class MergeEncoder:
                 self._byte[int(piece[3:5], 16)] = i
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self._rank[piece], self._id[piece] = sp.get_score(i), i
+        if len(self._byte) != 256:
+            raise ValueError("the model must write unknown characters as bytes")
         self._chunk = next((r for r in (CHUNK, WORD) if all(map(r.fullmatch, self._id))), re.compile("(?s).+"))
         self._automaton = ahocorasick.Automaton()
         for piece in self._id:
