@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,8 +147,9 @@ def splice_score(info: Column) -> Column:
 
 
 def csq_fields(header: str) -> list[str]:
-    """Names of the fields of transcript strings, from the header line that describes CSQ."""
-    return [x.strip() for x in header.split("Format:", 1)[1].rsplit('"', 1)[0].strip().split("|")] if "Format:" in header else []
+    """Names of the fields of transcript strings, from the header line that describes CSQ; none without a format."""
+    described = re.search(r'\bFormat:\s*([\w|]+)', header)
+    return described[1].split("|") if described else []
 
 
 def csq_entries(info: Column, fields: list[str]) -> Column:
