@@ -59,22 +59,12 @@ def frequent_keys(df: DataFrame, key: str) -> DataFrame:
     return counts.where(F.col("__n") >= least).select(key)
 
 
-#: What the rows of frequent keys may weigh together to be broadcast.
-BROADCAST_BYTES = 64 << 20
-
-
-def join_one(many: DataFrame, one: DataFrame, key: str, weight: Column | None = None) -> DataFrame:
+def join_one(many: DataFrame, one: DataFrame, key: str, frequent: DataFrame | None = None) -> DataFrame:
     """many joined to one, which has a row for each key: rows of frequent keys stay where they are and get theirs by
-    broadcast (at most FREQUENT_SHARE rows), so no task gathers a frequent key. many should be cheap to compute again.
-
-    weight: bytes of a row of one, where these are no few numbers; if the frequent keys' rows weigh more than
-    BROADCAST_BYTES, all rows are joined by shuffle.
+    broadcast (at most FREQUENT_SHARE rows, so rows of one should be short), so no task gathers a frequent key. many should
+    be cheap to compute again. frequent: frequent_keys of many, where they are known.
     """
-    frequent = frequent_keys(many, key)
-    if weight is not None:
-        frequent = cut(frequent)
-        if (one.join(F.broadcast(frequent), key, "left_semi").agg(F.sum(weight)).first()[0] or 0) > BROADCAST_BYTES:
-            return many.join(one, key)
+    frequent = frequent_keys(many, key) if frequent is None else frequent
     marked = many.join(F.broadcast(frequent.withColumn("__f", F.lit(True))), key, "left")
     few = one.join(F.broadcast(frequent), key, "left_semi")
     often = marked.where("__f").drop("__f").join(F.broadcast(few), key)

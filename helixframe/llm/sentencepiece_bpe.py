@@ -32,9 +32,9 @@ CHUNK = re.compile(f"{SPACE}*[{LATIN}]+|{SPACE}*[^{LATIN}{SPACE}]+|{SPACE}+")
 #: For models with pieces that mix letters and other characters.
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Entries of each generation of a worker's word cache (there are two), and the longest word that it keeps.
-CACHE_ENTRIES, CACHE_CHARS = 150_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 80_000, 48
 #: Entries of a worker's table of compatible pairs.
-PAIR_ENTRIES = 400_000
+PAIR_ENTRIES = 200_000
 #: Tokens from here on are characters without a piece; the model writes them as bytes.
 OTHER = 1 << 19
 

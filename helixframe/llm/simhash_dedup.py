@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import cut, join_one, text_slices
+from helixframe.llm.common import cut, frequent_keys, join_one, text_slices
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 #: Widths of the segments, from the top bit; 5 segments and 4 bits give chains that start equal.
@@ -255,11 +255,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     neither a hub nor a large component is gathered in a task. The result of a round is kept in the shared folder, and
     only whether anything changed comes to the driver.
     """
-    both = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct())
-    label = cut(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")).withColumnRenamed("x", "node"))
+    pair = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    ends = edges.select(F.explode(F.array(pair(a, b), pair(b, a), pair(a, a), pair(b, b))).alias("e"))
+    both = cut(ends.select("e.x", "e.y").distinct())  # with a link of each node to itself
+    hubs = cut(frequent_keys(both, "y"))
+    label = cut(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("root")))
     while True:
-        near = join_one(both, label.withColumnsRenamed({"node": "y", "root": "r"}), "y").groupBy("x").agg(F.min("r").alias("r"))
-        least = label.join(near, label["node"] == near["x"]).select("node", F.col("root").alias("old"), F.least("root", "r").alias("root"))
+        seen = join_one(both, label.select(F.col("node").alias("y"), F.col("root").alias("r")), "y", frequent=hubs)
+        least = seen.groupBy(F.col("x").alias("node")).agg(F.max(F.when(F.col("x") == F.col("y"), F.col("r"))).alias("old"), F.min("r").alias("root"))
         # What a root's own members found is told to the root, so that trees merge, not only their edges.
         told = least.groupBy(F.col("old").alias("node")).agg(F.min("root").alias("told"))
         least = cut(least.join(told, "node", "left").select("node", "old", F.least("root", F.coalesce("told", "root")).alias("root")))
@@ -307,7 +310,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of hashed word shingles; hashes of words are kept, up to a number of them."""
 
-    def __init__(self, shingle_words: int, keep: int = 200_000):
+    def __init__(self, shingle_words: int, keep: int = 100_000):
         self.size, self.keep, self.words = shingle_words, keep, {}
 
     def shingles(self, text: bytes) -> np.ndarray:
@@ -376,15 +379,15 @@ def near_copies(docs: DataFrame, shingle_words: int = 5, least: float = 0.8, blo
 
     def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1 << 13):
-                column = batch.column("fp").slice(at, 1 << 13)
+            for at in range(0, batch.num_rows, 1 << 8):  # some 9,000 rows, so that no batch is large outside the heap
+                column = batch.column("fp").slice(at, 1 << 8)
                 segments = np.frombuffer(b"".join(column.to_pylist()), ">u2").astype(np.int64).reshape(-1, 4 * WIDE)
                 keys = segments << 8 | np.arange(4 * WIDE)[None, :]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), column.take(pa.array(np.repeat(np.arange(len(keys)), 4 * WIDE)))], ["key", "fp"])
 
     met = prints.select("fp").mapInArrow(spots, "key long, fp binary")
     met = meet(met, lambda x, key: wide_chained(x, key & 255, WIDE_BITS, WIDE_CHAIN), WIDE, block)
-    found = cut(met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("distance").alias("distance")))
+    found = cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     # Candidates are checked by their own texts: of each fingerprint, that of its first document.
     linked = found.select(F.col("a").alias("fp")).unionByName(found.select(F.col("b").alias("fp"))).distinct().join(prints, "fp").select("fp", F.col("rep.none").alias("none"), F.coalesce("rep.doc_id", F.lit(0).cast("long")).alias("id"), F.col("rep.text_key").alias("text_key"))
     texts = source.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "text_key", "text").join(linked, ["none", "id", "text_key"]).select("fp", "text")
@@ -399,21 +402,10 @@ def near_copies(docs: DataFrame, shingle_words: int = 5, least: float = 0.8, blo
 
     sets = cut(texts.mapInArrow(sets_of, "fp binary, shingles array<long>").dropDuplicates(["fp"]))
 
-    def checked(links: DataFrame) -> DataFrame:
-        """The links between texts that are as similar as they must be."""
-        left, right = sets.withColumnsRenamed({"fp": "a", "shingles": "sa"}), sets.withColumnsRenamed({"fp": "b", "shingles": "sb"})
-        sides = join_one(cut(join_one(links, left, "a", 8 * F.size("sa"))), right, "b", 8 * F.size("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        return sides.where(both >= F.lit(least) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-
-    # First each fingerprint's nearest on either side, two links at most; then those that join what these leave apart.
-    nearest = lambda own, other: found.groupBy(own).agg(F.min(F.struct("distance", other)).alias("m")).select(own, F.col(f"m.{other}").alias(other))
-    near = cut(checked(cut(nearest("a", "b").unionByName(nearest("b", "a")).distinct())))
-    label = cut(components(near).withColumnRenamed("root", "group"))
-    labelled = lambda df, side: df.join(label.withColumnsRenamed({"node": side, "group": f"of_{side}"}), side, "left")
-    apart = labelled(labelled(found, "a"), "b").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    more = cut(checked(cut(apart)))
-    roots = components(near.unionByName(more))
+    # A hub's set goes to all its links; the joins are split where adaptive execution finds them skewed.
+    sides = found.join(sets.withColumnsRenamed({"fp": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"fp": "b", "shingles": "sb"}), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    roots = components(cut(sides.where(both >= F.lit(least) * (F.size("sa") + F.size("sb") - both)).select("a", "b")))
     rooted = cut(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("group")))
     named = cut(join_one(rooted, rooted.groupBy("group").agg(F.min("rep").alias("root")), "group").select("fp", "root"))
     return join_one(rows, named, "fp").select("doc_id", "text_key", "root")
