@@ -17,10 +17,19 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document is rejected from this score on.
 TOXIC = 0.7
 
+#: Rows of a batch between Spark and Python: with whole texts in them, Spark's own 10,000 take much memory outside the heap.
+BATCH_ROWS = 2000
+
 #: SQL can't express the trained machine, the fingerprints' hash and the merges.
 ORACLE_SQL = None
 
 
+def _small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def _rows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """docs of (doc_id, text_key) in wanted, with wanted's other columns; of repeated rows with one id and text, one.
 
@@ -33,6 +42,7 @@ def _rows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the machine, trained on a bounded sample of the labelled ones, scores as toxic."""
+    _small_batches(spark)
     machine = toxicity.train_machine(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_documents(docs, machine, COLUMNS).where(F.col("score") < TOXIC).select(*COLUMNS)
 
@@ -45,6 +55,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies (five words, similarity 0.8): that with the smallest id."""
+    _small_batches(spark)
     found = simhash_dedup.near_copies(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"))
     kept = found.select("root.doc_id", "root.text_key").distinct()
     return _rows_of(docs, kept).select(*COLUMNS)
@@ -52,6 +63,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: rows repeat up to three times, and those it doesn't take go."""
+    _small_batches(spark)
     keyed = docs.select(*COLUMNS).withColumn("text_key", F.xxhash64("text"))
     taken = mixing.mix(keyed, keep=("doc_id", "source", "text_key")).withColumn("copies", mixing.copies(F.col("taken"), F.col("size")))
     times = taken.groupBy("doc_id", "text_key").agg(F.sum("copies").alias("copies")).where("copies > 0")
@@ -60,6 +72,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document with an end id, and digests of these and of the text decoded from them."""
+    _small_batches(spark)
     coded = sentencepiece_bpe.encode_documents(docs, PIECE_MODEL, ["doc_id", "source"], decode=True)
     return coded.select(
         "doc_id",
