@@ -14,13 +14,13 @@ from helixframe.sources import tables
 # Annotation joins
 
 
-@query("variants", sql="""t AS (SELECT chrom, pos, ref, alt, l_partkey AS transcript, filter AS review, row_number() OVER (PARTITION BY chrom, pos, ref, alt ORDER BY l_orderkey, l_linenumber) AS rn FROM variants WHERE l_partkey % 3 = 0),
+@query("variants", sql="""t AS (SELECT chrom, pos, ref, alt, l_partkey AS transcript, filter AS review, row_number() OVER (PARTITION BY chrom, pos, ref, alt ORDER BY l_orderkey, l_linenumber, l_partkey, coalesce(filter, '')) AS rn FROM variants WHERE l_partkey % 3 = 0),
 j AS (SELECT v.chrom, t.transcript, t.review, t.chrom IS NOT NULL AS found FROM variants v LEFT JOIN t ON t.rn = 1 AND t.chrom = v.chrom AND t.pos = v.pos AND t.ref = v.ref AND t.alt = v.alt)
 SELECT chrom, CASE WHEN found THEN 'found' ELSE 'not_found' END AS status, count(*) AS n, count(review) AS n_reviewed, CAST(sum(transcript) AS BIGINT) AS transcripts FROM j GROUP BY ALL""")
 def first_match_annotation(variants: DataFrame) -> DataFrame:
     """Several columns of the first entry of each key, and not_found."""
     table = variants.where("l_partkey % 3 = 0").select(*V.KEY, F.col("l_partkey").alias("transcript"), F.col("filter").alias("review"), "l_orderkey", "l_linenumber")
-    found = joins.annotate(variants.select(*V.KEY), table, ["transcript", "review"], ["l_orderkey", "l_linenumber"])
+    found = joins.annotate(variants.select(*V.KEY), table, ["transcript", "review"], ["l_orderkey", "l_linenumber", "transcript", F.coalesce("review", F.lit(""))])
     return found.groupBy("chrom", "status").agg(F.count("*").alias("n"), F.count("review").alias("n_reviewed"), F.sum("transcript").alias("transcripts"))
 
 
