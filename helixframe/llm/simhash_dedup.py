@@ -3,8 +3,10 @@
 A 64-bit fingerprint is seen as a ring of segments. If two fingerprints differ in at most `max_bits` bits, then some
 segment starts a chain such that, for every length, the differences over that many consecutive segments stay within
 their proportional share of max_bits. The first segment of that chain is equal in both, and the first two differ in one
-bit at most, so one half of the second is equal too: the first segment and that half are the key under which
-fingerprints meet. Where they meet, the rest of the chain is checked before the full distance.
+bit at most, so all pieces of the second but one are equal too: the first segment and these pieces are the key under
+which fingerprints meet. Where they meet, the rest of the chain is checked before the full distance.
+
+Near copies by a similarity of shingles are searched with wider fingerprints (near_copies) and checked by their texts.
 
 Equal fingerprints count once. Of the fingerprints that meet under a key, a task hands on a spanning set of links, never
 all pairs; keys with more than `block` members are compared block against block in separate tasks.
