@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import chat_format, exact_dedup, license_scan, mixing, ppm_score, secret_scan, sentencepiece_bpe, simhash_dedup, toxicity, vector_search
+from helixframe.llm import chat_format, exact_dedup, license_scan, merkle_manifest, mixing, ppm_score, quality, secret_scan, sentencepiece_bpe, simhash_dedup, toxicity, vector_search, whitening
 from helixframe.llm.common import crc_mod, table
 
 PIECE_MODEL = os.environ.get("HELIXFRAME_PIECE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
@@ -99,6 +99,26 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.search(index, index.where(F.col("vec_id") % 20 == 0))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt without the held-out fifth of the labels."""
+    docs = table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long"))
+    model = quality.train_model(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 5) != 0)
+    scored = quality.score_documents(docs, model, ["doc_id"])
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof in the manifest, and the root that its tampered text leads to."""
+    docs = table(spark, sf_dir, "documents")
+    leaves = merkle_manifest.leaf_table(docs, crc_mod(F.col("doc_id"), 5) == 0, merkle_manifest.lower_ascii(F.col("text")))
+    return merkle_manifest.manifest(leaves)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the eight leading components, whitened."""
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_mix_sources": op2_mix_sources,
@@ -110,6 +130,9 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_vector_search": op10_vector_search,
+    "op11_quality": op11_quality,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_whitening": op13_whitening,
 }
 
 _ESCAPED = r"replace(replace(replace(replace(replace({}, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')"
