@@ -95,14 +95,14 @@ def ppv_at_sensitivity(df: DataFrame, label: str, score: str, target: float = 0.
     """Precision at the highest threshold that reaches the sensitivity; 0 if none does."""
     tp, fp = _called()
     reached = F.when((tp >= target * _d("pos_all")) & (F.col("pos_all") > 0), F.col("score"))
-    return score_counts(df, label, score, by).groupBy(*(by or [])).agg(F.coalesce(F.max_by(tp / (tp + fp), reached), F.lit(0.0)).alias("estimate"))
+    return score_counts(df, label, score, by).groupBy(*(by or [])).agg(F.coalesce(F.max_by(tp / (tp + fp), reached), F.lit(0.0)).alias("estimate"), F.sum(F.col("pos") + F.col("neg")).alias("n"))
 
 
 def npv_at_specificity(df: DataFrame, label: str, score: str, target: float = 0.99, by: list[str] | None = None) -> DataFrame:
     """Share of true negatives at the smallest threshold that reaches the specificity; 0 without negatives."""
     tn, fn = _left()
     reached = F.when((tn >= target * _d("neg_all")) & (F.col("neg_all") > 0), F.col("score"))
-    return score_counts(df, label, score, by).groupBy(*(by or [])).agg(F.coalesce(F.min_by(tn / (tn + fn), reached), F.lit(0.0)).alias("estimate"))
+    return score_counts(df, label, score, by).groupBy(*(by or [])).agg(F.coalesce(F.min_by(tn / (tn + fn), reached), F.lit(0.0)).alias("estimate"), F.sum(F.col("pos") + F.col("neg")).alias("n"))
 
 
 def roc_curve(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
