@@ -32,7 +32,8 @@ def weights(ids: np.ndarray, replicates: int, rate: float, seed: int) -> np.ndar
         x ^= x >> np.uint64(31)
     u = (x >> np.uint64(11)).astype(np.float64) / (1 << 53)
     out, p, total, k = np.zeros(u.shape, np.int64), math.exp(-rate), math.exp(-rate), 0
-    while k < 40:
+    most = u.max(initial=0.0)
+    while k < 40 and total < most:
         out += u > total
         k += 1
         p *= rate / k

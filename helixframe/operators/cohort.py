@@ -177,7 +177,7 @@ def top_share(df: DataFrame, by: str, name: str, value: str, n: int = 5) -> Data
 def matched_controls(cases: DataFrame, controls: DataFrame, strata: list[str], ident: str, ratio: int, seed: int = 42) -> DataFrame:
     """Controls in each stratum, at most ratio times its cases, in seeded random order."""
     from helixframe.functions.variants import draw_order
+    from helixframe.operators.splits import ranked
 
-    wanted = cases.groupBy(*strata).agg((F.count("*") * ratio).alias("wanted"))
-    at = F.row_number().over(Window.partitionBy(*strata).orderBy(draw_order(F.col(ident), seed), ident))
-    return controls.withColumn("at", at).join(wanted, strata).where(F.col("at") <= F.col("wanted")).drop("at", "wanted")
+    wanted = cases.groupBy(*strata).agg((F.count("*") * ratio).alias("__wanted"))
+    return ranked(controls.join(wanted, strata), strata, draw_order(F.col(ident), seed), [ident], F.col("__wanted")).drop("__at", "__n", "__wanted")

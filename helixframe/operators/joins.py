@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.variants import KEY, is_snv, protein_change, without_chr
 
-#: Width of the bins that turn interval joins into key joins.
-BIN = 1 << 14
+#: Width of the narrowest bins that turn interval joins into key joins; each of LEVELS levels has bins STEP times as wide as
+#: the one below, the widest over four thousand million bases.
+BIN, STEP, LEVELS = 1 << 14, 8, 7
 #: Into how many parts a category is dealt before its first rows meet.
 PARTS = 64
 
@@ -95,29 +96,64 @@ def having_score(variants: DataFrame, scores: DataFrame | None, keys: tuple[str,
     return variants if scores is None else variants.join(scores.select(*keys), list(keys), "left_semi")
 
 
-def in_intervals(points: DataFrame, intervals: DataFrame, chrom: str = "chrom", pos: str = "pos", start: str = "bed_start", end: str = "bed_end", width: int = BIN) -> DataFrame:
+def _level(length: Column) -> Column:
+    """The lowest level whose bins are at least as wide as an interval: it touches two bins of it at most."""
+    level = F.lit(0)
+    for n in range(LEVELS - 1):
+        level = level + (length > BIN * STEP**n).cast("int")
+    return level
+
+
+def _width(level: Column) -> Column:
+    return F.lit(BIN).cast("long") * F.pow(F.lit(float(STEP)), level).cast("long")
+
+
+def _bins(start: Column, end: Column, level: Column) -> Column:
+    """The bins of a level that a half-open interval touches."""
+    return F.sequence(F.floor(start / _width(level)), F.floor((end - 1) / _width(level)))
+
+
+def in_intervals(points: DataFrame, intervals: DataFrame, chrom: str = "chrom", pos: str = "pos", start: str = "bed_start", end: str = "bed_end") -> DataFrame:
     """Points (1-based) inside some interval (0-based, half open).
 
-    Intervals are dealt to the bins that they touch and points to theirs, so that the join has a key of many values; a
-    chromosome alone would gather all its points in one task.
+    Intervals lie in the one or two bins that they touch at the level of their length, and a place looks in one bin of each
+    level that occurs, so the join has a key of many values, and an interval over a whole chromosome costs as much as a
+    short one. Each place is looked up once, however many points it has.
     """
-    spans = intervals.where(F.col(end) > F.col(start)).select(F.col(chrom).alias("__chrom"), F.col(start).alias("__start"), F.col(end).alias("__end"))
-    spans = spans.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("__start") / width), F.floor((F.col("__end") - 1) / width))))
-    at = F.col(pos) - 1
-    binned = points.withColumn("__at", F.floor(at / width))
-    inside = (F.col(chrom) == F.col("__chrom")) & (F.col("__at") == F.col("__bin")) & (at >= F.col("__start")) & (at < F.col("__end"))
-    return binned.join(spans, inside, "left_semi").drop("__at")
-
-
-def overlapping(left: DataFrame, right: DataFrame, chrom: str, start: str, end: str, width: int = BIN) -> DataFrame:
-    """Pairs of intervals that overlap (half open), columns prefixed a_ and b_, each pair once."""
-    bins = lambda df: F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width)))
-    a = left.where(F.col(end) > F.col(start)).withColumn("bin", bins(left)).select(*(F.col(c).alias(f"a_{c}") for c in [*left.columns, "bin"]))
-    b = right.where(F.col(end) > F.col(start)).withColumn("bin", bins(right)).select(*(F.col(c).alias(f"b_{c}") for c in [*right.columns, "bin"]))
-    low = F.greatest(F.col(f"a_{start}"), F.col(f"b_{start}"))
-    meets = (F.col(f"a_{chrom}") == F.col(f"b_{chrom}")) & (F.col("a_bin") == F.col("b_bin")) & (low < F.least(F.col(f"a_{end}"), F.col(f"b_{end}")))
-    # A pair meets in every bin that both touch; it counts in the one that holds the overlap's start.
-    return a.join(b, meets & (F.floor(low / width) == F.col("a_bin"))).drop("a_bin", "b_bin")
+    spans = intervals.where(F.col(end) > F.col(start)).select(F.col(chrom).alias("__c"), F.col(start).alias("__start"), F.col(end).alias("__end"), _level(F.col(end) - F.col(start)).alias("__level"))
+    spans = spans.withColumn("__bin", F.explode(_bins(F.col("__start"), F.col("__end"), F.col("__level"))))
+    places = points.where(F.col(chrom).isNotNull() & F.col(pos).isNotNull()).select(F.col(chrom).alias("__chrom"), F.col(pos).alias("__pos")).distinct()
+    levels = spans.agg(F.collect_set("__level")).scalar()  # LEVELS numbers at most
+    at = F.col("__pos") - 1
+    probes = places.withColumn("__l", F.explode(levels)).withColumn("__b", F.floor(at / _width(F.col("__l"))))
+    inside = (F.col("__chrom") == F.col("__c")) & (F.col("__l") == F.col("__level")) & (F.col("__b") == F.col("__bin")) & (at >= F.col("__start")) & (at < F.col("__end"))
+    found = probes.join(spans, inside, "left_semi").select("__chrom", "__pos").distinct()
+    return points.join(found, (F.col(chrom) == F.col("__chrom")) & (F.col(pos) == F.col("__pos")), "left_semi")
+
+
+def overlapping(left: DataFrame, right: DataFrame, chrom: str, start: str, end: str) -> DataFrame:
+    """Pairs of intervals that overlap (half open), columns prefixed a_ and b_, each pair once.
+
+    A pair meets at the level of its longer interval: each side is stored at its own level, in two bins at most, and looks
+    in two bins at most of each higher level, so an interval makes a bounded number of rows whatever its length.
+    """
+    own = lambda df, p: df.where(F.col(end) > F.col(start)).select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns)).withColumn(f"{p}__level", _level(F.col(f"{p}_{end}") - F.col(f"{p}_{start}")))
+    a, b = own(left, "a"), own(right, "b")
+
+    def at_level(df: DataFrame, p: str, level: Column) -> DataFrame:
+        return df.withColumn(f"{p}__at", level).withColumn(f"{p}__bin", F.explode(_bins(F.col(f"{p}_{start}"), F.col(f"{p}_{end}"), F.col(f"{p}__at"))))
+
+    higher = lambda p, least: F.explode(F.filter(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda n: n >= F.col(f"{p}__level") + least))
+    low, high = F.greatest(F.col(f"a_{start}"), F.col(f"b_{start}")), F.least(F.col(f"a_{end}"), F.col(f"b_{end}"))
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        # A pair meets in every bin that both touch; it counts in the one that holds the overlap's start.
+        on = (F.col(f"a_{chrom}") == F.col(f"b_{chrom}")) & (F.col("a__at") == F.col("b__at")) & (F.col("a__bin") == F.col("b__bin"))
+        found = x.join(y, on & (low < high) & (F.floor(low / _width(F.col("a__at"))) == F.col("a__bin")))
+        return found.select(*(f"a_{c}" for c in left.columns), *(f"b_{c}" for c in right.columns))
+
+    stored = lambda df, p: at_level(df, p, F.col(f"{p}__level"))
+    return met(at_level(a, "a", higher("a", 0)), stored(b, "b")).unionByName(met(stored(a, "a"), at_level(b, "b", higher("b", 1))))
 
 
 def reciprocal_overlap(left: DataFrame, right: DataFrame, chrom: str = "chrom", start: str = "sv_start", end: str = "sv_end", least: float = 0.7) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.shared import settled
+
 #: Bins in each octave of scores: 0.5 to 1, 0.25 to 0.5 and so on.
 OCTAVE_BINS = 1 << 16
 
@@ -222,10 +224,29 @@ def is_binary(df: DataFrame, label: str) -> DataFrame:
     return df.where(F.col(label).isNotNull()).agg(((F.count("*") > 0) & F.coalesce(F.bool_and(F.col(label).isin(0, 1)), F.lit(False))).alias("binary"))
 
 
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """(by, a column for each share by name): exact quantiles, interpolated between neighbours, of values that are there.
+
+    Distinct values get their places from running counts, and a quantile is read where its place falls, so no buffer holds
+    a group's values. NaN sorts last. A group without values isn't there; without `by` there is one row.
+    """
+    by = by or []
+    rows = df.where(F.col(value).isNotNull()).groupBy(*by, _d(value).alias("__v")).agg(F.count("*").alias("__c"))
+    placed = running(rows, "__v", ["__c"], by)
+    at = {k: (F.col("__c_all") - 1) * F.lit(float(p)) for k, p in shares.items()}
+    holds = lambda place: (F.col("__c_below") <= place) & (place < F.col("__c_below") + F.col("__c"))
+    ends = [(F.max(F.when(holds(F.floor(x)), F.col("__v"))), F.max(F.when(holds(F.ceil(x)), F.col("__v"))), F.max(x - F.floor(x))) for x in at.values()]
+    found = placed.groupBy(*by).agg(*(c.alias(f"__{k}{i}") for k, three in zip(shares, ends) for i, c in enumerate(three)))
+    low, high, part = (lambda k, i=i: F.col(f"__{k}{i}") for i in range(3))
+    return found.select(*by, *(F.when(low(k) == high(k), low(k)).otherwise((1 - part(k)) * low(k) + part(k) * high(k)).alias(k) for k in shares))
+
+
 def residual_summary(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
     """median, mae and n of the residuals prediction - truth."""
+    by = by or []
     rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).withColumn("__r", _d(p) - _d(y))
-    return rows.groupBy(*(by or [])).agg(F.median("__r").alias("median"), F.avg(F.abs("__r")).alias("mae"), F.count("*").alias("n"))
+    sums = rows.groupBy(*by).agg(F.avg(F.abs("__r")).alias("mae"), F.count("*").alias("n"))
+    return _same(sums, quantiles(rows, "__r", {"median": 0.5}, by), by).select(*by, "median", "mae", "n")
 
 
 def equal_bins(df: DataFrame, value: str, bins: int = 50, by: list[str] | None = None) -> DataFrame:
@@ -258,42 +279,68 @@ def coverage(df: DataFrame, label: str, score: str, by: list[str] | None = None)
 
 def summary(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """mean, median, least, p25, p75, most of a column of estimates, with 1.96 standard errors."""
-    v = _d(value)
-    return df.where(F.col(value).isNotNull()).groupBy(*(by or [])).agg(F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(v).alias("least"), F.percentile(v, 0.25).alias("p25"), F.percentile(v, 0.75).alias("p75"), F.max(v).alias("most"), (F.lit(1.96) * F.stddev_pop(v) / F.sqrt(F.count("*"))).alias("half_width"), F.count("*").alias("n"))
+    by, v = by or [], _d(value)
+    rows = df.where(F.col(value).isNotNull())
+    sums = rows.groupBy(*by).agg(F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"), (F.lit(1.96) * F.stddev_pop(v) / F.sqrt(F.nullif(F.count("*"), F.lit(0)))).alias("half_width"), F.count("*").alias("n"))
+    both = _same(sums, quantiles(rows, value, {"median": 0.5, "p25": 0.25, "p75": 0.75}, by), by)
+    return both.select(*by, "mean", "median", "least", "p25", "p75", "most", "half_width", "n")
 
 
 def least_squares_line(df: DataFrame, y: str, x: str, by: list[str] | None = None) -> DataFrame:
     return df.groupBy(*(by or [])).agg(F.regr_slope(_d(y), _d(x)).alias("slope"), F.regr_intercept(_d(y), _d(x)).alias("intercept"))
 
 
-def calibration_line(df: DataFrame, label: str, prob: str, rounds: int = 30) -> tuple[float, float]:
-    """(slope, intercept) of an unpenalised logistic regression on the logit, by Newton steps over one-row aggregates.
+def calibration_lines(df: DataFrame, label: str, prob: str, by: list[str] | None = None, rounds: int = 50, tolerance: float = 1e-10) -> DataFrame:
+    """(by, slope, intercept, n, converged) of an unpenalised logistic regression on the logit, in each group.
 
-    A step that makes the loss worse is halved until it doesn't."""
+    Newton's method for all groups at once: a round is one aggregate over the rows of groups that still move, joined with a
+    row of state for each; a step that makes a group's loss worse is halved. Rows with equal probabilities are counted
+    first. A group that lacks a class, or a second probability, has no line (null); where the classes separate, the line
+    has no end and converged is false.
+    """
     from helixframe.functions.variants import logit
 
-    rows = df.where(F.col(prob).isNotNull() & F.col(label).isin(0, 1)).select(logit(F.col(prob)).alias("x"), _d(label).alias("y"))
-
-    def at(a: float, b: float) -> tuple[float, ...]:
-        z = F.lit(a) + F.lit(b) * F.col("x")
-        p = 1 / (1 + F.exp(-z))
-        w, e = p * (1 - p), F.col("y") - p
-        loss = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - F.col("y") * z
-        return tuple(v or 0.0 for v in rows.agg(F.sum(loss), F.sum(e), F.sum(e * F.col("x")), F.sum(w), F.sum(w * F.col("x")), F.sum(w * F.col("x") * F.col("x"))).first())
-
-    a, b = 0.0, 1.0
-    loss, g0, g1, h0, h1, h2 = at(a, b)
+    by = by or []
+    group = F.to_json(F.struct(*by)) if by else F.lit("{}")
+    usable = df.where(F.col(prob).isNotNull() & ~F.isnan(_d(prob)) & F.col(label).isin(0, 1))
+    groups = usable.groupBy(*by, group.alias("__g")).agg(F.count("*").alias("n"))
+    rows = settled(usable.groupBy(group.alias("__g"), logit(_d(prob)).alias("x")).agg(F.count("*").alias("w"), F.count_if(F.col(label) == 1).alias("p")))
+    d = lambda c: F.col(c)
+    start = rows.groupBy("__g").agg((F.count_distinct("x") > 1).alias("two"), (F.sum("p") > 0).alias("pos"), (F.sum("p") < F.sum("w")).alias("neg")).where("two AND pos AND neg")
+    kinds = {"a": 0.0, "b": 1.0, "da": 0.0, "db": 0.0, "loss": float("inf")}
+    # (a, b) is the line that stands, (da, db) the step from it that is tried next.
+    state = settled(start.select("__g", *(F.lit(v).alias(k) for k, v in kinds.items())))
+    done = []
     for _ in range(rounds):
-        det = h0 * h2 - h1 * h1
-        if not det:
-            break
-        da, db = (h2 * g0 - h1 * g1) / det, (h0 * g1 - h1 * g0) / det
-        found = at(a + da, b + db)
-        while found[0] > loss and abs(da) + abs(db) > 1e-10:
-            da, db = da / 2, db / 2
-            found = at(a + da, b + db)
-        a, b = a + da, b + db
-        loss, g0, g1, h0, h1, h2 = found
-        if abs(da) + abs(db) < 1e-9:
+        left = state.count()
+        if not left:
             break
-    return b, a
+        at = rows.join(F.broadcast(state) if left <= 100_000 else state, "__g")
+        z = (d("a") + d("da")) + (d("b") + d("db")) * d("x")
+        p = 1 / (1 + F.exp(-z))
+        w, e = d("w") * p * (1 - p), d("p") - d("w") * p
+        loss = d("w") * (F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))) - d("p") * z
+        sums = at.groupBy("__g", *(F.col(c) for c in kinds)).agg(F.sum(loss).alias("l"), F.sum(e).alias("g0"), F.sum(e * d("x")).alias("g1"), F.sum(w).alias("h0"), F.sum(w * d("x")).alias("h1"), F.sum(w * d("x") * d("x")).alias("h2"), F.sum("w").alias("rows"))
+        det = F.nullif(d("h0") * d("h2") - d("h1") * d("h1"), F.lit(0.0))
+        worse = (d("l") > d("loss")) & (F.abs("da") + F.abs("db") > tolerance)
+        # At the bottom rounding may raise the loss: then the step is tiny and the old line stands.
+        better = d("l") <= d("loss")
+        a, b = F.when(better, d("a") + d("da")).otherwise(d("a")), F.when(better, d("b") + d("db")).otherwise(d("b"))
+        newton = {"da": (d("h2") * d("g0") - d("h1") * d("g1")) / det, "db": (d("h0") * d("g1") - d("h1") * d("g0")) / det}
+        step = {k: F.when(worse, d(k) / 2).otherwise(F.coalesce(v, F.lit(0.0))) for k, v in newton.items()}
+        flat = ~worse & (det.isNull() | (d("l") <= 1e-8 * d("rows")))  # only where the classes separate
+        stop = ~flat & ~worse & (~better | (F.abs(step["da"]) + F.abs(step["db"]) <= tolerance * (1 + F.abs(a) + F.abs(b))))
+        moved = settled(sums.select("__g", a.alias("a"), b.alias("b"), step["da"].alias("da"), step["db"].alias("db"), F.when(better, d("l")).otherwise(d("loss")).alias("loss"), stop.alias("stop"), flat.alias("flat")))
+        done.append(moved.where("stop OR flat").select("__g", "a", "b", (~d("flat")).alias("converged")))
+        state = moved.where("NOT stop AND NOT flat").drop("stop", "flat")
+    done.append(state.select("__g", "a", "b", F.lit(False).alias("converged")))
+    lines = done[0]
+    for more in done[1:]:
+        lines = lines.unionByName(more)
+    return groups.join(lines, "__g", "left").select(*by, F.col("b").alias("slope"), F.col("a").alias("intercept"), "n", F.coalesce("converged", F.lit(False)).alias("converged"))
+
+
+def calibration_line(df: DataFrame, label: str, prob: str, rounds: int = 50) -> tuple[float | None, float | None]:
+    """(slope, intercept) over all rows."""
+    found = calibration_lines(df, label, prob, rounds=rounds).collect()  # one row at most
+    return (found[0]["slope"], found[0]["intercept"]) if found else (None, None)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.variants import draw_order, with_chr
+from helixframe.operators.metrics import _same
 
 KING = 0.0442
 
@@ -32,12 +33,30 @@ def individuals(df: DataFrame, ident: str, group: str, ratios: tuple[float, floa
     """split within each group (null: UNKNOWN) in seeded random order; shares are cut down, the rest is test."""
     if abs(sum(ratios) - 1) > 1e-6:
         raise ValueError("ratios must sum to 1")
-    g = F.coalesce(F.col(group), F.lit("UNKNOWN"))
-    w = Window.partitionBy(g)
-    n, train, val = F.count("*").over(w), F.lit(ratios[0]), F.lit(ratios[1])
-    at = F.row_number().over(w.orderBy(draw_order(F.col(ident), seed), ident))
-    first = F.floor(n * train)
-    return df.withColumn("split", F.when(at <= first, "train").when(at <= first + F.floor(n * val), "val").otherwise("test"))
+    rows = ranked(df.withColumn("__g", F.coalesce(F.col(group), F.lit("UNKNOWN"))), ["__g"], draw_order(F.col(ident), seed), [ident])
+    first, at = F.floor(F.col("__n") * F.lit(ratios[0])), F.col("__at")
+    split = F.when(at <= first, "train").when(at <= first + F.floor(F.col("__n") * F.lit(ratios[1])), "val").otherwise("test")
+    return rows.withColumn("split", split).drop("__g", "__at", "__n")
+
+
+def ranked(df: DataFrame, by: list[str], digest: Column, ties: list[str], most: Column | int | None = None) -> DataFrame:
+    """df with __at, the place from 1 in its group by a hexadecimal digest and then `ties`, and __n, the group's rows.
+
+    The digest's first four digits deal a group to 65,536 bins, which follow each other as the digests do; rows are ordered
+    inside a bin and moved by the counts of the bins before it, so that no window holds a group. most: places that are
+    wanted (a number or a column); bins beyond are left out before anything is ordered.
+    """
+    rows = df.withColumn("__digest", digest).withColumn("__bin", F.conv(F.substring("__digest", 1, 4), 16, 10).cast("int"))
+    over = Window.partitionBy(*(by or [F.lit(0)]))
+    bins = rows.groupBy(*by, "__bin").agg(F.count("*").alias("__rows"))
+    before = F.coalesce(F.sum("__rows").over(over.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.select(*by, "__bin", before.alias("__before"), F.sum("__rows").over(over).alias("__n"))
+    placed = _same(rows, bins, [*by, "__bin"])
+    if most is not None:
+        placed = placed.where(F.col("__before") < most)
+    inside = F.row_number().over(Window.partitionBy(*by, "__bin").orderBy("__digest", *ties))
+    placed = placed.withColumn("__at", inside + F.col("__before")).drop("__digest", "__bin", "__before")
+    return placed if most is None else placed.where(F.col("__at") <= most)
 
 
 def zero_shot(df: DataFrame) -> DataFrame:
@@ -61,13 +80,16 @@ def repair_related(split: DataFrame, ident: str, kinship: DataFrame, threshold:
     return split
 
 
+def _repeat_digest(ident: str, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.col(ident).cast("string"), F.col("repeat").cast("string"), F.lit(str(seed))))
+
+
 def leave_n_out(df: DataFrame, ident: str, n_out: int, repeats: int = 10, seed: int = 42) -> DataFrame:
     """(ident, repeat) of those held out in each repeat; an error unless n_out is less than the number of ids."""
     if df.select(ident).distinct().limit(n_out + 1).count() <= n_out:
         raise ValueError(f"cannot hold {n_out} out of so few")
     each = df.select(ident).distinct().withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    order = Window.partitionBy("repeat").orderBy(F.md5(F.concat_ws(":", F.col(ident).cast("string"), F.col("repeat").cast("string"), F.lit(str(seed)))), ident)
-    return each.withColumn("at", F.row_number().over(order)).where(F.col("at") <= n_out).drop("at")
+    return ranked(each, ["repeat"], _repeat_digest(ident, seed), [ident], n_out).drop("__at", "__n")
 
 
 def stratified_quotas(groups: DataFrame, group: str, n_out: int) -> DataFrame:
@@ -88,8 +110,7 @@ def stratified_leave_n_out(df: DataFrame, ident: str, group: str, n_out: int, re
     ids = df.select(ident, group).distinct()
     quotas = stratified_quotas(ids.groupBy(group).agg(F.count("*").alias("n")), group, n_out)
     each = ids.join(quotas, group).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    order = Window.partitionBy(group, "repeat").orderBy(F.md5(F.concat_ws(":", F.col(ident).cast("string"), F.col("repeat").cast("string"), F.lit(str(seed)))), ident)
-    return each.withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.col("quota")).select(ident, group, "repeat")
+    return ranked(each, [group, "repeat"], _repeat_digest(ident, seed), [ident], F.col("quota")).select(ident, group, "repeat")
 
 
 def balanced_by_group(df: DataFrame, ident: str, group: str, label: str, least: int = 5, seed: int = 42) -> DataFrame:
@@ -97,8 +118,7 @@ def balanced_by_group(df: DataFrame, ident: str, group: str, label: str, least:
     rows = df.where(F.col(label).isin(0, 1))
     counts = rows.groupBy(group).agg(F.count_if(F.col(label) == 1).alias("__p"), F.count_if(F.col(label) == 0).alias("__b"))
     kept = rows.join(counts.where((F.col("__p") >= least) & (F.col("__b") >= least)), group)
-    at = F.row_number().over(Window.partitionBy(group, label).orderBy(draw_order(F.col(ident), seed), ident))
-    return kept.withColumn("__at", at).where(F.col("__at") <= F.least("__p", "__b")).drop("__at", "__p", "__b")
+    return ranked(kept, [group, label], draw_order(F.col(ident), seed), [ident], F.least("__p", "__b")).drop("__at", "__n", "__p", "__b")
 
 
 def ensure_any(df: DataFrame, what: str = "no group has enough of both labels") -> DataFrame:
