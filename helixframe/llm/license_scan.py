@@ -9,6 +9,7 @@ template's label. Short phrases are templates too and count where they match in
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -53,100 +54,172 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class TokenAutomaton:
-    """Generalised suffix automaton of the templates and phrases, over word numbers."""
+    """Generalised suffix automaton of the templates and phrases, over word numbers.
+
+    A state with one move keeps it in two arrays, others have a dict. A place (template, end) is kept once, at the state of
+    the template's words up to it; places are in an order in which those of a state's subtree of links stand together, so a
+    state's places are a range.
+    """
 
     def __init__(self, templates: tuple = TEMPLATES, phrases: tuple = PHRASES):
         self.words: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        self.places: list[set[tuple[int, int]]] = [set()]  # (template, end) of what a state stands for
+        self.token, self.target, self.more = array("i", [-2]), array("i", [0]), {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
         self.labels = [label for label, _ in templates]
         self.sizes: list[int] = []
-        texts = [[self._number(w) for w in words_of(text.encode())] for _, text in templates]
-        for t, tokens in enumerate(texts):
+        own = array("i"), array("i"), array("i"), array("i")  # state, template, end, the word that follows (or -2)
+        for t, (_, text) in enumerate(templates):
+            tokens = [self._number(w) for w in words_of(text.encode())]
             self.sizes.append(len(tokens))
-            self._add(tokens, t)
+            for end, (state, after) in enumerate(zip(self._add(tokens), [*tokens[1:], -2]), 1):
+                for x, v in zip(own, (state, t, end, after)):
+                    x.append(v)
         self.phrases = [([self._number(w) for w in words_of(text.encode())], label) for text, label in phrases]
         for tokens, _ in self.phrases:
-            self._add(tokens, None)
-        for state in sorted(range(1, len(self.length)), key=lambda s: -self.length[s]):
-            if self.link[state] > 0:
-                self.places[self.link[state]] |= self.places[state]
-        ends = {self._walk(tokens): p for p, (tokens, _) in enumerate(self.phrases)}
-        self.phrases_at: list[list[int]] = []  # the phrases that end where a state stands, if the match is long enough
-        for state in range(len(self.length)):
-            at, found = state, []
-            while at > 0:
-                if at in ends:
-                    found.append(ends[at])
-                at = self.link[at]
-            self.phrases_at.append(found)
+            for _ in self._add(tokens):
+                pass
+        self.shortest = min(self.sizes, default=1 << 30)
+        self._arrange(*(np.array(x, np.int32) for x in own))
+        self.ends: dict[int, list[int]] = {}
+        for p, (tokens, _) in enumerate(self.phrases):
+            self.ends.setdefault(self._walk(tokens), []).append(p)
+        # The next state up the links at which a phrase ends, itself included; 0: none.
+        self.phrase_up = array("i", bytes(4 * len(self.length)))
+        for state in self.by_length:
+            if state:
+                self.phrase_up[state] = state if state in self.ends else self.phrase_up[self.link[state]]
+        del self.by_length
+
+    def _arrange(self, state: np.ndarray, template: np.ndarray, end: np.ndarray, after: np.ndarray) -> None:
+        """Puts the places in order: first[s] to first[s] + size[s] are those of s and all states below it."""
+        n = len(self.length)
+        self.by_length = np.argsort(np.array(self.length, np.int32), kind="stable").tolist()
+        counts = np.bincount(state, minlength=n).tolist()
+        size = array("i", counts)
+        for s in reversed(self.by_length):
+            if s:
+                size[self.link[s]] += size[s]
+        first, free = array("i", bytes(4 * n)), array("i", bytes(4 * n))
+        for s in self.by_length:
+            if s:
+                up = self.link[s]
+                first[s] = free[up]
+                free[up] += size[s]
+            free[s] = first[s] + counts[s]
+        order = np.empty(len(state), np.int64)
+        by_state = np.argsort(state, kind="stable")
+        sorted_states = state[by_state]
+        within = np.arange(len(state)) - np.searchsorted(sorted_states, sorted_states)
+        order[np.array(first, np.int64)[sorted_states] + within] = by_state
+        self.first, self.size = first, size
+        self.place_template, self.place_end, self.place_after = template[order], end[order], after[order]
 
     def _number(self, word: bytes) -> int:
         return self.words.setdefault(word, len(self.words))
 
-    def _state(self, length: int, moves: dict[int, int], link: int) -> int:
-        self.next.append(moves)
-        self.length.append(length)
-        self.link.append(link)
-        self.places.append(set())
+    def move(self, at: int, token: int) -> int:
+        """The state that a word leads to, or -1."""
+        many = self.more.get(at)
+        if many is not None:
+            return many.get(token, -1)
+        return self.target[at] if self.token[at] == token else -1
+
+    def _set(self, at: int, token: int, target: int) -> None:
+        many = self.more.get(at)
+        if many is not None:
+            many[token] = target
+        elif self.token[at] in (-2, token):
+            self.token[at], self.target[at] = token, target
+        else:
+            self.more[at] = {self.token[at]: self.target[at], token: target}
+
+    def _state(self, length: int, link: int) -> int:
+        for x, v in ((self.token, -2), (self.target, 0), (self.length, length), (self.link, link)):
+            x.append(v)
         return len(self.length) - 1
 
     def _split(self, at: int, token: int, target: int) -> int:
-        copy = self._state(self.length[at] + 1, dict(self.next[target]), self.link[target])
+        copy = self._state(self.length[at] + 1, self.link[target])
+        self.token[copy], self.target[copy] = self.token[target], self.target[target]
+        if target in self.more:
+            self.more[copy] = dict(self.more[target])
         self.link[target] = copy
-        while at >= 0 and self.next[at].get(token) == target:
-            self.next[at][token] = copy
+        while at >= 0 and self.move(at, token) == target:
+            self._set(at, token, copy)
             at = self.link[at]
         return copy
 
-    def _add(self, tokens: list[int], template: int | None) -> None:
+    def _add(self, tokens: list[int]) -> Iterator[int]:
+        """Adds a text; gives the state of each of its prefixes, which stays that prefix's state."""
         last = 0
-        for end, token in enumerate(tokens, 1):
-            at, target = last, self.next[last].get(token)
-            if target is not None:
+        for token in tokens:
+            at, target = last, self.move(last, token)
+            if target >= 0:
                 last = target if self.length[target] == self.length[at] + 1 else self._split(at, token, target)
             else:
-                own = self._state(self.length[last] + 1, {}, 0)
-                while at >= 0 and token not in self.next[at]:
-                    self.next[at][token] = own
+                own = self._state(self.length[last] + 1, 0)
+                while at >= 0 and self.move(at, token) < 0:
+                    self._set(at, token, own)
                     at = self.link[at]
                 if at >= 0:
-                    target = self.next[at][token]
+                    target = self.move(at, token)
                     self.link[own] = target if self.length[target] == self.length[at] + 1 else self._split(at, token, target)
                 last = own
-            if template is not None:
-                self.places[last].add((template, end))
+            yield last
 
     def _walk(self, tokens: list[int]) -> int:
         at = 0
         for token in tokens:
-            at = self.next[at][token]
+            at = self.move(at, token)
         return at
 
+    def places(self, state: int) -> set[tuple[int, int]]:
+        """(template, end) of all places where what the state stands for ends."""
+        own = slice(self.first[state], self.first[state] + self.size[state])
+        return set(zip(self.place_template[own].tolist(), self.place_end[own].tolist()))
+
     def stream(self, ids: list[int]) -> Iterator[tuple[int, int]]:
         """For each word (its number, or -1): the length of the longest match that ends there, and its state."""
         at, length = 0, 0
         for token in ids:
-            while at and token not in self.next[at]:
+            to = self.move(at, token)
+            while at and to < 0:
                 at = self.link[at]
                 length = self.length[at]
-            if token in self.next[at]:
-                at = self.next[at][token]
+                to = self.move(at, token)
+            if to >= 0:
+                at = to
                 length += 1
             yield length, at
 
     def scan(self, ids: list[int], start: int, min_match: int, anchors: dict[int, list[tuple[int, int, int]]], bases: list[tuple[int, int]]) -> None:
-        """Adds maximal matches to anchors (by template: end in the text, end in the template, length) and phrases to bases (start, phrase)."""
-        before, was = 0, 0
-        for i, (length, state) in enumerate([*self.stream(ids), (0, 0)], start):
-            if length <= before and before >= min_match:
-                for t, end in self.places[was]:
-                    anchors.setdefault(t, []).append((i, end, before))
-            for p in self.phrases_at[state]:
-                if length >= (n := len(self.phrases[p][0])):
-                    bases.append((i + 1 - n, p))
-            before, was = length, state
+        """Adds maximal matches to anchors (by template: end in the text, end in the template, length) and phrases to bases (start, phrase).
+
+        A match is maximal at a place of a template if the template goes on otherwise there than the text. The longest match
+        stands at the places of its state; shorter ones at those that the states up its links have besides. Matches of fewer
+        than min_match words count where they are a whole template.
+        """
+        least = min(min_match, self.shortest)
+        for i, (length, state) in enumerate(self.stream(ids), start):
+            follows = ids[i + 1 - start] if i + 1 - start < len(ids) else -1
+            at, long, below = state, length, (0, 0)
+            while long >= least:
+                a, b = self.first[at], self.first[at] + self.size[at]
+                for x, y in ((a, below[0]), (below[1], b)) if below[1] else ((a, b),):
+                    if x < y:
+                        for k in (x + np.flatnonzero(self.place_after[x:y] != follows)).tolist():
+                            t = int(self.place_template[k])
+                            if long >= min_match or long == self.sizes[t]:
+                                anchors.setdefault(t, []).append((i + 1, int(self.place_end[k]), long))
+                below = (a, b)
+                at = self.link[at]
+                long = self.length[at] if at >= 0 else 0
+            at = self.phrase_up[state]
+            while at:
+                for p in self.ends[at]:
+                    if length >= (n := len(self.phrases[p][0])):
+                        bases.append((i + 1 - n, p))
+                at = self.phrase_up[self.link[at]]
 
     def chains(self, anchors: list[tuple[int, int, int]], max_gap: int) -> list[tuple[int, int, int]]:
         """(covered words, first word, end) of the best chain that ends at each anchor."""
@@ -174,7 +247,8 @@ def automaton(templates: tuple = TEMPLATES, phrases: tuple = PHRASES) -> TokenAu
 def read_templates(spark: SparkSession, path: str, most_words: int = 2_000_000) -> tuple[tuple[str, str], ...]:
     """Whole licence texts as templates (label, text): files named by their label, as in mit.txt, in a folder or glob.
 
-    All templates together go to every task, so they may have most_words words at most; more are an error.
+    All templates together go to every task, so they may have most_words words at most (their automaton takes some 0.3 GB
+    a million words, whatever they share); more are an error.
     """
     files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.+?)(\.[^.]*)?$", 1).alias("label"), F.col("value").alias("text"))
     return templates_of(files, most_words)
@@ -195,21 +269,21 @@ def scan_document(own: TokenAutomaton, text: bytes, min_match: int, max_gap: int
     numbers = np.fromiter(map(own.words.get, words, [-1] * len(words)), np.int32, len(words))
     anchors: dict[int, list[tuple[int, int, int]]] = {}
     bases: list[tuple[int, int]] = []
-    # A match has only known words: runs of fewer than min_match of them hold none, and an unknown word ends a match.
+    # A match has only known words: shorter runs of them hold none, and an unknown word ends a match.
+    least = min(min_match, own.shortest)
     known = np.flatnonzero(np.diff(np.concatenate(([0], numbers >= 0, [0]))))
     for a, b in zip(known[::2].tolist(), known[1::2].tolist()):
-        if b - a >= min_match:
+        if b - a >= least:
             own.scan(numbers[a:b].tolist(), a, min_match, anchors, bases)
     spans = []
     for t, found in anchors.items():
-        best: tuple[int, int, int] | None = None
-        for chain in [*own.chains(found, max_gap), (0, 1 << 60, 1 << 60)]:
-            if best is not None and chain[1] >= best[2]:  # the next place of this template
-                if best[0] >= min_cover * own.sizes[t]:
-                    spans.append((best[1], best[2], own.labels[t], min(1.0, best[0] / own.sizes[t])))
-                best = None
-            if best is None or chain[0] > best[0]:
-                best = chain
+        # The fullest chains first; others of the template have to lie beside them.
+        taken: list[tuple[int, int]] = []
+        for cover, first, end in sorted({c for c in own.chains(found, max_gap) if c[0] >= min_cover * own.sizes[t]}, key=lambda c: (-c[0], c[1], c[2])):
+            at = bisect_left(taken, (first, end))
+            if (not at or taken[at - 1][1] <= first) and (at == len(taken) or taken[at][0] >= end):
+                taken.insert(at, (first, end))
+                spans.append((first, end, own.labels[t], min(1.0, cover / own.sizes[t])))
     return len(words), sorted(bases), sorted(spans)
 
 

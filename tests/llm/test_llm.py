@@ -155,6 +155,51 @@ def test_license_spans():
     assert license_scan.scan_document(own, b"the software is here and this work is the copy of a page", 3, 6, 0.75)[2] == []
 
 
+def test_no_complete_template_is_lost():
+    """Templates that share beginnings and ends and contain each other: each complete one is found, in full."""
+    assert license_scan.scan_document(license_scan.automaton(), b"licensed under the apache license version 2 0 the end", 3, 6, 0.75)[2] == [(0, 8, "apache-2", 1.0)]
+    for seed in range(300):
+        r = random.Random(seed)
+        known = [f"w{i}" for i in range(r.choice([2, 3, 5, 9]))]
+        parts = [r.choices(known, k=r.randint(1, 12)) for _ in range(3)]
+        made = []
+        for k in range(r.randint(1, 7)):
+            b = r.choice(parts)
+            made.append((f"t{k}", r.choice([b, b + r.choices(known, k=3), r.choices(known, k=2) + b, b[: max(1, len(b) // 2)], b[len(b) // 2 :], r.choice(parts) + b])))
+        own = license_scan.TokenAutomaton(tuple((label, " ".join(x)) for label, x in made), ())
+        words = []
+        while len(words) < 60:
+            words += r.choice([r.choice(made)[1], r.choices([*known, "other"], k=r.randint(1, 4))])
+        spans = license_scan.scan_document(own, " ".join(words).encode(), 3, 6, 0.75)[2]
+        for label, x in made:
+            for i in range(len(words) - len(x) + 1):
+                assert words[i : i + len(x)] != x or any(s[2] == label and s[0] < i + len(x) and s[1] > i and s[3] == 1.0 for s in spans)
+            own_spans = sorted(s[:2] for s in spans if s[2] == label)
+            assert all(a[1] <= b[0] for a, b in zip(own_spans, own_spans[1:]))
+
+
+def test_license_places_are_ranges():
+    texts = (("x", "a b c a b d a b"), ("y", "c a b"), ("z", "a b"))
+    own = license_scan.TokenAutomaton(texts, (("b d", "p"), ("a b", "q")))
+    source = [x.split() for _, x in texts]
+    for state in range(1, len(own.length)):
+        for t, end in own.places(state):
+            assert own._walk([own.words[w.encode()] for w in source[t][end - own.length[state] : end]]) == state
+    whole = own._walk([own.words[b"a"], own.words[b"b"]])
+    assert own.places(whole) == {(0, 2), (0, 5), (0, 8), (1, 3), (2, 2)}
+
+
+def test_license_families_in_bounded_memory():
+    """Similar licences: an automaton of 60,000 words stays small, as places are kept once."""
+    r = random.Random(4)
+    base = r.choices([f"w{i}" for i in range(3000)], k=3000)
+    family = tuple((f"l{k}", " ".join(w if r.random() > 0.02 else "other" for w in base)) for k in range(20))
+    own = license_scan.TokenAutomaton(family, ())
+    assert len(own.place_template) == 60_000 and len(own.length) <= 120_001
+    spans = license_scan.scan_document(own, family[7][1].encode(), 3, 6, 0.75)[2]
+    assert (0, 3000, "l7", 1.0) in spans
+
+
 def test_license_texts_as_input(spark, tmp_path):
     r = random.Random(8)
     words = [f"w{i}" for i in range(400)]
