@@ -39,6 +39,37 @@ def with_predictions(df: DataFrame, predict: Callable[[pd.DataFrame], pd.Series]
     return df.withColumn(name, run(*inputs))
 
 
+def run_models(df: DataFrame, predictors: dict[str, Callable[[pd.DataFrame], pd.Series]], inputs: list[str], keep: list[str]) -> DataFrame:
+    """(keep, model, score, error): every model on every row, in one pass over df.
+
+    A model that raises on a batch, or gives another number of values, has null scores there with the error's text; the
+    other models and batches go on. keep and inputs are columns of df; null inputs are passed as they are.
+    """
+    names = list(dict.fromkeys([*keep, *inputs]))
+    kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for name, predict in predictors.items():
+                out = frame[keep].copy()
+                try:
+                    found = pd.Series(predict(frame[inputs].copy()))
+                    if len(found) != len(frame):
+                        raise ValueError(f"{len(found)} predictions for {len(frame)} rows")
+                    scores, error = found.astype(float).to_numpy(), None
+                except Exception as e:  # recorded beside the rows that it concerns
+                    scores, error = [None] * len(frame), f"{type(e).__name__}: {e}"
+                yield out.assign(model=name, score=pd.Series(scores, index=out.index, dtype="float64"), error=error)
+
+    found = df.select(*names).mapInPandas(run, f"{kept}{', ' if keep else ''}model string, score double, error string")
+    return found.withColumn("score", F.when(F.isnan("score"), None).otherwise(F.col("score")))
+
+
+def model_failures(scored: DataFrame) -> DataFrame:
+    """(model, n, n_failed, error) of run_models: how many rows failed, and the least of the errors."""
+    return scored.groupBy("model").agg(F.count("*").alias("n"), F.count("error").alias("n_failed"), F.min("error").alias("error"))
+
+
 def long_scores(df: DataFrame, keep: list[str], scores: dict[str, Column]) -> DataFrame:
     """One row for each model: keep, model, score."""
     entries = F.array(*(F.struct(F.lit(k).alias("model"), v.cast("double").alias("score")) for k, v in scores.items()))

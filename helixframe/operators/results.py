@@ -129,6 +129,16 @@ def tier0(runs: DataFrame) -> DataFrame:
     return runs.where(F.col("estimate").isNotNull()).select("run_no", F.concat("task_id", mark).alias("heading"), "metric", value.alias("value"))
 
 
+def tier0_facts(runs: DataFrame) -> DataFrame:
+    """(run_no, place, field, value): what stands above the metrics of a sanity check, in order: its model, split, number of
+    samples and whether its leakage checks passed. runs, with a row for each metric or one: run_no, model_name, split_type,
+    n_samples, leakage_passed (null: not checked, which counts as failed)."""
+    one = runs.groupBy("run_no").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("model_name", "split_type", "n_samples")), F.bool_and(F.coalesce("leakage_passed", F.lit(False))).alias("passed"))
+    facts = {"Model": F.col("model_name"), "Split": F.col("split_type"), "N": F.col("n_samples").cast("string"), "Anti-leakage": F.when(F.col("passed"), "all passed").otherwise("FAILED")}
+    entries = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(k).alias("field"), F.coalesce(v, F.lit("")).alias("value")) for i, (k, v) in enumerate(facts.items())))
+    return one.select("run_no", F.explode(entries).alias("e")).select("run_no", "e.*")
+
+
 def tier1(runs: DataFrame) -> DataFrame:
     """(task_id, model_name, metric, value, n_single): metrics of the aggregates, and how many single tasks there are in all."""
     single = runs.where(~F.col("task_id").contains("aggregate")).agg(F.count_distinct("run_no")).scalar()

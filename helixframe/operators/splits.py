@@ -92,6 +92,17 @@ def leave_n_out(df: DataFrame, ident: str, n_out: int, repeats: int = 10, seed:
     return ranked(each, ["repeat"], _repeat_digest(ident, seed), [ident], n_out).drop("__at", "__n")
 
 
+def leave_one_out_means(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """df with `expected`, the mean of value over the other rows of the group: leave-one-out prediction by the mean, without
+    a fold for each row. Null for a group's only value; rows without value have the mean of all."""
+    by = by or []
+    x = F.col(value).cast("double")
+    sums = df.groupBy(*by).agg(F.sum(x).alias("__sum"), F.count(x).alias("__n"))
+    joined = _same(df, sums, by)
+    own = x.isNotNull().cast("int")
+    return joined.withColumn("expected", (F.col("__sum") - F.coalesce(x, F.lit(0.0))) / F.nullif(F.col("__n") - own, F.lit(0))).drop("__sum", "__n")
+
+
 def stratified_quotas(groups: DataFrame, group: str, n_out: int) -> DataFrame:
     """groups (group, n) with quota: half-even rounded shares, at most n; a surplus goes to the largest groups, a deficit
     comes from the smallest with a quota. One row for each group."""
