@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions.variants import called_alleles, parsed_date, passes, splice_field, splice_score, with_chr, without_chr
+from helixframe.sources import ranges
 
 VCF_FIELDS = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format", "sample")
 
@@ -104,6 +104,11 @@ def read_strings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("sep", "\t").option("header", True).csv(path)
 
 
+def read_llr(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, pos, ref, alt, llr) of log-ratio score files: at least five fields, comments and broken lines left out."""
+    return delimited(spark.read.text(path), LLR_FIELDS, 5)
+
+
 def read_assays(spark: SparkSession, path: str) -> DataFrame:
     """A folder of assay tables: assay_id (the file's stem), dms_score, mutant; files without DMS_score give no rows.
 
@@ -135,9 +140,17 @@ def read_matrix(spark: SparkSession, path: str, ident: str = "cpg", sep: str | N
     return wide.select(F.col(first).alias(ident), *(F.col(f"`{c}`").try_cast("double").alias(c) for c in samples)).unpivot(ident, samples, "sample", "beta")
 
 
-def read_catalog(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """A JSON map from a key to a list of associations, one row for each."""
-    schema = "map<string,array<struct<trait:string,mapped_trait:string,rsid:string,gene:string,risk_allele:string,pvalue:double,or_beta:double>>>"
+# The fields of an association.
+ASSOCIATION_FIELDS = {"trait": "string", "mapped_trait": "string", "rsid": "string", "gene": "string", "risk_allele": "string", "pvalue": "double", "or_beta": "double"}
+
+
+def read_catalog(spark: SparkSession, path: str, key: str, part_bytes: int = 8 << 20) -> DataFrame:
+    """A JSON map from a key to a list of associations, one row for each; tasks read parts of a file (see ranges.json_lists).
+
+    Where only Spark can open the path, a file is one task."""
+    if ranges.can_open(path):
+        return ranges.json_lists(spark, path, key, ASSOCIATION_FIELDS, part_bytes)
+    schema = f"map<string,array<struct<{','.join(f'{c}:{t}' for c, t in ASSOCIATION_FIELDS.items())}>>>"
     rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", schema)).alias(key, "found"))
     return rows.select(key, F.explode("found").alias("a")).select(key, "a.*")
 
@@ -192,14 +205,19 @@ def with_predictions_path(runs: DataFrame, path: str | None) -> DataFrame:
 
 
 def stamps(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
-    """wanted (key, part) with state, modified, size and n_files of root/part: a file, or a directory with the time of
-    its latest child; missing where nothing is there, unknown_artifact where part is null. Nothing is opened."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length")
+    """wanted (key, part) with state, modified, size, n_files and digest of root/part.
+
+    A file has its time, size and the digest of its first 16 KiB; a directory the time of the latest file right in it and
+    the number and size of all files at any depth. State: file, directory, missing where nothing is there,
+    unknown_artifact where part is null. Executors read the beginnings of the files that are wanted, and of no others.
+    """
     rest = F.substring_index("path", f"{root.rstrip('/')}/", -1)
-    found = files.withColumns({"part": F.split(rest, "/")[0], "inside": F.size(F.split(rest, "/")) > 1})
-    found = found.groupBy("part").agg(F.max("modificationTime").alias("modified"), F.sum("length").alias("size"), F.count("*").alias("n_files"), F.bool_or("inside").alias("inside"))
+    files = ranges.listed(spark, root).withColumns({"__p": F.split(rest, "/")}).withColumns({"part": F.col("__p")[0], "depth": F.size("__p")}).drop("__p")
+    own = files.join(wanted.select("part").distinct(), "part", "left_semi")
+    found = own.groupBy("part").agg(F.max(F.when(F.col("depth") <= 2, F.col("modified"))).alias("modified"), F.sum("length").alias("size"), F.count("*").alias("n_files"), F.bool_or(F.col("depth") > 1).alias("inside"))
+    read = ranges.with_digests(own.where("depth = 1").select("part", "path")).select("part", "digest")
     state = F.when(F.col("part").isNull(), "unknown_artifact").when(F.col("n_files").isNull(), "missing").when(F.col("inside"), "directory").otherwise("file")
-    return wanted.join(found, "part", "left").select("key", "part", state.alias("state"), "modified", "size", F.coalesce("n_files", F.lit(0)).alias("n_files"))
+    return wanted.join(found, "part", "left").join(read, "part", "left").select("key", "part", state.alias("state"), "modified", "size", F.coalesce("n_files", F.lit(0)).alias("n_files"), "digest")
 
 
 def save_predictions(predictions: DataFrame, path: str) -> None:
@@ -215,32 +233,15 @@ def write_scores(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
-def fingerprints(spark: SparkSession, path: str, wanted: DataFrame, root: Column | None = None) -> DataFrame:
+def fingerprints(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """wanted (file_name) with state, modified, size and the first 16 hex digits of the first 16 KiB's digest.
 
-    Only the beginnings of files are read, however large they are, one after the other by the driver: wanted may name
-    at most MOST_FILES files.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "modificationTime", "length")
-    listed = files.withColumn("file_name", F.regexp_extract("path", r"([^/]+)$", 1)).join(wanted.select("file_name").distinct(), "file_name").limit(MOST_FILES + 1).collect()
-    if len(listed) > MOST_FILES:
-        raise ValueError(f"more than {MOST_FILES} files")
-    rows = [(r["file_name"], r["modificationTime"], r["length"], hashlib.sha256(_beginning(spark, r["path"])).hexdigest()[:16]) for r in listed]
-    found = spark.createDataFrame(rows, "file_name string, modified timestamp, size long, digest string")
-    return wanted.join(found, "file_name", "left").withColumn("state", F.when(F.col("digest").isNull(), "missing").otherwise("present"))
-
-
-#: Files whose beginnings are read in one call.
-MOST_FILES = 10_000
-
-
-def _beginning(spark: SparkSession, path: str, size: int = 16384) -> bytes:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
-    try:
-        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(spark.sparkContext._jvm.org.apache.commons.io.input.BoundedInputStream(stream, size)))
-    finally:
-        stream.close()
+    Executors read the beginnings of the files that are wanted, however large and many they are. A name that occurs in
+    several folders has a row for each; a file without bytes counts as missing."""
+    files = ranges.listed(spark, path).withColumn("file_name", F.regexp_extract("path", r"([^/]+)$", 1))
+    found = ranges.with_digests(files.join(wanted.select("file_name").distinct(), "file_name", "left_semi"))
+    rows = wanted.join(found.select("file_name", "modified", F.col("length").alias("size"), "digest"), "file_name", "left")
+    return rows.withColumn("state", F.when(F.col("digest").isNull(), "missing").otherwise("present"))
 
 
 def first_that_exists(spark: SparkSession, *paths: str) -> str:
