@@ -13,8 +13,7 @@ def first_path(json: Column, *paths: str) -> Column:
     return F.coalesce(*(F.get_json_object(json, p) for p in paths))
 
 
-# Where reports keep their calls and their drugs, first place that holds something first.
-CALL_PATHS = ("$.genes", "$.reportContext.geneReports", "$.geneCalls")
+# Where reports keep their drugs, first place that holds something first.
 DRUG_PATHS = ("$.drugs", "$.prescribingGuidanceReports", "$.drugReports")
 #: Characters of a recommendation that are kept.
 ADVICE_CHARS = 500
@@ -26,14 +25,16 @@ def entries_of(json: Column, paths: tuple[str, ...]) -> Column:
     return F.from_json(F.coalesce(*filled), "array<string>")
 
 
-def diplotype_calls(reports: DataFrame, json: str = "report") -> DataFrame:
+def diplotype_calls(reports: DataFrame, paths: tuple[str, ...], json: str = "report") -> DataFrame:
     """(own columns, gene, diplotype, activity_score, phenotype) of every called locus of pharmacogenomic reports.
 
+    paths: where reports keep their calls, first place that holds something first; tools and their versions differ in it.
+
     The diplotype is the first of recommendationDiplotypes; where that is an empty list, the call's own diplotype or
     printDiplotype. Without the list the diplotype is empty. Calls without a name are left out.
     """
     own = [c for c in reports.columns if c != json]
-    rows = reports.select(*own, F.explode(entries_of(F.col(json), CALL_PATHS)).alias("g"))
+    rows = reports.select(*own, F.explode(entries_of(F.col(json), paths)).alias("g"))
     at = lambda path: F.get_json_object("g", path)
     none = F.json_array_length(at("$.recommendationDiplotypes")) == 0
     diplotype = F.when(none, F.coalesce(at("$.diplotype"), at("$.printDiplotype"))).otherwise(at("$.recommendationDiplotypes[0].label"))

@@ -74,15 +74,16 @@ def structural_summary(df: DataFrame, kind: str, classification: str, gene: str)
     return counts.unionByName(loci)
 
 
-# Spellings of a pathogenic class in tables of copy-number variants, and names of their columns.
+# Spellings of a pathogenic class in tables of copy-number variants.
 PATHOGENIC_SPELLINGS = ("Pathogenic", "Likely pathogenic", "pathogenic", "likely_pathogenic")
-CNV_COLUMNS = {"gene": ("gene", "genes", "gene_name"), "type": ("type", "cnv_type", "sv_type")}
+#: Columns of these tables by what they hold, in lower case; callers add the names that their files have.
+CNV_COLUMNS = {"gene": ("gene", "gene_name"), "type": ("type", "cnv_type", "sv_type")}
 
 
-def cnv_summary(df: DataFrame) -> DataFrame:
+def cnv_summary(df: DataFrame, columns: dict[str, tuple[str, ...]] = CNV_COLUMNS) -> DataFrame:
     """(part, name, n) of a table of classified copy-number variants: all, by Classification, pathogenic in four
     spellings, their distinct loci, and by type; columns are found by name in any case, parts without theirs are left out."""
-    column = lambda what: next((c for c in df.columns if c.lower() in CNV_COLUMNS[what]), None)
+    column = lambda what: next((c for c in df.columns if c.lower() in columns[what]), None)
     parts = [("all", F.lit(""), F.lit(True))]
     if "Classification" in df.columns:
         parts += [("class", F.col("Classification"), F.lit(True)), ("pathogenic", F.lit(""), F.coalesce(F.col("Classification").isin(*PATHOGENIC_SPELLINGS), F.lit(False)))]

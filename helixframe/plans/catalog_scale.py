@@ -42,7 +42,7 @@ l AS (SELECT gene_symbol, avg(CAST(y AS DOUBLE)) FILTER (WHERE q < 0.5) AS lo, a
 g AS (SELECT gene_symbol, ln(lo / (1 - lo)) AS a, ln(hi / (1 - hi)) AS b, n, lo > 0 AND lo < 1 AND hi > 0 AND hi < 1 AS inner_rates FROM l)
 SELECT gene_symbol, round((b - a) / (ln(0.7 / 0.3) - ln(0.2 / 0.8)), 5) + 0.0 AS slope, round(a - (b - a) / (ln(0.7 / 0.3) - ln(0.2 / 0.8)) * ln(0.2 / 0.8), 5) + 0.0 AS intercept, n FROM g WHERE inner_rates""")
 def calibration_by_gene(assertions: DataFrame) -> DataFrame:
-    """With two probabilities the line goes through the logits of both observed rates; genes whose rates are 0 or 1 have none."""
+    """With two probabilities the line goes through the logits of both observed rates; loci whose rates are 0 or 1 have none."""
     rows = assertions.where(F.col("clinsig_simple").isin(0, 1)).select("gene_symbol", "clinsig_simple", F.when(F.col("score") < 0.6, 0.2).otherwise(0.7).alias("q"))
     found = metrics.calibration_lines(rows, "clinsig_simple", "q", ["gene_symbol"]).where("converged")
     return found.select("gene_symbol", (F.round("slope", 5) + 0.0).alias("slope"), (F.round("intercept", 5) + 0.0).alias("intercept"), "n")

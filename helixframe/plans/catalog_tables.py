@@ -146,15 +146,15 @@ def parsed_fields(assertions: DataFrame) -> DataFrame:
 @query("samples", sql="""SELECT sample_id, 'CYP' || CAST(sample_id % 5 AS STRING) AS gene, CASE WHEN sample_id % 4 = 3 THEN '*2/*3' WHEN sample_id % 4 = 2 THEN '' ELSE '*1/*4' END AS diplotype, CASE WHEN sample_id % 4 IN (2, 3) THEN NULL ELSE '1.0' END AS activity_score,
 CASE WHEN sample_id % 4 = 1 THEN 'slow' ELSE 'normal' END AS phenotype FROM samples""")
 def diplotype_calls(samples: DataFrame) -> DataFrame:
-    """Reports in the three forms (their names are fixed values of the format), one locus each, read as rows."""
+    """Reports in three forms, one locus each, read as rows."""
     ident = F.col("sample_id")
     name = F.concat(F.lit('"CYP'), (ident % 5).cast("string"), F.lit('"'))
-    first = F.concat(F.lit('{"genes": [{"gene": '), name, F.lit(', "recommendationDiplotypes": [{"label": "*1/*4", "activityScore": "1.0"}], "phenotype": "normal"}], "geneCalls": [{"gene": "X"}]}'))
-    second = F.concat(F.lit('{"genes": [], "reportContext": {"geneReports": [{"geneSymbol": '), name, F.lit(', "recommendationDiplotypes": [{"label": "*1/*4", "activityScore": "1.0"}, {"label": "*9"}], "phenotypes": {"term": "slow"}}]}}'))
+    first = F.concat(F.lit('{"calls": [{"gene": '), name, F.lit(', "recommendationDiplotypes": [{"label": "*1/*4", "activityScore": "1.0"}], "phenotype": "normal"}], "geneCalls": [{"gene": "X"}]}'))
+    second = F.concat(F.lit('{"calls": [], "reportContext": {"geneReports": [{"geneSymbol": '), name, F.lit(', "recommendationDiplotypes": [{"label": "*1/*4", "activityScore": "1.0"}, {"label": "*9"}], "phenotypes": {"term": "slow"}}]}}'))
     third = F.concat(F.lit('{"geneCalls": [{"gene": '), name, F.lit(', "phenotype": "normal"}, {"phenotype": "nameless"}]}'))
     fourth = F.concat(F.lit('{"geneCalls": [{"gene": '), name, F.lit(', "recommendationDiplotypes": [], "printDiplotype": "*2/*3", "phenotype": "normal"}]}'))
     text = F.when(ident % 4 == 0, first).when(ident % 4 == 1, second).when(ident % 4 == 2, third).otherwise(fourth)
-    return reports.diplotype_calls(samples.select("sample_id", text.alias("report")))
+    return reports.diplotype_calls(samples.select("sample_id", text.alias("report")), ("$.calls", "$.reportContext.geneReports", "$.geneCalls"))
 
 
 # Metrics with intervals

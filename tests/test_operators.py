@@ -271,14 +271,14 @@ def test_reports(spark):
     call = '{"geneSymbol": "CYP2D6", "recommendationDiplotypes": [{"label": "*1/*4", "activityScore": 0.5}, {"label": "x"}], "phenotypes": {"term": "IM"}}'
     pgx = spark.createDataFrame(
         [
-            (1, '{"genes": [], "reportContext": {"geneReports": [' + call + ', {"phenotype": "nameless"}]}, "geneCalls": [{"gene": "no"}]}'),  # fixed names of the report format
+            (1, '{"calls": [], "reportContext": {"geneReports": [' + call + ', {"phenotype": "nameless"}]}, "geneCalls": [{"gene": "no"}]}'),
             (2, "no json"),
             (3, '{"geneCalls": [{"gene": "G", "recommendationDiplotypes": [], "diplotype": "*2/*2"}, {"gene": "H"}], "drugReports": [{"drugName": "d", "source": "s", "prescribingInfo": "' + "y" * 600 + '"}, {"source": "nameless"}]}'),
             (4, '{"drugs": [{"drug": "e", "classification": "strong", "recommendation": "less"}], "drugReports": [{"drug": "no"}]}'),
         ],
         "id int, report string",
     )
-    assert sorted(map(tuple, reports.diplotype_calls(pgx).collect())) == [(1, "CYP2D6", "*1/*4", "0.5", "IM"), (3, "G", "*2/*2", None, ""), (3, "H", "", None, "")]
+    assert sorted(map(tuple, reports.diplotype_calls(pgx, ("$.calls", "$.reportContext.geneReports", "$.geneCalls")).collect())) == [(1, "CYP2D6", "*1/*4", "0.5", "IM"), (3, "G", "*2/*2", None, ""), (3, "H", "", None, "")]
     assert sorted(map(tuple, reports.drug_recommendations(pgx).collect())) == [(3, "d", "s", "", "y" * 500), (4, "e", "", "strong", "less")]
     star = spark.createDataFrame([(1, '{"s1": {"Genotype": "*1/*2", "Filter": null}, "s2": {}}'), (2, "{}"), (3, '{"s": {"Diplotype": "*4/*4", "Activity_Score": 0, "Phenotype": "PM", "Filter": "More"}}')], "id int, report string")
     assert [tuple(r) for r in reports.star_alleles(star).orderBy("id").collect()] == [(1, "s1", "No call", "*1/*2", None, "", "PASS"), (3, "s", "*4/*4", "", "0", "PM", "More")]

@@ -163,3 +163,51 @@ def test_calibration_in_groups(spark):
     assert len(whole) == 1 and whole[0]["slope"] == pytest.approx(got["a"]["slope"])
     assert metrics.calibration_line(df.where("g = 'a'"), "y", "p") == pytest.approx((got["a"]["slope"], got["a"]["intercept"]))
     assert metrics.calibration_lines(df.limit(0), "y", "p", ["g"]).count() == 0
+
+
+# Models that fail, leave-one-out, report facts
+
+
+def test_a_model_that_fails_in_one_batch(spark):
+    from helixframe.operators import models
+
+    df = spark.range(40).select("id", (F.col("id") * 0.5).alias("x"), F.when(F.col("id") % 9 != 0, F.lit(1.0)).alias("maybe")).coalesce(1)
+
+    def sometimes(frame):
+        if (frame["id"] == 13).any():
+            raise RuntimeError("cannot do 13")
+        return frame["x"]
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        rows = models.run_models(df, {"fine": lambda f: f["x"] + 1, "sometimes": sometimes, "short": lambda f: f["x"][:1], "holes": lambda f: f["maybe"]}, ["id", "x", "maybe"], ["id"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    by = {(r["model"], r["id"]): r for r in rows}
+    assert len(rows) == 160 and all(by["fine", i]["score"] == i / 2 + 1 and by["fine", i]["error"] is None for i in range(40))
+    failed = {i for i in range(40) if by["sometimes", i]["error"] is not None}
+    assert failed == set(range(10, 20)) and all(by["sometimes", i]["score"] is None for i in failed) and by["sometimes", 20]["score"] == 10.0
+    assert by["short", 0]["error"] == "ValueError: 1 predictions for 10 rows"
+    assert by["holes", 9]["score"] is None and by["holes", 9]["error"] is None and by["holes", 8]["score"] == 1.0
+    counts = {r["model"]: r for r in models.model_failures(spark.createDataFrame(rows)).collect()}
+    assert (counts["fine"]["n_failed"], counts["sometimes"]["n_failed"], counts["sometimes"]["error"], counts["short"]["n_failed"]) == (0, 10, "RuntimeError: cannot do 13", 40)
+
+
+def test_leave_one_out_means(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", None), ("b", 5.0), (None, 2.0), (None, 4.0)], "g string, v double")
+    got = sorted(((str(r["g"]), str(r["v"]), r["expected"]) for r in splits.leave_one_out_means(df, "v", ["g"]).collect()))
+    assert got == [("None", "2.0", 4.0), ("None", "4.0", 2.0), ("a", "1.0", 3.0), ("a", "3.0", 1.0), ("a", "None", 2.0), ("b", "5.0", None)]
+
+
+def test_facts_of_a_sanity_check(spark):
+    from helixframe.operators import results
+
+    runs = spark.createDataFrame([(1, "m", "temporal", 10, True), (1, "m", "temporal", 10, False), (2, None, "zero_shot", None, None)], "run_no int, model_name string, split_type string, n_samples long, leakage_passed boolean")
+    assert sorted(map(tuple, results.tier0_facts(runs).collect())) == [(1, 0, "Model", "m"), (1, 1, "Split", "temporal"), (1, 2, "N", "10"), (1, 3, "Anti-leakage", "FAILED"), (2, 0, "Model", ""), (2, 1, "Split", "zero_shot"), (2, 2, "N", ""), (2, 3, "Anti-leakage", "FAILED")]
+
+
+def test_copy_number_columns_by_the_callers_names(spark):
+    df = spark.createDataFrame([("Pathogenic", "A;B", "DEL"), ("benign", "C", "DUP")], "Classification string, Loci string, kind string")
+    got = {(r["part"], r["name"]): r["n"] for r in cohort.cnv_summary(df, {"gene": ("loci",), "type": ("kind",)}).collect()}
+    assert got == {("all", ""): 2, ("class", "Pathogenic"): 1, ("class", "benign"): 1, ("pathogenic", ""): 1, ("type", "DEL"): 1, ("type", "DUP"): 1, ("pathogenic loci", ""): 1}
