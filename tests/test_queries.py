@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from helixframe.plans import catalog, catalog_models, catalog_scale, catalog_tables
+from helixframe.plans import catalog, catalog_files, catalog_models, catalog_scale, catalog_tables
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
@@ -22,7 +22,7 @@ def duck():
 
 
 def test_all_modules_register_in_one_place():
-    assert catalog_scale.query is catalog_tables.query is catalog_models.query is catalog.query and "ridge_line" in catalog.QUERIES and "scorecard" in catalog.QUERIES
+    assert catalog_files.query is catalog_scale.query is catalog_tables.query is catalog_models.query is catalog.query and "ridge_line" in catalog.QUERIES and "scorecard" in catalog.QUERIES
 
 
 def plain(v):
