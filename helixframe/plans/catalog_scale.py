@@ -58,13 +58,13 @@ def direction_with_zeros(samples: DataFrame) -> DataFrame:
 # Quantiles
 
 
-@query("assays", sql="SELECT assay_id, round(quantile_cont(CAST(dms_score AS DOUBLE) * score, 0.05), 2) AS low, round(quantile_cont(CAST(dms_score AS DOUBLE) * score, 0.5), 2) AS middle, round(quantile_cont(CAST(dms_score AS DOUBLE) * score, 0.999), 2) AS high FROM assays GROUP BY 1 UNION ALL SELECT NULL, round(quantile_cont(CAST(dms_score AS DOUBLE) * score, 0.05), 2), round(quantile_cont(CAST(dms_score AS DOUBLE) * score, 0.5), 2), round(quantile_cont(CAST(dms_score AS DOUBLE) * score, 0.999), 2) FROM assays")
+@query("assays", sql="SELECT assay_id, round(quantile_cont(CAST(dms_score AS DOUBLE) * score, 0.05), 6) AS low, round(quantile_cont(CAST(dms_score AS DOUBLE) * score, 0.5), 6) AS middle, round(quantile_cont(CAST(dms_score AS DOUBLE) * score, 0.999), 6) AS high FROM assays GROUP BY 1 UNION ALL SELECT NULL, round(quantile_cont(CAST(dms_score AS DOUBLE) * score, 0.05), 6), round(quantile_cont(CAST(dms_score AS DOUBLE) * score, 0.5), 6), round(quantile_cont(CAST(dms_score AS DOUBLE) * score, 0.999), 6) FROM assays")
 def exact_quantiles(assays: DataFrame) -> DataFrame:
     """Quantiles of each assay and of all rows."""
     rows, shares = assays.withColumn("v", F.col("dms_score").cast("double") * F.col("score")), {"low": 0.05, "middle": 0.5, "high": 0.999}
     whole = metrics.quantiles(rows, "v", shares).withColumn("assay_id", F.lit(None).cast("string"))
     both = metrics.quantiles(rows, "v", shares, ["assay_id"]).unionByName(whole)
-    return both.select("assay_id", *(F.round(k, 2).alias(k) for k in shares))
+    return both.select("assay_id", *(F.round(k, 6).alias(k) for k in shares))
 
 
 # Intervals on chromosomes
