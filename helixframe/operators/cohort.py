@@ -17,7 +17,7 @@ def polygenic_scores(genotypes: DataFrame, weights: DataFrame, by: list[str] | N
     return joined.groupBy("sample_id", *(by or [])).agg(total.alias("score_sum"), (total / (2 * F.count("*"))).alias("score_avg"), F.count("*").alias("n_variants"))
 
 
-def minor_allele_frequency(genotypes: DataFrame, n_samples: int, least: float = 0.05) -> DataFrame:
+def minor_allele_frequency(genotypes: DataFrame, n_samples: int | Column, least: float = 0.05) -> DataFrame:
     f = F.sum("dosage").cast("double") / (2 * n_samples)
     rows = genotypes.groupBy("variant_id").agg(f.alias("alt_frequency"))
     return rows.withColumn("maf", F.least(F.col("alt_frequency"), 1 - F.col("alt_frequency"))).where(F.col("maf") >= least)

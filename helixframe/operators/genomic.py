@@ -27,13 +27,17 @@ from helixframe.shared import written
 MOST_SAMPLES = 200_000
 #: Genotype rows of a block, about; and bytes of a task's dense part of one.
 BLOCK_ROWS, DENSE_BYTES = 1 << 20, 32 << 20
+#: Numbers that a pass may send to the driver.
+DRIVER_NUMBERS = 1 << 20
 
 
 @dataclass
 class Packed:
-    """blocks (markers, starts, samples, dosages), the samples in order, and which of them means and fits are from."""
+    """blocks (markers, starts, samples, dosages) in so many tasks, the samples in order, and which of them means and fits
+    are from."""
 
     blocks: DataFrame
+    tasks: int
     samples: list
     train: np.ndarray
 
@@ -63,7 +67,8 @@ def pack(genotypes: DataFrame, samples: DataFrame, block_rows: int = BLOCK_ROWS,
     one = rows.groupBy("sample", "marker").agg(F.max("dosage").alias("dosage")).join(F.broadcast(numbers), "sample")
     keyed = one.select(F.col("marker").cast("string").alias("marker"), "at", "dosage").withColumn("bucket", F.pmod(F.xxhash64("marker"), F.lit(buckets)))
     blocks = keyed.groupBy("bucket").applyInArrow(block, "markers array<string>, starts binary, samples binary, dosages binary")
-    return Packed(written(blocks, "marker-blocks"), [r["sample"] for r in found], np.array([bool(r["train"]) for r in found], bool))
+    kept = written(blocks, "marker-blocks")
+    return Packed(kept, kept.rdd.getNumPartitions(), [r["sample"] for r in found], np.array([bool(r["train"]) for r in found], bool))
 
 
 class Part:
@@ -124,7 +129,8 @@ def _parts(batch: pa.RecordBatch, train: np.ndarray) -> Iterator[Part]:
 def _kernel(packed: Packed, q: np.ndarray, scaled: bool = False) -> np.ndarray:
     """X Xᵀ q over all samples, one pass; scaled: with markers of unit deviation, and none that don't vary.
 
-    Sums are made in each task first, then by place, so that the driver gets as many numbers as q has.
+    Sums are made in each task first. The tasks' sums go to the driver if they are DRIVER_NUMBERS at most; else Spark adds
+    them up by place, and the driver gets as many numbers as q has.
     """
     train = packed.train
 
@@ -136,9 +142,12 @@ def _kernel(packed: Packed, q: np.ndarray, scaled: bool = False) -> np.ndarray:
                 total += part.onto_samples(t * part.inverse(2) if scaled else t)
         yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["v"])
 
-    each = packed.blocks.mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("at", "v"))
-    out = np.zeros(q.size)
-    for r in each.groupBy("at").agg(F.sum("v").alias("v")).collect():  # q.size rows
+    each, out = packed.blocks.mapInArrow(run, "v array<double>"), np.zeros(q.size)
+    if packed.tasks * q.size <= DRIVER_NUMBERS:
+        for r in each.collect():  # a row for each task
+            out += r["v"]
+        return out.reshape(q.shape)
+    for r in each.select(F.posexplode("v").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect():  # q.size rows
         out[r["at"]] = r["v"]
     return out.reshape(q.shape)
 

@@ -43,6 +43,15 @@ def panel_overlap(variants: DataFrame, panel: DataFrame, least: int = 100) -> Da
     return counts.withColumn("enough", F.col("n_shared") >= least)
 
 
+def require_overlap(variants: DataFrame, panel: DataFrame, least: int = 100) -> DataFrame:
+    """The row of panel_overlap, or an error if fewer than `least` positions are shared."""
+    found = panel_overlap(variants, panel, least)
+    row = found.first()
+    if not row["enough"]:
+        raise ValueError(f"{row['n_shared']} shared positions; at least {least} are needed")
+    return found
+
+
 def prioritise(df: DataFrame, effect: str, frequencies: list[str], most: float = 0.01) -> DataFrame:
     """Rows of effects near a gene whose largest known frequency is at most `most`; unknown frequencies are rare."""
     largest = F.greatest(*(F.coalesce(F.col(c), F.lit(0.0)) for c in [*frequencies, frequencies[0]]))

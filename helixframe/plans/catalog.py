@@ -362,7 +362,7 @@ def prs_scores(genotypes: DataFrame, catalog: DataFrame) -> DataFrame:
 
 @query("genotypes", "samples", sql="m AS (SELECT variant_id, sum(dosage) / (2.0 * (SELECT count(*) FROM samples)) AS f FROM genotypes GROUP BY 1) SELECT variant_id, round(CAST(least(f, 1 - f) AS DOUBLE), 6) AS maf FROM m WHERE least(f, 1 - f) >= 0.01")
 def minor_allele_frequencies(genotypes: DataFrame, samples: DataFrame) -> DataFrame:
-    return cohort.minor_allele_frequency(genotypes, samples.count(), 0.01).select("variant_id", r6("maf"))
+    return cohort.minor_allele_frequency(genotypes, samples.agg(F.count("*")).scalar(), 0.01).select("variant_id", r6("maf"))
 
 
 @query("variants", "catalog", sql="h AS (SELECT DISTINCT chrom, pos FROM variants), j AS (SELECT h.chrom, h.pos, rsid, trait, pvalue, row_number() OVER (PARTITION BY h.chrom, h.pos, trait ORDER BY coalesce(nullif(pvalue, 0), 1), rsid) AS rn FROM h JOIN catalog c ON c.chrom = h.chrom AND c.pos = h.pos), g AS (SELECT *, CASE WHEN contains(lower(trait), 'steel') THEN 'biomarker' WHEN contains(lower(trait), 'brass') THEN 'health' ELSE 'trait' END AS category FROM j WHERE rn = 1), k AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY coalesce(nullif(pvalue, 0), 1), rsid) AS rank, count(*) OVER (PARTITION BY category) AS total FROM g) SELECT chrom, pos, rsid, trait, category, CAST(rank AS INTEGER) AS rank, total FROM k WHERE rank <= CASE category WHEN 'biomarker' THEN 50 ELSE 100 END")

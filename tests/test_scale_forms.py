@@ -211,3 +211,12 @@ def test_copy_number_columns_by_the_callers_names(spark):
     df = spark.createDataFrame([("Pathogenic", "A;B", "DEL"), ("benign", "C", "DUP")], "Classification string, Loci string, kind string")
     got = {(r["part"], r["name"]): r["n"] for r in cohort.cnv_summary(df, {"gene": ("loci",), "type": ("kind",)}).collect()}
     assert got == {("all", ""): 2, ("class", "Pathogenic"): 1, ("class", "benign"): 1, ("pathogenic", ""): 1, ("type", "DEL"): 1, ("type", "DUP"): 1, ("pathogenic loci", ""): 1}
+
+
+def test_too_few_shared_positions_are_an_error(spark):
+    from helixframe.operators import panels
+
+    points = spark.range(50).select(F.lit("chr1").alias("chrom"), F.col("id").alias("pos"))
+    assert panels.require_overlap(points, points, 50).collect()[0]["n_shared"] == 50
+    with pytest.raises(ValueError, match="50 shared positions; at least 100"):
+        panels.require_overlap(points, points)
