@@ -22,6 +22,8 @@ from helixframe.llm.common import shared_path
 SCALE, SHIFT = 1024, 100_000
 #: Bytes of a packed block.
 BLOCK_BYTES = 4 << 20
+#: Numbers that a pass may send to the driver.
+DRIVER_NUMBERS = 1 << 20
 #: The largest size of an entry's integer.
 LARGEST = 1 << 48
 
@@ -85,8 +87,11 @@ def _unpacked(batch: pa.RecordBatch, i: int, width: int) -> np.ndarray:
     return x
 
 
-def _summed(blocks: DataFrame, add, size: int) -> np.ndarray:
-    """The sum of add(batch, i) over all blocks: in each task first, then by place, so that the driver gets `size` numbers."""
+def _summed(blocks: DataFrame, add, size: int, tasks: int) -> np.ndarray:
+    """The sum of add(batch, i) over all blocks, made in each task first.
+
+    The tasks' sums go to the driver if they are DRIVER_NUMBERS at most; else Spark adds them up by place, and the driver
+    gets `size` numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
@@ -95,9 +100,14 @@ def _summed(blocks: DataFrame, add, size: int) -> np.ndarray:
                 total += add(batch, i)
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["v"])
 
-    each = blocks.select("rows", "width", "x").mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("at", "v"))
+    each = blocks.select("rows", "width", "x").mapInArrow(run, "v array<double>")
     out = np.zeros(size)
-    for r in each.groupBy("at").agg(F.sum("v").alias("v")).collect():  # size rows
+    if tasks * size <= DRIVER_NUMBERS:
+        for r in each.collect():  # a row for each task
+            out += r["v"]
+        return out
+    places = each.select(F.posexplode("v").alias("at", "v"))
+    for r in places.groupBy("at").agg(F.sum("v").alias("v")).collect():  # size rows
         out[r["at"]] = r["v"]
     return out
 
@@ -106,7 +116,7 @@ class Covariance:
     """The covariance of packed vectors, as passes over them; divisor n, centred before multiplying."""
 
     def __init__(self, blocks: DataFrame):
-        self.blocks, self.passes = blocks, 0
+        self.blocks, self.tasks, self.passes = blocks, blocks.rdd.getNumPartitions(), 0
         n, width, largest = blocks.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.max("width"), F.lit(0)), F.coalesce(F.max("largest"), F.lit(0))).first()
         self.n, self.width = int(n), int(width)
         if self.n * (int(largest) + SHIFT) >= 1 << 62:
@@ -134,12 +144,12 @@ class Covariance:
             y = rows(batch, i)
             return (y.T @ (y @ q)).ravel()
 
-        return _summed(self.blocks, add, q.size).reshape(q.shape) / self.n
+        return _summed(self.blocks, add, q.size, self.tasks).reshape(q.shape) / self.n
 
     def trace(self) -> float:
         self.passes += 1
         rows = self.centred()
-        return float(_summed(self.blocks, lambda batch, i: np.array([(rows(batch, i) ** 2).sum()]), 1)[0]) / self.n
+        return float(_summed(self.blocks, lambda batch, i: np.array([(rows(batch, i) ** 2).sum()]), 1, self.tasks)[0]) / self.n
 
 
 def filtered(times, q: np.ndarray, vq: np.ndarray, degree: int, low: float, high: float, top: float) -> np.ndarray:
@@ -217,7 +227,7 @@ def identity_error(blocks: DataFrame, model: Fit) -> float:
         w = rows(batch, i)[1]
         return np.concatenate([w.sum(0), (w.T @ w).ravel()])
 
-    found = _summed(blocks, add, k + k * k) / model.n
+    found = _summed(blocks, add, k + k * k, blocks.rdd.getNumPartitions()) / model.n
     mean, second = found[:k], found[k:].reshape(k, k)
     return float(np.abs(second - np.outer(mean, mean) - np.eye(k)).max())
 
