@@ -137,7 +137,33 @@ QUERIES = {
 
 _ESCAPED = r"replace(replace(replace(replace(replace({}, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')"
 
+#: A field of a leaf, and whether 5 divides the CRC-32 of an id: eight shifts for each byte.
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+_FIFTH = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, strlen(id) + 1), lambda i: [256 + ascii(substr(id, i, 1)), 0, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda c, b: CASE WHEN b >= 256 THEN xor(c, b - 256) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) % 5 = 0"""
+_HEAD = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
 ORACLE_SQL = {
+    "op12_merkle_manifest": f"""
+WITH RECURSIVE d AS (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_text, coalesce('=' || source, '') AS tree, coalesce(CAST(doc_id AS VARCHAR), '') AS id FROM documents),
+x AS (SELECT row_number() OVER () AS rid, doc_id, tree, sha256({_HEAD} || {_FIELD.format("text")}) AS leaf, CASE WHEN {_FIFTH} THEN sha256({_HEAD} || {_FIELD.format("lower_text")}) END AS changed FROM d),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS spot, count(*) OVER (PARTITION BY tree) AS n FROM x),
+nodes AS (SELECT tree, 0 AS level, spot, leaf AS d, n FROM l
+  UNION ALL SELECT tree, level + 1, spot // 16, sha256(string_agg(d, '' ORDER BY spot)), (any_value(n) + 15) // 16 FROM nodes WHERE n > 1 GROUP BY tree, level, spot // 16),
+runs AS (SELECT tree, level, spot // 16 AS parent, list(d ORDER BY spot) AS children FROM nodes WHERE n > 1 GROUP BY ALL),
+subs AS (SELECT tree, level, d, row_number() OVER (ORDER BY tree) - 1 AS spot, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS level, spot, d, n FROM subs
+  UNION ALL SELECT level + 1, spot // 16, sha256(string_agg(d, '' ORDER BY spot)), (any_value(n) + 15) // 16 FROM tops WHERE n > 1 GROUP BY level, spot // 16),
+top_runs AS (SELECT level, spot // 16 AS parent, list(d ORDER BY spot) AS children FROM tops WHERE n > 1 GROUP BY ALL),
+walk AS (SELECT rid, tree, 0 AS level, spot, coalesce(changed, leaf) AS now, '' AS proof FROM l
+  UNION ALL SELECT rid, w.tree, w.level + 1, spot // 16, sha256(array_to_string(children[1:spot % 16], '') || now || array_to_string(children[spot % 16 + 2:], '')), proof || array_to_string(children[1:spot % 16], '') || array_to_string(children[spot % 16 + 2:], '')
+  FROM walk w JOIN runs r ON r.tree = w.tree AND r.level = w.level AND r.parent = w.spot // 16),
+climb AS (SELECT rid, 0 AS level, s.spot, now, proof FROM walk w JOIN subs s ON s.tree = w.tree AND s.level = w.level
+  UNION ALL SELECT rid, w.level + 1, spot // 16, sha256(array_to_string(children[1:spot % 16], '') || now || array_to_string(children[spot % 16 + 2:], '')), proof || array_to_string(children[1:spot % 16], '') || array_to_string(children[spot % 16 + 2:], '')
+  FROM climb w JOIN top_runs r ON r.level = w.level AND r.parent = w.spot // 16),
+root AS (SELECT level, d FROM tops WHERE n = 1)
+SELECT doc_id, leaf, s.d AS subroot, root.d AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = root.d AS verified
+FROM l JOIN subs s USING (tree) JOIN climb USING (rid) JOIN root ON root.level = climb.level""",
     "op10_vector_search": """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 ok AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
