@@ -116,9 +116,9 @@ def catalog_objects(catalog: DataFrame) -> DataFrame:
     one = F.struct("trait", F.round("pvalue", 12).alias("pvalue"))
     two = F.struct(F.upper("trait").alias("trait"), F.lit(None).cast("double").alias("pvalue"))
     entry = F.struct("rsid", F.when(F.col("pos") % 2 == 0, F.array(one, two)).otherwise(F.array(one)))
-    # Some 500 ids to an object, however many there are.
-    objects = catalog.groupBy(F.floor(F.regexp_extract("rsid", r"(\d+)", 1).cast("long") / 500)).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
-    objects.select("value").write.text(path)
+    # Some 500 ids to an object, however many there are, and an object to a file.
+    objects = catalog.groupBy(F.floor(F.regexp_extract("rsid", r"(\d+)", 1).cast("long") / 500).alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    objects.write.partitionBy("part").text(path)
     return tables.read_catalog(catalog.sparkSession, path, "place", 2000).select("place", "trait", F.round("pvalue", 12).alias("pvalue"))
 
 

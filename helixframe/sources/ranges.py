@@ -97,7 +97,7 @@ def json_lists(spark: SparkSession, path: str, key: str, fields: dict[str, str],
     """(key, fields): a row for each object in the lists of a JSON object from keys to lists of flat objects.
 
     fields: name to "string" or "double"; others are left out, and what is missing or of another kind is null (numbers in
-    strings count as numbers). A file is cut into ranges of part_bytes, which different tasks read: a range has the
+    strings count as numbers). A file holds one object. It is cut into ranges of part_bytes, which different tasks read: a range has the
     records whose separator starts in it. A record is one task's, however long. Keys may have 64 KiB.
     """
     ranges = listed(spark, path).select("path", "length", F.explode(F.sequence(F.lit(0), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(part_bytes).cast("long"))).alias("start"))
