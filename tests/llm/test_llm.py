@@ -480,6 +480,45 @@ def test_ppm_score_keeps_every_gram(spark):
             assert math.isclose(r["score"], wanted[r["doc_id"]], rel_tol=1e-9)
 
 
+def plain_ppm(training: list[bytes], text: bytes, order: int = 5) -> float:
+    """Prediction by partial matching with dictionaries, one byte at a time: escapes count distinct symbols, symbols that a
+    longer context has offered are excluded from the shorter ones, and what is left is shared by all 255 symbols."""
+    lower = lambda x: bytes(b + 32 if 65 <= b <= 90 else b for b in x)
+    seen: dict[bytes, Counter] = {}
+    for x in training:
+        data = b"\xfe" * order + lower(x) + b"\xff"
+        for i in range(order, len(data)):
+            for k in range(order + 1):
+                seen.setdefault(data[i - k : i], Counter())[data[i]] += 1
+    total, data = 0.0, b"\xfe" * order + lower(text) + b"\xff"
+    for i in range(order, len(data)):
+        excluded: set[int] = set()
+        for k in range(order, -1, -1):
+            own = seen.get(data[i - k : i])
+            if not own:
+                continue
+            open_ = {s: n for s, n in own.items() if s not in excluded}
+            whole = sum(open_.values()) + len(own)
+            if data[i] in open_:
+                total += math.log10(open_[data[i]] / whole)
+                break
+            total += math.log10(len(own) / whole)
+            excluded |= own.keys()
+        else:
+            total -= math.log10(max(1, 255 - len(excluded)))
+    return total
+
+
+def test_ppm_equals_the_plain_model(spark):
+    r = random.Random(11)
+    docs = [(i, "".join(r.choice("abAB é\n中") for _ in range(r.randrange(60)))) for i in range(60)] + [(500, None), (501, ""), (502, "never SEEN ünlike ▁")]
+    training = [(t or "").encode() for d, t in docs if zlib.crc32(str(d).encode()) % 5 != 1]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for keep in (0, 1 << 21):
+        got = {x["doc_id"]: x["score"] for x in ppm_score.score_documents(df, Q.crc_mod(F.col("doc_id"), 5) != 1, ["doc_id"], trie_keep=keep).collect()}
+        assert all(math.isclose(got[d], plain_ppm(training, (t or "").encode()), rel_tol=1e-9) for d, t in docs)
+
+
 def test_ppm_base_score(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()] + [(7_000_001, None), (7_000_001, None), (7_000_002, "Unseen UNSEEN wörd")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
