@@ -81,28 +81,33 @@ def _joined(left: DataFrame, right: DataFrame, small: bool, *keys: str) -> DataF
     return left.join(F.broadcast(other) if small else other, condition).drop(*(f"__{k}" for k in keys))
 
 
+def spot(seed: int) -> Column:
+    """Where a row (doc_id, size, __key: hash of its text) stands: by its id and text, or anywhere if it has no words."""
+    return F.when(F.col("size") > 0, F.xxhash64(F.lit(seed), "doc_id", "__key")).otherwise(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), passes: int = 3, block_words: int = 16, shard_words: int = 1 << 20, bundle_shards: int = 1024, seed: int = 17, keep: tuple[str, ...] = ("doc_id", "source"), text: str = "text") -> DataFrame:
     """One row per document: `keep`, size, source_size, target (of its source), taken (its words in the mix, repeats counted).
 
     A null source is a source of its own, weighed last; null and empty texts have size 0 and take nothing. taken is at
     most passes times the size, and a source's sum is within a block or two per shard of its target. Documents are
-    placed by a seeded hash of doc_id, then by doc_id and size, so that reruns agree; among equal rows it does not
-    matter which is which. Only `keep` (doc_id and source among them) and the text are read.
+    placed by a seeded hash of doc_id and text, then by these, so that reruns agree, and rows without an id or with
+    the same one spread; among equal rows it does not matter which is which. Rows of size 0 take nothing wherever they
+    are, so they are dealt evenly. Only `keep` (doc_id and source among them) and the text are read.
     """
-    rows = cut(sizes(docs, list(keep), text))
+    rows = cut(sizes(docs.withColumn("__key", F.xxhash64(text)), [*keep, "__key"], text).withColumn("h", spot(seed)))
     sources = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, passes))
     few = sources.count() <= BROADCAST_SOURCES
     blocks = F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block_words).cast("long")
     plan = apportion(sources.withColumn("blocks", blocks), [], ["n"], "target", "blocks")
     plan = plan.select("source", "source_size", "target", F.col("quota").alias("source_quota"), F.ceil(F.col("source_size") / shard_words).alias("n_shards"))
-    h = F.xxhash64(F.lit(seed), "doc_id")
-    placed = _joined(rows, plan, few, "source").withColumn("h", h).withColumn("shard", F.when(F.col("n_shards") > 1, F.pmod(F.shiftright("h", 20), F.col("n_shards"))).otherwise(F.lit(0)))
+    placed = _joined(rows, plan, few, "source").withColumn("shard", F.when(F.col("n_shards") > 1, F.pmod(F.shiftright("h", 20), F.col("n_shards"))).otherwise(F.lit(0)))
     cells = placed.groupBy("source", "shard", "source_quota").agg(F.sum("size").alias("cell_words")).withColumn("bundle", F.floor(F.col("shard") / bundle_shards))
     bundles = apportion(cells.groupBy("source", "bundle", "source_quota").agg(F.sum("cell_words").alias("bundle_words")), ["source"], ["bundle"], "bundle_words", "source_quota")
     bundles = cut(bundles.select("source", "bundle", F.col("quota").alias("bundle_quota")))
     dealt = _joined(cells, bundles, bundles.count() <= BROADCAST_SOURCES, "source", "bundle")
     quotas = cut(apportion(dealt, ["source", "bundle"], ["shard"], "cell_words", "bundle_quota").select("source", "shard", "cell_words", "quota"))
-    order = Window.partitionBy("source", "shard").orderBy("h", "doc_id", "size")
+    order = Window.partitionBy("source", "shard").orderBy("h", "doc_id", "__key", "size")
     stream = placed.withColumn("stop", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     taken = _joined(stream, quotas, quotas.count() <= BROADCAST_SOURCES, "source", "shard")
     words, begin = F.col("cell_words"), F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.greatest(F.lit(1), F.floor(F.col("cell_words") / block_words))) * block_words

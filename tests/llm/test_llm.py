@@ -277,6 +277,20 @@ def test_apportion_is_sainte_lague(spark):
 # 3
 
 
+def test_mixing_spreads_rows_without_an_id(spark):
+    """Null ids stand apart by their texts, null texts anywhere; reruns in other partitions agree."""
+    docs = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 8 != 1, F.concat(F.lit("word "), F.col("id"))).alias("text"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
+    sized = mixing.sizes(docs.withColumn("__key", F.xxhash64("text")), ["doc_id", "__key"])
+    shards = sized.where("doc_id IS NULL").withColumn("shard", F.pmod(F.shiftright(mixing.spot(17), 20), F.lit(100))).groupBy("shard").count().collect()
+    assert len(shards) > 90 and max(r["count"] for r in shards) < 60
+    rows = mixing.mix(docs, weights=(9, 1), shard_words=80).collect()
+    again = mixing.mix(docs.repartition(7, "text"), weights=(9, 1), shard_words=80).collect()
+    assert len(rows) == 4000 and Counter(map(tuple, rows)) == Counter(map(tuple, again))
+    for s in "ab":
+        mine = [r for r in rows if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 16 * (2 + mine[0]["source_size"] // 80)
+
+
 def test_exact_dedup(spark):
     texts = ["a b", "ab", " a\tb\n", "abc", None, "", " ", "x", "a b"] + [f"t{i % 40}" for i in range(200)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -313,6 +327,15 @@ def test_exact_dedup_chains_colliding_texts(spark):
     assert len(chains) <= 8 and all(sorted(c) == list(range(1, len(c) + 1)) for c in chains.values()) and sum(map(len, chains.values())) == len(groups)
 
 
+def test_exact_dedup_owner_gets_few_entries_of_a_hot_text(spark):
+    """Rows of one text over many tasks: one group, with other texts of its key beside it."""
+    docs = spark.range(4000).repartition(100).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 < 2, F.repeat(F.lit("hot "), F.lit(50))).otherwise(F.concat(F.lit("t"), F.col("id"))).alias("text"))
+    out, index = exact_dedup.dedup(docs, key_bits=1)
+    hot = index.where("group_size > 1").collect()
+    assert [r["group_size"] for r in hot] == [2667] and index.count() == 1 + 1333
+    assert out.count() == 4000 and out.where("kept").count() == 1334
+
+
 def test_exact_dedup_finds_texts_through_their_buckets(spark):
     docs = spark.createDataFrame([(i, f"t{i}") for i in range(300)], "doc_id long, text string")
     keys = docs.select("doc_id", F.xxhash64("text").alias("key"))
