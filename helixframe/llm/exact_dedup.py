@@ -5,10 +5,10 @@ every bucket with more distinct keys than its capacity is split by one more bit,
 bucket was as deep as it, until no bucket is overfull. Every row is given its bucket by the directory before anything is
 grouped, and a row without one is in no group.
 
-Texts are compared by their bytes, inside their bucket and key. Copies collapse in the task that reads them, before they
-are moved, so a text that a third of all rows hold costs a row for each task. What is left of a bucket, one row for each
-text, goes to the owner task of the bucket, which chains the texts whose keys collide and writes its range of the index.
-Documents are led to their text by bucket, key and chain.
+Copies collapse in the tasks that read them, before they are moved: a text comes to the owner task of its bucket in SALTS
+entries at most, even if a third of all rows hold it. The owner walks the entries of a key in order and compares the bytes
+of each with the one before: other bytes begin the next text of the chain, equal bytes join its group. So groups are decided
+there, and it writes its range of the index. Documents are led to their text by bucket, key and SHA-256.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def prefix(key: Column, bits: Column | int) -> Column:
     return F.expr("0L") if isinstance(bits, int) and bits == 0 else F.shiftrightunsigned(key, 64 - bits)
 
 
-def build_directory(keys: DataFrame, capacity: int, first_depth: int = 2, most_depth: int = 40) -> DataFrame:
+def build_directory(keys: DataFrame, capacity: int, first_depth: int = 6, most_depth: int = 40) -> DataFrame:
     """Buckets (p, depth, n_keys) over the distinct values of `key`: all keys whose first `depth` bits are p. Only buckets
     of most_depth may hold more than capacity.
 
@@ -57,6 +57,9 @@ def build_directory(keys: DataFrame, capacity: int, first_depth: int = 2, most_d
         depth += 1
 
 
+#: Entries of a text that its owner gets at most: copies collapse in so many groups of tasks.
+SALTS = 64
+
 #: Buckets up to this number are broadcast to the rows (some 60 MB); beyond it, rows join them by shuffle.
 BROADCAST_BUCKETS = 1_000_000
 
@@ -74,7 +77,7 @@ def owned(df: DataFrame, directory: DataFrame, depths: list[int], few: bool) ->
     return hits.withColumn("__b", bucket).where("__b IS NOT NULL").select(*df.columns, "__b.depth", "__b.p")
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 1 << 16, key_bits: int = 64, directory: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 1 << 14, key_bits: int = 64, directory: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(one row per document: doc_id, keep_id, group_size, kept, text_sha256, text_key (hash of the text as it is);
     the index: depth, p (its bucket), key, chain (number of the text among those of its key), sha, keep_id, keep_key,
     group_size).
@@ -95,13 +98,17 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     depths, few = sorted(r["depth"] for r in shape), sum(r["n"] for r in shape) <= BROADCAST_BUCKETS
 
     first = F.min(F.struct((-F.col("points")).alias("points"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_key").alias("text_key")))
-    # The bytes themselves are a grouping key: equal keys with other bytes become texts of their own.
-    texts = owned(rows, directory, depths, few).groupBy("depth", "p", "key", "body").agg(first.alias("first"), F.count("*").alias("group_size"))
-    texts = texts.select("depth", "p", "key", F.sha2("body", 256).alias("sha"), F.col("first.doc_id").alias("keep_id"), F.col("first.text_key").alias("keep_key"), "group_size")
-    # An owner task holds whole buckets, in key order; a bucket is at most `capacity` keys.
-    chain = F.row_number().over(Window.partitionBy("depth", "p", "key").orderBy("sha"))
+    salted = rows.withColumns({"salt": F.pmod(F.spark_partition_id(), F.lit(SALTS)), "sha": F.sha2("body", 256)})
+    brought = owned(salted, directory, depths, few).groupBy("salt", "depth", "p", "key", "sha").agg(F.first("body").alias("body"), first.alias("first"), F.count("*").alias("n"))
+    # An owner task holds whole buckets; a bucket is at most `capacity` keys. All that follows is in its partitioning.
+    walk = Window.partitionBy("depth", "p", "key").orderBy("sha", "body")
+    before = F.lag("body").over(walk)
+    walked = brought.repartition("depth", "p").withColumn("new", F.when(before == F.col("body"), 0).otherwise(1))
+    walked = walked.withColumn("chain", F.sum("new").over(walk.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    texts = walked.groupBy("depth", "p", "key", "chain").agg(F.first("sha").alias("sha"), F.min("first").alias("first"), F.sum("n").alias("group_size"))
     path = shared_path(spark, "dedup-index")
-    texts.repartition("depth", "p").withColumn("chain", chain).sortWithinPartitions("depth", "p", "key", "chain").write.parquet(path)
+    texts = texts.select("depth", "p", "key", F.col("chain").cast("int").alias("chain"), "sha", F.col("first.doc_id").alias("keep_id"), F.col("first.text_key").alias("keep_key"), "group_size")
+    texts.sortWithinPartitions("depth", "p", "key", "chain").write.parquet(path)
     index = spark.read.parquet(path)
     members = owned(entries, directory, depths, few).join(index, ["depth", "p", "key", "sha"])
     same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_key") == F.col("keep_key"))
