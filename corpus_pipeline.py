@@ -6,6 +6,9 @@ columns of documents. run() writes each stage's rows as Parquet in the shared fo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +27,17 @@ BATCH_ROWS = 2000
 ORACLE_SQL = None
 
 
-def _small_batches(spark: SparkSession) -> None:
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside have batches of BATCH_ROWS rows at most; the session's own setting is put back."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name, "10000")) > BATCH_ROWS:
+    own = spark.conf.get(name, None)
+    if own is None or not 0 < int(own) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if own is None else spark.conf.set(name, own)
 
 
 def _rows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -42,7 +52,6 @@ def _rows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the machine, trained on a bounded sample of the labelled ones, scores as toxic."""
-    _small_batches(spark)
     machine = toxicity.train_machine(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_documents(docs, machine, COLUMNS).where(F.col("score") < TOXIC).select(*COLUMNS)
 
@@ -55,24 +64,24 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies (five words, similarity 0.8): that with the smallest id."""
-    _small_batches(spark)
-    found = simhash_dedup.near_copies(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"))
+    with small_batches(spark):
+        found = simhash_dedup.near_copies(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"))
     kept = found.select("root.doc_id", "root.text_key").distinct()
     return _rows_of(docs, kept).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: rows repeat up to three times, and those it doesn't take go."""
-    _small_batches(spark)
     keyed = docs.select(*COLUMNS).withColumn("text_key", F.xxhash64("text"))
-    taken = mixing.mix(keyed, keep=("doc_id", "source", "text_key")).withColumn("copies", mixing.copies(F.col("taken"), F.col("size")))
+    with small_batches(spark):
+        mixed = mixing.mix(keyed, keep=("doc_id", "source", "text_key"))
+    taken = mixed.withColumn("copies", mixing.copies(F.col("taken"), F.col("size")))
     times = taken.groupBy("doc_id", "text_key").agg(F.sum("copies").alias("copies")).where("copies > 0")
     return _rows_of(docs, times).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document with an end id, and digests of these and of the text decoded from them."""
-    _small_batches(spark)
     coded = sentencepiece_bpe.encode_documents(docs, PIECE_MODEL, ["doc_id", "source"], decode=True)
     return coded.select(
         "doc_id",
@@ -100,7 +109,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if at + 1 < len(STAGES):
             path = shared_path(spark, f"pipeline-{at}")
-            docs.write.parquet(path)
+            with small_batches(spark):
+                docs.write.parquet(path)
             docs = spark.read.parquet(path)
             if read is not None:
                 remove(spark, read)  # what this stage read is not needed again

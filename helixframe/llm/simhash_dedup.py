@@ -16,6 +16,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -294,12 +296,49 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
 
 # Near copies by five-word shingles: wider fingerprints, and the similarity itself.
 
-#: 64-bit words of a wide fingerprint: four segments each, in lanes of 16 bits of which LANE are used.
-WIDE, LANE = 9, 14
-#: Bits by which wide fingerprints of near copies may differ, and what chains of segments share out between them.
-WIDE_BITS, WIDE_CHAIN = 96, 128
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_STEPS = _MULTIPLIER * np.arange(1, WIDE + 1, dtype=np.uint64)
+
+
+class Wide(NamedTuple):
+    """The shape of a wide fingerprint: 64-bit words, cut into lanes of 16 or 32 bits, whose lower `bits` are a segment."""
+
+    bits: int = 14
+    words: int = 9
+
+    @property
+    def lane(self) -> int:
+        return 16 if self.bits <= 16 else 32
+
+    @property
+    def segments(self) -> int:
+        return self.words * 64 // self.lane
+
+    @property
+    def kind(self) -> str:
+        return f">u{self.lane // 8}"
+
+    @property
+    def most(self) -> int:
+        """Bits by which near copies may differ."""
+        return self.bits * self.segments * 96 // 504
+
+    @property
+    def chain(self) -> int:
+        """Bits that chains of segments share out between them."""
+        return self.bits * self.segments * 128 // 504
+
+
+#: The share of bits in which fingerprints of texts at similarity 0.8 differ: arccos(2 J / (1 + J)) / pi.
+DIFFER = 0.15
+
+
+def wide_for(n: int, members: int = 512) -> Wide:
+    """The shape for n fingerprints: segments long enough that evenly spread ones leave no more than `members` under a key,
+    and so many of them that near copies agree in as many as at 14 bits. What a fingerprint is compared with under a key
+    is bounded; the number of keys grows with n to the power of 0.23."""
+    bits = min(30, max(14, (max(1, -(-n // members)) - 1).bit_length()))
+    segments = 36 * (1 - DIFFER) ** (14 - bits)
+    return Wide(bits, int(np.ceil(segments * (16 if bits <= 16 else 32) / 64)))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -333,62 +372,71 @@ class Shingler:
             total = _mixed(total * _MULTIPLIER ^ h[j : j + n])
         return np.unique(total)
 
-    def wide(self, text: bytes) -> bytes:
-        """WIDE words of bits, each set if set in over half of the shingles, mixed anew for every word."""
+    def wide(self, text: bytes, shape: Wide = Wide()) -> bytes:
+        """Words of bits, each set if set in over half of the shingles, mixed anew for every word."""
         h = self.shingles(text)
         if not len(h):
-            return bytes(8 * WIDE)
-        counts = np.zeros((WIDE, 64), np.int64)
-        for k in range(WIDE):
-            mixed = _mixed(h + _STEPS[k]).astype(">u8").view(np.uint8).reshape(-1, 8)
+            return bytes(8 * shape.words)
+        counts = np.zeros((shape.words, 64), np.int64)
+        steps = _MULTIPLIER * np.arange(1, shape.words + 1, dtype=np.uint64)
+        for k in range(shape.words):
+            mixed = _mixed(h + steps[k]).astype(">u8").view(np.uint8).reshape(-1, 8)
             for at in range(0, len(h), 1 << 16):
                 counts[k] += np.unpackbits(mixed[at : at + (1 << 16)], axis=1).sum(0, dtype=np.int64)
-        return (np.packbits(counts * 2 > len(h), axis=1).view(">u2") & ((1 << LANE) - 1)).astype(">u2").tobytes()
+        return (np.packbits(counts * 2 > len(h), axis=1).view(shape.kind) & ((1 << shape.bits) - 1)).astype(shape.kind).tobytes()
 
 
-def wide_chained(x: np.ndarray, at: np.ndarray, max_bits: int, chain_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether differences x (WIDE words each) pass the chain from segment `at` round the ring, and differ in at most
-    max_bits, which are returned too. A chain of n segments may differ in n / (4 WIDE) of chain_bits."""
-    bits = np.bitwise_count(np.ascontiguousarray(x).astype(">u8").view(">u2")).astype(np.int64)
-    total, m = bits.sum(1), 4 * WIDE
-    found = np.flatnonzero(total <= max_bits)
+def wide_chained(x: np.ndarray, at: np.ndarray, shape: Wide) -> tuple[np.ndarray, np.ndarray]:
+    """Whether differences x (shape.words each) pass the chain from segment `at` round the ring, and differ in at most
+    shape.most bits, which are returned too. A chain of n segments may differ in its share of shape.chain."""
+    bits = np.bitwise_count(np.ascontiguousarray(x).astype(">u8").view(shape.kind)).astype(np.int64)
+    total, m = bits.sum(1), shape.segments
+    found = np.flatnonzero(total <= shape.most)
     turned = bits[found[:, None], (at[found, None] + np.arange(m)[None, :]) % m]
     ok = np.zeros(len(x), bool)
-    ok[found] = (turned.cumsum(1) <= chain_bits * np.arange(1, m + 1)[None, :] / m).all(1)
+    ok[found] = (turned.cumsum(1) <= shape.chain * np.arange(1, m + 1)[None, :] / m).all(1)
     return ok, total
 
 
-def near_copies(docs: DataFrame, shingle_words: int = 5, least: float = 0.8, block: int = 2048) -> DataFrame:
+def wide_keys(prints: DataFrame, shape: Wide) -> DataFrame:
+    """(key, fp) for each segment of each value of prints.fp; a key is a segment and its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shape.segments
+        step = max(1, 9216 // m)  # so many keys that no batch is large outside the heap
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                column = batch.column("fp").slice(at, step)
+                segments = np.frombuffer(b"".join(column.to_pylist()), shape.kind).astype(np.int64).reshape(-1, m)
+                keys = segments << 10 | np.arange(m)[None, :]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), column.take(pa.array(np.repeat(np.arange(len(keys)), m)))], ["key", "fp"])
+
+    return prints.select("fp").mapInArrow(run, "key long, fp binary")
+
+
+def near_copies(docs: DataFrame, shingle_words: int = 5, least: float = 0.8, block: int = 2048, shape: Wide | None = None) -> DataFrame:
     """One row per document: doc_id, text_key, root; documents of one root are near copies, directly or by way of others.
 
     docs: doc_id, text_key (hash of the text), text. Two documents are linked if the Jaccard similarity of their sets of
-    shingles is at least `least`. Candidates have wide fingerprints that agree in one of the 14-bit segments, go on in a
-    chain of proportional budgets and differ in at most WIDE_BITS of the 504 bits; their similarity is then computed from
-    the whole texts. Unlike the links of 64-bit fingerprints this is a search with a recall below 1 (see README).
+    shingles is at least `least`. Candidates have wide fingerprints that agree in one of the segments (14 bits and longer with
+    the number of rows, see wide_for; or as `shape` says), go on in a chain of proportional budgets and differ in at most
+    19 % of the bits; their similarity is then computed from the whole texts. Unlike the links of 64-bit fingerprints this is a search with a recall below 1 (see README).
     Texts without words are copies of each other. root is that of the smallest doc_id (null last), text_key.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text_key", "text")
+    shape = shape or wide_for(docs.count())
 
     def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Shingler(shingle_words)
         for batch in batches:
             for part, texts in text_slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([own.wide(x) for x in texts], pa.binary())], ["doc_id", "text_key", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([own.wide(x, shape) for x in texts], pa.binary())], ["doc_id", "text_key", "fp"])
 
     rows = cut(source.mapInArrow(prints_of, "doc_id long, text_key long, fp binary"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
     prints = cut(rows.groupBy("fp").agg(first.alias("rep")))
 
-    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1 << 8):  # some 9,000 rows, so that no batch is large outside the heap
-                column = batch.column("fp").slice(at, 1 << 8)
-                segments = np.frombuffer(b"".join(column.to_pylist()), ">u2").astype(np.int64).reshape(-1, 4 * WIDE)
-                keys = segments << 8 | np.arange(4 * WIDE)[None, :]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), column.take(pa.array(np.repeat(np.arange(len(keys)), 4 * WIDE)))], ["key", "fp"])
-
-    met = prints.select("fp").mapInArrow(spots, "key long, fp binary")
-    met = meet(met, lambda x, key: wide_chained(x, key & 255, WIDE_BITS, WIDE_CHAIN), WIDE, block)
+    met = meet(wide_keys(prints, shape), lambda x, key: wide_chained(x, key & 1023, shape), shape.words, block)
     found = cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     # Candidates are checked by their own texts: of each fingerprint, that of its first document.
     linked = found.select(F.col("a").alias("fp")).unionByName(found.select(F.col("b").alias("fp"))).distinct().join(prints, "fp").select("fp", F.col("rep.none").alias("none"), F.coalesce("rep.doc_id", F.lit(0).cast("long")).alias("id"), F.col("rep.text_key").alias("text_key"))

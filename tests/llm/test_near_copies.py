@@ -50,10 +50,10 @@ def copies():
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("block", [2048, 60])
-def test_near_copies_are_the_components_of_similar_pairs(spark, copies, block):
+@pytest.mark.parametrize("block, shape", [(2048, None), (60, None), (2048, simhash_dedup.wide_for(512 << 17))])
+def test_near_copies_are_the_components_of_similar_pairs(spark, copies, block, shape):
     df = spark.createDataFrame(copies, "doc_id long, text string").withColumn("text_key", F.xxhash64("text"))
-    rows = simhash_dedup.near_copies(df, block=block).collect()
+    rows = simhash_dedup.near_copies(df, block=block, shape=shape).collect()
     root = {r["doc_id"]: r["root"]["doc_id"] for r in rows}
     assert len(rows) == len(copies) == len(root)
     sets = {i: shingles(t) for i, t in copies}
@@ -101,10 +101,43 @@ def test_wide_fingerprints_tell_similarity():
         distance = sum(x.bit_count() for x in np.bitwise_xor(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)).tolist())
         cosine = 2 * (j := jaccard(shingles(" ".join(words)), shingles(" ".join(other)))) / (1 + j)
         assert abs(distance - 504 * np.arccos(cosine) / np.pi) < 40
-    assert own.wide(b"") == own.wide(b" \n") == bytes(8 * simhash_dedup.WIDE)
+    assert own.wide(b"") == own.wide(b" \n") == bytes(8 * simhash_dedup.Wide().words)
     assert own.wide(b"A b\tC") == own.wide(b"a B c") != own.wide(b"a b d")
 
 
+def test_wide_keys_grow_with_the_fingerprints(spark):
+    """Ten times the fingerprints: no more comparisons for each of them under a key, and as many agreeing segments."""
+    assert simhash_dedup.wide_for(0) == simhash_dedup.wide_for(1) == simhash_dedup.wide_for(512 << 14) == simhash_dedup.Wide(14, 9)
+    differ = simhash_dedup.DIFFER
+    for n in (10**7, 10**8, 10**9, 10**10, 10**11):
+        shape = simhash_dedup.wide_for(n)
+        assert n / 2**shape.bits <= 512 and shape.segments < 1024
+        assert shape.segments * (1 - differ) ** shape.bits >= 36 * (1 - differ) ** 14
+    draw = np.random.default_rng(4)
+    per_key = []
+    for n in (6_000, 60_000):
+        shape = simhash_dedup.wide_for(n, members=1)._replace(words=2)
+        raw = draw.integers(0, 256, (n, 8 * shape.words), np.uint8).view(shape.kind) & ((1 << shape.bits) - 1)
+        prints = spark.createDataFrame([(bytearray(x.astype(shape.kind).tobytes()),) for x in raw], "fp binary")
+        counts = simhash_dedup.wide_keys(prints, shape).groupBy("key").count()
+        pairs = counts.agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0]
+        per_key.append(pairs / n / shape.segments)
+    assert max(per_key) <= 0.6  # half a pair for each member at one member a key
+
+
+def test_session_setting_is_put_back(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    try:
+        for own in ("0", "100", "10000"):
+            spark.conf.set(name, own)
+            with corpus_pipeline.small_batches(spark):
+                assert spark.conf.get(name) == ("100" if own == "100" else str(corpus_pipeline.BATCH_ROWS))
+            assert spark.conf.get(name) == own
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def test_exact_dedup_stage(spark):
     rows = [(1, "a b", "en", "s", 3), (1, "a b", "en", "t", 3), (2, "ab", "en", "s", 2), (3, " a  b", "de", None, 5), (4, None, None, None, None), (5, "", "en", "s", 0), (None, "zz", "en", "s", 2), (6, "z z", "en", "s", 3)]
     kept = corpus_pipeline.exact_dedup_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()
