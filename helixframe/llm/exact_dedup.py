@@ -99,13 +99,15 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
 
     first = F.min(F.struct((-F.col("points")).alias("points"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_key").alias("text_key")))
     salted = rows.withColumns({"salt": F.pmod(F.spark_partition_id(), F.lit(SALTS)), "sha": F.sha2("body", 256)})
-    brought = owned(salted, directory, depths, few).groupBy("salt", "depth", "p", "key", "sha").agg(F.first("body").alias("body"), first.alias("first"), F.count("*").alias("n"))
+    # Depth and p as one number, a column even where all buckets have the same depth, so that texts move to owners once.
+    bucket = F.shiftleft(F.lit(1).cast("long"), F.col("depth")).bitwiseOR(F.col("p"))
+    brought = owned(salted, directory, depths, few).withColumn("bucket", bucket).groupBy("salt", "bucket", "depth", "p", "key", "sha").agg(F.first("body").alias("body"), first.alias("first"), F.count("*").alias("n"))
     # An owner task holds whole buckets; a bucket is at most `capacity` keys. All that follows is in its partitioning.
-    walk = Window.partitionBy("depth", "p", "key").orderBy("sha", "body")
+    walk = Window.partitionBy("bucket", "key").orderBy("sha", "body")
     before = F.lag("body").over(walk)
-    walked = brought.repartition("depth", "p").withColumn("new", F.when(before == F.col("body"), 0).otherwise(1))
+    walked = brought.repartition("bucket").withColumn("new", F.when(before == F.col("body"), 0).otherwise(1))
     walked = walked.withColumn("chain", F.sum("new").over(walk.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    texts = walked.groupBy("depth", "p", "key", "chain").agg(F.first("sha").alias("sha"), F.min("first").alias("first"), F.sum("n").alias("group_size"))
+    texts = walked.groupBy("bucket", "depth", "p", "key", "chain").agg(F.first("sha").alias("sha"), F.min("first").alias("first"), F.sum("n").alias("group_size"))
     path = shared_path(spark, "dedup-index")
     texts = texts.select("depth", "p", "key", F.col("chain").cast("int").alias("chain"), "sha", F.col("first.doc_id").alias("keep_id"), F.col("first.text_key").alias("keep_key"), "group_size")
     texts.sortWithinPartitions("depth", "p", "key", "chain").write.parquet(path)
