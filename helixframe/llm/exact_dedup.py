@@ -100,7 +100,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     first = F.min(F.struct((-F.col("points")).alias("points"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_key").alias("text_key")))
     salted = rows.withColumns({"salt": F.pmod(F.spark_partition_id(), F.lit(SALTS)), "sha": F.sha2("body", 256)})
     # Depth and p as one number, a column even where all buckets have the same depth, so that texts move to owners once.
-    bucket = F.shiftleft(F.lit(1).cast("long"), F.col("depth")).bitwiseOR(F.col("p"))
+    bucket = F.expr("shiftleft(1L, depth) | p")
     brought = owned(salted, directory, depths, few).withColumn("bucket", bucket).groupBy("salt", "bucket", "depth", "p", "key", "sha").agg(F.first("body").alias("body"), first.alias("first"), F.count("*").alias("n"))
     # An owner task holds whole buckets; a bucket is at most `capacity` keys. All that follows is in its partitioning.
     walk = Window.partitionBy("bucket", "key").orderBy("sha", "body")
