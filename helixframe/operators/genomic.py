@@ -21,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators import genotype_grid
 from helixframe.shared import written
 
-#: Samples that the driver keeps numbers of; beyond it, an error.
+#: Samples that the driver keeps numbers of; beyond it, the numbers are tables of pieces (genotype_grid).
 MOST_SAMPLES = 200_000
 #: Genotype rows of a block, about; and bytes of a task's dense part of one.
 BLOCK_ROWS, DENSE_BYTES = 1 << 20, 32 << 20
@@ -164,11 +165,14 @@ def ridge_predictions(genotypes: DataFrame, phenotypes: DataFrame, alpha: float
 
     Fitted on the samples with y, by conjugate gradients on the dual system (X Xᵀ + alpha) a = y - mean(y); one pass a round.
     Markers are centred by the fitted samples' means, not scaled. Without any y, predictions are null. alpha must be
-    positive. An error if the residual is not within the tolerance after all rounds.
+    positive. An error if the residual is not within the tolerance after all rounds. More samples than MOST_SAMPLES have
+    their numbers in tables, with the same rounds; `most` is a limit of the caller's own.
     """
     if alpha <= 0:
         raise ValueError("alpha must be positive")
     rows = phenotypes.where(F.col("sample").isNotNull()).groupBy("sample").agg(F.max(F.col("y").cast("double")).alias("y"))
+    if "most" not in options and rows.limit(MOST_SAMPLES + 1).count() > MOST_SAMPLES:
+        return genotype_grid.ridge(genotypes, rows, alpha, tolerance, rounds)
     packed = pack(genotypes, rows.select("sample", F.col("y").isNotNull().alias("train")), **options)
     known = {r["sample"]: r["y"] for r in rows.where("y IS NOT NULL").collect()}  # at most MOST_SAMPLES rows
     train = packed.train

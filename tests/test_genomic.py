@@ -148,3 +148,21 @@ def test_a_hundred_thousand_markers(spark):
     a = np.linalg.solve(gram[np.ix_(train, train)] + 50.0 * np.eye(train.sum()), y[train] - y[train].mean())
     want = gram[:, train] @ a + y[train].mean()
     assert max(abs(got[i] - want[i]) for i in range(n)) < 1e-7
+
+
+def test_ridge_of_more_samples_than_the_driver_keeps(spark, monkeypatch):
+    """Blocks of samples and markers give what the driver's numbers give; some samples have no rows, some markers no spread."""
+    from helixframe.operators import genotype_grid
+
+    x, rows = panel(8, 40, 60)
+    genotypes = spark.createDataFrame([*rows, rows[0], ("zz", "m1", 1.0), (None, "m1", 2.0), ("s000", None, 2.0), ("s001", "nan", float("nan"))], GENOTYPES)
+    phenotypes = spark.createDataFrame([(f"s{i:03}", float(i % 7) if i % 4 else None) for i in range(45)], "sample string, y double")
+    want = {r["sample"]: r["prediction"] for r in genomic.ridge_predictions(genotypes, phenotypes, 400.0, 1e-9).collect()}
+    monkeypatch.setattr(genomic, "MOST_SAMPLES", 5)
+    for side, block_rows in ((16, 1 << 20), (1 << 16, 300)):
+        monkeypatch.setattr(genotype_grid, "SIDE", side)
+        monkeypatch.setattr(genotype_grid, "BLOCK_ROWS", block_rows)
+        got = {r["sample"]: r["prediction"] for r in genomic.ridge_predictions(genotypes, phenotypes, 400.0, 1e-9).collect()}
+        assert got.keys() == want.keys() and max(abs(got[s] - want[s]) for s in want) < 1e-5
+    none = genomic.ridge_predictions(genotypes.limit(0), phenotypes, 2.5)
+    assert {round(r["prediction"], 9) for r in none.collect()} == {round(float(np.mean([i % 7 for i in range(45) if i % 4])), 9)}
