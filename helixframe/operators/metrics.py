@@ -294,7 +294,8 @@ def calibration_lines(df: DataFrame, label: str, prob: str, by: list[str] | None
     """(by, slope, intercept, n, converged) of an unpenalised logistic regression on the logit, in each group.
 
     Newton's method for all groups at once: a round is one aggregate over the rows of groups that still move, joined with a
-    row of state for each; a step that makes a group's loss worse is halved. Rows with equal probabilities are counted
+    row of state for each; a step that makes a group's loss worse, by more than its sum's rounding, is halved, and the last
+    step, within the tolerance, is taken too. Rows with equal probabilities are counted
     first. A group that lacks a class, or a second probability, has no line (null); where the classes separate, the line
     has no end and converged is false.
     """
@@ -322,15 +323,16 @@ def calibration_lines(df: DataFrame, label: str, prob: str, by: list[str] | None
         loss = d("w") * (F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))) - d("p") * z
         sums = at.groupBy("__g", *(F.col(c) for c in kinds)).agg(F.sum(loss).alias("l"), F.sum(e).alias("g0"), F.sum(e * d("x")).alias("g1"), F.sum(w).alias("h0"), F.sum(w * d("x")).alias("h1"), F.sum(w * d("x") * d("x")).alias("h2"), F.sum("w").alias("rows"))
         det = F.nullif(d("h0") * d("h2") - d("h1") * d("h1"), F.lit(0.0))
-        worse = (d("l") > d("loss")) & (F.abs("da") + F.abs("db") > tolerance)
-        # At the bottom rounding may raise the loss: then the step is tiny and the old line stands.
-        better = d("l") <= d("loss")
+        # Near the bottom a step changes the loss by less than the rounding of its sum: Newton's steps are right there.
+        better = d("l") <= d("loss") + 1e-11 * F.abs("l")
+        worse = ~better & (F.abs("da") + F.abs("db") > tolerance)
         a, b = F.when(better, d("a") + d("da")).otherwise(d("a")), F.when(better, d("b") + d("db")).otherwise(d("b"))
         newton = {"da": (d("h2") * d("g0") - d("h1") * d("g1")) / det, "db": (d("h0") * d("g1") - d("h1") * d("g0")) / det}
         step = {k: F.when(worse, d(k) / 2).otherwise(F.coalesce(v, F.lit(0.0))) for k, v in newton.items()}
         flat = ~worse & (det.isNull() | (d("l") <= 1e-8 * d("rows")))  # only where the classes separate
         stop = ~flat & ~worse & (~better | (F.abs(step["da"]) + F.abs(step["db"]) <= tolerance * (1 + F.abs(a) + F.abs(b))))
-        moved = settled(sums.select("__g", a.alias("a"), b.alias("b"), step["da"].alias("da"), step["db"].alias("db"), F.when(better, d("l")).otherwise(d("loss")).alias("loss"), stop.alias("stop"), flat.alias("flat")))
+        end = {k: F.when(stop & better, v + step[f"d{k}"]).otherwise(v).alias(k) for k, v in {"a": a, "b": b}.items()}
+        moved = settled(sums.select("__g", end["a"], end["b"], step["da"].alias("da"), step["db"].alias("db"), F.when(better, d("l")).otherwise(d("loss")).alias("loss"), stop.alias("stop"), flat.alias("flat")))
         done.append(moved.where("stop OR flat").select("__g", "a", "b", (~d("flat")).alias("converged")))
         state = moved.where("NOT stop AND NOT flat").drop("stop", "flat")
     done.append(state.select("__g", "a", "b", F.lit(False).alias("converged")))
