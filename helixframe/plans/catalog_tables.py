@@ -9,6 +9,7 @@ from helixframe.functions import reports
 from helixframe.functions import variants as V
 from helixframe.operators import bootstrap, cohort, joins, metrics, results, splits, studies
 from helixframe.plans.catalog import AUC, GROUPED, SPLIT, counted, labelled_samples, query, r6
+from helixframe.shared import settled
 from helixframe.sources import tables
 
 # Annotation joins
@@ -39,11 +40,13 @@ s AS (SELECT *, CASE WHEN length(alt) = 1 THEN greatest(pos % 10, pos % 7) ELSE
 SELECT length(v.alt) = 1 AS snv, count(*) AS n, count(score) AS n_scored, round(sum(score), 4) AS total FROM v LEFT JOIN s USING (chrom, pos, ref, alt) GROUP BY 1""")
 def splice_snv_and_indel(vcf_lines: DataFrame) -> DataFrame:
     """Single bases from one table, all others from another one, which lacks a delta; records that don't pass too."""
-    rows = tables.vcf_variants(vcf_lines, pass_only=False)
-    keys = rows.select(*V.KEY).distinct().where("pos % 4 <> 0")
+    # Lines are parsed once, and each distinct variant is looked up once, however many rows it has.
+    rows = settled(tables.vcf_variants(vcf_lines, pass_only=False).groupBy(*V.KEY).agg(F.count("*").alias("rows")))
+    keys = rows.select(*V.KEY).where("pos % 4 <> 0")
     delta = lambda n: ((F.col("pos") % n) / F.lit(10.0)).alias(f"d{n}")
     found = joins.splice_scores(rows, keys.select(*V.KEY, delta(10), delta(7)), keys.select(*V.KEY, delta(10)), ("d10", "d7"))
-    return found.groupBy(V.is_snv().alias("snv")).agg(F.count("*").alias("n"), F.count("score").alias("n_scored"), F.round(F.sum("score"), 4).alias("total"))
+    scored = F.when(F.col("score").isNotNull(), F.col("rows")).otherwise(0)
+    return found.groupBy(V.is_snv().alias("snv")).agg(F.sum("rows").alias("n"), F.sum(scored).alias("n_scored"), F.round(F.sum(F.col("score") * F.col("rows")), 4).alias("total"))
 
 
 @query("variants", "catalog", sql="""v AS (SELECT chrom, pos, CASE WHEN l_partkey % 3 = 0 THEN concat('rs', CAST(l_partkey AS STRING)) END AS rsid FROM variants),
