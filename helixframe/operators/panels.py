@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -14,6 +16,8 @@ from helixframe.operators.joins import first_by_key
 DISTANT = ("UPSTREAM", "DOWNSTREAM", "INTERGENIC")
 #: Entries (signature, context) that a catalogue may have; it goes to every task.
 MOST_ENTRIES = 200_000
+#: Counts and weights that a task fits at a time.
+BATCH_NUMBERS = 1 << 17
 
 
 def _letters(genotype: Column) -> Column:
@@ -62,7 +66,8 @@ def fit_signatures(spectra: DataFrame, catalogue: DataFrame, sample: str = "samp
     """(sample, signature, count): non-negative weights of the signatures whose sum is nearest to a sample's spectrum.
 
     spectra: sample, context, n (summed by context; contexts not in the catalogue are left out). catalogue: signature,
-    context, share. A sample's rows are as many as the contexts, so a group is small however many samples there are.
+    context, share. A sample's entries are as many as the contexts, and a task fits some thousand samples at a time, as a
+    matrix of BATCH_NUMBERS numbers.
     """
     entries = catalogue.groupBy("signature", "context").agg(F.sum("share").alias("share")).limit(MOST_ENTRIES + 1).collect()
     if len(entries) > MOST_ENTRIES:
@@ -73,14 +78,25 @@ def fit_signatures(spectra: DataFrame, catalogue: DataFrame, sample: str = "samp
     for e in entries:
         shares[number[e["context"]], names.index(e["signature"])] = e["share"]
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        counts = np.zeros(len(contexts))
-        counts[rows["context"].map(number).to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
-        weights = np.full(len(names), counts.sum() / max(1, len(names)))
-        for _ in range(rounds):
-            weights *= (shares.T @ counts) / np.maximum(shares.T @ (shares @ weights), 1e-12)
-        return pd.DataFrame({sample: [rows[sample].iloc[0]] * len(names), "signature": names, "count": weights})
-
-    summed = spectra.where(F.col("context").isin(contexts)).groupBy(sample, "context").agg(F.sum("n").alias("n"))
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, step):
+                batch = whole.slice(first, step)
+                lists = batch.column("__e")
+                row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+                at, n = (lists.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("at", "n"))
+                counts = np.zeros((batch.num_rows, len(contexts)))
+                counts[row, at] = n.astype(np.float64)
+                weights = np.repeat(counts.sum(1, keepdims=True) / max(1, len(names)), len(names), axis=1)
+                wanted = counts @ shares
+                for _ in range(rounds):
+                    weights *= wanted / np.maximum((weights @ shares.T) @ shares, 1e-12)
+                owner = pa.array(np.repeat(np.arange(batch.num_rows), len(names)))
+                yield pa.RecordBatch.from_arrays([batch.column(sample).take(owner), pa.array(names * batch.num_rows, pa.string()), pa.array(weights.ravel())], [sample, "signature", "count"])
+
+    step = max(1, BATCH_NUMBERS // max(1, len(contexts) + len(names)))
+    places = spectra.sparkSession.createDataFrame(list(number.items()), "context string, __at int")  # MOST_ENTRIES rows at most
+    summed = spectra.join(F.broadcast(places), "context").groupBy(sample, "__at").agg(F.sum("n").cast("double").alias("n"))
+    rows = summed.groupBy(sample).agg(F.collect_list(F.struct(F.col("__at").alias("at"), "n")).alias("__e"))
     schema = StructType([StructField(sample, spectra.schema[sample].dataType), StructField("signature", StringType()), StructField("count", DoubleType())])
-    return summed.groupBy(sample).applyInPandas(fit, schema)
+    return rows.mapInArrow(fit, schema)
