@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.functions.variants import called_alleles, parsed_date, passes, splice_field, splice_score, with_chr, without_chr
+from helixframe.functions.variants import called_alleles, parsed_date, passes, splice_field, with_chr, without_chr
 from helixframe.sources import ranges
 
 VCF_FIELDS = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format", "sample")
@@ -15,9 +15,9 @@ VCF_FIELDS = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "for
 
 def vcf_records(lines: DataFrame) -> DataFrame:
     """One row for each record of lines (value): the fixed columns as text, and the first sample's."""
-    parts = F.split("value", "\t")
-    rows = lines.where(~F.col("value").startswith("#") & (F.size(parts) >= 5)).withColumn("p", parts)
     own = [c for c in lines.columns if c != "value"]
+    # The fields as a row of their own: no filter on them moves below it, so that a line is split once.
+    rows = lines.where(~F.col("value").startswith("#")).select(*own, F.explode(F.array(F.split("value", "\t"))).alias("p")).where(F.size("p") >= 5)
     fields = [F.try_element_at("p", F.lit(i + 1)).alias(name) for i, name in enumerate(VCF_FIELDS)]
     return rows.select(*own, *fields).withColumn("pos", F.col("pos").try_cast("bigint")).where(F.col("pos").isNotNull())
 
@@ -95,8 +95,11 @@ def read_variant_summary(spark: SparkSession, *paths: str) -> DataFrame:
 def splice_scan(snv_lines: DataFrame, indel_lines: DataFrame) -> DataFrame:
     """(chrom, pos, ref, alt, symbol, score) of both files of splice predictions, from their INFO fields."""
     rows = vcf_records(snv_lines).unionByName(vcf_records(indel_lines))
-    found = rows.select(with_chr(F.col("chrom")).alias("chrom"), "pos", "ref", splice_field(F.col("info"), 1).alias("alt"), splice_field(F.col("info"), 2).alias("symbol"), splice_score(F.col("info")).alias("score"))
-    return found.where(F.col("score").isNotNull())
+    # The entry as a row of its own, so that its pattern is searched once.
+    entries = rows.select(with_chr(F.col("chrom")).alias("chrom"), "pos", "ref", F.explode(F.array(splice_field(F.col("info"), 0))).alias("entry")).where("entry <> ''")
+    fields = entries.withColumn("f", F.split(F.col("entry").substr(len("SpliceAI=") + 1, 1 << 30), "\\|"))
+    deltas = [F.coalesce(F.get("f", F.lit(n - 1)).try_cast("double"), F.lit(0.0)) for n in (3, 4, 5, 6)]
+    return fields.select("chrom", "pos", "ref", F.get("f", F.lit(0)).alias("alt"), F.get("f", F.lit(1)).alias("symbol"), F.greatest(*deltas).alias("score"))
 
 
 def read_strings(spark: SparkSession, path: str) -> DataFrame:
