@@ -10,6 +10,8 @@ from helixframe.functions.variants import KEY, is_snv, protein_change, without_c
 #: Width of the narrowest bins that turn interval joins into key joins; each of LEVELS levels has bins STEP times as wide as
 #: the one below, the widest over four thousand million bases.
 BIN, STEP, LEVELS = 1 << 14, 8, 7
+#: Rows of equal intervals that go to pairs together; and places of a bin of running sums.
+CHUNK_ROWS, TOTAL_BIN = 256, 1 << 16
 #: Into how many parts a category is dealt before its first rows meet.
 PARTS = 64
 
@@ -131,13 +133,27 @@ def in_intervals(points: DataFrame, intervals: DataFrame, chrom: str = "chrom",
     return points.join(found, (F.col(chrom) == F.col("__chrom")) & (F.col(pos) == F.col("__pos")), "left_semi")
 
 
-def overlapping(left: DataFrame, right: DataFrame, chrom: str, start: str, end: str) -> DataFrame:
-    """Pairs of intervals that overlap (half open), columns prefixed a_ and b_, each pair once.
+def _chunks(df: DataFrame, keys: list[str], p: str) -> DataFrame:
+    """(p__c, p__s, p__e, p__rows): the rows of equal intervals in arrays of about CHUNK_ROWS."""
+    names = {k: f"{p}__{short}" for k, short in zip(keys, "cse")}
+    hashed = F.xxhash64(*(c for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()))
+    rows = df.select(*(F.col(k).alias(n) for k, n in names.items()), hashed.alias("__h"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__r"))
+    sizes = rows.groupBy(*names.values()).agg(F.ceil(F.count("*") / CHUNK_ROWS).alias("__k"))
+    return rows.join(sizes, list(names.values())).groupBy(*names.values(), F.pmod("__h", "__k").alias(f"{p}__k")).agg(F.collect_list("__r").alias(f"{p}__rows"))
 
-    A pair meets at the level of its longer interval: each side is stored at its own level, in two bins at most, and looks
-    in two bins at most of each higher level, so an interval makes a bounded number of rows whatever its length.
+
+def overlapping(left: DataFrame, right: DataFrame, chrom: str, start: str, end: str, only: Column | None = None) -> DataFrame:
+    """Pairs of intervals that overlap (half open), columns prefixed a_ and b_, each pair once; `only`, over the prefixed
+    chrom, start and end, leaves out pairs.
+
+    Distinct intervals meet, and their rows follow as chunks: a pair of chunks is dealt to any task, so copies cost what
+    they give, in even tasks. A pair meets at the level of its longer interval: each side is stored at its own level, in
+    two bins at most, and looks in two bins at most of each higher level, so an interval makes a bounded number of rows
+    whatever its length.
     """
-    own = lambda df, p: df.where(F.col(end) > F.col(start)).select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns)).withColumn(f"{p}__level", _level(F.col(f"{p}_{end}") - F.col(f"{p}_{start}")))
+    keys = [chrom, start, end]
+    proper = lambda df: df.where(F.col(chrom).isNotNull() & (F.col(end) > F.col(start)))
+    own = lambda df, p: proper(df).select(*(F.col(c).alias(f"{p}_{c}") for c in keys)).distinct().withColumn(f"{p}__level", _level(F.col(f"{p}_{end}") - F.col(f"{p}_{start}")))
     a, b = own(left, "a"), own(right, "b")
 
     def at_level(df: DataFrame, p: str, level: Column) -> DataFrame:
@@ -150,17 +166,58 @@ def overlapping(left: DataFrame, right: DataFrame, chrom: str, start: str, end:
         # A pair meets in every bin that both touch; it counts in the one that holds the overlap's start.
         on = (F.col(f"a_{chrom}") == F.col(f"b_{chrom}")) & (F.col("a__at") == F.col("b__at")) & (F.col("a__bin") == F.col("b__bin"))
         found = x.join(y, on & (low < high) & (F.floor(low / _width(F.col("a__at"))) == F.col("a__bin")))
-        return found.select(*(f"a_{c}" for c in left.columns), *(f"b_{c}" for c in right.columns))
+        found = found if only is None else found.where(only)
+        return found.select(*(F.col(f"{p}_{k}").alias(f"{p}__{short}") for p in "ab" for k, short in zip(keys, "cse")))
 
     stored = lambda df, p: at_level(df, p, F.col(f"{p}__level"))
-    return met(at_level(a, "a", higher("a", 0)), stored(b, "b")).unionByName(met(stored(a, "a"), at_level(b, "b", higher("b", 1))))
+    pairs = met(at_level(a, "a", higher("a", 0)), stored(b, "b")).unionByName(met(stored(a, "a"), at_level(b, "b", higher("b", 1))))
+    chunks = pairs.join(_chunks(proper(left), keys, "a"), ["a__c", "a__s", "a__e"]).join(_chunks(proper(right), keys, "b"), ["b__c", "b__s", "b__e"])
+    dealt = chunks.repartition("a__c", "a__s", "a__e", "a__k", "b__s", "b__e", "b__k").select(F.explode("a__rows").alias("a"), "b__rows").select("a", F.explode("b__rows").alias("b"))
+    return dealt.select(*(F.col(f"a.`{c}`").alias(f"a_{c}") for c in left.columns), *(F.col(f"b.`{c}`").alias(f"b_{c}") for c in right.columns))
+
+
+def overlap_totals(left: DataFrame, right: DataFrame, a: Column, b: Column, chrom: str, start: str, end: str) -> DataFrame:
+    """(a, b, n, shared): number and summed length of the overlaps of all pairs, by a column of each side, without pairs.
+
+    Up to a place x lie S starts and E ends of one side; its intervals cover x S - (their sum) - (x E - their sum) places
+    there. What an interval of the other side meets is the difference between its end and its start. Ends are counted by
+    distinct place, and running sums go over places inside TOTAL_BIN, then over bins: a window holds 2 x TOTAL_BIN rows of
+    each class.
+    """
+    own = lambda df, kind: df.where(F.col(chrom).isNotNull() & (F.col(end) > F.col(start))).select(F.col(chrom).alias("c"), kind.alias("k"), F.explode(F.array(F.struct(F.col(start).alias("x"), F.lit(True).alias("opens")), F.struct(F.col(end).alias("x"), F.lit(False).alias("opens")))).alias("e")).groupBy("c", "k", F.col("e.x").cast("long").alias("x"), F.col("e.opens").alias("opens")).agg(F.count("*").alias("w"))
+    asked, given = own(left, a), own(right, b)
+    whole = lambda c: c.cast("decimal(38,0)")
+    zero = whole(F.lit(0))
+    classes = given.select("c", F.col("k").alias("b")).distinct()
+    # Starts (s) and ends (e) of one side at its places, and their sums; places that are asked about add nothing.
+    marks = given.groupBy("c", F.col("k").alias("b"), "x").agg(F.sum(F.when(F.col("opens"), F.col("w")).otherwise(0)).alias("s"), F.sum(F.when(F.col("opens"), 0).otherwise(F.col("w"))).alias("e"))
+    marks = marks.select("*", (whole(F.col("s")) * whole(F.col("x"))).cast("decimal(38,0)").alias("sx"), (whole(F.col("e")) * whole(F.col("x"))).cast("decimal(38,0)").alias("ex"))
+    names = ["s", "e", "sx", "ex"]
+    probes = asked.select("c", "x").distinct().join(classes, "c")
+    places = marks.unionByName(probes.select("c", "b", "x", *(F.lit(0).cast("long").alias(n) for n in names[:2]), *(zero.alias(n) for n in names[2:])))
+    places = places.groupBy("c", "b", "x").agg(*(F.sum(n).alias(n) for n in names)).withColumn("bin", F.floor(F.col("x") / TOTAL_BIN))
+    before = Window.partitionBy("c", "b").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = places.groupBy("c", "b", "bin").agg(*(F.sum(n).alias(n) for n in names))
+    bins = bins.select("c", "b", "bin", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}0") for n in names))
+    inside = Window.partitionBy("c", "b", "bin").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = places.select("c", "b", "bin", "x", F.col("s").alias("here"), *(F.sum(n).over(inside).alias(n) for n in names)).join(bins, ["c", "b", "bin"])
+    s, e, sx, ex = (F.col(n) + F.col(f"{n}0") for n in names)
+    covered = whole(F.col("x")) * whole(s - e) - whole(sx) + whole(ex)
+    at = running.select("c", "b", "x", (s - F.col("here")).alias("s"), e.alias("e"), covered.alias("covered"))
+    met = asked.withColumnRenamed("k", "a").join(at, ["c", "x"])
+    n = F.when(F.col("opens"), -F.col("e")).otherwise(F.col("s"))
+    shared = F.when(F.col("opens"), -F.col("covered")).otherwise(F.col("covered"))
+    found = met.groupBy("a", "b").agg(F.sum(whole(F.col("w")) * whole(n)).alias("n"), F.sum(whole(F.col("w")) * whole(shared)).alias("shared"))
+    return found.where("n > 0").select("a", "b", F.col("n").cast("long").alias("n"), F.col("shared").cast("long").alias("shared"))
 
 
 def reciprocal_overlap(left: DataFrame, right: DataFrame, chrom: str = "chrom", start: str = "sv_start", end: str = "sv_end", least: float = 0.7) -> DataFrame:
-    """Pairs whose overlap is at least the share `least` of both, with `share`."""
+    """Pairs whose overlap is at least the share `least` of both, with `share`; what copies of an interval share is computed
+    once, before their rows follow."""
     shared = F.least(F.col(f"a_{end}"), F.col(f"b_{end}")) - F.greatest(F.col(f"a_{start}"), F.col(f"b_{start}"))
     longest = F.greatest(F.col(f"a_{end}") - F.col(f"a_{start}"), F.col(f"b_{end}") - F.col(f"b_{start}"))
-    return overlapping(left, right, chrom, start, end).withColumn("share", shared.cast("double") / longest).where(F.col("share") >= least)
+    share = shared.cast("double") / longest
+    return overlapping(left, right, chrom, start, end, share >= least).withColumn("share", share)
 
 
 def near_sites(reads: DataFrame, sites: DataFrame, window: int, chrom: str = "chrom", pos: str = "pos", centre: str = "centre") -> DataFrame:

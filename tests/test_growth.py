@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from helixframe.operators import metrics, panels
+from helixframe.operators import joins, metrics, panels
 from helixframe.sources import tables
 
 SMALL = "/root/testdata/sf0.001"
@@ -56,3 +56,36 @@ def test_calibration_of_many_rows_ends_at_the_bottom(spark):
     error = F.col("y") - 1 / (1 + F.exp(-(F.lit(intercept) + F.lit(slope) * x)))
     sums = rows.agg(F.sum(error), F.sum(error * x)).first()
     assert max(map(abs, sums)) < 2e-5
+
+
+def test_totals_of_overlaps_need_no_pairs(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    side = lambda n: [(int(r.integers(3)), "xyz"[r.integers(2)], int(s := r.integers(-40, 40)), int(s + r.integers(-1, 30))) for _ in range(n)]
+    left, right = [*side(60), (9, "x", -300, 500), (1, None, 0, 5)], [*side(50), (8, "x", 500, 900), (8, "z", 0, 5)]
+    want = {}
+    for ka, ca, sa, ea in left:
+        for kb, cb, sb, eb in right:
+            if ca == cb and ca and ea > sa and eb > sb and min(ea, eb) > max(sa, sb):
+                n, shared = want.get((ka, kb), (0, 0))
+                want[ka, kb] = n + 1, shared + min(ea, eb) - max(sa, sb)
+    frames = [spark.createDataFrame(x, "k int, c string, s bigint, e bigint") for x in (left, right)]
+    for width in (1 << 16, 7):
+        monkeypatch.setattr(joins, "TOTAL_BIN", width)
+        got = {(x["a"], x["b"]): (x["n"], x["shared"]) for x in joins.overlap_totals(*frames, F.col("k"), F.col("k"), "c", "s", "e").collect()}
+        assert got == want
+
+
+def test_copies_of_an_interval_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "CHUNK_ROWS", 20)
+    rows = [(i, "c", 10 * (i % 2), 10 * (i % 2) + 100) for i in range(300)]
+    svs = spark.createDataFrame([*rows, (300, "c", 90, 400), (301, "d", 0, 100), (301, "d", 0, 100)], "id int, chrom string, sv_start bigint, sv_end bigint")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pairs = joins.reciprocal_overlap(svs, svs).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(pairs) == 300 * 300 + 1 + 4
+    assert {(x["a_id"], x["b_id"]) for x in pairs} == {(i, j) for i in range(300) for j in range(300)} | {(300, 300), (301, 301)}
+    assert {x["share"] for x in pairs} == {1.0, 0.9}
+    _, sizes = np.unique([x["task"] for x in pairs], return_counts=True)
+    assert len(sizes) == 4 and sizes.max() < 0.5 * len(pairs)
