@@ -83,9 +83,9 @@ LONG = "SELECT sv_id, chrom, sv_start * 9000 AS s, sv_start * 9000 + CASE sv_id
 def overlaps_of_long_intervals(svs: DataFrame) -> DataFrame:
     """Overlaps of all pairs of intervals from one base to a whole chromosome."""
     rows = svs.select("sv_id", "chrom", (F.col("sv_start") * 9000).alias("s")).withColumn("e", F.col("s") + long_length(240_000_000))
-    found = joins.overlapping(rows, rows, "chrom", "s", "e")
-    shared = F.least("a_e", "b_e") - F.greatest("a_s", "b_s")
-    return found.groupBy((F.col("a_sv_id") % 5).alias("kind_a"), (F.col("b_sv_id") % 5).alias("kind_b")).agg(F.count("*").alias("n"), F.sum(shared).alias("shared"))
+    kind = F.col("sv_id") % 5
+    found = joins.overlap_totals(rows, rows, kind, kind, "chrom", "s", "e")
+    return found.select(F.col("a").alias("kind_a"), F.col("b").alias("kind_b"), "n", "shared")
 
 
 @query("variants", "svs", sql="l AS (SELECT chrom, sv_start * 9000 AS s, sv_start * 9000 + CASE sv_id % 5 WHEN 0 THEN 20000000 WHEN 1 THEN 16384 WHEN 2 THEN 3000000 WHEN 3 THEN 1 ELSE 700 END AS e FROM svs) SELECT chrom, count(*) AS n FROM variants v WHERE EXISTS (SELECT 1 FROM l WHERE l.chrom = v.chrom AND v.pos * 9000 - 1 >= s AND v.pos * 9000 - 1 < e) GROUP BY 1")
