@@ -250,8 +250,14 @@ def principal_components(genotypes: DataFrame, samples: DataFrame, k: int = 20,
 
     samples: (sample) of the panel. A random range over the samples is refined by passes of X Xᵀ until the residuals of the
     k wanted components are within the tolerance of the largest value, or no longer fall and are within `accepted`;
-    otherwise an error. Components without variance are left out. values are variances by component.
+    otherwise an error. Components without variance are left out. values are variances by component. Panels of more samples
+    than MOST_SAMPLES are refined over the markers, of which there may be as many.
     """
+    known = samples.where(F.col("sample").isNotNull()).select("sample").distinct()
+    if "most" not in options and known.limit(MOST_SAMPLES + 1).count() > MOST_SAMPLES:
+        leading = lambda times, m: _leading(times, m, k, min(m, k + spare), rounds, tolerance, accepted, seed)
+        scores, loadings, values, best = genotype_grid.components(genotypes, known, k, MOST_SAMPLES, leading)
+        return Components(scores, loadings, values / known.count(), best)
     packed = pack(genotypes, samples.select("sample", F.lit(True).alias("train")), **options)
     n = len(packed.samples)
     values, vectors, best = _leading(lambda q: _kernel(packed, q, scaled=True), n, k, min(n, k + spare), rounds, tolerance, accepted, seed)

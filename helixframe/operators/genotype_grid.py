@@ -218,3 +218,44 @@ def ridge(genotypes: DataFrame, phenotypes: DataFrame, alpha: float, tolerance:
     if size > goal:
         raise ArithmeticError(f"not solved after {rounds} rounds")
     return _rows(_mapped(state, lambda own, _: ([], own[3] + mean, [])), g.samples, ["prediction"])
+
+
+def components(genotypes: DataFrame, samples: DataFrame, k: int, most: int, leading: Callable[..., tuple[np.ndarray, np.ndarray, float]]) -> tuple[DataFrame, DataFrame, np.ndarray, float]:
+    """(scores, loadings, values, residual) as genomic.principal_components has them, through numbers for each marker on
+    the driver; `leading` finds leading eigenvectors from (times, number of markers). samples: sample, a row for each."""
+    g = grid(genotypes, samples.select("sample", F.lit(0.0).alias("y")))
+    if g.n_markers > most:
+        raise ValueError(f"more than {most} samples and more than {most} markers")
+    markers = sorted(g.markers.collect(), key=lambda r: (r["mb"], r["mi"]))  # at most `most` rows
+    piece, means, spread = (np.array([r[c] for r in markers]) for c in ("mb", "mean", "deviation"))
+    inverse = np.where(spread > 0, 1 / np.where(spread > 0, spread, 1.0), 0.0)[:, None]
+    spark, first = samples.sparkSession, {int(p): int(np.flatnonzero(piece == p)[0]) for p in np.unique(piece)}
+
+    def onto_samples(q: np.ndarray) -> DataFrame:
+        """Products of the standardised samples with the columns of q, and their sums as numbers."""
+        z = q * inverse
+        centre, width = means @ z, q.shape[1]
+        rows = [(p, bytearray(np.ascontiguousarray(z[piece == p]).tobytes())) for p in first]
+        parts = _product(g.blocks, spark.createDataFrame(rows, "piece int, v binary"), "s", width)
+        return written(_summed(parts, g.own_samples, width, lambda own, v: (own, v - centre, list((v - centre).sum(0)))), "grid-scores")
+
+    def times(q: np.ndarray) -> np.ndarray:
+        width, onto = q.shape[1], onto_samples(q)
+        found, sums = np.zeros(q.shape), np.array(_numbers(onto, width))
+        for r in _summed(_product(g.blocks, onto, "m", width), g.own_markers, width, lambda own, v: (own, v, [])).select("piece", "v").collect():  # numbers of q
+            v = np.frombuffer(r["v"], np.float64).reshape(-1, width)
+            found[first[r["piece"]] : first[r["piece"]] + len(v)] = v
+        removed(onto)
+        return (found - means[:, None] * sums) * inverse
+
+    values, vectors, best = leading(times, len(markers))
+    kept = values > 1e-10 * (values[0] if len(values) else 0.0)
+    values, vectors = values[kept], vectors[:, kept]
+    names = [f"pc{i + 1}" for i in range(len(values))]
+    if not names:
+        return samples.select("sample"), spark.createDataFrame([], "marker string, mean double, deviation double, load array<double>"), values, best
+    scores = _rows(onto_samples(vectors), g.samples, names)
+    # As with few samples: a component's largest score is positive.
+    signs = np.array([-1.0 if x < 0 else 1.0 for x in scores.agg(*(F.max_by(c, F.abs(c)) for c in names)).first()])
+    loadings = [(r["marker"], float(r["mean"]), float(r["deviation"]), [float(x) for x in v]) for r, v in zip(markers, vectors * signs) if r["deviation"] > 0]
+    return scores.select("sample", *((F.col(c) * float(s)).alias(c) for c, s in zip(names, signs))), spark.createDataFrame(loadings, "marker string, mean double, deviation double, load array<double>"), values, best

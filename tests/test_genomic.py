@@ -166,3 +166,22 @@ def test_ridge_of_more_samples_than_the_driver_keeps(spark, monkeypatch):
         assert got.keys() == want.keys() and max(abs(got[s] - want[s]) for s in want) < 1e-5
     none = genomic.ridge_predictions(genotypes.limit(0), phenotypes, 2.5)
     assert {round(r["prediction"], 9) for r in none.collect()} == {round(float(np.mean([i % 7 for i in range(45) if i % 4])), 9)}
+
+
+def test_components_of_more_samples_than_the_driver_keeps(spark, monkeypatch):
+    from helixframe.operators import genotype_grid
+
+    _, rows = panel(6, 50, 12)
+    samples = spark.createDataFrame([(f"s{i:03}",) for i in range(55)] + [(None,), ("s000",)], "sample string")
+    genotypes = spark.createDataFrame([*rows, ("zz", "m1", 1.0)], GENOTYPES)
+    want = genomic.principal_components(genotypes, samples, 3)
+    monkeypatch.setattr(genomic, "MOST_SAMPLES", 15)
+    monkeypatch.setattr(genotype_grid, "SIDE", 7)
+    got = genomic.principal_components(genotypes, samples, 3)
+    np.testing.assert_allclose(got.values, want.values, rtol=1e-9)
+    for side, key in (("scores", "sample"), ("loadings", "marker")):
+        a, b = ({r[key]: np.hstack(r[1:]) for r in getattr(x, side).collect()} for x in (got, want))
+        assert a.keys() == b.keys() and max(np.abs(a[s] - b[s]).max() for s in a) < 1e-7
+    monkeypatch.setattr(genomic, "MOST_SAMPLES", 5)
+    with pytest.raises(ValueError, match="more than 5 samples and more than 5 markers"):
+        genomic.principal_components(genotypes, samples, 3)
