@@ -89,3 +89,27 @@ def test_copies_of_an_interval_are_dealt_to_many_tasks(spark, monkeypatch):
     assert {x["share"] for x in pairs} == {1.0, 0.9}
     _, sizes = np.unique([x["task"] for x in pairs], return_counts=True)
     assert len(sizes) == 4 and sizes.max() < 0.5 * len(pairs)
+
+
+def test_rounds_of_many_samples_move_no_blocks(spark, monkeypatch):
+    """A round sends the vector's pieces to the blocks, which hold two bytes for a place and one for a whole dosage."""
+    from helixframe.operators import genomic, genotype_grid
+
+    r = np.random.default_rng(4)
+    cells = [(f"s{i}", j, float(r.integers(1, 3))) for i in range(60) for j in range(25) if r.random() < 0.4]
+    phenotypes = spark.createDataFrame([(f"s{i}", float(i % 9) if i % 5 else None) for i in range(60)], "sample string, y double")
+    g = genotype_grid.grid(spark.createDataFrame(cells, "sample string, marker int, dosage double"), phenotypes)
+    assert g.blocks.agg(F.sum(F.length("si") + F.length("mi") + F.length("dosage"))).first()[0] == 5 * len(cells)
+    for onto, pieces in (("m", g.own_samples), ("s", g.own_markers)):
+        plan = genotype_grid._product(g, pieces.select("piece", F.element_at("own", 1).alias("v")), onto, 1)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan, plan
+    # Dosages between whole numbers, missing ones, and pieces that are too large to be broadcast.
+    odd = [(s, j, None if (j, s) == (3, "s7") else x * 0.1 if j % 2 else x * 0.5) for s, j, x in cells]
+    genotypes, found = spark.createDataFrame(odd, "sample string, marker int, dosage double"), []
+    for most, held in ((genomic.MOST_SAMPLES, 1), (5, genotype_grid.BROADCAST_BYTES), (5, 0)):
+        monkeypatch.setattr(genomic, "MOST_SAMPLES", most)
+        monkeypatch.setattr(genotype_grid, "BROADCAST_BYTES", held)
+        monkeypatch.setattr(genotype_grid, "SIDE", 16)
+        found.append({x["sample"]: x["prediction"] for x in genomic.ridge_predictions(genotypes, phenotypes, 2000.0, 1e-9).collect()})
+    assert found[0].keys() == found[1].keys() == found[2].keys()
+    assert max(abs(found[0][s] - f[s]) for f in found[1:] for s in found[0]) < 1e-7
